@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, near_dedup, sharding, toxicity
 
 QUERIES = {
     "op1_shard_matrix": sharding.op1_shard_matrix,
+    "op6_minhash": near_dedup.op6_minhash,
+    "op8_nnpu": toxicity.op8_nnpu,
     "op10_block_naming": exact_dedup.op10_block_naming,
 }
 
