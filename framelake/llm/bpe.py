@@ -25,7 +25,7 @@ from . import kernels as K
 WORDS_PER_QUERY, BATCH_BYTES = 60_000, 16 << 20
 
 #: Unicode white space, as the splitting pattern's \s means it (fixed values).
-_WHITE = r"\x09-\x0D\x20\x85\xA0  -     　"
+_WHITE = r"\x09-\x0D\x20\x85\xA0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 _ENCODE = """
 WITH RECURSIVE s AS (

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, sharding, toxicity
+from . import bpe, exact_dedup, near_dedup, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_shard_matrix": sharding.op1_shard_matrix,
+    "op5_simple8b": token_files.op5_simple8b,
     "op6_minhash": near_dedup.op6_minhash,
     "op8_nnpu": toxicity.op8_nnpu,
+    "op9_duckdb_bpe": bpe.op9_duckdb_bpe,
     "op10_block_naming": exact_dedup.op10_block_naming,
 }
 
