@@ -92,6 +92,20 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return tied.unionByName(rest).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", "kept", "text_sha256")
 
 
+def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text and any other columns) with one row of each group of equal texts, the one that `exact_duplicates` keeps."""
+    sha = private_name(docs, "sha")
+    decided = exact_duplicates(docs)
+    keys = settle(decided.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "dedup-keys")
+    gone = keys.filter("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
+    marked = docs.withColumn(sha, F.sha2(no_spaces(F.col("text")), 256))
+    out = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col(sha) == F.col("_gone_sha")), "left_anti")
+    if not keys.filter("kept AND n > 1").isEmpty():  # repeated rows: the longest text of each stays
+        best = Window.partitionBy("doc_id", sha).orderBy(-F.char_length("text"), F.xxhash64("text"))
+        out = out.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+    return out.drop(sha)
+
+
 def op10_block_naming(spark, sf_dir: str) -> DataFrame:
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

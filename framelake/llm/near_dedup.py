@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import discard, settle
+from .common import discard, private_name, settle
 
 #: Words in a shingle; minhashes in a sub-key; sub-keys in each of the two collections.
 WIDTH, HALF, M = 5, 2, 16
@@ -245,6 +245,19 @@ def _links(reps: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n, set_id) of each document, and (set_id, root) of each set: sets of one root are tied by links."""
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    keyed = docs.withColumn("text_key", F.md5("text"))
+    signed = settle(keyed.mapInArrow(_sign, _SIGNED), "signed")
+    # equal sets are one node from here on
+    reps = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    reps = settle(reps, "reps")
+    roots = components(_links(reps, keyed.select("text_key", "text")))
+    both = reps.select("set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("root"))
+    return signed.select("doc_id", "text_key", "n", "set_id"), both
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: `doc_id`, `n_shingles`, `component_id`, `kept`.
 
@@ -256,23 +269,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     alone has a null `component_id`, and `kept` is true there. Repeated rows
     are linked like any equal texts.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    keyed = docs.withColumn("text_key", F.md5("text"))
-    signed = settle(keyed.mapInArrow(_sign, _SIGNED), "signed")
-    some = signed.filter("set_id IS NOT NULL")
-    # equal sets are one node from here on
-    reps = some.groupBy("set_id").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
-    ids = settle(some.groupBy("set_id").agg(F.min("doc_id").alias("low")), "lowest")
-    links = _links(reps, keyed.select("text_key", "text"))
-    roots = components(links)
-    # smallest doc_id over all sets of a component
-    low = roots.join(ids, roots["node"] == ids["set_id"])
-    low = low.join(low.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("set_id", "component_id")
-    alone = ids.join(low.select("set_id"), "set_id", "left_anti").select("set_id", F.col("low").alias("component_id"))
-    named = signed.select("doc_id", "n", "set_id").join(low.unionByName(alone), "set_id", "left")
+    signed, roots = _grouped(docs, doc_id, text)
+    lowest = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("low")).join(roots, "set_id")
+    named = lowest.groupBy("root").agg(F.min("low").alias("component_id")).join(roots, "root").select("set_id", "component_id")
+    out = signed.join(named, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text and any other columns) with one document of each group of near duplicates: the one of the smallest doc_id.
+
+    Documents without words stay. Of rows equal in doc_id and text one stays.
+    """
+    key = private_name(docs, "key")
+    signed, roots = _grouped(docs, "doc_id", "text")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
+    lowest = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min(rank).alias("low")).join(roots, "set_id")
+    best = lowest.groupBy("root").agg(F.min("low").alias("best")).join(roots, "root").select("set_id", "best")
+    decided = signed.join(best, "set_id").withColumn("kept", rank == F.col("best"))
+    keys = settle(decided.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "near-keys")
+    gone = keys.filter("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"))
+    marked = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
+    out = marked.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.col(key) == F.col("_gone_key")), "left_anti")
+    if not keys.filter("kept AND n > 1").isEmpty():
+        whole = out.join(keys.filter("kept AND n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_key")), "left_semi")
+        rest = out.join(keys.filter("kept AND n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_key")), "left_anti")
+        out = rest.unionByName(whole.dropDuplicates(["doc_id", key]))
+    return out.drop(key)
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
