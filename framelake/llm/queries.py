@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, near_dedup, sharding, token_files, toxicity
+from . import bpe, decontamination, exact_dedup, language_id, near_dedup, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_shard_matrix": sharding.op1_shard_matrix,
     "op3_simhash": decontamination.op3_simhash,
+    "op4_crf": language_id.op4_crf,
     "op5_simple8b": token_files.op5_simple8b,
     "op6_minhash": near_dedup.op6_minhash,
     "op8_nnpu": toxicity.op8_nnpu,
