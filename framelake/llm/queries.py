@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, language_id, near_dedup, sharding, token_files, toxicity
+from . import bpe, decontamination, exact_dedup, language_id, near_dedup, pii, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_shard_matrix": sharding.op1_shard_matrix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_crf": language_id.op4_crf,
     "op5_simple8b": token_files.op5_simple8b,
     "op6_minhash": near_dedup.op6_minhash,
+    "op7_surrogates": pii.op7_surrogates,
     "op8_nnpu": toxicity.op8_nnpu,
     "op9_duckdb_bpe": bpe.op9_duckdb_bpe,
     "op10_block_naming": exact_dedup.op10_block_naming,
