@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, language_id, near_dedup, pii, sharding, token_files, toxicity
+from . import bpe, decontamination, exact_dedup, language_id, license_scan, near_dedup, pii, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_shard_matrix": sharding.op1_shard_matrix,
+    "op2_license_digest": license_scan.op2_license_digest,
     "op3_simhash": decontamination.op3_simhash,
     "op4_crf": language_id.op4_crf,
     "op5_simple8b": token_files.op5_simple8b,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_license_digest": license_scan.oracle(),
     "op10_block_naming": exact_dedup.OP10_SQL,
 }
