@@ -9,6 +9,9 @@ block, or all of them at once, can be decoded without the words before it.
 
 from __future__ import annotations
 
+import os
+import unicodedata
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -25,7 +28,7 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=
 #: The word that says: the next 64 bits are one id as they stand.
 ESCAPE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-BLOCK_IDS, CHUNK_IDS, END_ID = 4_096, 65_536, 2
+BLOCK_IDS, CHUNK_IDS, END_ID = 4_096, 262_144, 2
 _MAGIC = 0x5338_4231
 
 
@@ -38,22 +41,17 @@ def pack(ids: np.ndarray) -> bytes:
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
     n, blocks = len(ids), -(-len(ids) // BLOCK_IDS)
     top = np.uint64((1 << 60) - 2)  # one more would look like the escape
-    # for every place: how many ids from there on fit each width (cut at the block's end), and so the best selector
+    # for every place: the selector that takes most of the ids that follow up to the block's end
     stop = np.minimum((np.arange(n) // BLOCK_IDS + 1) * BLOCK_IDS, n)
     choice = np.full(n, 15, dtype=np.int64)
     for s in range(14, -1, -1):
-        wide = np.flatnonzero(ids > np.uint64((1 << int(WIDTHS[s])) - 1))
-        if len(wide) > n * 0.98:
-            fits = np.zeros(n, dtype=bool)
-            if len(wide) < n:
-                reach = np.append(wide, n)[np.searchsorted(wide, np.arange(n))]
-                fits = np.minimum(reach, stop) - np.arange(n) >= COUNTS[s]
-        else:
-            after = np.full(n + 1, n, dtype=np.int64)
-            after[wide] = wide
-            reach = np.minimum.accumulate(after[::-1])[::-1][:n]
-            fits = np.minimum(reach, stop) - np.arange(n) >= COUNTS[s]
-        choice[fits] = s
+        low = np.flatnonzero(ids < np.uint64(1 << int(WIDTHS[s])))
+        if not len(low):
+            break  # no id is that narrow, so none is narrower
+        ends = np.flatnonzero(np.diff(low) > 1)
+        last = np.append(low[ends], low[-1]) + 1  # where each stretch of narrow ids ends
+        reach = np.repeat(last, np.diff(np.concatenate([[-1], ends, [len(low) - 1]])))
+        choice[low[np.minimum(reach, stop[low]) - low >= COUNTS[s]]] = s
     large = ids > top
     take = np.where(large, 1, COUNTS[choice])
     at = np.arange(blocks, dtype=np.int64) * BLOCK_IDS
@@ -119,87 +117,169 @@ def unpack(chunk: bytes, block: int | None = None) -> np.ndarray:
     return out
 
 
-_TOKENIZERS: dict = {}
-
-
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
-        from tokenizers import Tokenizer
-
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return _TOKENIZERS[path]
+#: Words whose ids a Python worker keeps; when there are more it starts anew.
+KEPT_WORDS = 1_000_000
+#: Words that the library encodes in one call.
+JOINED = 4_000
 
-
-#: Bytes that end a part of a text wherever letters, digits and punctuation are told apart.
+#: Kinds of ASCII bytes that the tokenizer parts: letters, digits, other signs (fixed values). White space is 0.
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[33:127] = 1
 _KIND[[*range(65, 91), *range(97, 123)]] = 2
 _KIND[48:58] = 3
+#: Bytes that keep a word in one part: control signs, the apostrophe, all above ASCII.
+_RICH = np.zeros(256, dtype=bool)
+_RICH[[*range(0, 9), *range(14, 32), 0x27, *range(0x7F, 256)]] = True
 
 
-def word_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after the other, and the number of each, for a tokenizer that drops white space and splits ASCII words by kind.
+class Words:
+    """A tokenizer whose words stand alone (white space is dropped, each word ends in a marked token), and the ids of words seen so far."""
 
-    Distinct parts of a batch are encoded once by the library. Words are parts;
-    words of ASCII alone, without an apostrophe, are cut further where letters,
-    digits and punctuation meet, as the tokenizer does. Texts with a special
-    token's string go to the library whole.
-    """
-    tok = _tokenizer(path)
-    data, at = K.buffer(texts)
-    start, end, row = K.words(data, at)
-    raw = data.tobytes()
-    special = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
-    whole = np.zeros(len(texts), dtype=bool)
-    for s in special:
-        spot = raw.find(s)
-        while spot >= 0:
-            whole[np.searchsorted(at, spot, side="right") - 1] = True
-            spot = raw.find(s, spot + 1)
-    if whole.any():
-        keep = ~whole[row]
-        start, end, row = start[keep], end[keep], row[keep]
-    if len(start):
-        bad = np.concatenate([[0], np.cumsum((data >= 0x80) | (data == 0x27) | (data < 0x20) | (data == 0x7F))])
-        rich = bad[end] > bad[start]
+    def __init__(self, path: str):
+        import json
+
+        import regex
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"]["end_of_word_suffix"]
+        vocabulary = self.tok.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 3, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.pieces = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.check = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        self.begin, self.count, self.flat = (np.zeros(0, dtype=np.int64) for _ in range(3))
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and the number of each.
+
+        Many words are encoded as one text. The tokens that end a piece tell
+        where each word stops, as the pieces of a word can be counted; should
+        the counts not agree, each word is encoded by itself.
+        """
+        flat, counts = [], []
+        for a in range(0, len(words), JOINED):
+            part = words[a : a + JOINED]
+            n = np.array([1 if w.isascii() and w.isalpha() else len(self.pieces.findall(unicodedata.normalize("NFC", w).lower())) for w in part], dtype=np.int64)
+            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.int64)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == n.sum() and (len(stops) == 0 or stops[-1] == len(ids)):
+                upto = np.concatenate([[0], stops])[np.cumsum(n)]
+                flat.append(ids)
+                counts.append(np.diff(upto, prepend=0))
+            else:
+                for w in part:
+                    one = self.tok.encode(w, add_special_tokens=False).ids
+                    flat.append(np.array(one, dtype=np.int64))
+                    counts.append(np.array([len(one)], dtype=np.int64))
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate([none, *flat]), np.concatenate([none, *counts])
+
+    def _parts(self, texts: pa.Array) -> tuple:
+        """Parts of all texts that the tokenizer never joins: bytes, start, end and row of each; and the texts that hold a special token's string."""
+        data, at = K.buffer(texts)
+        whole = np.zeros(len(texts), dtype=bool)
+        raw = data.tobytes()
+        for s in self.special:
+            spot = raw.find(s)
+            while spot >= 0:
+                whole[np.searchsorted(at, spot, side="right") - 1] = True
+                spot = raw.find(s, spot + 1)
+        del raw
+        start, end, row = K.words(data, at)
+        if not len(start):
+            return data, start, end, row, whole
+        # bytes that keep a word whole, or keep its letters as they are
+        rich = np.zeros(len(start), dtype=bool)
+        rich[np.searchsorted(start, np.flatnonzero(_RICH[data]), side="right") - 1] = True
+        wide = np.zeros(len(start), dtype=bool)
+        wide[np.searchsorted(start, np.flatnonzero(data >= 0x80), side="right") - 1] = True
+        folded = K.FOLD[data]
+        big = np.flatnonzero(folded != data)
+        big = big[wide[np.searchsorted(start, big, side="right") - 1]]
+        folded[big] = data[big]
         kind = _KIND[data]
-        flip = np.zeros(len(data) + 1, dtype=bool)
-        flip[1:-1] = kind[1:] != kind[:-1]
-        inner = np.flatnonzero(flip)
-        word = np.searchsorted(start, inner, side="right") - 1
-        ok = (word >= 0) & (inner > start[word]) & (inner < end[word]) & ~rich[word]
-        inner, word = inner[ok], word[ok]
-        start = np.sort(np.concatenate([start, inner]))
-        end = np.sort(np.concatenate([end, inner]))
-        rich = np.insert(rich, word + 1, False) if len(word) else rich
-        row = np.searchsorted(at, start, side="right") - 1
-    fold = K.hashes(data, start, end)
-    second = K.hashes(data, start, end, which=1) if len(start) else start
-    exact = K.hashes(data, start, end, K.SAME) if len(start) else fold
-    # letters fold by hash only in ASCII words; other words count as equal only if all their bytes are
-    if len(start):
-        wide = np.concatenate([[0], np.cumsum(data >= 0x80)])
-        fold = np.where(wide[end] > wide[start], exact ^ np.uint64(1), fold)
-    _, first, inverse = np.unique(fold, return_index=True, return_inverse=True)
-    if len(start) and not (second == second[first][inverse]).all():
-        odd = np.flatnonzero(second != second[first][inverse])
-        first, inverse = np.append(first, odd), inverse.copy()
-        inverse[odd] = np.arange(len(first) - len(odd), len(first))
-    parts = [raw[a:b].decode("utf-8") for a, b in zip(start[first].tolist(), end[first].tolist())]
-    ids = [e.ids for e in tok.encode_batch_fast(parts, add_special_tokens=False)] if parts else []
-    n = np.array([len(x) for x in ids], dtype=np.int64)
-    flat = np.array([i for x in ids for i in x], dtype=np.int64)
-    begin = np.cumsum(n) - n
-    per = n[inverse] if len(start) else np.zeros(0, dtype=np.int64)
-    total = np.bincount(row, weights=per, minlength=len(texts)).astype(np.int64)
-    out = flat[np.repeat(begin[inverse] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))] if len(start) else np.zeros(0, dtype=np.int64)
-    if whole.any():
-        pieces = np.split(out, np.cumsum(total)[:-1])
-        for k in np.flatnonzero(whole).tolist():
-            pieces[k] = np.array(tok.encode(texts[k].as_py(), add_special_tokens=False).ids, dtype=np.int64)
-            total[k] = len(pieces[k])
-        out = np.concatenate(pieces)
-    return out, total
+        cut = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+        word = np.searchsorted(start, cut, side="right") - 1
+        cut = cut[~rich[word] & (cut > start[word]) & (cut < end[word])]
+        if len(cut):
+            start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+            row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, at)))
+        if whole.any():
+            keep = ~whole[row]
+            start, end, row = start[keep], end[keep], row[keep]
+        return folded, start, end, row, whole
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all whole texts (null: empty), one after the other, and the number of each. Distinct parts are encoded once in a worker."""
+        data, start, end, row, whole = self._parts(texts)
+        out, total = np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        if len(start):
+            h = K.hashes(data, start, end, K.SAME)
+            known, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            # equal hashes must also agree on length and first bytes; a part that doesn't is encoded by itself
+            padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+            head = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))[start]
+            size = (end - start).astype(np.uint64)
+            head &= np.where(size >= 8, np.uint64(2**64 - 1), (np.uint64(1) << (np.uint64(8) * np.minimum(size, np.uint64(7)))) - np.uint64(1))
+            check = head ^ K.mix(size)
+            odd = np.flatnonzero(check != check[first][inverse])
+            if len(self.known) + len(known) > KEPT_WORDS:
+                self._forget()
+            at = np.searchsorted(self.known, known)
+            hit = np.zeros(len(known), dtype=bool)
+            if len(self.known):
+                near = np.minimum(at, len(self.known) - 1)
+                hit = (self.known[near] == known) & (self.check[near] == check[first])
+            new = np.flatnonzero(~hit)
+            raw = data.tobytes()
+            spans = list(zip(start[first[new]].tolist(), end[first[new]].tolist()))
+            flat, count = self._encode([raw[a:b].decode("utf-8") for a, b in spans])
+            begin = np.cumsum(count) - count + len(self.flat)
+            self.flat = np.concatenate([self.flat, flat])
+            slot_begin, slot_count = np.empty(len(known), dtype=np.int64), np.empty(len(known), dtype=np.int64)
+            slot_begin[new], slot_count[new] = begin, count
+            old = np.flatnonzero(hit)
+            slot_begin[old], slot_count[old] = self.begin[at[old]], self.count[at[old]]
+            fresh = new[~np.isin(known[new], self.known)] if len(self.known) else new
+            by = np.argsort(np.concatenate([self.known, known[fresh]]), kind="stable")
+            self.check = np.concatenate([self.check, check[first[fresh]]])[by]
+            self.begin = np.concatenate([self.begin, slot_begin[fresh]])[by]
+            self.count = np.concatenate([self.count, slot_count[fresh]])[by]
+            self.known = np.concatenate([self.known, known[fresh]])[by]
+            begin, per = slot_begin[inverse], slot_count[inverse]
+            flat = self.flat
+            if len(odd):
+                more, n = self._encode([raw[a:b].decode("utf-8") for a, b in zip(start[odd].tolist(), end[odd].tolist())])
+                begin[odd], per[odd] = np.cumsum(n) - n + len(flat), n
+                flat = np.concatenate([flat, more])
+            begin -= np.cumsum(per) - per
+            out = flat[np.repeat(begin, per) + np.arange(int(per.sum()))]
+            total = np.bincount(row, weights=per, minlength=len(texts)).astype(np.int64)
+        if whole.any():
+            pieces = np.split(out, np.cumsum(total)[:-1])
+            for k in np.flatnonzero(whole).tolist():
+                pieces[k] = np.array(self.tok.encode(texts[k].as_py(), add_special_tokens=False).ids, dtype=np.int64)
+                total[k] = len(pieces[k])
+            out = np.concatenate(pieces)
+        return out, total
+
+
+_TOKENIZERS: dict[str, Words] = {}
+
+
+def word_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """`Words.ids` with one tokenizer for each Python worker."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = Words(path)
+    return _TOKENIZERS[path].ids(texts)
 
 
 def write_token_files(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = END_ID, files: int | None = None) -> DataFrame:
