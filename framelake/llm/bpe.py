@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 
-#: Words that one recursive query contracts; bytes of text that share one set of distinct words.
-WORDS_PER_QUERY, BATCH_BYTES = 60_000, 16 << 20
+#: Words that one recursive query contracts; bytes of text in a batch; words whose ids a Python worker keeps (with more it starts anew).
+WORDS_PER_QUERY, BATCH_BYTES, KEPT_WORDS = 40_000, 6 << 20, 400_000
 
 #: Unicode white space, as the splitting pattern's \s means it (fixed values).
 _WHITE = r"\x09-\x0D\x20\x85\xA0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -70,7 +70,8 @@ class Codec:
                 if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None:
                     pairs.append(a * 65536 + b)
                     rank.append(r)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-")})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-")})
+        self.forget()
         self.db.execute("SET preserve_insertion_order = false")
         self._table("merges", {"pair": pa.array(pairs, pa.int64()), "rank": pa.array(rank, pa.int32())})
         self._table("vocabulary", {"token": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
@@ -80,43 +81,69 @@ class Codec:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM new_rows")
         self.db.unregister("new_rows")
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word; words are distinct. A word that is itself a token is that token."""
-        out: list = [None] * len(words)
-        todo = []
-        for k, w in enumerate(words):
-            if (r := self.ranks.get(w)) is None:
-                todo.append(k)
-            else:
-                out[k] = np.array([r], dtype=np.int32)
+    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and the number of each. A word that is itself a token is that token."""
+        whole = np.array([self.ranks.get(w, -1) for w in words], dtype=np.int32)
+        todo = np.flatnonzero(whole < 0)
+        n, flat = np.ones(len(words), dtype=np.int64), []
         for a in range(0, len(todo), WORDS_PER_QUERY):
-            part = [words[k] for k in todo[a : a + WORDS_PER_QUERY]]
-            n = np.array([len(w) for w in part], dtype=np.int64)
-            word = np.repeat(np.arange(len(part), dtype=np.int32), n)
-            pos = (np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            part = [words[k] for k in todo[a : a + WORDS_PER_QUERY].tolist()]
+            size = np.array([len(w) for w in part], dtype=np.int64)
+            word, pos = _rows(size)
             self.db.register("tokens", pa.table({"word": word, "pos": pos, "token": self.byte[np.frombuffer(b"".join(part), dtype=np.uint8)]}))
             rows = self.db.execute(_ENCODE).fetchnumpy()
             self.db.unregister("tokens")
-            ends = np.searchsorted(rows["word"], np.arange(1, len(part)))
-            for k, ids in zip(todo[a : a + WORDS_PER_QUERY], np.split(np.asarray(rows["token"], dtype=np.int32), ends)):
-                out[k] = ids
-        return out
-
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """Bytes of each sequence of ids."""
+            n[todo[a : a + WORDS_PER_QUERY]] = np.bincount(rows["word"], minlength=len(part))
+            flat.append(np.asarray(rows["token"], dtype=np.int32))
+        out = np.empty(int(n.sum()), dtype=np.int32)
+        single = np.zeros(len(out), dtype=bool)
+        at = np.cumsum(n) - n
+        single[at[whole >= 0]] = True
+        out[single] = whole[whole >= 0]
+        if flat:
+            out[~single] = np.concatenate(flat)
+        return out, n
+
+    def _expand(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """Bytes of each sequence of ids; `n` has their lengths."""
         out: list[bytes] = []
-        for a in range(0, len(ids), WORDS_PER_QUERY):
-            part = ids[a : a + WORDS_PER_QUERY]
-            n = np.array([len(x) for x in part], dtype=np.int64)
-            word = np.repeat(np.arange(len(part), dtype=np.int32), n)
-            pos = (np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            self.db.register("ids", pa.table({"word": word, "pos": pos, "token": np.concatenate(part)}))
+        ends = np.cumsum(n)
+        for a in range(0, len(n), WORDS_PER_QUERY):
+            size = n[a : a + WORDS_PER_QUERY]
+            word, pos = _rows(size)
+            stop = int(ends[min(a + WORDS_PER_QUERY, len(n)) - 1])
+            self.db.register("ids", pa.table({"word": word, "pos": pos, "token": ids[stop - int(size.sum()) : stop]}))
             rows = self.db.execute(_DECODE).fetchall()
             self.db.unregister("ids")
-            assert len(rows) == len(part)
+            assert len(rows) == len(size), "a word without ids, or an id outside the vocabulary"
             out += [bytes.fromhex(h) for _, h in rows]
         return out
 
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        """Slots of the words: where `flat`, `begin` and `count` have their ids, and `back` what those ids stand for. Words seen before keep their slots."""
+        if len(self.slots) + len(words) > KEPT_WORDS:
+            self.forget()
+        new = [w for w in words if w not in self.slots]
+        if new:
+            ids, n = self._contract(new)
+            for w, b in zip(new, self._expand(ids, n)):
+                self.slots[w] = len(self.slots)
+                self.back.append(w if w == b else b)
+            self.begin = np.concatenate([self.begin, np.cumsum(n) - n + len(self.flat)])
+            self.count = np.concatenate([self.count, n])
+            self.flat = np.concatenate([self.flat, ids])
+        return np.array([self.slots[w] for w in words], dtype=np.int64)
+
+    def forget(self) -> None:
+        self.slots: dict[bytes, int] = {}
+        self.back: list[bytes] = []
+        self.begin, self.count, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+
+def _rows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word and place in it of each row, for words of `n` rows."""
+    return np.repeat(np.arange(len(n), dtype=np.int32), n), (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 
@@ -145,37 +172,43 @@ def _pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, end, np.searchsorted(at, start, side="right") - 1
 
 
-def tokenize(texts: pa.Array, codec: Codec) -> list[tuple[np.ndarray, bytes]]:
-    """Ids of each whole text (null: empty), and the bytes that those ids stand for."""
+def tokenize(texts: pa.Array, codec: Codec) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids of all whole texts (null: empty), one after the other; the number of each; and the bytes that each text's ids stand for."""
     data, at = K.buffer(texts)
     start, end, row = _pieces(data, at)
-    # equal parts are encoded once; the bytes are compared, so a chance meeting of hashes can't mix two parts up
+    if not len(start):
+        return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64), [b""] * len(texts)
+    # equal parts are encoded once; a second hash is compared too, and a part that differs in it goes by itself
     _, first, inverse = np.unique(K.hashes(data, start, end, K.SAME), return_index=True, return_inverse=True)
-    second = K.hashes(data, start, end, K.SAME, which=1) if len(start) else start
-    raw = data.tobytes()
-    same = second == second[first][inverse] if len(start) else np.zeros(0, dtype=bool)
-    if not same.all():
-        odd = np.flatnonzero(~same)
+    second = K.hashes(data, start, end, K.SAME, which=1)
+    odd = np.flatnonzero(second != second[first][inverse])
+    if len(odd):
         first, inverse = np.append(first, odd), inverse.copy()
         inverse[odd] = np.arange(len(first) - len(odd), len(first))
-    words, where, spans = {}, [], []
-    for a, b in zip(start[first].tolist(), end[first].tolist()):
-        mine = [words.setdefault(w, len(words)) for w in codec.split.findall(raw[a:b].decode("utf-8", "surrogateescape"))]
-        spans.append(len(mine))
-        where += mine
-    ids = codec.encode([w.encode("utf-8", "surrogateescape") for w in words])
-    back = codec.decode(ids)
-    # words back to parts, parts back to texts
-    ends = np.cumsum(spans).tolist()
-    part_ids = [np.concatenate([ids[k] for k in where[e - n : e]]) if n else np.zeros(0, dtype=np.int32) for n, e in zip(spans, ends)]
-    part_bytes = [b"".join([back[k] for k in where[e - n : e]]) for n, e in zip(spans, ends)]
+    del second
+    raw = data.tobytes()
+    words: dict[str, int] = {}
+    where, spans = [], np.empty(len(first), dtype=np.int64)
+    for k, (a, b) in enumerate(zip(start[first].tolist(), end[first].tolist())):
+        mine = codec.split.findall(raw[a:b].decode("utf-8"))
+        spans[k] = len(mine)
+        where += [words.setdefault(w, len(words)) for w in mine]
+    del raw
+    slot = codec.learn([w.encode("utf-8") for w in words])[np.array(where, dtype=np.int64)]
+    del words, where
+    # words to parts
+    n = codec.count[slot]
+    part_ids = codec.flat[np.repeat(codec.begin[slot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(spans)])]
+    begin, size = upto[:-1], np.diff(upto)
+    names, ends = slot.tolist(), np.cumsum(spans).tolist()
+    back = [b"".join([codec.back[k] for k in names[e - c : e]]) for c, e in zip(spans.tolist(), ends)]
+    # parts to texts
+    per = size[inverse]
+    ids = part_ids[np.repeat(begin[inverse] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()), dtype=np.int64)]
+    total = np.bincount(row, weights=per, minlength=len(texts)).astype(np.int64)
     bounds = np.searchsorted(row, np.arange(len(at))).tolist()
-    flat = inverse.tolist()
-    out = []
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        mine = flat[a:b]
-        out.append((np.concatenate([part_ids[k] for k in mine]) if mine else np.zeros(0, dtype=np.int32), b"".join([part_bytes[k] for k in mine])))
-    return out
+    return ids, total, [b"".join([back[k] for k in inverse[a:b].tolist()]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def encode_decode(docs: DataFrame, text: str = "text", *, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -194,10 +227,9 @@ def encode_decode(docs: DataFrame, text: str = "text", *, path: str | None = Non
         codec = _codec(path, pattern)
         for whole in batches:
             for part in K.batches([whole], rows=65_536, size=BATCH_BYTES):
-                done = tokenize(part.column(text), codec)
-                ends = np.concatenate([[0], np.cumsum([len(i) for i, _ in done])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([i for i, _ in done])))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([b for _, b in done], pa.binary())], [*part.schema.names, "ids", "decoded"])
+                ids, n, decoded = tokenize(part.column(text), codec)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(decoded, pa.binary())], [*part.schema.names, "ids", "decoded"])
 
     return docs.mapInArrow(run, schema)
 
