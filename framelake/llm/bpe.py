@@ -57,13 +57,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """One tokenizer in one Python worker: its merge table and vocabulary in an in-memory DuckDB."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         import duckdb
         import regex
 
         self.ranks = read_ranks(path)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.split = regex.compile(pattern.replace(r"\S", f"[^{_WHITE}]").replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]"))
+        self.split = regex.compile(public_tokenizers.PATTERN.replace(r"\S", f"[^{_WHITE}]").replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]"))
         pairs, rank = [], []
         for token, r in self.ranks.items():
             for k in range(1, len(token)):
@@ -145,13 +145,13 @@ def _rows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(n), dtype=np.int32), n), (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
-def _codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+def _codec(path: str) -> Codec:
+    if path not in _CODECS:
+        _CODECS[path] = Codec(path)
+    return _CODECS[path]
 
 
 def _pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,11 +188,15 @@ def tokenize(texts: pa.Array, codec: Codec) -> tuple[np.ndarray, np.ndarray, lis
     del second
     raw = data.tobytes()
     words: dict[str, int] = {}
-    where, spans = [], np.empty(len(first), dtype=np.int64)
+    where, spans = [], np.ones(len(first), dtype=np.int64)
     for k, (a, b) in enumerate(zip(start[first].tolist(), end[first].tolist())):
-        mine = codec.split.findall(raw[a:b].decode("utf-8"))
-        spans[k] = len(mine)
-        where += [words.setdefault(w, len(words)) for w in mine]
+        part = raw[a:b].decode("utf-8")
+        if part.isascii() and part[part[0] == " " :].isalpha():  # letters alone, with or without a space: one match of the pattern
+            where.append(words.setdefault(part, len(words)))
+        else:
+            mine = codec.split.findall(part)
+            spans[k] = len(mine)
+            where += [words.setdefault(w, len(words)) for w in mine]
     del raw
     slot = codec.learn([w.encode("utf-8") for w in words])[np.array(where, dtype=np.int64)]
     del words, where
@@ -211,11 +215,11 @@ def tokenize(texts: pa.Array, codec: Codec) -> tuple[np.ndarray, np.ndarray, lis
     return ids, total, [b"".join([back[k] for k in inverse[a:b].tolist()]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def encode_decode(docs: DataFrame, text: str = "text", *, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def encode_decode(docs: DataFrame, text: str = "text", *, path: str | None = None) -> DataFrame:
     """`docs` plus `ids` (array of int) and `decoded` (binary: what the ids stand for) of each whole text.
 
     `path` names a rank file that each executor can read. Each match of
-    `pattern` is encoded by itself, without special tokens. Null counts as the
+    `public_tokenizers.PATTERN` is encoded by itself, without special tokens. Null counts as the
     empty text, which has no ids. Other columns and repeated rows stay; columns
     `ids` and `decoded` of the input give way.
     """
@@ -224,7 +228,7 @@ def encode_decode(docs: DataFrame, text: str = "text", *, path: str | None = Non
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
-        codec = _codec(path, pattern)
+        codec = _codec(path)
         for whole in batches:
             for part in K.batches([whole], rows=65_536, size=BATCH_BYTES):
                 ids, n, decoded = tokenize(part.column(text), codec)
