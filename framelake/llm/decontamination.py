@@ -41,17 +41,23 @@ def _rolling(h: np.ndarray, width: int) -> np.ndarray:
     return K.mix(acc)
 
 
-def fingerprints(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """SimHash of the words h[start : start + length]: each bit is what most words have there."""
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    run = np.zeros((len(h) + 1, 64), dtype=np.int32)
-    np.cumsum(bits, axis=0, out=run[1:], dtype=np.int32)
-    out = np.empty(len(start), dtype=np.uint64)
-    for a in range(0, len(start), 16_384):
-        s, n = start[a : a + 16_384], length[a : a + 16_384]
-        most = 2 * (run[s + n] - run[s]) > n[:, None]
-        out[a : a + 16_384] = np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+class Prints:
+    """SimHash of any stretch of the words `h`: each bit is what most of its words have there. One running sum for each bit serves all stretches."""
+
+    def __init__(self, h: np.ndarray, longest: int):
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        # sums may wrap round: a difference is right as long as a stretch is shorter than the type's range
+        kind = np.uint16 if longest < 1 << 15 else np.uint64
+        self.run = np.zeros((len(h) + 1, 64), dtype=kind)
+        np.cumsum(bits, axis=0, out=self.run[1:], dtype=kind)
+
+    def of(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        out = np.empty(len(start), dtype=np.uint64)
+        for a in range(0, len(start), 16_384):
+            s, n = start[a : a + 16_384], length[a : a + 16_384]
+            most = 2 * (self.run[s + n] - self.run[s]) > n[:, None].astype(self.run.dtype)
+            out[a : a + 16_384] = np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
+        return out
 
 
 def _blocks(f: np.ndarray) -> np.ndarray:
@@ -71,7 +77,7 @@ class Index:
     @staticmethod
     def of(items: list[tuple[int, str]]) -> "Index":
         ids, counts, by_size, known = [], [], {}, {}
-        data, at = K.buffer(pa.array([t for _, t in items], pa.string()))
+        data, at = K.buffer(K.lowered(pa.array([t for _, t in items], pa.string())))
         start, end, row = K.words(data, at, _APART)
         h = K.hashes(data, start, end)
         ends = np.searchsorted(row, np.arange(len(items) + 1))
@@ -79,7 +85,7 @@ class Index:
             if b > a:
                 width = min(WIDTH, int(b - a))
                 shingle = _rolling(h[a:b], width)
-                by_size.setdefault(int(b - a), []).append((len(ids), fingerprints(h[a:b], np.array([0]), np.array([b - a]))[0]))
+                by_size.setdefault(int(b - a), []).append((len(ids), Prints(h[a:b], int(b - a)).of(np.array([0]), np.array([b - a]))[0]))
                 known.setdefault(width, []).append(shingle)
                 ids.append(item)
                 counts.append(Counter(shingle.tolist()))
@@ -109,7 +115,7 @@ class Index:
     def search(self, texts: pa.Array) -> list[list[tuple[int, int, int, float]]]:
         """For each text: (item id, first word, words, similarity) of its matches; of overlapping ones with one item, the best."""
         out: list[list] = [[] for _ in range(len(texts))]
-        data, at = K.buffer(texts)
+        data, at = K.buffer(K.lowered(texts))
         start, end, row = K.words(data, at, _APART)
         h = K.hashes(data, start, end)
         for width, known in self.known.items():
@@ -124,51 +130,45 @@ class Index:
             maybe = maybe[np.isin(shingle[maybe], known)]
             if not len(maybe):
                 continue
-            # only rows that have a hit go on
+            # only rows with as many hits as the smallest item needs go on, laid end to end
+            hits = np.bincount(row[maybe], minlength=len(texts))
+            size = np.bincount(row, minlength=len(texts))
+            rows = np.flatnonzero(hits >= self._least(min(min(sizes), int(size[hits > 0].min())), min(sizes), width))
+            if not len(rows):
+                continue
             hit[maybe] = 1
-            rows = np.unique(row[maybe])
-            first, last = np.searchsorted(row, rows, side="left"), np.searchsorted(row, rows, side="right")
-            run = np.concatenate([[0], np.cumsum(hit)])
+            begin, size = np.searchsorted(row, rows), size[rows]
+            end = np.cumsum(size)
+            place = np.repeat(begin - (end - size), size) + np.arange(int(size.sum()))
+            mine, owner, stop = h[place], np.repeat(rows, size), np.repeat(end, size)
+            run = np.concatenate([[0], np.cumsum(hit[place])])
+            prints = Prints(mine, max(sizes))
             for n in sizes:
-                starts, lengths = [], []
-                for a, b in zip(first.tolist(), last.tolist()):
-                    m = min(n, b - a)
-                    if m < width:
-                        continue
-                    s = np.arange(a, b - m + 1)
-                    got = run[s + m - width + 1] - run[s]
-                    total = (m - width + 1) + (n - width + 1)
-                    s = s[got * (1 + SIMILARITY) >= SIMILARITY * total - 1e-9]
-                    if len(s):
-                        starts.append(s)
-                        lengths.append(np.full(len(s), m))
-                if not starts:
+                # windows of n words; a shorter row is one window
+                s = np.flatnonzero(np.arange(len(mine)) + n <= stop)
+                short = np.flatnonzero((size < n) & (size >= width))
+                s, m = np.concatenate([s, end[short] - size[short]]), np.concatenate([np.full(len(s), n), size[short]])
+                keep = run[s + m - width + 1] - run[s] >= self._least(m, n, width)
+                s, m = s[keep], m[keep]
+                if not len(s):
                     continue
-                s, m = np.concatenate(starts), np.concatenate(lengths)
-                window, item = self._near(n, fingerprints(h, s, m) if len(h) < 200_000 else self._local(h, s, m))
+                window, item = self._near(n, prints.of(s, m))
                 for w, i in zip(window.tolist(), item.tolist()):
-                    a, size = int(s[w]), int(m[w])
-                    mine = Counter(shingle[a : a + size - width + 1].tolist())
-                    both = sum(min(c, mine[x]) for x, c in self.counts[i].items())
-                    sim = both / (sum(mine.values()) + sum(self.counts[i].values()) - both)
+                    a, words = int(s[w]), int(m[w])
+                    at = int(place[a])
+                    held = Counter(shingle[at : at + words - width + 1].tolist())
+                    both = sum(min(c, held[x]) for x, c in self.counts[i].items())
+                    sim = both / (sum(held.values()) + sum(self.counts[i].values()) - both)
                     if sim >= SIMILARITY:
-                        r = int(row[a])
-                        out[r].append((self.ids[i], a - int(np.searchsorted(row, r)), size, sim))
+                        r = int(owner[a])
+                        out[r].append((self.ids[i], at - int(np.searchsorted(row, r)), words, sim))
         return [self._best(x) for x in out]
 
     @staticmethod
-    def _local(h: np.ndarray, s: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """Fingerprints of windows that lie far apart, a stretch of words at a time."""
-        out, a = np.empty(len(s), dtype=np.uint64), 0
-        by = np.argsort(s, kind="stable")
-        while a < len(s):
-            low = s[by[a]]
-            b = int(np.searchsorted(s[by], low + 50_000, side="left"))
-            mine = by[a:b]
-            high = int((s[mine] + m[mine]).max())
-            out[mine] = fingerprints(h[low:high], s[mine] - low, m[mine])
-            a = b
-        return out
+    def _least(m, n: int, width: int):
+        """Fewest shingles of an item of n words that a window of m words must have to reach the similarity."""
+        total = (m - width + 1) + (n - width + 1)
+        return np.ceil(SIMILARITY * total / (1 + SIMILARITY) - 1e-9)
 
     @staticmethod
     def _best(found: list) -> list:
@@ -185,7 +185,7 @@ _MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Str
 def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """`docs` plus `matches`: the benchmark items found in each whole text, with place and similarity.
 
-    Words are runs of letters and digits, A-Z in lower case. An item matches
+    Words are runs of letters and digits in lower case. An item matches
     where a window of as many words (the whole text, where it is shorter) has a
     count-weighted Jaccard similarity of 5-word shingles of 0.75 or more; items
     of fewer than five words are one shingle. Null and empty texts match

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -62,6 +63,11 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]] if len(at) else data[:0], at - at[0]
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    """Texts in lower case, letters of all scripts."""
+    return pc.utf8_lower(texts.cast(pa.large_string()))
+
+
 def batches(it, rows: int = 4096, size: int = 4 << 20):
     """Batches of about `size` bytes at most, so that long texts don't pile up; one long text stays whole."""
     for b in it:

@@ -31,7 +31,7 @@ _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def _spans(texts: pa.Array):
-    data, at = K.buffer(texts)
+    data, at = K.buffer(K.lowered(texts))
     return data, *K.words(data, at, _LETTERS)
 
 
@@ -139,7 +139,7 @@ class Model:
         return best, np.where(n > 0, np.clip(mean.max(axis=1), 0, 1), 0.0)
 
 
-def fit(pieces: list[tuple[str, bytes]], *, epochs: int = 3, rate: float = 0.3, decay: float = 1e-6, seed: int = 3, per_chain: int = 3, stay: float = 0.6, batch: int = 128) -> Model | None:
+def fit(pieces: list[tuple[str, str]], *, epochs: int = 3, rate: float = 0.3, decay: float = 1e-6, seed: int = 3, per_chain: int = 3, stay: float = 0.6, batch: int = 128) -> Model | None:
     """Maximum conditional likelihood by AdaGrad. `pieces`: (language, words joined by spaces).
 
     A chain is `per_chain` pieces; after each piece the chain stays with its
@@ -151,7 +151,7 @@ def fit(pieces: list[tuple[str, bytes]], *, epochs: int = 3, rate: float = 0.3,
         return None
     k, rng = len(langs), np.random.default_rng(seed)
     label = np.array([langs.index(x) for x, _ in pieces])
-    data, start, end, row = _spans(pa.array([t for _, t in pieces], pa.binary()))
+    data, start, end, row = _spans(pa.array([t for _, t in pieces], pa.string()))
     h = K.hashes(data, start, end)
     _, first, word = np.unique(h, return_index=True, return_inverse=True)
     by = np.argsort(first)
@@ -219,7 +219,7 @@ def _cut(batches):
                     e = min(s + PIECE_WORDS, b)
                     langs.append(lang)
                     out.append(b" ".join(data[p:q].tobytes() for p, q in zip(start[s:e].tolist(), end[s:e].tolist())))
-            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["lang", "piece"])
+            yield pa.record_batch([pa.array(langs, pa.string()), pa.array([x.decode("utf-8") for x in out], pa.string())], names=["lang", "piece"])
 
 
 def train(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG) -> Model | None:
@@ -235,8 +235,8 @@ def train(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG) -> Model | Non
         return None
     share = F.create_map(*(F.lit(x) for kv in counts.items() for x in (kv[0], min(1.0, docs_per_lang / kv[1]))))
     chance = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    rows = known.filter(chance < share[F.col("lang")]).mapInArrow(_cut, "lang string, piece binary").collect()
-    return fit(sorted((r[0], bytes(r[1])) for r in rows))
+    rows = known.filter(chance < share[F.col("lang")]).mapInArrow(_cut, "lang string, piece string").collect()
+    return fit(sorted((r[0], r[1]) for r in rows))
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", *, words: bool = False) -> DataFrame:

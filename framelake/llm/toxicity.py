@@ -31,7 +31,7 @@ _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Feature and row of every word and word beginning, repeats included."""
-    data, at = K.buffer(texts)
+    data, at = K.buffer(K.lowered(texts))
     start, end, row = K.words(data, at, _LETTERS)
     out, rows = [K.hashes(data, start, end) >> np.uint64(64 - BITS)], [row]
     for k in HEADS:
