@@ -24,6 +24,8 @@ BITS, KEPT = 20, 4_096
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
 #: Bytes of a word's beginning that make a feature of their own.
 HEADS = (5, 7)
+#: Numbers of times from which a repeated feature makes another.
+TIMES = (2, 4)
 
 _LETTERS = np.ones(256, dtype=bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -42,7 +44,14 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(feature: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique((row.astype(np.int64) << BITS) | feature)
+    """Distinct (feature, row), with a further feature for what a row has twice or more, and four times or more. Sorted by row."""
+    both, times = np.unique((row.astype(np.int64) << BITS) | feature, return_counts=True)
+    out = [both]
+    for k in TIMES:
+        often = both[times >= k]
+        f = K.mix((often & ((1 << BITS) - 1)).astype(np.uint64) + np.uint64(k << 40)) >> np.uint64(64 - BITS)
+        out.append((often >> BITS << BITS) | f.astype(np.int64))
+    both = np.unique(np.concatenate(out))
     return (both & ((1 << BITS) - 1)).astype(np.int32), both >> BITS
 
 
@@ -58,13 +67,23 @@ class Model:
     def score(self, texts: pa.Array) -> np.ndarray:
         table = np.zeros(1 << BITS, dtype=np.float32)
         table[self.index] = self.weights
-        feature, row = features(texts)
-        hit = table[feature] != 0
-        feature, row = _distinct(feature[hit], row[hit])
+        feature, row = _distinct(*features(texts))
         total = np.bincount(row, weights=table[feature], minlength=len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
+def _without_copies(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """One text of each group that shares three minimal feature hashes: near copies would make their own rare words look telling."""
+    seen, out = set(), []
+    for x in rows:
+        h = x.astype(np.uint64)
+        key = tuple(int(K.mix(h + np.uint64(s << 32)).min()) if len(h) else 0 for s in (1, 2, 3))
+        if key not in seen:
+            seen.add(key)
+            out.append(x)
+    return out
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, kept: int = KEPT, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> Model:
     """Non-negative PU risk with the logistic loss, minimised by Adam on all rows at each step.
 
@@ -73,13 +92,14 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     """
     if not positive or not unlabelled:
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), -30.0, 0.0)
+    positive, unlabelled = _without_copies(positive), _without_copies(unlabelled)
     n_p, n_u, size = len(positive), len(unlabelled), 1 << BITS
     count = lambda rows: np.bincount(np.concatenate(rows), minlength=size)
     in_p, in_u = count(positive), count(unlabelled)
-    # features far more usual in confirmed texts than in all texts, measured in standard errors
+    # features far more usual in confirmed texts than in all texts: at least three times, and by three standard errors
     share = (in_u + 0.5) / (n_u + 1)
     lift = (in_p / n_p - share) / np.sqrt(share * (1 - share) / n_p + 1e-12)
-    lift[in_p < 3] = 0
+    lift[(in_p < max(3, 0.004 * n_p)) | (in_p / n_p < 3 * share)] = 0
     index = np.sort(np.argsort(-lift, kind="stable")[:kept])
     index = index[lift[index] > 3]
     place = np.full(size, -1, dtype=np.int64)
