@@ -16,7 +16,9 @@ import hmac
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,14 +153,40 @@ def detect(text: str) -> Iterator[tuple[int, int, str, str]]:
         yield m.start(), m.start() + len(value), kind, value
 
 
-#: A text with none of these holds no entity.
-_MAYBE = re.compile(r"[0-9@]|\. [^\W\d_]|Herr |Frau ")
+#: Every entity has a digit, an at sign or one of these in its line.
+_MARKS = [b"Mr. ", b"Ms. ", b"Dr. ", b"Sr. ", b"Hr. ", b"Mrs. ", b"Sra. ", b"Fra. ", b"Mme. ", b"Herr ", b"Frau ", b"AKIA", b"gh", b"sk-"]
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[[*range(48, 58), 0x40]] = True
+
+
+def holding(texts: pa.Array) -> np.ndarray:
+    """Which texts hold an entity. Lines without any mark are passed over, as no entity goes beyond its line."""
+    data, at = K.buffer(texts)
+    raw = data.tobytes()
+    spots = [np.flatnonzero(_SIGN[data])]
+    for m in _MARKS:
+        found, spot = [], raw.find(m)
+        while spot >= 0:
+            found.append(spot)
+            spot = raw.find(m, spot + 1)
+        spots.append(np.array(found, dtype=np.int64))
+    spots = np.concatenate(spots)
+    breaks = np.unique(np.concatenate([np.flatnonzero(data == 10), at - 1, [-1, len(data)]]))
+    line = np.unique(np.searchsorted(breaks, spots, side="right")) if len(spots) else np.zeros(0, dtype=np.int64)
+    out = np.zeros(len(texts), dtype=bool)
+    begin, end = breaks[line - 1] + 1, np.minimum(breaks[line], len(data))
+    row = np.searchsorted(at, begin, side="right") - 1
+    for a, b, r in zip(begin.tolist(), end.tolist(), row.tolist()):
+        if not out[r] and next(detect("\n" + raw[a:b].rstrip(b"\n").decode("utf-8") + "\n"), None) is not None:
+            out[r] = True
+    return out
 
 
 def _entities(batches):
     for whole in batches:
         for part in K.batches([whole]):
-            seen = {(kind, canonical(kind, v)) for t in part.column("text").to_pylist() if t and _MAYBE.search(t) for _, _, kind, v in detect(t)}
+            texts = part.column("text").filter(pa.array(holding(part.column("text"))))
+            seen = {(kind, canonical(kind, v)) for t in texts.to_pylist() for _, _, kind, v in detect(t)}
             yield pa.record_batch([pa.array([k for k, _ in seen], pa.string()), pa.array([v for _, v in seen], pa.string())], names=["kind", "entity"])
 
 
@@ -212,9 +240,7 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFra
     schema = T.StructType([*docs.schema.fields, T.StructField("entities", found)])
     kind_of = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
 
-    def rewrite(t: str | None, attempts: dict, cache: dict) -> tuple[str | None, list]:
-        if not t or not _MAYBE.search(t):
-            return t, []
+    def rewrite(t: str, attempts: dict, cache: dict) -> tuple[str, list]:
         out, spans, done, length = [], [], 0, 0
         for a, b, kind, value in detect(t):
             name = canonical(kind, value)
@@ -228,29 +254,37 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFra
             done = b
         return ("".join([*out, t[done:]]), spans) if out else (t, [])
 
-    def run(batches, of=None):
+    def run(batches, attempts, shared):
         for whole in batches:
             for part in K.batches([whole]):
                 cache: dict = {}
-                attempts = of or (lambda r: {})
-                rows = [rewrite(t, attempts(r), cache if of is None or r is None else {}) for t, r in zip(part.column(text).to_pylist(), part.column("_moved").to_pylist() if "_moved" in part.schema.names else [None] * part.num_rows)]
-                columns = [pa.array([t for t, _ in rows], part.schema.field(text).type) if n == text else c for c, n in zip(part.columns, part.schema.names) if n != "_moved"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([s for _, s in rows], kind_of)], [*(n for n in part.schema.names if n != "_moved"), "entities"])
+                held = np.flatnonzero(holding(part.column(text)))
+                moves = part.column("_moved").take(pa.array(held)).to_pylist() if "_moved" in part.schema.names else [None] * len(held)
+                done = [rewrite(t, attempts(r), cache if shared else {}) for t, r in zip(part.column(text).take(pa.array(held)).to_pylist(), moves)]
+                new, spans = part.column(text), [[] for _ in range(part.num_rows)]
+                if len(held):  # only the texts that change are built anew
+                    mask = np.zeros(part.num_rows, dtype=bool)
+                    mask[held] = True
+                    new = pc.replace_with_mask(new, pa.array(mask), pa.array([t for t, _ in done], new.type))
+                    for k, (_, s) in zip(held.tolist(), done):
+                        spans[k] = s
+                columns = [new if n == text else c for c, n in zip(part.columns, part.schema.names) if n != "_moved"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind_of)], [*(n for n in part.schema.names if n != "_moved"), "entities"])
 
     if size <= BROADCAST_BYTES // 4:
         cell = spark.sparkContext.broadcast({(r.kind, r.entity): r.attempt for r in moved.collect()})
-        return docs.mapInArrow(lambda batches: run(batches, lambda r: cell.value), schema)
+        return docs.mapInArrow(lambda batches: run(batches, lambda r: cell.value, True), schema)
     held = docs.select(F.md5(text).alias("_key"), F.col(text).alias("text")).mapInArrow(_held, "_key string, kind string, entity string").distinct()
     held = held.join(moved, ["kind", "entity"]).groupBy("_key").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_moved"))
     with_moved = docs.withColumn("_key", F.md5(text)).join(held, "_key", "left").drop("_key")
-    return with_moved.mapInArrow(lambda batches: run(batches, lambda r: {(x["kind"], x["entity"]): x["attempt"] for x in r or []}), schema)
+    return with_moved.mapInArrow(lambda batches: run(batches, lambda r: {(x["kind"], x["entity"]): x["attempt"] for x in r or []}, False), schema)
 
 
 def _held(batches):
     """Entities of each text, by the text's digest."""
     for whole in batches:
         for part in K.batches([whole]):
-            rows = {(k, kind, canonical(kind, v)) for k, t in zip(part.column("_key").to_pylist(), part.column("text").to_pylist()) if t and _MAYBE.search(t) for _, _, kind, v in detect(t)}
+            rows = {(k, kind, canonical(kind, v)) for k, t in zip(part.column("_key").to_pylist(), part.column("text").to_pylist()) if t for _, _, kind, v in detect(t)}
             yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["_key", "kind", "entity"])
 
 
