@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import raster_queries
+from . import log_queries, project_queries, raster_queries
 
-QUERIES = dict(raster_queries.QUERIES)
-ORACLE_SQL = dict(raster_queries.ORACLE_SQL)
+_PARTS = (raster_queries, log_queries, project_queries)
+QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLE_SQL = {k: s for part in _PARTS for k, s in part.ORACLE_SQL.items()}
