@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from . import kernels as K
 
 #: Words that one recursive query contracts; bytes of text in a batch; words whose ids a Python worker keeps (with more it starts anew).
-WORDS_PER_QUERY, BATCH_BYTES, KEPT_WORDS = 40_000, 6 << 20, 400_000
+WORDS_PER_QUERY, BATCH_BYTES, KEPT_WORDS = 60_000, 10 << 20, 500_000
 
 #: Unicode white space, as the splitting pattern's \s means it (fixed values).
 _WHITE = r"\x09-\x0D\x20\x85\xA0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
