@@ -44,7 +44,9 @@ def apply_alpha(pixels: DataFrame, alpha: str | Column) -> DataFrame:
 def duration_fraction(ms: Column) -> tuple[Column, Column]:
     """Milliseconds as a reduced fraction of a second; null, zero and less count as 100."""
     ms = F.when(ms > 0, ms).otherwise(100).cast("long")
-    gcd = F.array_max(F.filter(F.array(*(F.lit(d).cast("long") for d in DIVISORS)), lambda d: ms % d == 0))
+    gcd = F.lit(1)
+    for d in DIVISORS[1:]:
+        gcd = F.when(ms % d == 0, d).otherwise(gcd)
     return (ms / gcd).cast("long"), (F.lit(1000) / gcd).cast("long")
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import log_queries, project_queries, raster_queries
+from . import byte_queries, log_queries, project_queries, raster_queries
 
-_PARTS = (raster_queries, log_queries, project_queries)
+_PARTS = (raster_queries, log_queries, project_queries, byte_queries)
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL = {k: s for part in _PARTS for k, s in part.ORACLE_SQL.items()}

@@ -63,9 +63,9 @@ def packet_sizes(packets: DataFrame, unit: list[str]) -> DataFrame:
 
 
 def le_hex(c: Column, size: int) -> Column:
-    """A whole number as `size` little-endian bytes, in hex."""
-    c = c.cast("long")
-    return F.concat(*(F.lpad(F.hex(F.shiftright(c, 8 * i).bitwiseAND(255)), 2, "0") for i in range(size)))
+    """A whole number as `size` little-endian bytes, in hex; negative ones wrap around. The number is evaluated once."""
+    big = F.lpad(F.hex(c.cast("long").bitwiseAND((1 << (8 * size)) - 1)), 2 * size, "0")
+    return big if size == 1 else F.regexp_replace(big, "(..)" * size, "".join(f"${i}" for i in range(size, 0, -1)))
 
 
 def encode_runs(r: DataFrame, unit: list[str], value: str, indexed: bool = False) -> DataFrame:
