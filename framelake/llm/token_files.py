@@ -118,7 +118,7 @@ def unpack(chunk: bytes, block: int | None = None) -> np.ndarray:
 
 
 #: Words whose ids a Python worker keeps; when there are more it starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 2_000_000
 #: Words that the library encodes in one call.
 JOINED = 4_000
 
@@ -155,7 +155,7 @@ class Words:
 
     def _forget(self) -> None:
         self.known, self.check = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-        self.begin, self.count, self.flat = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.begin, self.count, self.flat = (np.zeros(0, dtype=np.int32) for _ in range(3))
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, one after the other, and the number of each.
@@ -168,7 +168,7 @@ class Words:
         for a in range(0, len(words), JOINED):
             part = words[a : a + JOINED]
             n = np.array([1 if w.isascii() and w.isalpha() else len(self.pieces.findall(unicodedata.normalize("NFC", w).lower())) for w in part], dtype=np.int64)
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.int64)
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == n.sum() and (len(stops) == 0 or stops[-1] == len(ids)):
                 upto = np.concatenate([[0], stops])[np.cumsum(n)]
@@ -243,23 +243,23 @@ class Words:
             spans = list(zip(start[first[new]].tolist(), end[first[new]].tolist()))
             flat, count = self._encode([raw[a:b].decode("utf-8") for a, b in spans])
             begin = np.cumsum(count) - count + len(self.flat)
-            self.flat = np.concatenate([self.flat, flat])
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
             slot_begin, slot_count = np.empty(len(known), dtype=np.int64), np.empty(len(known), dtype=np.int64)
             slot_begin[new], slot_count[new] = begin, count
             old = np.flatnonzero(hit)
             slot_begin[old], slot_count[old] = self.begin[at[old]], self.count[at[old]]
             fresh = new[~np.isin(known[new], self.known)] if len(self.known) else new
-            by = np.argsort(np.concatenate([self.known, known[fresh]]), kind="stable")
-            self.check = np.concatenate([self.check, check[first[fresh]]])[by]
-            self.begin = np.concatenate([self.begin, slot_begin[fresh]])[by]
-            self.count = np.concatenate([self.count, slot_count[fresh]])[by]
-            self.known = np.concatenate([self.known, known[fresh]])[by]
+            to = np.searchsorted(self.known, known[fresh])
+            self.check = np.insert(self.check, to, check[first[fresh]])
+            self.begin = np.insert(self.begin, to, slot_begin[fresh].astype(np.int32))
+            self.count = np.insert(self.count, to, slot_count[fresh].astype(np.int32))
+            self.known = np.insert(self.known, to, known[fresh])
             begin, per = slot_begin[inverse], slot_count[inverse]
             flat = self.flat
             if len(odd):
                 more, n = self._encode([raw[a:b].decode("utf-8") for a, b in zip(start[odd].tolist(), end[odd].tolist())])
                 begin[odd], per[odd] = np.cumsum(n) - n + len(flat), n
-                flat = np.concatenate([flat, more])
+                flat = np.concatenate([flat, more.astype(np.int32)])
             begin -= np.cumsum(per) - per
             out = flat[np.repeat(begin, per) + np.arange(int(per.sum()))]
             total = np.bincount(row, weights=per, minlength=len(texts)).astype(np.int64)
