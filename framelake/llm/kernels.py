@@ -68,7 +68,7 @@ def lowered(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts.cast(pa.large_string()))
 
 
-def batches(it, rows: int = 4096, size: int = 4 << 20):
+def batches(it, rows: int = 4096, size: int = 2 << 20):
     """Batches of about `size` bytes at most, so that long texts don't pile up; one long text stays whole."""
     for b in it:
         if not b.num_rows:

@@ -24,6 +24,8 @@ BITS, KEPT = 20, 4_096
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
 #: Bytes of a word's beginning that make a feature of their own.
 HEADS = (5, 7)
+#: Bytes of text that a task works on at a time.
+BATCH_BYTES = 1 << 20
 #: Numbers of times from which a repeated feature makes another.
 TIMES = (2, 4)
 
@@ -134,7 +136,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 def _feature_rows(batches):
     for whole in batches:
-        for part in K.batches([whole]):
+        for part in K.batches([whole], size=BATCH_BYTES):
             feature, row = _distinct(*features(part.column("text")))
             ends = np.searchsorted(row, np.arange(part.num_rows + 1))
             cells = [feature[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
@@ -172,7 +174,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for part in K.batches([whole]):
+            for part in K.batches([whole], size=BATCH_BYTES):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.value.score(part.column(text)), pa.float64())], [*part.schema.names, "toxicity"])
 
     return docs.mapInArrow(run, schema)
