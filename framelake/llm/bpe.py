@@ -215,11 +215,12 @@ def tokenize(texts: pa.Array, codec: Codec) -> tuple[np.ndarray, np.ndarray, lis
     return ids, total, [b"".join([back[k] for k in inverse[a:b].tolist()]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def encode_decode(docs: DataFrame, text: str = "text", *, path: str | None = None) -> DataFrame:
+def encode_decode(docs: DataFrame, text: str = "text", *, path: str | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """`docs` plus `ids` (array of int) and `decoded` (binary: what the ids stand for) of each whole text.
 
     `path` names a rank file that each executor can read. Each match of
-    `public_tokenizers.PATTERN` is encoded by itself, without special tokens. Null counts as the
+    `public_tokenizers.PATTERN` is encoded by itself, without special tokens. A larger `batch_bytes` encodes fewer
+    words twice and holds more memory. Null counts as the
     empty text, which has no ids. Other columns and repeated rows stay; columns
     `ids` and `decoded` of the input give way.
     """
@@ -230,7 +231,7 @@ def encode_decode(docs: DataFrame, text: str = "text", *, path: str | None = Non
     def run(batches):
         codec = _codec(path)
         for whole in batches:
-            for part in K.batches([whole], rows=65_536, size=BATCH_BYTES):
+            for part in K.batches([whole], rows=65_536, size=batch_bytes):
                 ids, n, decoded = tokenize(part.column(text), codec)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(decoded, pa.binary())], [*part.schema.names, "ids", "decoded"])

@@ -35,9 +35,10 @@ _CUTS = [round(64 * k / (RADIUS + 1)) for k in range(RADIUS + 2)]
 def _rolling(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of the `width` words from each place on; the last places have none."""
     with np.errstate(over="ignore"):
-        acc = np.zeros(max(0, len(h) - width + 1), dtype=np.uint64)
+        m = max(0, len(h) - width + 1)
+        acc = np.zeros(m, dtype=np.uint64)
         for k in range(width):
-            acc = acc * np.uint64(0x9FB21C651E98DF25) + h[k : len(h) - width + 1 + k]
+            acc = acc * np.uint64(0x9FB21C651E98DF25) + h[k : k + m]
     return K.mix(acc)
 
 

@@ -140,9 +140,10 @@ def shingles(h: np.ndarray, row: np.ndarray, rows: int, width: int = 5) -> tuple
     count = np.bincount(row, minlength=rows) if n else np.zeros(rows, dtype=np.int64)
     first = np.concatenate([[0], np.cumsum(count)])[:-1]
     with np.errstate(over="ignore"):
-        acc = np.zeros(max(0, n - width + 1), dtype=_U64)
+        m = max(0, n - width + 1)
+        acc = np.zeros(m, dtype=_U64)
         for k in range(width):
-            acc = acc * _U64(0x9FB21C651E98DF25) + h[k : n - width + 1 + k]
+            acc = acc * _U64(0x9FB21C651E98DF25) + h[k : k + m]
         keep = row[: len(acc)] == row[width - 1 :] if len(acc) else np.zeros(0, dtype=bool)
         out, owner = mix(acc[keep]), row[: len(acc)][keep]
         short = np.flatnonzero((count > 0) & (count < width))
