@@ -171,10 +171,12 @@ def holding(texts: pa.Array) -> np.ndarray:
             spot = raw.find(m, spot + 1)
         spots.append(np.array(found, dtype=np.int64))
     spots = np.concatenate(spots)
-    breaks = np.unique(np.concatenate([np.flatnonzero(data == 10), at - 1, [-1, len(data)]]))
-    line = np.unique(np.searchsorted(breaks, spots, side="right")) if len(spots) else np.zeros(0, dtype=np.int64)
     out = np.zeros(len(texts), dtype=bool)
-    begin, end = breaks[line - 1] + 1, np.minimum(breaks[line], len(data))
+    if not len(spots):
+        return out
+    starts = np.unique(np.concatenate([[0], np.flatnonzero(data == 10) + 1, at[:-1]]))
+    line = np.unique(np.searchsorted(starts, spots, side="right") - 1)
+    begin, end = starts[line], np.append(starts, len(data))[line + 1]
     row = np.searchsorted(at, begin, side="right") - 1
     for a, b, r in zip(begin.tolist(), end.tolist(), row.tolist()):
         if not out[r] and next(detect("\n" + raw[a:b].rstrip(b"\n").decode("utf-8") + "\n"), None) is not None:
