@@ -157,7 +157,7 @@ class Words:
         self.known, self.check = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
         self.begin, self.count, self.flat = (np.zeros(0, dtype=np.int32) for _ in range(3))
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, words: list[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, one after the other, and the number of each.
 
         Many words are encoded as one text. The tokens that end a piece tell
@@ -167,6 +167,11 @@ class Words:
         flat, counts = [], []
         for a in range(0, len(words), JOINED):
             part = words[a : a + JOINED]
+            if plain:  # letters alone: the model takes them as they are
+                each = [[t.id for t in self.tok.model.tokenize(w)] for w in part]
+                flat.append(np.array([i for x in each for i in x], dtype=np.int64))
+                counts.append(np.array([len(x) for x in each], dtype=np.int64))
+                continue
             n = np.array([1 if w.isascii() and w.isalpha() else len(self.pieces.findall(unicodedata.normalize("NFC", w).lower())) for w in part], dtype=np.int64)
             ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
             stops = np.flatnonzero(self.ends[ids]) + 1
@@ -223,7 +228,11 @@ class Words:
         out, total = np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
         if len(start):
             h = K.hashes(data, start, end, K.SAME)
-            known, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            by = np.argsort(h)
+            begins = np.concatenate([[True], h[by[1:]] != h[by[:-1]]])
+            first = by[begins]
+            known, inverse = h[first], np.empty(len(h), dtype=np.int64)
+            inverse[by] = np.cumsum(begins) - 1
             # equal hashes must also agree on length and first bytes; a part that doesn't is encoded by itself
             padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
             head = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))[start]
@@ -241,7 +250,11 @@ class Words:
             new = np.flatnonzero(~hit)
             raw = data.tobytes()
             spans = list(zip(start[first[new]].tolist(), end[first[new]].tolist()))
-            flat, count = self._encode([raw[a:b].decode("utf-8") for a, b in spans])
+            fresh_words = [raw[a:b].decode("utf-8") for a, b in spans]
+            plain = np.array([w.isascii() and w.isalpha() for w in fresh_words], dtype=bool)
+            new = np.concatenate([new[plain], new[~plain]])
+            both = [self._encode([w for w, p in zip(fresh_words, plain.tolist()) if p == kind], kind) for kind in (True, False)]
+            flat, count = (np.concatenate([x[i] for x in both]) for i in range(2))
             begin = np.cumsum(count) - count + len(self.flat)
             self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
             slot_begin, slot_count = np.empty(len(known), dtype=np.int64), np.empty(len(known), dtype=np.int64)
