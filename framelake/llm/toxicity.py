@@ -98,6 +98,11 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     n_p, n_u, size = len(positive), len(unlabelled), 1 << BITS
     count = lambda rows: np.bincount(np.concatenate(rows), minlength=size)
     in_p, in_u = count(positive), count(unlabelled)
+    # a feature as usual in all texts as q times its share of confirmed ones bounds the prior by q: labels that aren't a fair sample can't raise it beyond that
+    usual = in_p >= max(20, 0.05 * n_p)
+    if usual.any():
+        most = (in_u[usual] + 2 * np.sqrt(in_u[usual]) + 3) / n_u / (in_p[usual] / n_p)
+        prior = min(prior, max(1e-3, float(most.min())))
     # features far more usual in confirmed texts than in all texts: at least three times, and by three standard errors
     share = (in_u + 0.5) / (n_u + 1)
     lift = (in_p / n_p - share) / np.sqrt(share * (1 - share) / n_p + 1e-12)
@@ -148,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
 
     Fitted on a bounded sample: the `max_positive` confirmed texts and the
     `max_unlabelled` texts whose doc_id hashes lowest. The class prior is the
-    share of toxic rows among all labels. Null labels and ids are passed over.
+    share of toxic rows among all labels, unless the texts bound it lower. Null labels and ids are passed over.
     """
     spark = docs.sparkSession
     labels = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
