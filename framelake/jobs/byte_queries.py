@@ -78,14 +78,18 @@ PROJECT_ROUND_TRIP = V.with_views("clips") + """ SELECT project_id::VARCHAR AS p
 
 
 def _project(spark, d):
-    """A project for each raster file: its frames at half size and faded, over those of the next file."""
+    """A project for each raster file: all its frames at half size and faded, two frames late, over all those of the next file.
+
+    The half-size clip moves, turns and fades from its first frame to its last.
+    """
     px = V.rasters(spark, d)
     n = px.groupBy(F.col("file_id").cast("long").alias("source_id")).agg((F.max("frame_index") + 1).alias("n_frames"))
     sources = n.withColumns({"canvas_width": F.lit(8), "canvas_height": F.lit(8), "path": F.concat(F.lit("r"), F.col("source_id").cast("string"))})
-    clip = lambda i, shift, start, count: n.select(F.col("source_id").alias("project_id"), F.lit(i).alias("clip_index"), ((F.col("source_id") + shift) % 10).alias("source_id"), F.lit(start).alias("timeline_start_frame"), F.lit(0).alias("source_start_frame"), F.lit(count).alias("frame_count"), F.lit("").alias("name"))
-    loaded, _, _ = P.resolve_clips(clip(0, 1, 0, 6).unionByName(clip(1, 0, 2, 6)), sources)
-    key = lambda i, f, x, y, s, deg, a: n.select(F.col("source_id").alias("project_id"), F.lit(i).alias("clip_index"), F.lit(f).alias("frame_index"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(s).alias("scale_x"), F.lit(s).alias("scale_y"), F.lit(deg).alias("rotation_deg"), F.lit(a).alias("alpha"))
-    keys = key(0, 0, 0.0, 0.0, 1.0, 0.0, 255).unionByName(key(1, 0, 1.0, 1.0, 0.5, 0.0, 200)).unionByName(key(1, 5, 6.0, 3.0, 0.5, 90.0, 100))
+    clip = lambda i, shift, start: n.select(F.col("source_id").alias("project_id"), F.lit(i).alias("clip_index"), ((F.col("source_id") + shift) % 10).alias("source_id"), F.lit(start).alias("timeline_start_frame"), F.lit(0).alias("source_start_frame"), F.lit(0).alias("frame_count"), F.lit("").alias("name"))
+    loaded, _, _ = P.resolve_clips(clip(0, 1, 0).unionByName(clip(1, 0, 2)), sources)
+    key = lambda i, f, x, y, s, deg, a: n.select(F.col("source_id").alias("project_id"), F.lit(i).alias("clip_index"), f.cast("long").alias("frame_index"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(s).alias("scale_x"), F.lit(s).alias("scale_y"), F.lit(deg).alias("rotation_deg"), F.lit(a).alias("alpha"))
+    first, last = F.lit(0), F.greatest(F.lit(1), F.col("n_frames") - 1)
+    keys = key(0, first, 0.0, 0.0, 1.0, 0.0, 255).unionByName(key(1, first, 1.0, 1.0, 0.5, 0.0, 200)).unionByName(key(1, last, 6.0, 3.0, 0.5, 90.0, 100))
     rasters = px.select(F.col("file_id").cast("long").alias("source_id"), F.col("frame_index").cast("long").alias("source_frame_index"), "x", "y", *"rgba")
     canvas = n.select(F.col("source_id").alias("project_id"), F.lit(10).alias("out_width"), F.lit(8).alias("out_height"))
     return loaded, keys, rasters, sources, canvas

@@ -56,9 +56,9 @@ def rotate_rasters(px: DataFrame, keys: list[str], deg: str = "deg") -> DataFram
     """
     rad = F.radians(F.col(deg))
     frames = px.select(*keys, "width", "height", deg).distinct().withColumns({"_c": F.round(F.cos(rad), 9), "_s": F.round(F.sin(rad), 9)})
-    frames = frames.withColumns({"new_width": F.ceil(F.round(F.abs(F.col("width") * F.col("_c")) + F.abs(F.col("height") * F.col("_s")), 6)).cast("int"), "new_height": F.ceil(F.round(F.abs(F.col("width") * F.col("_s")) + F.abs(F.col("height") * F.col("_c")), 6)).cast("int")})
-    grid = frames.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("new_width") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("new_height") - 1)))
-    dx, dy = F.col("x") + 0.5 - F.col("new_width") / 2.0, F.col("y") + 0.5 - F.col("new_height") / 2.0
+    frames = frames.withColumns({"_tw": F.ceil(F.round(F.abs(F.col("width") * F.col("_c")) + F.abs(F.col("height") * F.col("_s")), 6)).cast("int"), "_th": F.ceil(F.round(F.abs(F.col("width") * F.col("_s")) + F.abs(F.col("height") * F.col("_c")), 6)).cast("int")})
+    grid = frames.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("_tw") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("_th") - 1)))
+    dx, dy = F.col("x") + 0.5 - F.col("_tw") / 2.0, F.col("y") + 0.5 - F.col("_th") / 2.0
     sx = F.floor(F.round(dx * F.col("_c") + dy * F.col("_s") + F.col("width") / 2.0, 6)).cast("int")
     sy = F.floor(F.round(-dx * F.col("_s") + dy * F.col("_c") + F.col("height") / 2.0, 6)).cast("int")
     grid = grid.select(*keys, "x", "y", sx.alias("_sx"), sy.alias("_sy"))
