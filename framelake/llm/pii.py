@@ -6,7 +6,9 @@ vowels), addresses stay addresses, card numbers keep a valid check digit, known
 given names become given names of the same gender and script. So two entities
 can't meet in one surrogate by construction; a job over all distinct entities
 checks that none meets another entity that occurs in the texts either, and
-moves those that do one step on.
+moves those that do one step on. After a few steps the format counts as full
+and the surrogate gets longer by a keyed character a step, so that the check
+comes to an end.
 """
 
 from __future__ import annotations
@@ -54,6 +56,10 @@ _CLASS_OF = {c: k for k in _CLASSES for c in k}
 _HEX = {"0123456789abcdef": set("0123456789abcdef"), "0123456789ABCDEF": set("0123456789ABCDEF")}
 
 
+#: From this attempt on a format counts as full and its surrogates get longer, by one character each time.
+FULL = 4
+
+
 def permute(x: int, n: int, key: bytes, tweak: bytes) -> int:
     """A keyed permutation of range(n): a Feistel network over the next even number of bits, walked until it is back inside."""
     if n < 2:
@@ -92,8 +98,36 @@ def _format_permute(value: str, key: bytes, kind: str) -> str:
     return "".join(out)
 
 
+def _widened(kind: str, value: str, new: str, key: bytes, more: int) -> str:
+    """A surrogate `more` characters longer than its format: letters in names and addresses, signs of its own kind at the end of others. Letters of no class are replaced too."""
+    number = int.from_bytes(hashlib.shake_256(key + f"{kind}|{value}".encode()).digest(32 + len(value) + more), "big")
+
+    def letters(n: int, of: str) -> str:
+        nonlocal number
+        out = ""
+        for _ in range(n):
+            number, r = divmod(number, len(of))
+            out += of[r]
+        return out
+
+    if kind == "name":
+        low = "abcdefghijklmnopqrstuvwxyz"
+        new = "".join(letters(1, low.upper() if i == 0 or new[i - 1] == " " else low) if c.isalpha() and c not in _CLASS_OF else c for i, c in enumerate(new))
+        at = len(new) - (len(new.split(" ")[-1]) > 1)
+        return new[:at] + letters(more, _CLASS_OF[new[-1].lower()] if new[-1].lower() in _CLASS_OF else low) + new[at:]
+    if kind == "email":
+        local, _, domain = new.rpartition("@")
+        return f"{local}{letters(more, 'abcdefghijklmnopqrstuvwxyz')}@{domain}"
+    return new + letters(more, "0123456789")
+
+
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
-    """The replacement of one entity; each attempt is a permutation of its own format."""
+    """The replacement of one entity; each attempt is a permutation of its own format, and one of a longer format from FULL on (but for IP addresses, which have 2^32 places)."""
+    new = _permuted(kind, value, key, attempt)
+    return new if attempt < FULL or kind == "ip" else _widened(kind, value, new, hmac.new(key, f"{kind}|{attempt}|longer".encode(), hashlib.sha256).digest(), attempt - FULL + 1)
+
+
+def _permuted(kind: str, value: str, key: bytes, attempt: int) -> str:
     key = hmac.new(key, f"{kind}|{attempt}".encode(), hashlib.sha256).digest()
     if kind == "ip":
         x = 0
@@ -203,17 +237,17 @@ def _assigned(entities: DataFrame, key: bytes) -> DataFrame:
     return entities.mapInArrow(run, T.StructType([*entities.schema.fields, T.StructField("surrogate", T.StringType())]))
 
 
-def moved_entities(docs: DataFrame, key: bytes, text: str = "text", *, rounds: int = 20) -> DataFrame:
+def moved_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """(kind, entity, attempt) of the entities whose first surrogate is another entity of the texts, or another's surrogate.
 
-    Rounds end when the check finds nothing. Of entities that meet in one
-    surrogate the smallest keeps it. What still meets after `rounds` rounds (a
-    format with too few values to go round, such as one-letter names) stays so.
+    Rounds end when the check of all surrogates finds nothing. Of entities that
+    meet in one surrogate the smallest keeps it. In a format with too few
+    values to go round, such as given names, surrogates get longer.
     """
     entities = settle(docs.select(F.col(text).alias("text")).mapInArrow(_entities, "kind string, entity string").distinct(), "entities")
     given = settle(_assigned(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
-    for _ in range(rounds):
-        # a surrogate must not occur as an entity itself, unless it replaces that very entity
+    while True:
+        # a surrogate must not occur as an entity itself
         real = given.join(entities.select("kind", F.col("entity").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "entity")
         twice = given.groupBy("kind", "surrogate").agg(F.min("entity").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         second = given.join(twice, ["kind", "surrogate"]).filter("entity <> first").select("kind", "entity")

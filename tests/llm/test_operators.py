@@ -209,6 +209,18 @@ def test_colliding_surrogates_move(spark):
     assert [(r.entity, r.attempt) for r in pii.moved_entities(df, key).collect()] == [("9.9.9.9", 1)]
 
 
+def test_full_formats(spark):
+    """More entities than their formats have room for: all names of the lists, all two-letter ones, letters of no class, one-letter names and addresses."""
+    names = [n for v in pii.GIVEN.values() for n in v] + [c + "i" for c in "BCDFGHJKLMNPQRSTVWXYZ"] + ["A", "B", "Łł", "Ø"]
+    old = [("name", n) for n in names] + [("email", f"{a}@{b}.co") for a in "aeiou" for b in "aeiou"]
+    df = spark.createDataFrame([(i, f"Mr. {v}, x" if k == "name" else f"to {v} x") for i, (k, v) in enumerate(old)], "doc_id long, text string")
+    assert [next(pii.detect(r.text))[2:] for r in df.orderBy("doc_id").collect()] == old
+    out = pii.replace_entities(df, b"k").orderBy("doc_id").collect()
+    new = [(k, r.text[4:-3] if k == "name" else r.text[3:-2]) for (k, _), r in zip(old, out)]
+    assert len(set(new)) == len(old) and not set(new) & set(old)
+    assert [next(pii.detect(r.text))[2:] for r in out] == new and not any(c in v for _, v in new for c in "ŁłØ")
+
+
 def test_toxicity(spark, sf, odd, none):
     rng = random.Random(3)
     clean = lambda: " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}q" for _ in range(60))
