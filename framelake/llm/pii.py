@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -31,15 +32,18 @@ from .common import BROADCAST_BYTES, settle
 #: What is looked for, in order of precedence where two overlap.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<=[=:\s\"'])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![0-9A-Za-z])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ip6": r"(?<![\w:.])[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:.]{0,40}(?!\w)",  # checked by `detect`
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "card": r"(?<![\d\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?![\d\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?![\w\-])",
+    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}|\+\d{9,15}|\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]\d{1,4}){1,6}|0\d(?:[ .\-]\d\d){4})(?![\w\-])",
     "name": r"(?<=\b(?:Mr|Ms|Dr|Sr|Hr)\. )(?:[^\W\d_]+[ ]?){1,3}|(?<=\b(?:Mrs|Sra|Fra)\. )(?:[^\W\d_]+[ ]?){1,3}|(?<=\b(?:Herr|Frau|Mme\.) )(?:[^\W\d_]+[ ]?){1,3}",
 }
-_FIND = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
+#: Types whose digits and letters count only.
+_BARE = {"phone", "card", "iban"}
+_FIND, _OTHERS = (re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k != without)) for without in ("", "ip6"))
 
 #: Given names by script and gender; a known one is replaced within its own list.
 GIVEN = {
@@ -122,13 +126,15 @@ def _widened(kind: str, value: str, new: str, key: bytes, more: int) -> str:
 
 
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
-    """The replacement of one entity; each attempt is a permutation of its own format, and one of a longer format from FULL on (but for IP addresses, which have 2^32 places)."""
+    """The replacement of one entity; each attempt is a permutation of its own format, and one of a longer format from FULL on (but for IP addresses, which have 2^32 or 2^128 places)."""
     new = _permuted(kind, value, key, attempt)
     return new if attempt < FULL or kind == "ip" else _widened(kind, value, new, hmac.new(key, f"{kind}|{attempt}|longer".encode(), hashlib.sha256).digest(), attempt - FULL + 1)
 
 
 def _permuted(kind: str, value: str, key: bytes, attempt: int) -> str:
     key = hmac.new(key, f"{kind}|{attempt}".encode(), hashlib.sha256).digest()
+    if kind == "ip" and ":" in value:
+        return str(ipaddress.IPv6Address(permute(int(ipaddress.IPv6Address(value)), 1 << 128, key, b"ip6")))
     if kind == "ip":
         x = 0
         for octet in value.split("."):
@@ -166,18 +172,49 @@ def _permuted(kind: str, value: str, key: bytes, attempt: int) -> str:
 
 
 def canonical(kind: str, value: str) -> str:
-    """What equal entities have in common: addresses without case, octets without leading zeros."""
+    """What equal entities have in common: addresses without case, octets without leading zeros, numbers of phones, cards and accounts without signs between."""
     if kind == "email":
         return value.lower()
     if kind == "ip":
-        return ".".join(str(int(x)) for x in value.split("."))
+        return str(ipaddress.IPv6Address(value)) if ":" in value else ".".join(str(int(x)) for x in value.split("."))
+    if kind in _BARE:
+        return "".join(c for c in value if c.isalnum())
     return value
 
 
+def laid_over(kind: str, value: str, new: str) -> str:
+    """The surrogate of a canonical value in the format of `value`."""
+    if kind not in _BARE:
+        return new
+    given = iter(new)
+    return "".join(next(given) if c.isalnum() else c for c in value) + "".join(given)
+
+
+def _ip6(value: str) -> str:
+    """The IPv6 address that a run of hexadecimal digits, colons and dots is, without the sentence's own signs; empty where it is none, or one without a digit (such as a name with `::`)."""
+    value = value.rstrip(".")
+    value = value[:-1] if value.endswith(":") and not value.endswith("::") else value
+    try:
+        return value if str(ipaddress.IPv6Address(value)) and re.search("[0-9]", value) else ""
+    except ValueError:
+        return ""
+
+
 def detect(text: str) -> Iterator[tuple[int, int, str, str]]:
     """Start, end, type and value of each entity, in order."""
-    for m in _FIND.finditer(text):
+    at = 0
+    while m := _FIND.search(text, at):
+        if m.lastgroup == "ip6" and not _ip6(m.group()):  # no address: another entity may begin in it
+            at = m.end()
+            m = next(filter(None, (_OTHERS.match(text, i) for i in range(m.start(), at))), None)
+            if m is None:
+                continue
+        at = m.end()
         kind, value = m.lastgroup, m.group().rstrip(" ")
+        if kind == "ip6":
+            kind, value = "ip", _ip6(value)
+        while kind == "phone" and sum(c.isdigit() for c in value) > 15:  # a number of the sentence follows
+            value = re.sub(r"[ .\-]\d+$", "", value)
         if kind == "phone" and not 9 <= sum(c.isdigit() for c in value) <= 15:
             continue
         if kind == "name" and not all(w[:1].isupper() for w in value.split(" ")):
@@ -283,6 +320,7 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFra
             new = cache.get((kind, name))
             if new is None:
                 new = cache[kind, name] = surrogate(kind, name, key, attempts.get((kind, name), 0))
+            new = laid_over(kind, value, new)
             out += [t[done:a], new]
             length += a - done
             spans.append({"type": kind, "start": length, "length": len(new)})
