@@ -8,7 +8,8 @@ notices inside longer documents.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +58,31 @@ NAMES = {
 _FORMS = ["{}", "Released under the {}", "Released under {}", "Licensed under the {}", "Licensed under {}", "Distributed under the {}", "This work is licensed under the {}", "This work is licensed under {}", "This project is licensed under the {}", "This software is released under the {}", "SPDX-License-Identifier: {}"]
 
 
+#: The third condition of BSD-3-Clause.
+_NO_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_END = "END OF TERMS AND CONDITIONS"
+
+
+@cache
+def _bodies() -> list[tuple[str, str]]:
+    """Whole licence texts of the folder `licenses`, in the forms they go round in: with and without what follows the terms, with and without title or numbers."""
+    text = {f.stem: f.read_text("utf-8") for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+    out = list(text.items())
+    for i in ("Apache-2.0", "GPL-2.0", "GPL-3.0"):
+        terms = text[i].split(_END)[0]
+        out += [(i, terms), (i, terms + _END)]
+    # a filled-in copyright line leaves the canonical text, the template's own doesn't
+    out.append(("Apache-2.0", text["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "")))
+    two = text["BSD-2-Clause"]
+    three = two.replace("THIS SOFTWARE IS", f"3. {_NO_NAMES}\n\nTHIS SOFTWARE IS", 1)
+    for i, t, titles in (("BSD-2-Clause", two, ["BSD 2-Clause License", "The 2-Clause BSD License"]), ("BSD-3-Clause", three, ["BSD 3-Clause License", "The 3-Clause BSD License"])):
+        plain = reduce(lambda x, n: x.replace(f"\n{n}. ", "\n* "), "123", t)
+        out += [(i, h + x) for x in (t, plain) for h in ("", *(f"{h}\n\n" for h in titles))]
+    return out
+
+
 def _known() -> list[tuple[str, str]]:
-    texts = [("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n\n" + _ISC), ("Apache-2.0", _APACHE)]
+    texts = [("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n\n" + _ISC), ("Apache-2.0", _APACHE), *_bodies()]
     return texts + [(i, f.format(n)) for i, names in NAMES.items() for n in names for f in _FORMS]
 
 

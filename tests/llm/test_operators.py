@@ -265,6 +265,24 @@ def test_licenses(spark, odd, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def test_whole_license_texts(spark):
+    """A document that is one whole licence text, set in other lines and letter case, with its own copyright line."""
+    import textwrap
+    from pathlib import Path
+
+    bodies = {f.stem: f.read_text("utf-8") for f in (Path(license_scan.__file__).parent / "licenses").glob("*.txt")}
+    clause = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+    bodies["BSD-3-Clause"] = "BSD 3-Clause License\n\n" + bodies["BSD-2-Clause"].replace("<year> <owner>", "2021, Some One").replace("THIS SOFTWARE IS", clause + "THIS SOFTWARE IS")
+    bodies |= {"MIT": license_scan._MIT, "ISC": license_scan._ISC}
+    assert set(license_scan.NAMES) - set(bodies) == {"CC-BY-4.0", "CC-BY-NC-4.0"}
+    docs = [(i, t) for i, t in bodies.items()] + [(i, "Copyright (c) 2020 Some One\n\n" + t.upper()) for i, t in bodies.items()]
+    docs += [(i, bodies[i].split("END OF TERMS")[0]) for i in ("Apache-2.0", "GPL-2.0", "GPL-3.0")] + [("Apache-2.0", bodies["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2019 Some One"))]
+    docs += [(i, "\n\n".join(textwrap.fill(p, 60) for p in bodies[i].split("\n\n"))) for i in ("BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC")]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in license_scan.scan_licenses(df).collect()}
+    assert [got[k] for k in range(len(docs))] == [i for i, _ in docs]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
