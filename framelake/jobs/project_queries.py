@@ -250,7 +250,27 @@ ROTATE_NEAREST = V.with_views("px") + """, f AS (SELECT file_id, frame_index, ro
 g AS (SELECT f.*, dx, dy, dx + 0.5 - n / 2.0 AS u, dy + 0.5 - n / 2.0 AS v FROM f, (SELECT unnest(range(0, 12)) AS dx) a, (SELECT unnest(range(0, 12)) AS dy) b WHERE dx < n AND dy < n)
 SELECT g.file_id, g.frame_index, dx AS x, dy AS y, coalesce(r, 0) AS r, coalesce(px.g, 0) AS g, coalesce(b, 0) AS b, coalesce(a, 0) AS a FROM g LEFT JOIN px ON px.file_id = g.file_id AND px.frame_index = g.frame_index AND px.x = floor(round(u * c + v * s + 4, 6)) AND px.y = floor(round(-u * s + v * c + 4, 6))"""
 
+def rotate_bicubic(spark, d):
+    px = V.rasters(spark, d).withColumns({"width": F.lit(8), "height": F.lit(8), "deg": (F.col("frame_index") % 12 * 30).cast("double")})
+    return warp.rotate_rasters(px, ["file_id", "frame_index"], method="bicubic")
+
+
+def _turn_tap(p: str) -> str:
+    """Weight of the source place `i` for the place `p` of a row of 8, places beyond the edges counted at them."""
+    return f"(SELECT sum(CASE WHEN t < 1 THEN t * t * t - 2 * t * t + 1 WHEN t < 2 THEN -t * t * t + 5 * t * t - 8 * t + 4 ELSE 0 END) FROM (SELECT abs(round({p} - 0.5 - j, 6)) AS t FROM (SELECT unnest(range(-2, 11)) AS j) WHERE greatest(0, least(7, j)) = i))"
+
+
+ROTATE_BICUBIC = ROTATE_NEAREST[: ROTATE_NEAREST.index("SELECT g.file_id")].rstrip() + f""",
+m AS (SELECT DISTINCT n, dx, dy, c, s, round(u * c + v * s + 4, 6) AS mx, round(-u * s + v * c + 4, 6) AS my FROM g),
+pl AS (SELECT DISTINCT mx AS p FROM m UNION SELECT DISTINCT my FROM m),
+w AS (SELECT p, i, {_turn_tap("p")} AS w FROM pl, (SELECT unnest(range(0, 8)) AS i) WHERE p >= 0 AND p < 8),
+t AS (SELECT m.*, wx.i AS sx, wy.i AS sy, wx.w * wy.w AS w FROM m JOIN w wx ON wx.p = mx JOIN w wy ON wy.p = my WHERE wx.w <> 0 AND wy.w <> 0),
+z AS (SELECT px.file_id, px.frame_index, dx, dy, sum(px.r * px.a * w) AS zr, sum(px.g * px.a * w) AS zg, sum(px.b * px.a * w) AS zb, sum(px.a * w) AS za
+ FROM f JOIN t ON t.n = f.n AND t.c = f.c AND t.s = f.s JOIN px ON px.file_id = f.file_id AND px.frame_index = f.frame_index AND px.x = sx AND px.y = sy GROUP BY ALL)
+SELECT g.file_id, g.frame_index, g.dx AS x, g.dy AS y, {", ".join(f"greatest(0, least(255, CAST(round_even(round(coalesce(z{c} / za, 0), 6), 0) AS INTEGER))) AS {c}" for c in "rgb")}, greatest(0, least(255, CAST(round_even(round(coalesce(za, 0), 6), 0) AS INTEGER))) AS a
+FROM g LEFT JOIN z ON z.file_id = g.file_id AND z.frame_index = g.frame_index AND z.dx = g.dx AND z.dy = g.dy"""
+
 QUERIES = {f.__name__: f for f in (
     clip_lengths, resolve_clips, clip_warnings, active_clips, active_at, project_extent, canvas_size, append_sources, update_clips, rejected_edits, clip_listing, active_label, distinct_warnings,
-    upsert_keyframes, delete_keyframes, interpolate_keyframes, place_layers, composite_layers, checkerboard_over, resize_nearest, resize_bicubic, rotate_nearest)}
+    upsert_keyframes, delete_keyframes, interpolate_keyframes, place_layers, composite_layers, checkerboard_over, resize_nearest, resize_bicubic, rotate_nearest, rotate_bicubic)}
 ORACLE_SQL = {k: globals()[k.upper()] for k in QUERIES}

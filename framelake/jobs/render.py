@@ -91,7 +91,7 @@ def render_project(active: DataFrame, keyframes: DataFrame, rasters: DataFrame,
     px = rasters.join(sources.select("source_id", F.col("canvas_width").alias("width"), F.col("canvas_height").alias("height")), "source_id").join(forms, ["source_id", "source_frame_index"])
     scaled = _resized(px, method)
     turned = scaled.filter("deg <> 0").withColumns({"width": F.col("new_width"), "height": F.col("new_height")})
-    turned = rotate_rasters(turned.withColumn("_deg", F.col("deg")), form, "_deg")
+    turned = rotate_rasters(turned.withColumn("_deg", F.col("deg")), form, "_deg", "bicubic" if method == "bicubic" else "nearest")
     warped = scaled.filter("deg = 0").select(*form, "x", "y", *"rgba").unionByName(turned.select(*form, "x", "y", *"rgba")).filter("a > 0")
     layer = placed.select("project_id", "frame_index", F.col("clip_index").alias("z"), "source_id", "source_frame_index", F.col("width").alias("new_width"), F.col("height").alias("new_height"), "deg", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("alpha").alias("_opacity"))
     shown = apply_alpha(warped.join(layer, form), "_opacity").withColumns({"x": F.col("x") + F.col("_x"), "y": F.col("y") + F.col("_y")})

@@ -67,3 +67,44 @@ def test_projects_show_all_frames(spark, small):
     for r in render.render_project(P.active_clips(loaded), keys, rasters, sources, canvas, "nearest").collect():
         got.setdefault(r.project_id, {}).setdefault(r.frame_index, {})[r.x, r.y] = (r.r, r.g, r.b, r.a)
     assert got == {k: _brute(frames, k) for k in frames}
+
+
+def test_bicubic_turns_by_sixteen_taps(spark):
+    """Turned rasters with transparent pixels against a sum over 4 x 4 neighbours; a render by bicubic uses it."""
+    from framelake.operators.warp import rotate_rasters
+
+    rng, w, h = random.Random(3), 4, 3
+    img = {(x, y): [rng.randrange(256) for _ in range(3)] + [rng.choice([0, 90, 255])] for x in range(w) for y in range(h)}
+    df = spark.createDataFrame([(d, x, y, w, h, *p) for d in (0.0, 17.5, 90.0, 200.0) for (x, y), p in img.items()], "deg double, x int, y int, width int, height int, r int, g int, b int, a int")
+    got = {(r.deg, r.x, r.y): (r.r, r.g, r.b, r.a) for r in rotate_rasters(df, ["deg"], method="bicubic").collect()}
+
+    def cubic(t):
+        t = abs(t)
+        return t**3 - 2 * t**2 + 1 if t < 1 else -(t**3) + 5 * t**2 - 8 * t + 4 if t < 2 else 0
+
+    want = {}
+    for deg in (0.0, 17.5, 90.0, 200.0):
+        c, s = round(math.cos(math.radians(deg)), 9), round(math.sin(math.radians(deg)), 9)
+        nw, nh = math.ceil(round(abs(w * c) + abs(h * s), 6)), math.ceil(round(abs(w * s) + abs(h * c), 6))
+        for x in range(nw):
+            for y in range(nh):
+                dx, dy, sums = x + 0.5 - nw / 2, y + 0.5 - nh / 2, [0.0] * 4
+                px, py = round(dx * c + dy * s + w / 2, 6), round(-dx * s + dy * c + h / 2, 6)
+                if 0 <= px < w and 0 <= py < h:
+                    for i in range(-3, w + 3):
+                        for j in range(-3, h + 3):
+                            k = cubic(round(px - 0.5 - i, 6)) * cubic(round(py - 0.5 - j, 6))
+                            *rgb, a = img[min(w - 1, max(0, i)), min(h - 1, max(0, j))]
+                            sums = [q + k * v for q, v in zip(sums, [*(u * a for u in rgb), a])]
+                level = lambda v: max(0, min(255, round(round(v, 6))))
+                want[deg, x, y] = (*(level(v / sums[3]) for v in sums[:3]), level(sums[3])) if round(sums[3], 6) > 0 else (0, 0, 0, 0)
+    assert got == want
+    assert [got[0.0, x, y] for x, y in img] == [tuple(p) if p[3] else (0, 0, 0, 0) for p in img.values()]
+
+    rasters = df.filter("deg = 0").selectExpr("1 AS source_id", "0L AS source_frame_index", "x", "y", "r", "g", "b", "a")
+    sources = spark.createDataFrame([(1, w, h)], "source_id int, canvas_width int, canvas_height int")
+    active = spark.createDataFrame([(1, 0, 0, 1, 0, 0)], "project_id int, frame_index long, clip_index int, source_id int, local_frame_index long, source_frame_index long")
+    keys = spark.createDataFrame([(1, 0, 0, 0.0, 0.0, 1.0, 1.0, 17.5, 255)], "project_id int, clip_index int, frame_index long, x double, y double, scale_x double, scale_y double, rotation_deg double, alpha int")
+    canvas = spark.createDataFrame([(1, 9, 9)], "project_id int, out_width int, out_height int")
+    shown = {(r.x, r.y): (r.r, r.g, r.b, r.a) for r in render.render_project(active, keys, rasters, sources, canvas, "bicubic").collect()}
+    assert shown == {(x, y): p for (d, x, y), p in want.items() if d == 17.5 and p[3] > 0}
