@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 
-WIDTH, SIMILARITY, RADIUS = 5, 0.75, 12
+WIDTH, SIMILARITY, RADIUS = 5, 0.75, 20
 #: Bytes of benchmark text that one pass over the documents takes; more items make more passes.
 PASS_BYTES = 8 << 20
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,32 @@ def test_decontamination(spark, odd, none):
     assert decontamination.find_items(none, bench).count() == 0 and decontamination.find_items(odd, bench.limit(0)).count() == len(ODD)
 
 
+def test_decontamination_near_the_threshold(sf):
+    """Items with an end cut off, with a similarity of 0.75 to 0.85, within other documents: all are found, by brute force over the windows."""
+    import pyarrow.parquet as pq
+
+    rng, word = random.Random(1), re.compile(r"[^\W_]+")
+    items = [(i, t) for i, t in zip(*pq.read_table(f"{sf}/benchmark.parquet", columns=["item_id", "text"]).to_pydict().values()) if t]
+    docs = [word.findall(t.lower()) for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist() if t and 300 < len(t) < 3000]
+    shingles = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    texts, want = [], []
+    for i, t in items:
+        w = word.findall(t.lower())
+        n, mine = len(w), shingles(w)
+        for _ in range(60 if n >= 16 else 0):
+            cut = round(n * rng.uniform(0.08, 0.13))
+            left, right, edited = rng.choice(docs)[-n:], rng.choice(docs)[:n], w[cut:] if rng.random() < 0.5 else w[: n - cut]
+            doc, best = left + edited + right, 0.0
+            for s in range(max(0, len(left) - n // 4), len(left) + n // 4):
+                both = sum((mine & (other := shingles(doc[s : s + n]))).values())
+                best = max(best, both / (sum(mine.values()) + sum(other.values()) - both))
+            if 0.75 <= best <= 0.85:
+                texts.append(" ".join(doc))
+                want.append(i)
+    found = decontamination.Index.of(items).search(pa.array(texts))
+    assert len(want) > 300 and [i for f, i in zip(found, want) if i not in {x[0] for x in f}] == []
+
+
 def test_language(spark, sf, odd, none):
     q = QUERIES["op4_crf"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in q]) > 0.95
