@@ -4,13 +4,17 @@ A task takes the distinct words of its batch as rows (word, position, token),
 joins neighbouring tokens to the merge table and contracts each word's leftmost
 pair of lowest rank, again and again, until no word has a pair left. Ids are
 turned back into bytes by an ordered aggregation.
+
+Words of more than LONG bytes are first cut where no token of the vocabulary
+stands across the cut, as no merge can then cross it. What is longer still goes
+through a second query, which contracts all occurrences of the lowest pair that
+don't overlap, and starts anew after a number of rounds, so that neither its
+rounds nor its rows grow with the square of the length.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
-import tempfile
 
 import numpy as np
 import public_tokenizers
@@ -21,29 +25,53 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 
-#: Words that one recursive query contracts; bytes of text in a batch; words whose ids a Python worker keeps (with more it starts anew).
-WORDS_PER_QUERY, BATCH_BYTES, KEPT_WORDS = 60_000, 10 << 20, 500_000
+#: Tokens that one recursive query starts from, about; bytes of text in a batch; parts of texts whose ids a Python worker keeps.
+ROWS, BATCH_BYTES, KEPT_PARTS = 200_000, 4 << 20, 400_000
+#: Bytes from which a word counts as long (one byte holds a place in a shorter one); rows of all rounds that the query of long words makes at most.
+LONG, LONG_ROWS = 64, 4_000_000
 
 #: Unicode white space, as the splitting pattern's \s means it (fixed values).
 _WHITE = r"\x09-\x0D\x20\x85\xA0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 _ENCODE = """
 WITH RECURSIVE s AS (
-  SELECT word, pos, pos + 1 AS next, token, lead(token) OVER (PARTITION BY word ORDER BY pos) AS next_token, 0 AS depth FROM tokens
+  SELECT word, pos, token, next_token, 0::UTINYINT AS depth FROM tokens
+  UNION ALL
+  (WITH pairs AS (SELECT s.*, m.rank * 256 + pos AS k FROM s LEFT JOIN merges m ON m.pair = s.token * {size}::BIGINT + s.next_token),
+   best AS (SELECT word, (min(k) & 255)::UTINYINT AS place, (min(k) >> 8)::INTEGER AS merged FROM pairs WHERE k IS NOT NULL GROUP BY word)
+   SELECT word, (CASE WHEN pos > place THEN pos - 1 ELSE pos END)::UTINYINT,
+          CASE WHEN pos = place + 1 THEN merged ELSE token END,
+          CASE WHEN pos + 1 = place THEN merged ELSE next_token END, (depth + 1)::UTINYINT
+   FROM pairs JOIN best USING (word) WHERE pos <> place))
+SELECT word, pos, token FROM s JOIN (SELECT word, max(depth) AS depth FROM s WHERE pos = 0 GROUP BY word) USING (word, depth)
+"""
+# `before` is the place of the token to the left. Of each two candidates that share a token the left one is taken, and
+# what follows a candidate whose merge gives a pair of lower rank than its own waits
+_ENCODE_LONG = """
+WITH RECURSIVE s AS (
+  SELECT word, pos, before, token, next_token, 0 AS depth FROM tokens
   UNION ALL
-  (WITH pairs AS (
-     SELECT s.*, m.rank::BIGINT * 16777216 + pos AS k FROM s LEFT JOIN merges m ON m.pair = s.token::BIGINT * 65536 + s.next_token),
-   low AS (SELECT word, min(k) AS k, arg_min(next, k) AS gone FROM pairs WHERE k IS NOT NULL GROUP BY word),
-   best AS (
-     SELECT low.word, (k & 16777215)::INTEGER AS place, (k >> 24)::INTEGER AS merged, gone, s.next AS gone_next, s.next_token AS gone_next_token
-     FROM low JOIN s ON s.word = low.word AND s.pos = low.gone)
-   SELECT p.word, p.pos,
-          CASE WHEN p.pos = place THEN gone_next ELSE p.next END,
-          CASE WHEN p.pos = place THEN merged ELSE p.token END,
-          CASE WHEN p.pos = place THEN gone_next_token WHEN p.next = place THEN merged ELSE p.next_token END,
-          depth + 1
-   FROM pairs p JOIN best USING (word) WHERE p.pos <> gone))
-SELECT word, pos, token FROM s JOIN (SELECT word, max(depth) AS depth FROM s GROUP BY word) USING (word, depth) ORDER BY word, pos
+  (WITH pairs AS (SELECT s.*, m.rank FROM s LEFT JOIN merges m ON m.pair = s.token * {size}::BIGINT + s.next_token WHERE depth < {rounds}),
+   low AS (SELECT word, min(rank) AS rank FROM pairs WHERE rank IS NOT NULL GROUP BY word),
+   candidates AS (SELECT word, pos, before, rank, lag(pos) OVER w AS last FROM pairs JOIN low USING (word, rank) WINDOW w AS (PARTITION BY word ORDER BY pos)),
+   stretches AS (SELECT *, sum((last IS DISTINCT FROM before)::INTEGER) OVER (PARTITION BY word ORDER BY pos) AS stretch FROM candidates),
+   apart AS (SELECT word, pos, before, rank FROM stretches QUALIFY row_number() OVER (PARTITION BY word, stretch ORDER BY pos) % 2 = 1),
+   placed AS (SELECT *, lag(pos) OVER (PARTITION BY word ORDER BY pos) AS last FROM apart),
+   checked AS (
+     SELECT c.word, c.pos, c.before, c.rank, coalesce(ml.rank < c.rank, false) OR coalesce(mr.rank < c.rank, false) AS lower
+     FROM placed c
+     JOIN pairs second ON second.word = c.word AND second.before = c.pos
+     LEFT JOIN pairs l ON l.word = c.word AND l.pos = c.before
+     LEFT JOIN merges ml ON ml.pair = (CASE WHEN l.before = c.last THEN c.rank ELSE l.token END) * {size}::BIGINT + c.rank
+     LEFT JOIN merges mr ON mr.pair = c.rank * {size}::BIGINT + second.next_token),
+   chosen AS (SELECT word, pos, before, rank FROM checked QUALIFY NOT coalesce(bool_or(lower) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false))
+   SELECT p.word, p.pos, coalesce(mine.before, p.before), coalesce(mine.rank, p.token)::INTEGER, coalesce(right_one.rank, p.next_token)::INTEGER, p.depth + 1
+   FROM pairs p JOIN low ON p.word = low.word
+   LEFT JOIN chosen mine ON mine.word = p.word AND mine.pos = p.before
+   LEFT JOIN chosen right_one ON right_one.word = p.word AND right_one.before = p.pos
+   LEFT JOIN chosen gone ON gone.word = p.word AND gone.pos = p.pos
+   WHERE gone.word IS NULL))
+SELECT word, pos, before, token, next_token, depth FROM s JOIN (SELECT word, max(depth) AS depth FROM s GROUP BY word) USING (word, depth) ORDER BY word, pos
 """
 _DECODE = "SELECT word, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (token) GROUP BY word ORDER BY word"
 
@@ -54,95 +82,193 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f)}
 
 
+def _rows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word and place in it of each row, for words of `n` rows."""
+    return np.repeat(np.arange(len(n), dtype=np.int32), n), (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+
+
+def _groups(size: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of consecutive words with `most` rows together, about."""
+    if not len(size):
+        return []
+    cut = np.flatnonzero(np.diff((np.cumsum(size) - size) // most) > 0) + 1
+    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(size)]))
+
+
+def _binary(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Runs of `n` values each as a binary array."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int64) * values.itemsize), pa.py_buffer(values)])
+
+
+def _joined(cells: pa.Array, where: np.ndarray, spans: np.ndarray) -> pa.Array:
+    """The cells at `where`, joined in runs of `spans` cells each."""
+    t = cells.take(pa.array(where, pa.int64()))
+    at = np.frombuffer(t.buffers()[1], dtype=np.int64, count=len(t) + 1, offset=8 * t.offset) if len(t) else np.zeros(1, dtype=np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(spans), [None, pa.py_buffer(at[np.concatenate([[0], np.cumsum(spans)])]), t.buffers()[2] or pa.py_buffer(b"")])
+
+
 class Codec:
-    """One tokenizer in one Python worker: its merge table and vocabulary in an in-memory DuckDB."""
+    """One tokenizer in one Python worker: its merge table and vocabulary in an in-memory DuckDB, and the ids of parts of texts seen so far."""
 
     def __init__(self, path: str):
         import duckdb
         import regex
 
         self.ranks = read_ranks(path)
+        self.size, self.longest = max(self.ranks.values()) + 2, max(map(len, self.ranks))  # the last number stands for the end of a word
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.split = regex.compile(public_tokenizers.PATTERN.replace(r"\S", f"[^{_WHITE}]").replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]"))
-        pairs, rank = [], []
+        pair, rank = [], []
         for token, r in self.ranks.items():
             for k in range(1, len(token)):
                 if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None:
-                    pairs.append(a * 65536 + b)
+                    pair.append(a * self.size + b)
                     rank.append(r)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-")})
-        self.forget()
+        # bounded by ROWS and LONG_ROWS; nothing goes to a local disk
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
-        self._table("merges", {"pair": pa.array(pairs, pa.int64()), "rank": pa.array(rank, pa.int32())})
+        self._table("merges", {"pair": pa.array(pair, pa.int64()), "rank": pa.array(rank, pa.int64())})
         self._table("vocabulary", {"token": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
+        self.forget()
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("new_rows", pa.table(columns))
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM new_rows")
         self.db.unregister("new_rows")
 
-    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _run(self, sql: str, name: str, columns: dict) -> dict[str, np.ndarray]:
+        self.db.register(name, pa.table(columns))
+        rows = {k: np.asarray(v) for k, v in self.db.execute(sql).fetchnumpy().items()}
+        self.db.unregister(name)
+        return rows
+
+    def _tokens(self, words: list[bytes]) -> dict[str, np.ndarray]:
+        word, pos = _rows(np.array([len(w) for w in words]))
+        token = self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        follows = np.append(word[1:] == word[:-1], False)
+        return {"word": word, "pos": pos, "token": token, "next_token": np.where(follows, np.append(token[1:], 0), self.size - 1).astype(np.int32)}
+
+    def _short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        tokens = self._tokens(words)
+        tokens["pos"] = tokens["pos"].astype(np.uint8)
+        rows = self._run(_ENCODE.format(size=self.size), "tokens", tokens)
+        order = np.argsort(rows["word"].astype(np.int64) * 256 + rows["pos"])
+        return rows["token"][order].astype(np.int32), np.bincount(rows["word"], minlength=len(words))
+
+    def _long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        tokens = self._tokens(words)
+        tokens["before"] = tokens["pos"] - 1
+        done: list[dict] = []
+        while len(tokens["word"]):
+            rounds = max(2, min(64, LONG_ROWS // len(tokens["word"])))
+            rows = self._run(_ENCODE_LONG.format(size=self.size, rounds=rounds), "tokens", tokens)
+            ended = rows["depth"] < rounds
+            done.append({k: rows[k][ended] for k in ("word", "pos", "token")})
+            tokens = {k: rows[k][~ended] for k in ("word", "pos", "before", "token", "next_token")}
+        word, pos, token = (np.concatenate([d[k] for d in done]) for k in ("word", "pos", "token"))
+        order = np.lexsort((pos, word))
+        return token[order].astype(np.int32), np.bincount(word, minlength=len(words))
+
+    def _cuts(self, word: bytes) -> list[bytes]:
+        """The word in pieces that no merge can join: no token of the vocabulary stands across a cut."""
+        out, begin, reach = [], 0, 0
+        for i in range(len(word)):
+            if i and i >= reach:
+                out.append(word[begin:i])
+                begin = i
+            reach = max(reach, next((i + n for n in range(min(self.longest, len(word) - i), 1, -1) if word[i : i + n] in self.ranks), i + 1))
+        return [*out, word[begin:]]
+
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, one after the other, and the number of each. A word that is itself a token is that token."""
-        whole = np.array([self.ranks.get(w, -1) for w in words], dtype=np.int32)
-        todo = np.flatnonzero(whole < 0)
-        n, flat = np.ones(len(words), dtype=np.int64), []
-        for a in range(0, len(todo), WORDS_PER_QUERY):
-            part = [words[k] for k in todo[a : a + WORDS_PER_QUERY].tolist()]
-            size = np.array([len(w) for w in part], dtype=np.int64)
-            word, pos = _rows(size)
-            self.db.register("tokens", pa.table({"word": word, "pos": pos, "token": self.byte[np.frombuffer(b"".join(part), dtype=np.uint8)]}))
-            rows = self.db.execute(_ENCODE).fetchnumpy()
-            self.db.unregister("tokens")
-            n[todo[a : a + WORDS_PER_QUERY]] = np.bincount(rows["word"], minlength=len(part))
-            flat.append(np.asarray(rows["token"], dtype=np.int32))
-        out = np.empty(int(n.sum()), dtype=np.int32)
-        single = np.zeros(len(out), dtype=bool)
-        at = np.cumsum(n) - n
-        single[at[whole >= 0]] = True
-        out[single] = whole[whole >= 0]
-        if flat:
-            out[~single] = np.concatenate(flat)
-        return out, n
-
-    def _expand(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
+        pieces, of = [], []
+        for k, w in enumerate(words):
+            mine = [w] if len(w) <= LONG or w in self.ranks else self._cuts(w)
+            pieces += mine
+            of += [k] * len(mine)
+        of, size = np.array(of, dtype=np.int64), np.array([len(p) for p in pieces], dtype=np.int64)
+        whole = np.array([self.ranks.get(w, -1) for w in words], dtype=np.int32)[of]
+        single = np.flatnonzero(whole >= 0)
+        flat, counts, order = [whole[single]], [np.ones(len(single), dtype=np.int64)], [single]
+        for query, long in ((self._short, False), (self._long, True)):
+            mine = np.flatnonzero((whole < 0) & ((size > LONG) == long))
+            for a, b in _groups(size[mine], ROWS):
+                ids, n = query([pieces[k] for k in mine[a:b].tolist()])
+                flat.append(ids)
+                counts.append(n)
+                order.append(mine[a:b])
+        by = np.argsort(np.concatenate(order))
+        n, flat = np.concatenate(counts), np.concatenate(flat)
+        begin, n = (np.cumsum(n) - n)[by], n[by]
+        ids = flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(flat))]
+        return ids, np.bincount(of, weights=n, minlength=len(words)).astype(np.int64)
+
+    def expand(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
         """Bytes of each sequence of ids; `n` has their lengths."""
         out: list[bytes] = []
-        ends = np.cumsum(n)
-        for a in range(0, len(n), WORDS_PER_QUERY):
-            size = n[a : a + WORDS_PER_QUERY]
-            word, pos = _rows(size)
-            stop = int(ends[min(a + WORDS_PER_QUERY, len(n)) - 1])
-            self.db.register("ids", pa.table({"word": word, "pos": pos, "token": ids[stop - int(size.sum()) : stop]}))
+        ends = np.concatenate([[0], np.cumsum(n)])
+        for a, b in _groups(n, ROWS):
+            word, pos = _rows(n[a:b])
+            self.db.register("ids", pa.table({"word": word, "pos": pos, "token": ids[ends[a] : ends[b]]}))
             rows = self.db.execute(_DECODE).fetchall()
             self.db.unregister("ids")
-            assert len(rows) == len(size), "a word without ids, or an id outside the vocabulary"
+            assert len(rows) == b - a, "a word without ids, or an id outside the vocabulary"
             out += [bytes.fromhex(h) for _, h in rows]
         return out
 
-    def learn(self, words: list[bytes]) -> np.ndarray:
-        """Slots of the words: where `flat`, `begin` and `count` have their ids, and `back` what those ids stand for. Words seen before keep their slots."""
-        if len(self.slots) + len(words) > KEPT_WORDS:
-            self.forget()
-        new = [w for w in words if w not in self.slots]
-        if new:
-            ids, n = self._contract(new)
-            for w, b in zip(new, self._expand(ids, n)):
-                self.slots[w] = len(self.slots)
-                self.back.append(w if w == b else b)
-            self.begin = np.concatenate([self.begin, np.cumsum(n) - n + len(self.flat)])
-            self.count = np.concatenate([self.count, n])
-            self.flat = np.concatenate([self.flat, ids])
-        return np.array([self.slots[w] for w in words], dtype=np.int64)
+    def encode_parts(self, parts: list[bytes]) -> tuple[pa.Array, pa.Array]:
+        """Ids (as bytes of 32-bit integers) of each part, and what they stand for."""
+        data, size = np.frombuffer(b"".join(parts), dtype=np.uint8), np.array([len(p) for p in parts], dtype=np.int64)
+        first = np.cumsum(size) - size
+        others = np.concatenate([[0], np.cumsum(~_LATIN[data], dtype=np.int32)])
+        # a space and Latin letters are one match of the pattern
+        latin = others[first + size] == others[first + (data[first] == 0x20)] if len(parts) else np.zeros(0, dtype=bool)
+        words: dict[bytes, int] = {}
+        where, spans = [], np.ones(len(parts), dtype=np.int64)
+        for k, (part, plain) in enumerate(zip(parts, latin.tolist())):
+            if plain and part[part[0] == 32 :].decode("utf-8").isalpha():
+                where.append(words.setdefault(part, len(words)))
+            else:
+                mine = self.split.findall(part.decode("utf-8"))
+                spans[k] = len(mine)
+                where += [words.setdefault(w.encode("utf-8"), len(words)) for w in mine]
+        ids, n = self.contract(list(words))
+        back = pa.array(self.expand(ids, n), pa.large_binary())
+        where = np.array(where, dtype=np.int64)
+        return _joined(_binary(ids, n), where, spans), _joined(back, where, spans)
+
+    def look_up(self, raw: bytes, start: np.ndarray, end: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """Ids, bytes they stand for, and the place of each of the given parts in those two. `key` is ascending but for parts at the end whose key another part has too."""
+        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        hit = (self.key[at] == key) & (self.check[at] == check) if len(self.key) else np.zeros(len(key), dtype=bool)
+        new = np.flatnonzero(~hit)
+        cells = self.encode_parts([raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())])
+        ids, back = (pa.concat_arrays([x, y]) for x, y in zip(self.cells, cells))
+        slot = np.empty(len(key), dtype=np.int64)
+        slot[hit] = at[hit]
+        slot[new] = len(self.key) + np.arange(len(new))
+        self.times[at[hit]] += 1
+        keep = np.ones(len(new), dtype=bool)  # short parts whose key is theirs alone are kept
+        keep &= (end - start)[new] <= LONG
+        keep[1:] &= key[new][1:] != key[new][:-1]
+        if len(self.key):
+            keep &= self.key[at[new]] != key[new]
+        mine = np.concatenate([np.arange(len(self.key)), len(self.key) + np.flatnonzero(keep)])
+        keys, checks, times = np.concatenate([self.key, key[new[keep]]]), np.concatenate([self.check, check[new[keep]]]), np.concatenate([self.times, np.zeros(int(keep.sum()), dtype=np.int32)])
+        if len(keys) > KEPT_PARTS:  # the half that was met in fewer batches goes
+            stay = np.sort(np.argsort(-times, kind="stable")[: KEPT_PARTS // 2])
+            keys, checks, times, mine = keys[stay], checks[stay], times[stay] // 2, mine[stay]
+        by = np.argsort(keys, kind="stable")
+        self.key, self.check, self.times = keys[by], checks[by], times[by]
+        mine = pa.array(mine[by])
+        self.cells = (ids.take(mine), back.take(mine))
+        return ids, back, slot
 
     def forget(self) -> None:
-        self.slots: dict[bytes, int] = {}
-        self.back: list[bytes] = []
-        self.begin, self.count, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
-
-
-def _rows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word and place in it of each row, for words of `n` rows."""
-    return np.repeat(np.arange(len(n), dtype=np.int32), n), (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        none = pa.array([], pa.large_binary())
+        self.key, self.check, self.times = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+        self.cells = (none, none)
 
 
 _CODECS: dict[str, Codec] = {}
@@ -154,65 +280,67 @@ def _codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def _pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Kinds of ASCII bytes that the pattern parts: letters, digits, other signs but the apostrophe.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[33:127] = 1
+_KIND[[*range(65, 91), *range(97, 123)]] = 2
+_KIND[48:58] = 3
+_KIND[0x27] = 0
+#: Bytes of ASCII and Latin letters up to U+027F.
+_LATIN = np.zeros(256, dtype=bool)
+_LATIN[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = True
+
+
+def _parts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of parts that the pattern never matches across.
 
-    Cuts stand before a single space between two bytes that aren't white space.
-    The next byte must not open a wider white-space character, as those may
-    belong to the same run as the space.
+    Cuts stand before a single space between two bytes that aren't white space,
+    and between ASCII letters, digits and other signs. The byte after such a
+    space must not open a wider white-space character, as those may belong to
+    the same run as the space; and an apostrophe may open a match with the
+    letters that follow, so no cut stands beside it.
     """
     wide = K.SPACE.copy()
     wide[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+    kind = _KIND[data]
     cut = np.zeros(len(data) + 1, dtype=bool)
     if len(data) > 2:
-        cut[1:-2] = (data[1:-1] == 0x20) & ~K.SPACE[data[:-2]] & ~wide[data[2:]]
+        cut[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        cut[1:-2] |= (data[1:-1] == 0x20) & ~K.SPACE[data[:-2]] & ~wide[data[2:]]
     cut[at] = True
     start = np.flatnonzero(cut[:-1])
     end = np.append(start[1:], len(data)) if len(start) else start
     return start, end, np.searchsorted(at, start, side="right") - 1
 
 
-def tokenize(texts: pa.Array, codec: Codec) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Ids of all whole texts (null: empty), one after the other; the number of each; and the bytes that each text's ids stand for."""
+def _tokenized(texts: pa.Array, codec: Codec) -> tuple[pa.Array, pa.Array]:
+    """Ids (as bytes of 32-bit integers) of each whole text (null: empty), and the bytes they stand for."""
     data, at = K.buffer(texts)
-    start, end, row = _pieces(data, at)
-    if not len(start):
-        return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64), [b""] * len(texts)
+    start, end, row = _parts(data, at)
     # equal parts are encoded once; a second hash is compared too, and a part that differs in it goes by itself
-    _, first, inverse = np.unique(K.hashes(data, start, end, K.SAME), return_index=True, return_inverse=True)
+    key, first, inverse = np.unique(K.hashes(data, start, end, K.SAME), return_index=True, return_inverse=True)
     second = K.hashes(data, start, end, K.SAME, which=1)
     odd = np.flatnonzero(second != second[first][inverse])
     if len(odd):
-        first, inverse = np.append(first, odd), inverse.copy()
-        inverse[odd] = np.arange(len(first) - len(odd), len(first))
-    del second
-    raw = data.tobytes()
-    words: dict[str, int] = {}
-    where, spans = [], np.ones(len(first), dtype=np.int64)
-    for k, (a, b) in enumerate(zip(start[first].tolist(), end[first].tolist())):
-        part = raw[a:b].decode("utf-8")
-        if part.isascii() and part[part[0] == " " :].isalpha():  # letters alone, with or without a space: one match of the pattern
-            where.append(words.setdefault(part, len(words)))
-        else:
-            mine = codec.split.findall(part)
-            spans[k] = len(mine)
-            where += [words.setdefault(w, len(words)) for w in mine]
-    del raw
-    slot = codec.learn([w.encode("utf-8") for w in words])[np.array(where, dtype=np.int64)]
-    del words, where
-    # words to parts
-    n = codec.count[slot]
-    part_ids = codec.flat[np.repeat(codec.begin[slot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-    upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(spans)])]
-    begin, size = upto[:-1], np.diff(upto)
-    names, ends = slot.tolist(), np.cumsum(spans).tolist()
-    back = [b"".join([codec.back[k] for k in names[e - c : e]]) for c, e in zip(spans.tolist(), ends)]
-    # parts to texts
-    per = size[inverse]
-    ids = part_ids[np.repeat(begin[inverse] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()), dtype=np.int64)]
-    total = np.bincount(row, weights=per, minlength=len(texts)).astype(np.int64)
-    bounds = np.searchsorted(row, np.arange(len(at))).tolist()
-    return ids, total, [b"".join([back[k] for k in inverse[a:b].tolist()]) for a, b in zip(bounds[:-1], bounds[1:])]
+        inverse = inverse.copy()
+        inverse[odd] = len(first) + np.arange(len(odd))
+        key, first = np.append(key, key[np.searchsorted(key, K.hashes(data, start[odd], end[odd], K.SAME))]), np.append(first, odd)
+    ids, back, slot = codec.look_up(data.tobytes(), start[first], end[first], key, second[first])
+    spans = np.bincount(row, minlength=len(texts))
+    return _joined(ids, slot[inverse], spans), _joined(back, slot[inverse], spans)
+
+
+def _flat(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of an array of their bytes, and the bounds of each cell in them."""
+    at = np.frombuffer(ids.buffers()[1], dtype=np.int64, count=len(ids) + 1) // 4
+    return np.frombuffer(ids.buffers()[2], dtype=np.int32, count=int(at[-1])), at
+
+
+def tokenize(texts: pa.Array, codec: Codec) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids of all whole texts (null: empty), one after the other; the number of each; and the bytes that each text's ids stand for."""
+    ids, back = _tokenized(texts, codec)
+    flat, at = _flat(ids)
+    return flat, np.diff(at), back.to_pylist()
 
 
 def encode_decode(docs: DataFrame, text: str = "text", *, path: str | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -220,7 +348,7 @@ def encode_decode(docs: DataFrame, text: str = "text", *, path: str | None = Non
 
     `path` names a rank file that each executor can read. Each match of
     `public_tokenizers.PATTERN` is encoded by itself, without special tokens. A larger `batch_bytes` encodes fewer
-    words twice and holds more memory. Null counts as the
+    parts twice and holds more memory. Null counts as the
     empty text, which has no ids. Other columns and repeated rows stay; columns
     `ids` and `decoded` of the input give way.
     """
@@ -232,14 +360,15 @@ def encode_decode(docs: DataFrame, text: str = "text", *, path: str | None = Non
         codec = _codec(path)
         for whole in batches:
             for part in K.batches([whole], rows=65_536, size=batch_bytes):
-                ids, n, decoded = tokenize(part.column(text), codec)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(decoded, pa.binary())], [*part.schema.names, "ids", "decoded"])
+                ids, back = _tokenized(part.column(text), codec)
+                flat, at = _flat(ids)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat)), back.cast(pa.binary())], [*part.schema.names, "ids", "decoded"])
 
     return docs.mapInArrow(run, schema)
 
 
 def op9_duckdb_bpe(spark, sf_dir: str) -> DataFrame:
+    """All documents: number of ids of the whole text, digest of the ids, digest of the bytes that they decode to. Null counts as empty: no ids, and the digests of nothing."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = encode_decode(docs)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -17,7 +17,7 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, size=(2, 256), dtype=np.int64).astype(_U64) | _U64(1)
 _BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _INV = tuple(pow(b, -1, 2**64) for b in _BASE)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 _POW: list[tuple[np.ndarray, np.ndarray]] = []
 
 

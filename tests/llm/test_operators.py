@@ -208,11 +208,57 @@ def test_bpe(odd, none):
     ids, n, back = bpe.tokenize(pa.array(strange), bpe.Codec(path))
     assert [i.tolist() for i in np.split(ids, np.cumsum(n)[:-1])] == [enc.encode_ordinary(t or "") for t in strange]
     assert back == [(t or "").encode() for t in strange]
+    rng = random.Random(8)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    # long matches: random ones, ones of word parts, runs of one sign, few letters with many overlapping pairs
+    long = [letters(100_000, "abcdefghijklmnopqrstuvwxyz"), letters(30_000, ["ing", "tion", "the", "and", "er", "a"]), "a" * 50_000, " " * 20_000 + "x", letters(3_000, "abAB"), "=-" * 2_000, "日本語の文章" * 300, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(2_000))]
+    ids, n, back = bpe.tokenize(pa.array(long), bpe.Codec(path))
+    assert [i.tolist() for i in np.split(ids, np.cumsum(n)[:-1])] == [enc.encode_ordinary(t) for t in long] and back == [t.encode() for t in long]
     out = bpe.encode_decode(odd).collect()
     assert all(r.ids == enc.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode() for r in out) and len(out) == len(ODD)
     assert bpe.encode_decode(none).count() == 0
 
 
+def test_bpe_of_other_ranks(tmp_path):
+    """Ranks beyond 65,536, and merges that give pairs of lower rank than their own; few parts kept."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    rng = random.Random(4)
+    for trial in range(6):
+        tokens = [bytes([i]) for i in range(256)]
+        grown = set(tokens)
+        while len(grown) < 400:
+            grown.add(rng.choice(short := sorted(t for t in grown if set(t) <= set(b"abc") and len(t) < 30)) + rng.choice(short))
+        more = sorted(t for t in grown if len(t) > 1)
+        rng.shuffle(more)
+        ranks = {t: i for i, t in enumerate(tokens)} | {t: 256 + i * (1 if trial % 2 else 700) for i, t in enumerate(more)}
+        path = tmp_path / f"{trial}.tiktoken"
+        path.write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in ranks.items()))
+        enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)
+        codec = bpe.Codec(str(path))
+        texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 400))) for _ in range(60)]
+        for _ in range(2):
+            ids, n, _ = bpe.tokenize(pa.array(texts), codec)
+            assert [i.tolist() for i in np.split(ids, np.cumsum(n)[:-1])] == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_keeps_few_parts(monkeypatch):
+    import public_tokenizers
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "KEPT_PARTS", 50)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    codec, rng = bpe.Codec(path), random.Random(5)
+    for _ in range(12):
+        texts = [" ".join(rng.choice(["the", "x1", "don't", f"w{rng.randrange(99)}"]) for _ in range(40)) for _ in range(5)]
+        ids, n, _ = bpe.tokenize(pa.array(texts), codec)
+        assert [i.tolist() for i in np.split(ids, np.cumsum(n)[:-1])] == [enc.encode_ordinary(t) for t in texts] and len(codec.key) <= 50
+
+
 def test_surrogates(spark, odd, none):
     key = b"k"
     assert sorted(pii.permute(x, 1000, key, b"t") for x in range(1000)) == list(range(1000))
