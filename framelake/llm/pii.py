@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import BROADCAST_BYTES, settle
+from .common import BROADCAST_BYTES, private_name, settle
 
 #: What is looked for, in order of precedence where two overlap.
 PATTERNS = {
@@ -36,7 +36,7 @@ PATTERNS = {
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip6": r"(?<![\w:.])[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:.]{0,40}(?!\w)",  # checked by `detect`
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
-    "card": r"(?<![\d\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?![\d\-])",
+    "card": r"(?<![\d\-+])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?![\d\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}|\+\d{9,15}|\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]\d{1,4}){1,6}|0\d(?:[ .\-]\d\d){4})(?![\w\-])",
     "name": r"(?<=\b(?:Mr|Ms|Dr|Sr|Hr)\. )(?:[^\W\d_]+[ ]?){1,3}|(?<=\b(?:Mrs|Sra|Fra)\. )(?:[^\W\d_]+[ ]?){1,3}|(?<=\b(?:Herr|Frau|Mme\.) )(?:[^\W\d_]+[ ]?){1,3}",
@@ -60,6 +60,9 @@ _CLASS_OF = {c: k for k in _CLASSES for c in k}
 _HEX = {"0123456789abcdef": set("0123456789abcdef"), "0123456789ABCDEF": set("0123456789ABCDEF")}
 
 
+#: Address blocks of their own kind (private, shared, loopback, link-local, multicast and such): a surrogate stays in its block (fixed values).
+_BLOCKS = [ipaddress.ip_network(n) for n in ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "224.0.0.0/4", "240.0.0.0/4", "fc00::/7", "fe80::/10", "ff00::/8")]
+
 #: From this attempt on a format counts as full and its surrogates get longer, by one character each time.
 FULL = 4
 
@@ -86,6 +89,24 @@ def luhn(digits: str) -> bool:
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
 
+def _address(value: str, key: bytes, attempt: int) -> str:
+    """An address of the same block, or of none as the given one; once the block counts as full, any."""
+    old = ipaddress.ip_address(value)
+    blocks = [b for b in _BLOCKS if b.version == old.version] if attempt < FULL else []
+    if (block := next((b for b in blocks if old in b), None)) is not None:
+        low = int(block.network_address)
+        return str(type(old)(low + permute(int(old) - low, block.num_addresses, key, str(block).encode())))
+    new = old
+    while new is old or any(new in b for b in blocks):
+        new = type(old)(permute(int(new), 1 << old.max_prefixlen, key, b"ip%d" % old.version))
+    return str(new)
+
+
+def _iban_valid(value: str) -> bool:
+    """Whether the check digits hold: the number with letters as 10 to 35, country and check digits last, is 1 modulo 97."""
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+
+
 def _format_permute(value: str, key: bytes, kind: str) -> str:
     """The value with every letter and digit moved within its class; what stands in no class, and the format, stay."""
     hexa = next((k for k, s in _HEX.items() if kind == "secret" and set(value) <= s), None)
@@ -133,14 +154,8 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
 
 def _permuted(kind: str, value: str, key: bytes, attempt: int) -> str:
     key = hmac.new(key, f"{kind}|{attempt}".encode(), hashlib.sha256).digest()
-    if kind == "ip" and ":" in value:
-        return str(ipaddress.IPv6Address(permute(int(ipaddress.IPv6Address(value)), 1 << 128, key, b"ip6")))
     if kind == "ip":
-        x = 0
-        for octet in value.split("."):
-            x = x * 256 + int(octet)
-        x = permute(x, 1 << 32, key, b"ip")
-        return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+        return _address(value, key, attempt)
     if kind == "card":
         digits = re.sub(r"\D", "", value)
         if luhn(digits):
@@ -157,7 +172,13 @@ def _permuted(kind: str, value: str, key: bytes, attempt: int) -> str:
         name, dot, top = domain.rpartition(".")
         return _format_permute(f"{local}@{name}", key, f"email.{top}") + dot + top
     if kind == "iban":
-        return value[:2] + _format_permute(value[2:], key, f"iban{value[:2]}")
+        if _iban_valid(value):
+            new = _format_permute(value[4:], key, f"iban{value[:2]}")
+            return next(x for x in (f"{value[:2]}{c:02d}{new}" for c in range(2, 99)) if _iban_valid(x))
+        new = value[:2] + _format_permute(value[2:], key, f"number{value[:2]}")
+        while _iban_valid(new):
+            new = value[:2] + _format_permute(new[2:], key, f"number{value[:2]}")
+        return new
     if kind == "name":
         words = []
         for w in value.split(" "):
@@ -224,6 +245,22 @@ def detect(text: str) -> Iterator[tuple[int, int, str, str]]:
         yield m.start(), m.start() + len(value), kind, value
 
 
+def mentions(text: str) -> list[tuple[int, int, str, str, int | None]]:
+    """What `detect` finds, and every other mention of a name found by its title: the whole of it, or the last of two words. The fifth field is the word that a mention is of its name."""
+    found = [(*x, None) for x in detect(text)]
+    names = {v for _, _, kind, v, _ in found if kind == "name"}
+    forms = {v: (v, None) for v in names}
+    for v in sorted(names):
+        if v.count(" ") == 1:
+            forms.setdefault(v.split(" ")[1], (v, 1))
+    if not forms:
+        return found
+    again, spans = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(forms, key=len, reverse=True))) + r")(?!\w)"), []
+    for (_, a, *_), (b, *_) in zip([(0, 0), *found], [*found, (len(text),)]):
+        spans += [(m.start(), m.end(), "name", *forms[m.group()]) for m in again.finditer(text, a, b) if m.end() <= b]
+    return sorted([*found, *spans])
+
+
 #: Every entity has a digit, an at sign or one of these in its line.
 _MARKS = [b"Mr. ", b"Ms. ", b"Dr. ", b"Sr. ", b"Hr. ", b"Mrs. ", b"Sra. ", b"Fra. ", b"Mme. ", b"Herr ", b"Frau ", b"AKIA", b"gh", b"sk-"]
 _SIGN = np.zeros(256, dtype=bool)
@@ -300,13 +337,15 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFra
     """`docs` with every entity of `text` replaced, plus `entities` (array of type, start and length in the new text).
 
     Equal entities get equal surrogates in all documents; different ones get
-    different ones. Null texts stay null and empty ones empty, with no
+    different ones. Within a document a name that stands after a title is
+    replaced where it stands without one too. Null texts stay null and empty ones empty, with no
     entities; repeated rows stay equal. A column `entities` of the input gives
     way. The few entities that had to move are sent to all tasks while they
     fit in BROADCAST_BYTES, and joined to the texts that hold them otherwise.
     """
     spark = docs.sparkSession
     docs = docs.drop("entities")
+    moved_at, text_key = private_name(docs, "moved"), private_name(docs, "text_key")
     moved = settle(moved_entities(docs, key, text), "moved")
     size = moved.agg(F.sum(F.octet_length("entity") + 40)).first()[0] or 0
     found = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
@@ -315,12 +354,12 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFra
 
     def rewrite(t: str, attempts: dict, cache: dict) -> tuple[str, list]:
         out, spans, done, length = [], [], 0, 0
-        for a, b, kind, value in detect(t):
+        for a, b, kind, value, word in mentions(t):
             name = canonical(kind, value)
             new = cache.get((kind, name))
             if new is None:
                 new = cache[kind, name] = surrogate(kind, name, key, attempts.get((kind, name), 0))
-            new = laid_over(kind, value, new)
+            new = laid_over(kind, value, new) if word is None else new.split(" ")[-1]
             out += [t[done:a], new]
             length += a - done
             spans.append({"type": kind, "start": length, "length": len(new)})
@@ -333,7 +372,7 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFra
             for part in K.batches([whole]):
                 cache: dict = {}
                 held = np.flatnonzero(holding(part.column(text)))
-                moves = part.column("_moved").take(pa.array(held)).to_pylist() if "_moved" in part.schema.names else [None] * len(held)
+                moves = part.column(moved_at).take(pa.array(held)).to_pylist() if moved_at in part.schema.names else [None] * len(held)
                 done = [rewrite(t, attempts(r), cache if shared else {}) for t, r in zip(part.column(text).take(pa.array(held)).to_pylist(), moves)]
                 new, spans = part.column(text), [[] for _ in range(part.num_rows)]
                 if len(held):  # only the texts that change are built anew
@@ -342,15 +381,15 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFra
                     new = pc.replace_with_mask(new, pa.array(mask), pa.array([t for t, _ in done], new.type))
                     for k, (_, s) in zip(held.tolist(), done):
                         spans[k] = s
-                columns = [new if n == text else c for c, n in zip(part.columns, part.schema.names) if n != "_moved"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind_of)], [*(n for n in part.schema.names if n != "_moved"), "entities"])
+                columns = [new if n == text else c for c, n in zip(part.columns, part.schema.names) if n != moved_at]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind_of)], [*(n for n in part.schema.names if n != moved_at), "entities"])
 
     if size <= BROADCAST_BYTES // 4:
         cell = spark.sparkContext.broadcast({(r.kind, r.entity): r.attempt for r in moved.collect()})
         return docs.mapInArrow(lambda batches: run(batches, lambda r: cell.value, True), schema)
     held = docs.select(F.md5(text).alias("_key"), F.col(text).alias("text")).mapInArrow(_held, "_key string, kind string, entity string").distinct()
-    held = held.join(moved, ["kind", "entity"]).groupBy("_key").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_moved"))
-    with_moved = docs.withColumn("_key", F.md5(text)).join(held, "_key", "left").drop("_key")
+    held = held.join(moved, ["kind", "entity"]).groupBy(F.col("_key").alias(text_key)).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias(moved_at))
+    with_moved = docs.withColumn(text_key, F.md5(text)).join(held, text_key, "left").drop(text_key)
     return with_moved.mapInArrow(lambda batches: run(batches, lambda r: {(x["kind"], x["entity"]): x["attempt"] for x in r or []}, False), schema)
 
 
@@ -363,7 +402,7 @@ def _held(batches):
 
 
 def op7_surrogates(spark, sf_dir: str) -> DataFrame:
-    """All documents with surrogates for what was detected, how much that was and of which types."""
+    """All documents with surrogates for what was detected, how much that was and of which types. A null text stays null, with a null digest and no entities."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = replace_entities(docs, key=b"framelake demonstration key")
     return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), F.array_sort(F.array_distinct(F.col("entities.type"))).alias("types"), F.sha2("text", 256).alias("text_sha256"), "text")

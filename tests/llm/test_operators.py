@@ -282,6 +282,27 @@ def test_colliding_surrogates_move(spark):
     assert [(r.entity, r.attempt) for r in pii.moved_entities(df, key).collect()] == [("9.9.9.9", 1)]
 
 
+def test_names_and_classes(spark):
+    """Other mentions of a name get its surrogate; valid IBANs stay valid and others not; addresses stay in their blocks."""
+    import ipaddress
+
+    key = b"k"
+    texts = ["Mr. Alex Smith called. Alex Smith left, and Smith's dog; Smithson stayed. Mr. Smith", "no title: Alex Smith"]
+    a, b = (r.text for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key).orderBy("doc_id").collect())
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) called\. (\w+ \w+) left, and (\w+)'s dog; Smithson stayed\. Mr\. (\w+)", a)
+    assert m and m[3] == f"{m[1]} {m[2]}" and m[2] == m[4] == m[5] != "Smith" and m[1] != "Alex" and b == texts[1]
+    rng = random.Random(3)
+    for _ in range(200):
+        bban = "".join(rng.choice("0123456789") for _ in range(18))
+        right = next(x for x in (f"DE{c:02d}{bban}" for c in range(2, 99)) if pii._iban_valid(x))
+        wrong = f"DE{(int(right[2:4]) + 1) % 97 + 2:02d}{bban}"
+        assert pii._iban_valid(pii.surrogate("iban", right, key)) and pii._iban_valid(pii.surrogate("iban", wrong, key)) == pii._iban_valid(wrong)
+    for v in ("192.168.1.4", "127.0.0.1", "10.0.0.7", "8.8.8.8", "169.254.3.3", "fe80::1", "2001:db9::5"):
+        old, new = ipaddress.ip_address(v), ipaddress.ip_address(pii.surrogate("ip", v, key))
+        assert old != new and [old in n for n in pii._BLOCKS] == [new in n for n in pii._BLOCKS]
+    assert [x[2:] for x in pii.detect("+4915112345678")] == [("phone", "+4915112345678")]
+
+
 def test_full_formats(spark):
     """More entities than their formats have room for: all names of the lists, all two-letter ones, letters of no class, one-letter names and addresses."""
     names = [n for v in pii.GIVEN.values() for n in v] + [c + "i" for c in "BCDFGHJKLMNPQRSTVWXYZ"] + ["A", "B", "Łł", "Ø"]
