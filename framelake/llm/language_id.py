@@ -21,10 +21,10 @@ from . import kernels as K
 
 #: Hashed features.
 BITS = 17
-#: Bounds on the sample that a model is fitted on: documents of each language, pieces of each document, words of each piece.
-DOCS_PER_LANG, PIECES, PIECE_WORDS = 500, 32, 24
-#: Words that one stretch of the chain decides, and words it sees on either side of them.
-STRETCH, CONTEXT = 128, 16
+#: Bounds on the sample that a model is fitted on: documents of each language, pieces of each document, words of each piece, bytes of each word.
+DOCS_PER_LANG, PIECES, PIECE_WORDS, WORD_BYTES = 500, 32, 24, 64
+#: Words of a chain that are worked on side by side with other stretches; what goes from one stretch to the next is exact.
+STRETCH = 128
 
 _LETTERS = np.ones(256, dtype=bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -60,34 +60,74 @@ def _sums(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(owner, weights=values[:, k], minlength=n) for k in range(values.shape[1])], axis=1)
 
 
-def forward_backward(emit: np.ndarray, real: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals (B, T, K), pair marginals summed over all steps (K, K) and log partition (B) of B chains; `real` marks their words, which come first."""
+def forward_backward(emit: np.ndarray, real: np.ndarray, trans: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None, *, learn: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals (B, T, K), pair marginals summed over all steps (K, K) and log partition (B) of B chains; `real` marks their words, which come first.
+
+    `before` (B, K) weighs the first word's labels by the words before it, and
+    `after` the last word's by those after it, where a chain is part of a longer one.
+    Without `learn` the pair marginals stay 0.
+    """
     B, steps, k = emit.shape
     e = np.exp(emit - emit.max(axis=2, keepdims=True))
     m = np.exp(trans)
     alpha, scale = np.empty_like(e), np.ones((B, steps))
-    alpha[:, 0] = e[:, 0]
+    alpha[:, 0] = e[:, 0] if before is None else e[:, 0] * before
     for t in range(steps):
         if t:
             alpha[:, t] = np.where(real[:, t, None], (alpha[:, t - 1] @ m) * e[:, t], alpha[:, t - 1])
         scale[:, t] = alpha[:, t].sum(axis=1)
         alpha[:, t] /= scale[:, t, None]
-    beta = np.ones((B, k))
+    beta = np.ones((B, k)) if after is None else after
     marginal, pairs = np.empty_like(e), np.zeros((k, k))
     for t in range(steps - 1, -1, -1):
         marginal[:, t] = alpha[:, t] * beta
         marginal[:, t] /= marginal[:, t].sum(axis=1, keepdims=True)
         if t:
             right = e[:, t] * beta
-            joint = (alpha[:, t - 1, :, None] * right[:, None, :]) * m
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
-            pairs += (joint * real[:, t, None, None]).sum(axis=0)
+            if learn:
+                joint = (alpha[:, t - 1, :, None] * right[:, None, :]) * m
+                joint /= joint.sum(axis=(1, 2), keepdims=True)
+                pairs += (joint * real[:, t, None, None]).sum(axis=0)
             back = right @ m.T
             beta = np.where(real[:, t, None], back / back.sum(axis=1, keepdims=True), beta)
     log_z = (np.log(scale) * real).sum(axis=1) + (emit.max(axis=2) * real).sum(axis=1)
     return marginal, pairs, log_z
 
 
+def _stretch_products(emit: np.ndarray, real: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Of each stretch, the product (K, K) of its steps but for the transition into it, up to a factor."""
+    e, m = np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(trans)
+    out = np.eye(emit.shape[2]) * e[:, 0, None, :]
+    for t in range(1, emit.shape[1]):
+        step = (out @ m) * e[:, t, None, :]
+        out = np.where(real[:, t, None, None], step / step.sum(axis=(1, 2), keepdims=True), out)
+    return out
+
+
+def _messages(emit, real, trans: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the words before and after each stretch say of its first and last word. Stretches of one `chain` follow each other; `emit` and `real` give the scores and words of those asked for."""
+    n, k = len(chain), len(trans)
+    before, after = np.ones((n, k)), np.ones((n, k))
+    joined = np.flatnonzero(chain[1:] == chain[:-1])
+    if not len(joined):
+        return before, after
+    many = np.unique(np.concatenate([joined, joined + 1]))
+    products, m = np.empty((n, k, k)), np.exp(trans)
+    for a in range(0, len(many), 4_096):
+        x = many[a : a + 4_096]
+        products[x] = _stretch_products(emit(x), real(x), trans)
+    # the k-th stretches of all chains go together
+    place = np.arange(n) - np.searchsorted(chain, chain)
+    order = np.argsort(place[joined], kind="stable")
+    for x in np.split(joined[order], np.flatnonzero(np.diff(place[joined][order])) + 1):
+        v = (before[x, None, :] @ products[x])[:, 0] @ m
+        before[x + 1] = v / v.sum(axis=1, keepdims=True)
+    for x in reversed(np.split(joined[order], np.flatnonzero(np.diff(place[joined][order])) + 1)):
+        v = (products[x + 1] @ after[x + 1, :, None])[:, :, 0] @ m.T
+        after[x] = v / v.sum(axis=1, keepdims=True)
+    return before, after
+
+
 @dataclass(frozen=True)
 class Model:
     langs: list[str]
@@ -111,23 +151,25 @@ class Model:
         if not len(start):
             return row, np.zeros((0, k), dtype=np.float32)
         emit = self.emissions(data, start, end)
-        # stretches: STRETCH words of one row, seen with CONTEXT words of the same row on either side
+        # stretches of STRETCH words of one row
         first = np.searchsorted(row, np.arange(len(texts) + 1))
         lo, hi = first[:-1], first[1:]
         n = -(-(hi - lo) // STRETCH)
         own = np.repeat(np.arange(len(texts)), n)
         begin = np.repeat(lo - (np.cumsum(n) - n) * STRETCH, n) + np.arange(int(n.sum())) * STRETCH
         stop = np.minimum(begin + STRETCH, hi[own])
-        a, b = np.maximum(begin - CONTEXT, lo[own]), np.minimum(stop + CONTEXT, hi[own])
+        steps = np.arange(STRETCH)
+        real = lambda x: begin[x, None] + steps < stop[x, None]
+        scores = lambda x: np.where(real(x)[:, :, None], emit[np.minimum(begin[x, None] + steps, len(start) - 1)], 0)
+        before, after = _messages(scores, real, self.trans, own)
         out = np.empty((len(start), k), dtype=np.float32)
-        steps = np.arange(STRETCH + 2 * CONTEXT)
-        for x in range(0, len(a), 4_096):
-            y = slice(x, x + 4_096)
-            place = a[y, None] + steps
-            real = place < b[y, None]
-            marginal, _, _ = forward_backward(np.where(real[:, :, None], emit[np.minimum(place, len(start) - 1)], 0), real, self.trans)
-            mine = (place >= begin[y, None]) & (place < stop[y, None])
-            out[place[mine]] = marginal[mine]
+        by = np.argsort(stop - begin, kind="stable")  # stretches of like length together
+        for a in range(0, len(by), 1_024):
+            x = by[a : a + 1_024]
+            longest = int((stop - begin)[x].max())
+            mine = real(x)[:, :longest]
+            marginal, _, _ = forward_backward(scores(x)[:, :longest], mine, self.trans, before[x], after[x], learn=False)
+            out[(begin[x, None] + steps[:longest])[mine]] = marginal[mine]
         return row, out
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -218,31 +260,35 @@ def _cut(batches):
                     s = spots[int(i * step)]
                     e = min(s + PIECE_WORDS, b)
                     langs.append(lang)
-                    out.append(b" ".join(data[p:q].tobytes() for p, q in zip(start[s:e].tolist(), end[s:e].tolist())))
+                    out.append(b" ".join(data[p:q].tobytes() for p, q in zip(start[s:e].tolist(), end[s:e].tolist()) if q - p <= WORD_BYTES))
             yield pa.record_batch([pa.array(langs, pa.string()), pa.array([x.decode("utf-8") for x in out], pa.string())], names=["lang", "piece"])
 
 
 def train(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG) -> Model | None:
     """A model from `text` and non-null `lang` of `docs`; None where there are none.
 
-    Fitted on a bounded sample: of each language the share of documents, chosen
-    by the hash of their text, that makes `docs_per_lang` on average, and
-    PIECES pieces of each at most.
+    Fitted on a bounded sample of distinct texts, chosen by their hash: about
+    `docs_per_lang` of each language and never more than twice that on average,
+    PIECES pieces of each, without words of more than WORD_BYTES bytes.
     """
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
     share = F.create_map(*(F.lit(x) for kv in counts.items() for x in (kv[0], min(1.0, docs_per_lang / kv[1]))))
-    chance = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    rows = known.filter(chance < share[F.col("lang")]).mapInArrow(_cut, "lang string, piece string").collect()
+    chance = F.pmod(F.col("h"), F.lit(1_000_003)) / 1_000_003.0
+    low = known.withColumn("h", F.xxhash64("text")).filter(chance < share[F.col("lang")])
+    # copies count once, and each task drops its own before any text moves
+    sample = low.groupBy("lang", "h").agg(F.first("text").alias("text")).orderBy(chance, "lang", "h").limit(2 * docs_per_lang * len(counts))
+    rows = sample.select("lang", "text").mapInArrow(_cut, "lang string, piece string").collect()
     return fit(sorted((r[0], r[1]) for r in rows))
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", *, words: bool = False) -> DataFrame:
     """`docs` plus `lang_pred` and `lang_score` of each whole text, and with `words` the language of every word in `lang_words`.
 
-    A null text, an empty one and one without letters give `und`, 0 and no
+    The marginals are those of the chain over all words of the text. A null
+    text, an empty one and one without letters give `und`, 0 and no
     words. So does every text if nothing was learned. Rows and other columns
     stay; columns of those names give way.
     """
@@ -275,6 +321,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", *, words:
 
 
 def op4_crf(spark, sf_dir: str) -> DataFrame:
+    """All documents: the language of the whole text, by a model of the documents that aren't held out. A null text, and one without letters, is `und` with score 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = train(docs.filter(~held_out))
