@@ -22,6 +22,8 @@ from . import kernels as K
 BITS, KEPT = 20, 4_096
 #: Bounds on the sample that a model is fitted on: confirmed texts and unlabelled ones.
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
+#: Bound on the distinct features of a text in that sample: of a text with more, those whose hash is lowest.
+MAX_FEATURES = 8_192
 #: Bytes of a word's beginning that make a feature of their own.
 HEADS = (5, 7)
 #: Bytes of text that a task works on at a time.
@@ -144,7 +146,7 @@ def _feature_rows(batches):
         for part in K.batches([whole], size=BATCH_BYTES):
             feature, row = _distinct(*features(part.column("text")))
             ends = np.searchsorted(row, np.arange(part.num_rows + 1))
-            cells = [feature[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+            cells = [(feature[a:b] if b - a <= MAX_FEATURES else np.sort(feature[a:b])[:MAX_FEATURES]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
             yield pa.record_batch([part.column("positive").cast(pa.int32()), pa.array(cells, pa.binary())], names=["positive", "features"])
 
 
@@ -152,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
     """A model from `labels` (doc_id, toxic) and the texts of `docs`.
 
     Fitted on a bounded sample: the `max_positive` confirmed texts and the
-    `max_unlabelled` texts whose doc_id hashes lowest. The class prior is the
+    `max_unlabelled` texts whose doc_id hashes lowest, with MAX_FEATURES
+    features of each at most. The class prior is the
     share of toxic rows among all labels, unless the texts bound it lower. Null labels and ids are passed over.
     """
     spark = docs.sparkSession
