@@ -24,15 +24,18 @@ def _named(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
     return settle(distinct.sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id()), "names")
 
 
-def block_identity(docs: DataFrame, text: str = "text", *, block: int = BLOCK) -> DataFrame:
-    """`docs` plus `n_blocks`, `identity`, `code_points` and `text_sha256` of the text without white space.
+def block_identity(docs: DataFrame, text: str = "text", *, block: int = BLOCK, row: str | None = None) -> DataFrame:
+    """`docs` plus `n_blocks`, `identity`, `code_points` and `text_sha256` of the text without white space, and with `row` a number of that name for each row.
 
-    Written as a table without the column `text`. Null counts as the empty
+    Written as a table without the column `text`, which cuts the lineage. A key
+    that holds many rows (a block that many texts share) is split where it is
+    joined, by the adaptive skew join: nothing else stands in those stages. Null counts as the empty
     text, which has one (empty) block. (`n_blocks`, `identity`) are equal for
     exactly the equal texts. Repeated rows and rows of equal or null ids keep
     apart. An empty table gives an empty one.
     """
-    row, parts, key, pos, name = (private_name(docs, x) for x in ("row", "parts", "key", "pos", "name"))
+    keep, row = row is not None, row or private_name(docs, "row")
+    parts, pos, name = (private_name(docs, x) for x in ("parts", "pos", "name"))
     norm = private_name(docs, "norm")
     texts = docs.withColumn(norm, no_spaces(F.col(text)))
     whole = F.when(F.col(norm) == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(norm, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
@@ -41,7 +44,8 @@ def block_identity(docs: DataFrame, text: str = "text", *, block: int = BLOCK) -
     names = _named(blocks.withColumn("h", F.md5("b")), ["b"], name).select("h", "b", name)
     # a digest may stand for a block in the join below only if no other distinct block has it
     shared = names.groupBy("h").count().filter("count > 1")
-    assert shared.isEmpty(), "two different blocks share a 128-bit digest: use another block size"
+    if not shared.isEmpty():
+        raise ValueError("two different blocks share a 128-bit digest: use another block size")
     slim = texts.withColumns({
         "code_points": F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long"),
         "text_sha256": F.sha2(norm, 256),
@@ -70,7 +74,7 @@ def block_identity(docs: DataFrame, text: str = "text", *, block: int = BLOCK) -
     out = slim.drop(parts).join(last.select(row, F.col(name).alias("identity")), row)
     out = settle(out, "identity")
     discard(docs.sparkSession, slim, names, *trash)
-    return out.drop(row)
+    return out if keep else out.drop(row)
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, block: int = BLOCK) -> DataFrame:
@@ -80,33 +84,31 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     smallest doc_id, stays. A null doc_id sorts after all others. Of rows equal
     in both, one stays; which one makes no difference to the result.
     """
-    named = block_identity(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", block=block)
-    order = F.struct(-F.col("code_points"), F.col("doc_id").isNull(), F.col("doc_id"))
+    named = block_identity(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", block=block, row="row")
+    # the last field tells rows apart that tie in all else
+    order = F.struct(-F.col("code_points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     keys = ["n_blocks", "identity"]
     groups = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
-    out = named.join(groups, keys).withColumn("best_here", order.eqNullSafe(F.col("best")))
-    # repeated rows tie with the best: of these one stays
-    ties = out.filter("best_here AND group_size > 1")
-    tied = ties.withColumn("kept", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id")) == 1)
-    rest = out.filter("NOT best_here OR group_size = 1").withColumn("kept", F.col("group_size") == 1)
-    return tied.unionByName(rest).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", "kept", "text_sha256")
+    out = named.join(groups, keys)
+    return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text and any other columns) with one row of each group of equal texts, the one that `exact_duplicates` keeps."""
-    sha = private_name(docs, "sha")
+    sha, gone_id, gone_sha, nth = (private_name(docs, x) for x in ("sha", "gone_id", "gone_sha", "nth"))
     decided = exact_duplicates(docs)
     keys = settle(decided.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "dedup-keys")
-    gone = keys.filter("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
+    gone = keys.filter("NOT kept").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha))
     marked = docs.withColumn(sha, F.sha2(no_spaces(F.col("text")), 256))
-    out = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col(sha) == F.col("_gone_sha")), "left_anti")
+    out = marked.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(sha) == F.col(gone_sha)), "left_anti")
     if not keys.filter("kept AND n > 1").isEmpty():  # repeated rows: the longest text of each stays
         best = Window.partitionBy("doc_id", sha).orderBy(-F.char_length("text"), F.xxhash64("text"))
-        out = out.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+        out = out.withColumn(nth, F.row_number().over(best)).filter(F.col(nth) == 1).drop(nth)
     return out.drop(sha)
 
 
 def op10_block_naming(spark, sf_dir: str) -> DataFrame:
+    """All documents: of each group of equal texts, which stays, and how many it has. A null text counts as empty."""
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
