@@ -185,7 +185,7 @@ def _star_links(batches):
 def _links(reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between different sets: enough of them to join all sets that any chain of links joins.
 
-    `reps`: one row per set (set_id, text_key, n, a, b). `texts`: (text_key, text), whole corpus.
+    `reps`: one row per set (set_id, doc_id, text_key, n, a, b). `texts`: (doc_id, text_key, text), whole corpus.
     """
     spark = reps.sparkSession
     # tables: first the sub-keys of one collection that two sets share, then, for those sets, the pairs of sub-keys
@@ -196,8 +196,10 @@ def _links(reps: DataFrame, texts: DataFrame) -> DataFrame:
     meet = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("set_id").alias("pivot")).filter("c > 1").drop("c")
     buckets = settle(pairs.join(meet, "bucket").select("bucket", "set_id", "pivot"), "buckets")
     # a set with more than a quarter of its shingles in no other candidate has no link
-    chosen = buckets.select("set_id").distinct().join(reps.select("set_id", "text_key", "n"), "set_id")
-    whole = texts.join(chosen.select("text_key", "set_id"), "text_key").dropDuplicates(["set_id"]).select("text", "set_id")
+    chosen = buckets.select("set_id").distinct().join(reps.select("set_id", F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "n"), "set_id")
+    # by document as well, so that the copies of a text don't all meet at its key
+    mine = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))
+    whole = texts.join(chosen.drop("n"), mine).dropDuplicates(["set_id"]).select("text", "set_id")
     sets = settle(whole.mapInArrow(_sets, "set_id binary, shingles binary").join(chosen.select("set_id", "n"), "set_id"), "sets")
     private = sets.select("set_id", "shingles").mapInArrow(_explode, "shingle long, set_id binary").groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("set_id").alias("set_id")).filter("c = 1")
     private = private.groupBy("set_id").agg(F.count(F.lit(1)).alias("p"))
@@ -251,9 +253,10 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     keyed = docs.withColumn("text_key", F.md5("text"))
     signed = settle(keyed.mapInArrow(_sign, _SIGNED), "signed")
     # equal sets are one node from here on
-    reps = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
-    reps = settle(reps, "reps")
-    roots = components(_links(reps, keyed.select("text_key", "text")))
+    low = F.min(F.struct("doc_id", "text_key"))
+    reps = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(low.alias("low"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    reps = settle(reps.select("set_id", "low.*", "n", "a", "b"), "reps")
+    roots = components(_links(reps, keyed.select("doc_id", "text_key", "text")))
     both = reps.select("set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("root"))
     return signed.select("doc_id", "text_key", "n", "set_id"), both
 
@@ -282,22 +285,23 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents without words stay. Of rows equal in doc_id and text one stays.
     """
-    key = private_name(docs, "key")
+    key, own_id, own_key = (private_name(docs, x) for x in ("key", "own_id", "own_key"))
     signed, roots = _grouped(docs, "doc_id", "text")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
     lowest = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min(rank).alias("low")).join(roots, "set_id")
     best = lowest.groupBy("root").agg(F.min("low").alias("best")).join(roots, "root").select("set_id", "best")
     decided = signed.join(best, "set_id").withColumn("kept", rank == F.col("best"))
     keys = settle(decided.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "near-keys")
-    gone = keys.filter("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"))
+    named = keys.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), "kept", "n")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key))
     marked = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
-    out = marked.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.col(key) == F.col("_gone_key")), "left_anti")
-    if not keys.filter("kept AND n > 1").isEmpty():
-        whole = out.join(keys.filter("kept AND n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_key")), "left_semi")
-        rest = out.join(keys.filter("kept AND n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_key")), "left_anti")
-        out = rest.unionByName(whole.dropDuplicates(["doc_id", key]))
+    out = marked.join(named.filter("NOT kept").select(own_id, own_key), same, "left_anti")
+    again = named.filter("kept AND n > 1").select(own_id, own_key)
+    if not again.isEmpty():  # repeated rows
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", key]))
     return out.drop(key)
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
+    """All documents: size of the shingle set, component, and whether it is the one of its component that stays. Null and empty texts have no shingle."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
