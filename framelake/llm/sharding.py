@@ -23,7 +23,7 @@ BLOCK_ROWS = 8_192
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """An exact draw, at any size: weights relative to the mode by their ratios, wherever they aren't negligible."""
+    """A draw at any size: weights relative to the mode by their ratios, in double precision, over twelve standard deviations on either side, beyond which less than 1e-30 of them lies."""
     low, high = max(0, draws - bad), min(draws, good)
     if low == high:
         return low
@@ -65,7 +65,7 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 7, *, bl
 
     `stable_layout=True` says that every run of `docs` finds the same rows in
     the same partitions, as a scan of files does; else `docs` is written out
-    first. Only counts by partition and by shard block reach the driver.
+    first. Only counts by partition (MAX_PARTS at most) reach the driver.
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
@@ -73,7 +73,7 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 7, *, bl
         docs = settle(docs, "shard-input")
     if docs.rdd.getNumPartitions() > MAX_PARTS:
         docs = docs.coalesce(MAX_PARTS)
-    first, second, mid, part, rank, block = (private_name(docs, x) for x in ("k1", "k2", "mid", "part", "rank", "block"))
+    first, second, mid, part, rank, block, ends, offset = (private_name(docs, x) for x in ("k1", "k2", "mid", "part", "rank", "block", "ends", "offset"))
     plain = [F.col(f"`{c}`") if not isinstance(t, (T.MapType, T.VariantType)) else F.to_json(F.col(f"`{c}`")) for c, t in ((f.name, f.dataType) for f in docs.schema)]
     counted = {r[0]: r[1] for r in docs.groupBy(F.spark_partition_id().alias("p")).count().collect()}
     total = sum(counted.values())
@@ -82,28 +82,25 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 7, *, bl
     matrix = communication_matrix([counted[p] for p in parts], sizes, seed)
     assert matrix.nbytes <= BROADCAST_BYTES, "the matrix is bounded by MAX_PARTS and the number of shards"
     bounds = spark.createDataFrame(
-        [(p, [int(x) for x in np.cumsum(m)]) for p, m in zip(parts, matrix)], T.StructType([T.StructField(part, T.LongType()), T.StructField("_ends", T.ArrayType(T.LongType()))])
+        [(p, [int(x) for x in np.cumsum(m)]) for p, m in zip(parts, matrix)], T.StructType([T.StructField(part, T.LongType()), T.StructField(ends, T.ArrayType(T.LongType()))])
     )
     # permute locally: rows sorted by a keyed hash of all they hold, so a rerun of the task gives the same order
     local = docs.withColumns({first: F.xxhash64(F.lit(seed), *plain), second: F.xxhash64(F.lit(seed + 1), *plain)}).sortWithinPartitions(first, second)
     local = local.withColumn(mid, F.monotonically_increasing_id())
     local = local.withColumns({part: F.shiftright(mid, 33), rank: F.col(mid).bitwiseAND(F.lit((1 << 33) - 1))})
-    dealt = local.join(F.broadcast(bounds), part).withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col(rank))))
+    dealt = local.join(F.broadcast(bounds), part).withColumn("shard", F.size(F.filter(ends, lambda e: e <= F.col(rank))))
     ranges = 1
     while total / n_shards / ranges > block_rows:
         ranges *= 2
     # blocks of a shard: equal ranges of the key that orders it, so that their counts give each block's first slot
     dealt = dealt.withColumn(block, F.shiftrightunsigned(second, 64 - ranges.bit_length() + 1) if ranges > 1 else F.lit(0).cast("long"))
-    per = dealt.groupBy("shard", block).count().collect()
-    assert sum(r["count"] for r in per) == total, "the partitions of docs changed between two runs; pass stable_layout=False"
-    offsets, seen = [], {}
-    for s, b, n in sorted(tuple(r) for r in per):
-        offsets.append((s, b, seen.get(s, 0)))
-        seen[s] = seen.get(s, 0) + n
-    first_slot = spark.createDataFrame(offsets, T.StructType([T.StructField("shard", T.IntegerType()), T.StructField(block, T.LongType()), T.StructField("_first", T.LongType())]))
+    per = settle(dealt.groupBy("shard", block).agg(F.count(F.lit(1)).alias(rank)), "shard-blocks")
+    if (per.agg(F.sum(rank)).first()[0] or 0) != total:
+        raise ValueError("the partitions of docs changed between two runs; pass stable_layout=False")
+    first_slot = per.select("shard", block, (F.sum(rank).over(Window.partitionBy("shard").orderBy(block)) - F.col(rank)).alias(offset))
     again = Window.partitionBy("shard", block).orderBy(second, first, rank, part)
     out = dealt.withColumn("slot", F.row_number().over(again).cast("long") - 1)
-    out = out.join(F.broadcast(first_slot), ["shard", block]).withColumn("slot", F.col("slot") + F.col("_first"))
+    out = out.join(first_slot, ["shard", block]).withColumn("slot", F.col("slot") + F.col(offset))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), "shard", "slot")
 
 
