@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .common import settle
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.75, 20
 #: Bytes of benchmark text that one pass over the documents takes; more items make more passes.
 PASS_BYTES = 8 << 20
+#: Words whose windows are fingerprinted at a time.
+STRETCH = 1 << 16
 
 _APART = np.ones(256, dtype=bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -143,17 +146,21 @@ class Index:
             place = np.repeat(begin - (end - size), size) + np.arange(int(size.sum()))
             mine, owner, stop = h[place], np.repeat(rows, size), np.repeat(end, size)
             run = np.concatenate([[0], np.cumsum(hit[place])])
-            prints = Prints(mine, max(sizes))
-            for n in sizes:
-                # windows of n words; a shorter row is one window
-                s = np.flatnonzero(np.arange(len(mine)) + n <= stop)
-                short = np.flatnonzero((size < n) & (size >= width))
-                s, m = np.concatenate([s, end[short] - size[short]]), np.concatenate([np.full(len(s), n), size[short]])
+            # stretch by stretch, as the sums of fingerprint bits take 128 bytes a word
+            for first, n in ((f, n) for f in range(0, len(mine), STRETCH) for n in sizes):
+                if n == next(iter(sizes)):
+                    prints = Prints(mine[first : first + STRETCH + max(sizes)], max(sizes))
+                # windows of n words that begin here; a shorter row is one window
+                s = np.arange(first, min(first + STRETCH, len(mine)))
+                s = s[s + n <= stop[s]]
+                begins = end - size
+                short = np.flatnonzero((size < n) & (size >= width) & (begins >= first) & (begins < first + STRETCH))
+                s, m = np.concatenate([s, begins[short]]), np.concatenate([np.full(len(s), n), size[short]])
                 keep = run[s + m - width + 1] - run[s] >= self._least(m, n, width)
                 s, m = s[keep], m[keep]
                 if not len(s):
                     continue
-                window, item = self._near(n, prints.of(s, m))
+                window, item = self._near(n, prints.of(s - first, m))
                 for w, i in zip(window.tolist(), item.tolist()):
                     a, words = int(s[w]), int(m[w])
                     at = int(place[a])
@@ -191,7 +198,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
     count-weighted Jaccard similarity of 5-word shingles of 0.75 or more; items
     of fewer than five words are one shingle. Null and empty texts match
     nothing; null and empty items match nothing. Repeated rows are searched
-    like any other; a column `matches` of the input gives way.
+    like any other; a column `matches` of the input gives way. A benchmark
+    beyond PASS_BYTES makes several passes, each written before the next, so
+    that tasks hold the index of one pass only.
     """
     spark = docs.sparkSession
     docs = docs.drop("matches")
@@ -214,6 +223,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], [*(n for n in part.schema.names if n != "matches"), "matches"])
 
         out = out.mapInArrow(run, schema)
+        if k < passes - 1:
+            out = settle(out, "decontamination-pass")
     return out
 
 
