@@ -44,7 +44,11 @@ def pack(ids: np.ndarray) -> bytes:
     # for every place: the selector that takes most of the ids that follow up to the block's end
     stop = np.minimum((np.arange(n) // BLOCK_IDS + 1) * BLOCK_IDS, n)
     choice = np.full(n, 15, dtype=np.int64)
+    widest = int(ids.max()).bit_length() if n else 0
     for s in range(14, -1, -1):
+        if widest <= WIDTHS[s]:  # all are that narrow
+            choice[stop - np.arange(n) >= COUNTS[s]] = s
+            continue
         low = np.flatnonzero(ids < np.uint64(1 << int(WIDTHS[s])))
         if not len(low):
             break  # no id is that narrow, so none is narrower
@@ -172,7 +176,7 @@ class Words:
                 flat.append(np.array([i for x in each for i in x], dtype=np.int64))
                 counts.append(np.array([len(x) for x in each], dtype=np.int64))
                 continue
-            n = np.array([1 if w.isascii() and w.isalpha() else len(self.pieces.findall(unicodedata.normalize("NFC", w).lower())) for w in part], dtype=np.int64)
+            n = np.array([1 if (x := unicodedata.normalize("NFC", w).lower()).isalpha() else len(self.pieces.findall(x)) for w in part], dtype=np.int64)
             ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == n.sum() and (len(stops) == 0 or stops[-1] == len(ids)):
@@ -233,20 +237,26 @@ class Words:
             first = by[begins]
             known, inverse = h[first], np.empty(len(h), dtype=np.int64)
             inverse[by] = np.cumsum(begins) - 1
-            # equal hashes must also agree on length and first bytes; a part that doesn't is encoded by itself
+            # equal hashes must also agree on length and bytes, eight at a time; a part that doesn't is encoded by itself
             padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-            head = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))[start]
-            size = (end - start).astype(np.uint64)
-            head &= np.where(size >= 8, np.uint64(2**64 - 1), (np.uint64(1) << (np.uint64(8) * np.minimum(size, np.uint64(7)))) - np.uint64(1))
-            check = head ^ K.mix(size)
+            eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+            size = end - start
+            check, longer, off = K.mix(size.astype(np.uint64)), np.arange(len(h)), 0
+            while len(longer):
+                bits = np.uint64(8) * np.minimum(size[longer] - off, 8).astype(np.uint64)
+                chunk = eight[start[longer] + off] & (np.uint64(2**64 - 1) >> (np.uint64(64) - bits))
+                check[longer] = chunk ^ (K.mix(check[longer]) if off else check[longer])
+                off += 8
+                longer = longer[size[longer] > off]
             odd = np.flatnonzero(check != check[first][inverse])
             if len(self.known) + len(known) > KEPT_WORDS:
                 self._forget()
             at = np.searchsorted(self.known, known)
-            hit = np.zeros(len(known), dtype=bool)
+            hit = taken = np.zeros(len(known), dtype=bool)
             if len(self.known):
                 near = np.minimum(at, len(self.known) - 1)
-                hit = (self.known[near] == known) & (self.check[near] == check[first])
+                taken = self.known[near] == known
+                hit = taken & (self.check[near] == check[first])
             new = np.flatnonzero(~hit)
             raw = data.tobytes()
             spans = list(zip(start[first[new]].tolist(), end[first[new]].tolist()))
@@ -261,7 +271,8 @@ class Words:
             slot_begin[new], slot_count[new] = begin, count
             old = np.flatnonzero(hit)
             slot_begin[old], slot_count[old] = self.begin[at[old]], self.count[at[old]]
-            fresh = new[~np.isin(known[new], self.known)] if len(self.known) else new
+            fresh = new[~taken[new]]
+            fresh = fresh[np.argsort(fresh)]
             to = np.searchsorted(self.known, known[fresh])
             self.check = np.insert(self.check, to, check[first[fresh]])
             self.begin = np.insert(self.begin, to, slot_begin[fresh].astype(np.int32))
@@ -301,14 +312,17 @@ def write_token_files(docs: DataFrame, *, tokenizer: str | None = None, end_id:
     Returns the written table: one row per chunk with `part` (file, in doc_id
     order), `chunk` (place in the file), `doc_ids`, `lengths` and `payload`.
     Each document is followed by `end_id`. Null texts are empty; a null doc_id
-    comes first; rows of equal doc_id keep together, in the order of their
-    text. The table lies in the shared folder and stays there.
+    comes first; rows of equal doc_id follow each other, in the order of a hash
+    of their text and then of the text. The table lies in the shared folder and
+    stays there.
     """
     spark = docs.sparkSession
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     files = files or max(1, docs.rdd.getNumPartitions())
-    placed = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit(""))), "text")
+    # the hash parts rows of one doc_id, or of none, should there be many
+    order = ("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), "text")
+    placed = docs.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order)
     schema = "part int, chunk int, doc_ids array<long>, lengths array<long>, payload binary"
 
     def run(batches):
@@ -323,7 +337,7 @@ def write_token_files(docs: DataFrame, *, tokenizer: str | None = None, end_id:
 
         size = 0
         for whole in batches:
-            for b in K.batches([whole], rows=65_536, size=8 << 20):
+            for b in K.batches([whole], rows=65_536, size=4 << 20):
                 part_no = b.column("part")[0].as_py()
                 ids, n = word_ids(b.column("text"), path)
                 ends = np.cumsum(n)
@@ -374,5 +388,6 @@ def read_token_files(table: DataFrame) -> DataFrame:
 
 
 def op5_simple8b(spark, sf_dir: str) -> DataFrame:
+    """All documents, read back from the files that were written: place and number of ids, and the CRC of those ids. A null text counts as empty and has the end id alone."""
     table = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return read_token_files(table).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
