@@ -270,7 +270,65 @@ z AS (SELECT px.file_id, px.frame_index, dx, dy, sum(px.r * px.a * w) AS zr, sum
 SELECT g.file_id, g.frame_index, g.dx AS x, g.dy AS y, {", ".join(f"greatest(0, least(255, CAST(round_even(round(coalesce(z{c} / za, 0), 6), 0) AS INTEGER))) AS {c}" for c in "rgb")}, greatest(0, least(255, CAST(round_even(round(coalesce(za, 0), 6), 0) AS INTEGER))) AS a
 FROM g LEFT JOIN z ON z.file_id = g.file_id AND z.frame_index = g.frame_index AND z.dx = g.dx AND z.dy = g.dy"""
 
+
+def _own(spark, d):
+    return V.local_clips(spark, d), V.local_sources(spark, d)
+
+
+_OWN = V.with_views("clips", "own_clips", "own_sources") + """,
+len AS (SELECT c.*, s.path, CASE WHEN c.frame_count <= 0 THEN greatest(0, s.n_frames - c.source_start_frame) ELSE least(greatest(0, s.n_frames - c.source_start_frame), c.frame_count) END AS length FROM own_clips c JOIN own_sources s USING (project_id, source_id)),
+loaded AS (SELECT *, greatest(0, coalesce(timeline_start_frame, sum(length) OVER (PARTITION BY project_id ORDER BY clip_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM len)"""
+
+
+def local_sources_resolved(spark, d):
+    """Clips of projects that number their own sources, with their labels."""
+    clips, sources = _own(spark, d)
+    loaded = P.resolve_clips(clips, sources)[0]
+    names = P.clip_listing(loaded, sources).select("project_id", (F.col("position") - 1).alias("clip_index"), "label")
+    return loaded.select("project_id", "clip_index", "source_id", "start", "length").join(names, ["project_id", "clip_index"])
+
+
+LOCAL_SOURCES_RESOLVED = _OWN + " SELECT project_id, clip_index, source_id, start, length, coalesce(nullif(name, ''), regexp_replace(path, '^.*/', '')) AS label FROM loaded"
+
+
+def local_sources_missing(spark, d):
+    return P.resolve_clips(*_own(spark, d))[1].select("project_id", "clip_index", "source_id")
+
+
+LOCAL_SOURCES_MISSING = _OWN + " SELECT project_id, clip_index, source_id FROM own_clips WHERE NOT EXISTS (SELECT 1 FROM own_sources s WHERE s.project_id = own_clips.project_id AND s.source_id = own_clips.source_id)"
+
+
+def local_canvas_size(spark, d):
+    return P.canvas_size(*_own(spark, d))
+
+
+LOCAL_CANVAS_SIZE = _OWN + " SELECT project_id, greatest(800, max(canvas_width)) AS out_width, greatest(600, max(canvas_height)) AS out_height FROM own_sources GROUP BY project_id"
+
+
+def local_update_clips(spark, d):
+    clips, sources = _own(spark, d)
+    return P.update_clips(clips, _edits(clips), sources)[0]
+
+
+LOCAL_UPDATE_CLIPS = (
+    _EDIT.replace(V.SQL["sources"], ",\n".join(V.SQL[n] for n in ("own_clips", "own_sources"))).replace("FROM clips) c LEFT JOIN sources s USING (source_id)", "FROM own_clips) c LEFT JOIN own_sources s USING (project_id, source_id)")
+    + UPDATE_CLIPS[len(_EDIT) :].replace("FROM clips c", "FROM own_clips c")
+)
+
+
+def resize_lanczos(spark, d):
+    return warp.resize_rasters(_sized(spark, d), ["file_id", "frame_index"], "lanczos")
+
+
+def _lanczos_sql(name: str, new: int) -> str:
+    return f"""{name} AS (SELECT dst, src, w / sum(w) OVER (PARTITION BY dst) AS w FROM (SELECT dst, src, CASE WHEN t < 1e-9 THEN 1 WHEN t < 3 THEN sin(pi() * t) / (pi() * t) * sin(pi() * t / 3) / (pi() * t / 3) ELSE 0 END AS w
+ FROM (SELECT dst, src, abs((src + 0.5 - (dst + 0.5) * 8 / {new}::DOUBLE) / greatest(1.0, 8 / {new}::DOUBLE)) AS t FROM (SELECT unnest(range(0, {new})) AS dst) a, (SELECT unnest(range(0, 8)) AS src) b)) WHERE w <> 0)"""
+
+
+RESIZE_LANCZOS = V.with_views("px") + ", " + _lanczos_sql("tx", 12) + ", " + _lanczos_sql("ty", 5) + f" SELECT file_id, frame_index, tx.dst AS x, ty.dst AS y, {_lev('r')}, {_lev('g')}, {_lev('b')}, {_lev('a')} FROM px JOIN tx ON tx.src = px.x JOIN ty ON ty.src = px.y GROUP BY file_id, frame_index, tx.dst, ty.dst"
+
 QUERIES = {f.__name__: f for f in (
     clip_lengths, resolve_clips, clip_warnings, active_clips, active_at, project_extent, canvas_size, append_sources, update_clips, rejected_edits, clip_listing, active_label, distinct_warnings,
-    upsert_keyframes, delete_keyframes, interpolate_keyframes, place_layers, composite_layers, checkerboard_over, resize_nearest, resize_bicubic, rotate_nearest, rotate_bicubic)}
+    upsert_keyframes, delete_keyframes, interpolate_keyframes, place_layers, composite_layers, checkerboard_over, resize_nearest, resize_bicubic, resize_lanczos, rotate_nearest, rotate_bicubic,
+    local_sources_resolved, local_sources_missing, local_canvas_size, local_update_clips)}
 ORACLE_SQL = {k: globals()[k.upper()] for k in QUERIES}

@@ -11,11 +11,17 @@ DEFAULTS = {"x": 0.0, "y": 0.0, "scale_x": 1.0, "scale_y": 1.0, "rotation_deg":
 _CLIP = ["project_id", "clip_index"]
 
 
+def source_key(sources: DataFrame) -> list[str]:
+    """What names a source: its project and its number there. A table without `project_id` is a pool that all projects share."""
+    return ["project_id", "source_id"] if "project_id" in sources.columns else ["source_id"]
+
+
 def clip_lengths(clips: DataFrame, sources: DataFrame) -> DataFrame:
     """Frames that each clip of a known source can show: what its source has after its start, or the count asked for if smaller."""
     available = F.greatest(F.lit(0), F.col("n_frames") - F.col("source_start_frame"))
     length = F.when(F.col("frame_count") <= 0, available).otherwise(F.least(available, F.col("frame_count")))
-    return clips.join(sources.select("source_id", "n_frames"), "source_id").withColumn("length", length.cast("long")).drop("n_frames")
+    key = source_key(sources)
+    return clips.join(sources.select(*key, "n_frames"), key).withColumn("length", length.cast("long")).drop("n_frames")
 
 
 def resolve_clips(clips: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -27,7 +33,7 @@ def resolve_clips(clips: DataFrame, sources: DataFrame) -> tuple[DataFrame, Data
     loaded = clip_lengths(clips, sources)
     before = Window.partitionBy("project_id").orderBy("clip_index").rowsBetween(Window.unboundedPreceding, -1)
     loaded = loaded.withColumn("start", F.greatest(F.lit(0), F.coalesce(F.col("timeline_start_frame").cast("long"), F.sum("length").over(before), F.lit(0))))
-    lost = clips.join(sources.select("source_id"), "source_id", "left_anti").select(*_CLIP, F.col("name").alias("clip_name"), "source_id", F.lit("missing source").alias("reason"))
+    lost = clips.join(sources.select(*source_key(sources)), source_key(sources), "left_anti").select(*_CLIP, F.col("name").alias("clip_name"), "source_id", F.lit("missing source").alias("reason"))
     empty = clips.select("project_id").distinct().join(loaded.select("project_id").distinct(), "project_id", "left_anti").withColumn("error", F.lit("no loadable clip"))
     return loaded, lost, empty
 
@@ -52,8 +58,8 @@ def project_extent(loaded: DataFrame) -> DataFrame:
 
 
 def canvas_size(clips: DataFrame, sources: DataFrame) -> DataFrame:
-    """Largest source of each project, 800 by 600 at least."""
-    s = clips.join(sources, "source_id")
+    """Largest source of each project, 800 by 600 at least. All sources of a project count; of a shared pool, those that its clips use."""
+    s = sources if "project_id" in sources.columns else clips.join(sources, "source_id")
     return s.groupBy("project_id").agg(F.greatest(F.max("canvas_width"), F.lit(800)).alias("out_width"), F.greatest(F.max("canvas_height"), F.lit(600)).alias("out_height"))
 
 
@@ -103,7 +109,7 @@ def update_clips(clips: DataFrame, edits: DataFrame, sources: DataFrame) -> tupl
 
     `edits`: project_id, clip_index, new_start, new_source_start, new_count, new_name (null: keep).
     """
-    e = edits.join(clips, _CLIP).join(sources.select("source_id", "n_frames", "path"), "source_id", "left")
+    e = edits.join(clips, _CLIP).join(sources.select(*source_key(sources), "n_frames", "path"), source_key(sources), "left")
     start = F.coalesce("new_source_start", "source_start_frame")
     count = F.coalesce("new_count", "frame_count")
     error = F.when(F.col("n_frames").isNull(), "unknown source").when((start < 0) | (start >= F.col("n_frames")), "source start out of range").when(count < 0, "negative count").when(count > F.col("n_frames") - start, "count beyond source")
@@ -116,15 +122,16 @@ def update_clips(clips: DataFrame, edits: DataFrame, sources: DataFrame) -> tupl
 
 def place_layers(active: DataFrame, keyframes_at: DataFrame, sources: DataFrame, key: str = "clip_key") -> DataFrame:
     """Size, place, rotation and opacity of each active layer: size and place rounded half to even, one pixel at least."""
-    a = active.join(keyframes_at.withColumnRenamed("frame_index", "local_frame_index"), [key, "local_frame_index"]).join(sources, "source_id")
+    a = active.join(keyframes_at.withColumnRenamed("frame_index", "local_frame_index"), [key, "local_frame_index"]).join(sources, source_key(sources))
     scaled = lambda w, s: F.greatest(F.lit(1), F.bround(F.col(w) * F.greatest(F.lit(0.001), F.col(s)), 0).cast("int"))
     return a.select("project_id", "frame_index", "clip_index", scaled("canvas_width", "scale_x").alias("width"), scaled("canvas_height", "scale_y").alias("height"), "rotation_deg", F.bround("x", 0).cast("int").alias("x"), F.bround("y", 0).cast("int").alias("y"), "alpha")
 
 
 def clip_listing(loaded: DataFrame, sources: DataFrame) -> DataFrame:
     """Position (from 1), label (name, or the source's file name), start and length of each clip."""
-    s = sources.select("source_id", F.regexp_replace("path", "^.*/", "").alias("_file"))
-    return loaded.join(s, "source_id").select("project_id", (F.col("clip_index") + 1).alias("position"), F.coalesce(F.nullif("name", F.lit("")), "_file").alias("label"), "start", "length")
+    key = source_key(sources)
+    s = sources.select(*key, F.regexp_replace("path", "^.*/", "").alias("_file"))
+    return loaded.join(s, key).select("project_id", (F.col("clip_index") + 1).alias("position"), F.coalesce(F.nullif("name", F.lit("")), "_file").alias("label"), "start", "length")
 
 
 def active_label(active: DataFrame, labels: DataFrame, n: int = 3) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
+
 
 def _kernel(method: str, t: Column) -> Column:
     """Weight of a tap at distance t from the sample, in units of the filter."""
@@ -31,18 +33,25 @@ def taps(sizes: DataFrame, old: str, new: str, method: str) -> DataFrame:
     return d.join(total, ["old", "new", "dst"]).select("old", "new", "dst", "src", (F.col("_w") / F.col("_t")).alias("weight"))
 
 
+#: Largest table of taps, in bytes, that is sent to all tasks; a larger one is joined by its keys.
+BROADCAST_BYTES = 32 << 20
+
+
+def _taps(px: DataFrame, old: str, new: str, at: str, method: str) -> DataFrame:
+    """The taps of one axis under the names of that axis, written once. They have few keys, as many as an image has columns, so they are broadcast where their size allows it."""
+    t = staged(taps(px, old, new, method).select(F.col("old").alias(old), F.col("new").alias(new), F.col("src").alias(at), F.col("dst").alias(f"_{at}"), "weight"))
+    return F.broadcast(t) if t.count() * 40 <= BROADCAST_BYTES else t
+
+
 def resize_rasters(px: DataFrame, keys: list[str], method: str = "nearest") -> DataFrame:
     """Pixels of rasters scaled from (width, height) to (new_width, new_height), which `px` holds beside x, y and r, g, b, a.
 
     x first, then y, as the filters are separable. Channels are rounded half to even and held within 0 to 255.
     """
+    tx, ty = _taps(px, "width", "new_width", "x", method), _taps(px, "height", "new_height", "y", method)
     if method == "nearest":
-        tx, ty = taps(px, "width", "new_width", method), taps(px, "height", "new_height", method)
-        out = px.join(tx.select(F.col("old").alias("width"), F.col("new").alias("new_width"), F.col("src").alias("x"), F.col("dst").alias("_x")), ["width", "new_width", "x"])
-        out = out.join(ty.select(F.col("old").alias("height"), F.col("new").alias("new_height"), F.col("src").alias("y"), F.col("dst").alias("_y")), ["height", "new_height", "y"])
+        out = px.join(tx.drop("weight"), ["width", "new_width", "x"]).join(ty.drop("weight"), ["height", "new_height", "y"])
         return out.select(*keys, F.col("_x").alias("x"), F.col("_y").alias("y"), *"rgba")
-    tx = taps(px, "width", "new_width", method).select(F.col("old").alias("width"), F.col("new").alias("new_width"), F.col("src").alias("x"), F.col("dst").alias("_x"), "weight")
-    ty = taps(px, "height", "new_height", method).select(F.col("old").alias("height"), F.col("new").alias("new_height"), F.col("src").alias("y"), F.col("dst").alias("_y"), "weight")
     wide = px.join(tx, ["width", "new_width", "x"]).groupBy(*keys, "height", "new_height", "y", "_x").agg(*(F.sum(F.col(c) * F.col("weight")).alias(c) for c in "rgba"))
     out = wide.join(ty, ["height", "new_height", "y"]).groupBy(*keys, "_x", "_y").agg(*(F.sum(F.col(c) * F.col("weight")).alias(c) for c in "rgba"))
     level = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.bround(F.round(F.col(c), 6), 0).cast("int"))).alias(c)

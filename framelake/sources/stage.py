@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet below `spark.checkpoint.dir` (unset, as in tests on one machine: a temporary folder) and read back: what follows more than once isn't worked out more than once."""
+    """`df` written as Parquet below `spark.checkpoint.dir` (where that is unset, on one machine alone, a temporary folder) and read back: what follows more than once isn't worked out more than once."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.mkdtemp(prefix="framelake-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/staged-{uuid.uuid4().hex}"

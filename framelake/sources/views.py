@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8x8 rasters: a file for each label, a frame for each vector, a level 0 to 5 or so for each pixel, and its colour."""
     e = table(spark, sf_dir, "embeddings").withColumn("frame_index", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("int"))
-    px = e.select(F.col("label").alias("file_id"), "frame_index", F.posexplode(F.slice("embedding", 1, 64)).alias("pixel_index", "_v"))
+    px = e.select(F.col("label").alias("file_id"), "frame_index", F.posexplode("embedding").alias("pixel_index", "_v"))
     px = px.withColumns({"x": F.pmod("pixel_index", F.lit(8)), "y": F.floor(F.col("pixel_index") / 8).cast("int"), "level": (F.floor(F.col("_v").cast("double") * 5) + 3).cast("int")}).drop("_v")
     return px.withColumns({"r": F.col("level") * 40, "g": F.col("level") * 30, "b": F.col("level") * 20, "a": F.lit(255)}).withColumn("color", rgba())
 
@@ -66,6 +66,18 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("source_id"), F.col("p_name").alias("path"), F.col("p_size").cast("int").alias("n_frames"), (64 + F.col("p_partkey") % 1000).cast("int").alias("canvas_width"), (48 + F.col("p_size")).cast("int").alias("canvas_height"))
 
 
+def local_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clips with the number that their source has in its own project."""
+    return clips(spark, sf_dir).withColumn("source_id", (F.col("source_id") % 4).cast("long"))
+
+
+def local_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three sources of each project, numbered from 0 in each."""
+    o = table(spark, sf_dir, "orders").withColumn("source_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_orderkey") % 3)))
+    i = F.col("o_orderkey") * 7 + F.col("source_id") * 13
+    return o.select(F.col("o_orderkey").alias("project_id"), "source_id", F.concat_ws("/", F.lit("p"), "o_orderkey", "source_id").alias("path"), (i % 50).cast("int").alias("n_frames"), (600 + i % 400).cast("int").alias("canvas_width"), (500 + i % 300).cast("int").alias("canvas_height"))
+
+
 def keyframe_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyframe upserts per clip; the highest `seq` wins."""
     o = table(spark, sf_dir, "orders")
@@ -80,7 +92,7 @@ def keyframe_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "px": """px AS (SELECT *, level*40 AS r, level*30 AS g, level*20 AS b, 255 AS a, (level*40)::BIGINT*16777216 + level*30*65536 + level*20*256 + 255 AS color FROM (
  SELECT e.label AS file_id, e.frame_index, u.i - 1 AS pixel_index, (u.i - 1) % 8 AS x, (u.i - 1) // 8 AS y, CAST(FLOOR(CAST(e.embedding[u.i] AS DOUBLE) * 5) + 3 AS INTEGER) AS level
- FROM (SELECT label, embedding, ROW_NUMBER() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_index FROM embeddings) e, (SELECT unnest(range(1, 65)) AS i) u))""",
+ FROM (SELECT label, embedding, ROW_NUMBER() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_index FROM embeddings) e, LATERAL (SELECT unnest(range(1, len(e.embedding) + 1)) AS i) u))""",
     "fades": """fades AS (SELECT *, r::BIGINT*16777216 + g*65536 + b*256 + a AS color FROM (
  SELECT p.file_id, p.frame_index, p.pixel_index, p.x, p.y, q.level*40 AS r, q.level*30 AS g, q.level*20 AS b, CASE WHEN q.level = 1 THEN 0 ELSE 240 - 60 * (p.frame_index % 4) END AS a
  FROM px p JOIN px q ON p.file_id = q.file_id AND p.pixel_index = q.pixel_index AND q.frame_index = p.frame_index - p.frame_index % 4))""",
@@ -93,6 +105,9 @@ SQL = {
  CASE WHEN l_returnflag = 'N' THEN NULL ELSE CAST(l_suppkey % 64 AS INTEGER) END AS timeline_start_frame, l_linenumber - 1 AS source_start_frame,
  CASE WHEN l_linestatus = 'O' THEN 0 ELSE CAST(l_quantity AS INTEGER) END AS frame_count, CASE WHEN l_linenumber = 7 THEN '' ELSE 'clip' || l_linenumber END AS name FROM lineitem)""",
     "sources": """sources AS (SELECT p_partkey AS source_id, p_name AS path, p_size AS n_frames, 64 + CAST(p_partkey % 1000 AS INTEGER) AS canvas_width, 48 + p_size AS canvas_height FROM part WHERE p_partkey % 10 <> 0)""",
+    "own_clips": "own_clips AS (SELECT * REPLACE (source_id % 4 AS source_id) FROM clips)",
+    "own_sources": """own_sources AS (SELECT project_id, source_id, 'p/' || project_id || '/' || source_id AS path, i % 50 AS n_frames, 600 + i % 400 AS canvas_width, 500 + i % 300 AS canvas_height
+ FROM (SELECT project_id, source_id, project_id * 7 + source_id * 13 AS i FROM (SELECT o_orderkey AS project_id, unnest(range(0, o_orderkey % 3 + 1)) AS source_id FROM orders)))""",
     "kf": """kf AS (SELECT o_custkey AS clip_key, CAST(o_orderkey % 97 AS INTEGER) AS frame_index, o_orderkey AS seq, o_totalprice / 1000 AS x, CAST(o_orderkey % 50 AS DOUBLE) AS y,
  1.0 + CAST(o_orderkey % 4 AS DOUBLE) / 4 AS scale_x, CAST(1.0 AS DOUBLE) AS scale_y, CAST(o_orderkey % 360 AS DOUBLE) AS rotation_deg, CAST(o_orderkey % 256 AS INTEGER) AS alpha FROM orders)""",
 }
