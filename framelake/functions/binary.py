@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.runs import le_hex
+
+def le_hex(c: Column, size: int) -> Column:
+    """A whole number as `size` little-endian bytes, in hex; negative ones wrap around. The number is evaluated once."""
+    big = F.lpad(F.hex(c.cast("long").bitwiseAND((1 << (8 * size)) - 1)), 2 * size, "0")
+    return big if size == 1 else F.regexp_replace(big, "(..)" * size, "".join(f"${i}" for i in range(size, 0, -1)))
 
 
 def unsigned(c: Column, offset: int, size: int) -> Column:
@@ -32,3 +36,8 @@ def text(c: Column, offset: int, size: int) -> Column:
 def pack(*fields: tuple[Column, int]) -> Column:
     """Numbers as little-endian bytes of the given sizes, in hex; negative ones wrap around."""
     return F.concat(*(le_hex(v, n) for v, n in fields))
+
+
+def bound(value: Column, use) -> Column:
+    """`use(value)` with the value worked out once: a lambda that reads a computed column would work it out again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)

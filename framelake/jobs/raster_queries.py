@@ -59,7 +59,7 @@ SELECT file_id, frame_index, count(*) AS n_runs, sum(run_length)::BIGINT AS n_va
 
 
 def text_runs(spark, d):
-    return runs.runs(V.symbols(spark, d), ["file_id"], ["pixel_index"], "v")
+    return runs.text_runs(V.table(spark, d, "documents").withColumnRenamed("doc_id", "file_id"), ["file_id"], "text")
 
 
 TEXT_RUNS = _runs_sql("sym", "v", 65535) + " SELECT file_id, run_index, start, run_length, v FROM runs"
@@ -190,6 +190,49 @@ SELECT file_id, frame_index, CASE WHEN d THEN 2 ELSE 1 END AS frame_type, full_b
  CASE WHEN d THEN x END AS x, CASE WHEN d THEN y END AS y, CASE WHEN d THEN w END AS w, CASE WHEN d THEN h END AS h FROM c"""
 
 
+def packet_sizes(spark, d):
+    """Bytes of each frame as packets."""
+    px = V.rasters(spark, d)
+    return runs.packet_sizes(runs.packet_runs(px, UNIT, ORDER, "color"), UNIT)
+
+
+PACKET_SIZES = _runs_sql("px", "color", 128) + """,
+lit AS (SELECT *, run_index - row_number() OVER (PARTITION BY file_id, frame_index ORDER BY run_index) AS g FROM runs WHERE run_length = 1),
+sizes AS (SELECT file_id, frame_index, count(*) AS n, ((count(*) + 127) // 128) + 4 * count(*) AS bytes FROM lit GROUP BY file_id, frame_index, g UNION ALL SELECT file_id, frame_index, run_length, 5 FROM runs WHERE run_length > 1)
+SELECT file_id, frame_index, sum(n)::BIGINT AS n_pixels, sum(bytes)::BIGINT AS packed_bytes FROM sizes GROUP BY file_id, frame_index"""
+
+
+def index_runs(spark, d):
+    """Palette indices as tokens of three bytes, and back."""
+    px = V.rasters(spark, d)
+    ix = palette.to_indices(px, palette.build_palette(px))
+    r = runs.runs(ix, UNIT, ORDER, "color_index")
+    return runs.decode_fixed_runs(runs.encode_runs(r, UNIT, "color_index", True), UNIT, True).withColumnRenamed("color", "color_index")
+
+
+INDEX_RUNS = V.with_views("px") + ",\n" + _PALETTE.format(n=256) + ",\nix AS (SELECT px.*, pal.color_index FROM px JOIN pal USING (file_id, color)),\n" + _ISLANDS.format(v="color_index", t="ix", cap=65535) + " SELECT file_id, frame_index, run_index, start, run_length, v AS color_index FROM runs"
+
+
+def scanline_diff(spark, d):
+    """Lines of rasters that differ from the line of the frame before, as bytes."""
+    px = _few(V.rasters(spark, d))
+    line = F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", F.lpad(F.hex("color"), 8, "0").alias("t")))), lambda x: x["t"]), ""))
+    lines = px.groupBy(*UNIT, "y").agg(line.alias("rgba"))
+    return change.diff_scanlines(lines).select(*UNIT, "y", F.hex("rgba").alias("line"), F.hex("prev").alias("prev"))
+
+
+SCANLINE_DIFF = V.with_views("px") + ",\n" + _FEW + """,
+lines AS (SELECT file_id, frame_index, y, string_agg(printf('%08X', color), '' ORDER BY x) AS line FROM few GROUP BY ALL)
+SELECT c.file_id, c.frame_index, c.y, c.line, p.line AS prev FROM lines c JOIN lines p ON p.file_id = c.file_id AND p.y = c.y AND p.frame_index = c.frame_index - 1 WHERE p.line <> c.line"""
+
+
+def forced_choice(spark, d):
+    """The encoder's choice over palette indices, with every fourth frame FULL."""
+    px = V.fades(spark, d)
+    ix = palette.to_indices(px, palette.build_palette(px))
+    return change.choose_frames(ix, "color_index", indexed=True, force_full_every=4)
+
+
 def swap_channels(spark, d):
     return S.swap_channels(V.rasters(spark, d)).select("file_id", "frame_index", "pixel_index", "r", "g", "b", "a")
 
@@ -234,6 +277,11 @@ SELECT file_id, frame_index, frame_type, CASE WHEN frame_type = 3 THEN ua END AS
  CASE WHEN frame_type = 2 THEN x END AS x, CASE WHEN frame_type = 2 THEN y END AS y, CASE WHEN frame_type = 2 THEN w END AS w, CASE WHEN frame_type = 2 THEN h END AS h FROM c"""
 
 
+FORCED_CHOICE = (
+    FRAME_CHOICE.replace("least(4 * count(*), 6 * (count(*) FILTER (is_new)))", "least(count(*), 3 * (count(*) FILTER (is_new)))").replace("WHEN fs.frame_index = 0 THEN 1", "WHEN fs.frame_index % 4 = 0 THEN 1")
+)
+
+
 def encoding_report(spark, d):
     px = _few(V.rasters(spark, d))
     n = px.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n_pixels"))
@@ -246,5 +294,6 @@ SELECT file_id, count(*) AS n_frames, (count(*) * 256)::BIGINT AS raw_bytes, sum
 
 QUERIES = {f.__name__: f for f in (
     runs_capped, packet_runs, encoded_sizes, text_runs, text_runs_sizes, expand_runs, encode_decode_runs, validate_runs, color_histogram, palette_first_seen, palette_indices, palette_decode,
-    frame_diff, change_bbox, crop_changed, export_choice, swap_channels, force_opaque, apply_alpha, uniform_alpha, frame_choice, encoding_report)}
+    frame_diff, change_bbox, crop_changed, export_choice, swap_channels, force_opaque, apply_alpha, uniform_alpha, frame_choice, encoding_report,
+    packet_sizes, index_runs, scanline_diff, forced_choice)}
 ORACLE_SQL = {k: globals()[k.upper()] for k in QUERIES}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,6 +42,25 @@ def with_previous(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns({f"p{c}": F.lag(c).over(w) for c in "rgba"})
 
 
+def _alpha_facts(seen: Column) -> list[Column]:
+    """Aggregates from which `_alpha` tells whether one alpha factor explains a frame; `seen` marks pixels that had one before."""
+    ratio = F.when(seen & (F.col("pa") != 0), F.col("a") / F.col("pa"))
+    return [
+        F.bool_and(F.when(seen, F.expr("r = pr AND g = pg AND b = pb"))).alias("_same"),
+        F.bool_and(F.when(seen, F.expr("NOT (pa = 0 AND a <> 0)"))).alias("_none_appears"),
+        F.min_by(ratio, F.when(ratio.isNotNull(), F.col("pixel_index"))).alias("_first"),
+        F.min(ratio).alias("_low"),
+        F.max(ratio).alias("_high"),
+    ]
+
+
+def _alpha() -> Column:
+    first = F.col("_first")
+    near = first.isNull() | ((F.col("_high") - first <= 1.0 / 255.0) & (first - F.col("_low") <= 1.0 / 255.0))
+    value = F.when(first.isNull(), 255).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), first)) * 255, 0).cast("int"))
+    return F.when(F.col("_same") & F.col("_none_appears") & near, value)
+
+
 def uniform_alpha(pairs: DataFrame) -> DataFrame:
     """`alpha` of each frame that one alpha factor explains against the frame before, else null.
 
@@ -50,17 +69,8 @@ def uniform_alpha(pairs: DataFrame) -> DataFrame:
     first in raster order. All transparent gives 255. Frames without a frame
     before give no row.
     """
-    ratio = F.when(F.col("pa") != 0, F.col("a") / F.col("pa"))
-    s = pairs.filter("pr IS NOT NULL").withColumn("ratio", ratio).groupBy("file_id", "frame_index").agg(
-        F.bool_and(F.expr("r = pr AND g = pg AND b = pb")).alias("same"),
-        F.bool_and(F.expr("NOT (pa = 0 AND a <> 0)")).alias("none_appears"),
-        F.min_by("ratio", F.when(F.col("ratio").isNotNull(), F.col("pixel_index"))).alias("first"),
-        F.min("ratio").alias("low"),
-        F.max("ratio").alias("high"),
-    )
-    near = F.col("first").isNull() | ((F.col("high") - F.col("first") <= 1.0 / 255.0) & (F.col("first") - F.col("low") <= 1.0 / 255.0))
-    value = F.when(F.col("first").isNull(), 255).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("first"))) * 255, 0).cast("int"))
-    return s.select("file_id", "frame_index", F.when(F.col("same") & F.col("none_appears") & near, value).alias("alpha"))
+    s = pairs.filter("pr IS NOT NULL").groupBy("file_id", "frame_index").agg(*_alpha_facts(F.lit(True)))
+    return s.select("file_id", "frame_index", _alpha().alias("alpha"))
 
 
 def _sizes(pixels: DataFrame, color: str, prefix: str, indexed: bool) -> DataFrame:
@@ -77,12 +87,17 @@ def choose_frames(pixels: DataFrame, color: str = "color", *, indexed: bool = Fa
     (4 + 20 + data of the box) is strictly smaller than that of FULL (16 +
     data). `pixels` has r, g, b, a beside `color`.
     """
-    full = _sizes(pixels, color, "full", indexed)
-    box = change_bbox(diff_frames(pixels, color))
-    delta = _sizes(crop(pixels, box), color, "delta", indexed)
-    alpha = uniform_alpha(with_previous(pixels))
     keys = ["file_id", "frame_index"]
-    out = full.join(box, keys, "left").join(delta, keys, "left").join(alpha, keys, "left")
+    full = _sizes(pixels, color, "full", indexed)
+    # the pixel before, once, for the box as well as for the alpha
+    w = Window.partitionBy("file_id", "pixel_index").orderBy("frame_index")
+    pairs = pixels.withColumns({"prev": F.lag(color).over(w), "_n": F.row_number().over(w), **{f"p{c}": F.lag(c).over(w) for c in "rgba"}})
+    seen = F.col("_n") > 1
+    at = lambda c: F.when(seen & ~F.col("prev").eqNullSafe(F.col(color)), F.col(c))
+    facts = pairs.groupBy(*keys).agg(F.min(at("x")).alias("x"), F.min(at("y")).alias("y"), (F.max(at("x")) - F.min(at("x")) + 1).alias("w"), (F.max(at("y")) - F.min(at("y")) + 1).alias("h"), F.max(seen).alias("_seen"), *_alpha_facts(seen))
+    facts = facts.select(*keys, *"xywh", F.when(F.col("_seen"), _alpha()).alias("alpha"))
+    delta = _sizes(crop(pixels, facts.filter("w IS NOT NULL")), color, "delta", indexed)
+    out = full.join(facts, keys, "left").join(delta, keys, "left")
     first = F.col("frame_index") == F.min("frame_index").over(Window.partitionBy("file_id"))
     forced = first | (F.col("frame_index") % force_full_every == 0) if force_full_every > 0 else first
     out = out.withColumns({"full_bytes": F.col("full_data") + 16, "delta_bytes": F.col("delta_data") + 24})
@@ -92,14 +107,15 @@ def choose_frames(pixels: DataFrame, color: str = "color", *, indexed: bool = Fa
     return out.select(*keys, "frame_type", F.when(F.col("frame_type") == TRANSFORM, F.col("alpha")).alias("alpha"), "full_bytes", "delta_bytes", bytes_.alias("payload_bytes"), *(F.when(F.col("frame_type") == DELTA, F.col(c)).alias(c) for c in "xywh"))
 
 
-def choose_export_frames(pixels: DataFrame, color: str = "color") -> DataFrame:
-    """The editor's choice: colours only, no TRANSFORM. An unchanged frame is a DELTA without a box (4 bytes)."""
+def choose_export_frames(pixels: DataFrame, color: str = "color", *, force_full_every: int = 0) -> DataFrame:
+    """The editor's choice: colours only, no TRANSFORM. An unchanged frame is a DELTA without a box (4 bytes). The first frame, and every `force_full_every`-th, is FULL."""
     keys = ["file_id", "frame_index"]
     box = change_bbox(diff_frames(pixels, color))
     out = _sizes(pixels, color, "full", False).join(box, keys, "left").join(_sizes(crop(pixels, box), color, "delta", False), keys, "left")
     first = F.col("frame_index") == F.min("frame_index").over(Window.partitionBy("file_id"))
     out = out.withColumns({"full_bytes": F.col("full_data") + 16, "delta_bytes": F.coalesce(F.col("delta_data") + 24, F.lit(4).cast("long")), "_first": first})
-    kind = F.when(~F.col("_first") & (F.col("delta_bytes") < F.col("full_bytes")), DELTA).otherwise(FULL)
+    free = ~F.col("_first") & (F.col("frame_index") % force_full_every != 0) if force_full_every > 0 else ~F.col("_first")
+    kind = F.when(free & (F.col("delta_bytes") < F.col("full_bytes")), DELTA).otherwise(FULL)
     out = out.withColumn("frame_type", kind)
     return out.select(*keys, "frame_type", "full_bytes", F.when(~F.col("_first"), F.col("delta_bytes")).alias("delta_bytes"), F.when(F.col("frame_type") == DELTA, F.col("delta_bytes")).otherwise(F.col("full_bytes")).alias("payload_bytes"), *(F.when(F.col("frame_type") == DELTA, F.col(c)).alias(c) for c in "xywh"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.binary import bound, le_hex
+
 #: A run-length token holds 16 bits of length.
 CAP, PACKET = 65_535, 128
 
@@ -29,6 +31,24 @@ def runs(df: DataFrame, unit: list[str], order: list[str], value: str, cap: int
     return cut.select(*unit, (F.col("_first") + F.col("_k")).cast("long").alias("run_index"), (F.col("_start") + F.col("_k") * cap).cast("long").alias("start"), F.least(F.lit(cap), F.col("_n") - F.col("_k") * cap).cast("long").alias("run_length"), value)
 
 
+def text_runs(df: DataFrame, unit: list[str], text: str, value: str = "v", cap: int = CAP) -> DataFrame:
+    """`runs` of the characters of a text column: a text lies in order in its row, so its runs are found there, without a shuffle.
+
+    Null and empty texts have no run.
+    """
+    row = lambda start, length, v: F.struct(start.cast("long").alias("start"), length.cast("long").alias("run_length"), v.alias(value))
+
+    def of(c: Column) -> Column:
+        n = F.size(c)
+        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(c, i) != F.get(c, i - 1)))
+        return bound(first, lambda s: F.transform(s, lambda at, k: row(at, F.coalesce(F.get(s, k + 1), n) - at, F.get(c, at))))
+
+    t = df.filter(F.length(text) > 0).select(*unit, bound(F.filter(F.split(text, ""), lambda x: x != ""), of).alias("_r"))
+    cut = lambda r: F.transform(F.sequence(F.lit(0).cast("long"), F.floor((r["run_length"] - 1) / cap)), lambda k: row(r["start"] + k * cap, F.least(F.lit(cap).cast("long"), r["run_length"] - k * cap), r[value]))
+    pieces = F.when(F.exists("_r", lambda r: r["run_length"] > cap), F.flatten(F.transform("_r", cut))).otherwise(F.col("_r"))
+    return t.select(*unit, F.posexplode(pieces).alias("_i", "_x")).select(*unit, F.col("_i").cast("long").alias("run_index"), "_x.*")
+
+
 def packet_runs(df: DataFrame, unit: list[str], order: list[str], value: str) -> DataFrame:
     """Still-image packets: repeats of 2 to 128, and single values joined to literal packets of 128 at most.
 
@@ -62,12 +82,6 @@ def packet_sizes(packets: DataFrame, unit: list[str]) -> DataFrame:
     return packets.groupBy(*unit).agg(F.sum("n").alias("n_pixels"), F.sum(F.when(F.col("is_repeat"), 5).otherwise(1 + 4 * F.col("n"))).cast("long").alias("packed_bytes"))
 
 
-def le_hex(c: Column, size: int) -> Column:
-    """A whole number as `size` little-endian bytes, in hex; negative ones wrap around. The number is evaluated once."""
-    big = F.lpad(F.hex(c.cast("long").bitwiseAND((1 << (8 * size)) - 1)), 2 * size, "0")
-    return big if size == 1 else F.regexp_replace(big, "(..)" * size, "".join(f"${i}" for i in range(size, 0, -1)))
-
-
 def encode_runs(r: DataFrame, unit: list[str], value: str, indexed: bool = False) -> DataFrame:
     """Token bytes of each unit (`data`): 16 bits of length, then RGBA or an index."""
     color = F.lpad(F.hex(F.col(value).cast("long")), 2 if indexed else 8, "0")
