@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import project as P
-from ..operators import runs, validate
+from ..operators import runs, timeaxis, validate
 from ..sources import media
 from ..sources import views as V
 from ..sources.stage import staged
@@ -48,6 +48,88 @@ def replay_dense(spark, d):
 REPLAY_DENSE = V.with_views("px") + ",\n" + _FEW + " SELECT file_id::VARCHAR AS file_id, frame_index, md5(string_agg(printf('%08X', color), '' ORDER BY pixel_index)) AS canvas_md5 FROM few GROUP BY file_id, frame_index"
 
 
+def _coded(spark, d):
+    """Fades; those of odd files are given more colours than a palette holds."""
+    px = V.fades(spark, d)
+    many = F.pmod(F.col("b") + F.col("pixel_index") * 3 + F.col("frame_index") * 7, F.lit(256))
+    px = px.withColumn("color", F.when(F.col("file_id") % 2 == 1, F.shiftleft(F.shiftright("color", 16), 16) + many * 256 + F.col("a")).otherwise(F.col("color")))
+    return px.select(F.col("file_id").cast("string").alias("file_id"), F.col("frame_index").cast("int").alias("frame_index"), "pixel_index", "x", "y", "color")
+
+
+def coded_files(spark, d):
+    px = _coded(spark, d)
+    return staged(render.encode_animation(px, _sizes(px), editor=False, force_full_every=6))
+
+
+_CODED = V.with_views("fades") + """,
+few AS (SELECT * REPLACE ((b2 % 256) * 256 + (color // 65536) * 65536 + a AS color, b2 % 256 AS b) FROM (SELECT *, CASE WHEN file_id % 2 = 1 THEN b + pixel_index * 3 + frame_index * 7 ELSE b END AS b2 FROM fades)),
+pal AS (SELECT file_id, count(DISTINCT color) <= 256 AS coded, count(DISTINCT color) AS n_colors FROM few GROUP BY file_id),
+pair AS (SELECT c.file_id, c.frame_index, c.pixel_index, c.x, c.y, c.color <> p.color AS changed, c.r = p.r AND c.g = p.g AND c.b = p.b AS same, p.a = 0 AND c.a <> 0 AS appears, CASE WHEN p.a <> 0 THEN c.a / p.a END AS ratio
+ FROM few c JOIN few p ON p.file_id = c.file_id AND p.pixel_index = c.pixel_index AND p.frame_index = c.frame_index - 1),
+firstr AS (SELECT file_id, frame_index, arg_min(ratio, pixel_index) FILTER (ratio IS NOT NULL) AS f FROM pair GROUP BY ALL),
+ua AS (SELECT pair.file_id, pair.frame_index, CASE WHEN bool_and(same) AND NOT bool_or(appears) AND coalesce(max(abs(ratio - f)), 0) <= 1/255.0::DOUBLE
+   THEN CASE WHEN any_value(f) IS NULL THEN 255 ELSE CAST(round_even(least(1, greatest(0, any_value(f))) * 255, 0) AS INTEGER) END END AS alpha FROM pair JOIN firstr USING (file_id, frame_index) GROUP BY pair.file_id, pair.frame_index),
+box AS (SELECT file_id, frame_index, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM pair WHERE changed GROUP BY ALL),
+full_runs AS (SELECT file_id, frame_index, count(*) AS n, count(*) FILTER (is_new) AS r FROM (SELECT *, color IS DISTINCT FROM lag(color) OVER w OR row_number() OVER w = 1 AS is_new FROM few WINDOW w AS (PARTITION BY file_id, frame_index ORDER BY pixel_index)) GROUP BY ALL),
+box_runs AS (SELECT file_id, frame_index, count(*) AS n, count(*) FILTER (is_new) AS r FROM (SELECT few.*, color IS DISTINCT FROM lag(color) OVER w OR row_number() OVER w = 1 AS is_new FROM few JOIN box USING (file_id, frame_index)
+  WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 WINDOW w AS (PARTITION BY file_id, frame_index ORDER BY pixel_index)) GROUP BY ALL),
+size AS (SELECT f.file_id, f.frame_index, coded, CASE WHEN coded THEN least(f.n, 3 * f.r) ELSE least(4 * f.n, 6 * f.r) END AS full_data, CASE WHEN coded THEN least(b.n, 3 * b.r) ELSE least(4 * b.n, 6 * b.r) END AS box_data,
+  CASE WHEN coded THEN 3 * f.r < f.n ELSE 6 * f.r < 4 * f.n END AS full_rle, CASE WHEN coded THEN 3 * b.r < b.n ELSE 6 * b.r < 4 * b.n END AS box_rle
+ FROM full_runs f JOIN pal USING (file_id) LEFT JOIN box_runs b USING (file_id, frame_index)),
+choice AS (SELECT size.*, ua.alpha, x0, y0, x1, y1, CASE WHEN size.frame_index % 6 = 0 THEN 1 WHEN ua.alpha IS NOT NULL THEN 3 WHEN box_data + 24 < full_data + 16 THEN 2 ELSE 1 END AS frame_type
+ FROM size LEFT JOIN ua USING (file_id, frame_index) LEFT JOIN box USING (file_id, frame_index)),
+wrote AS (SELECT few.file_id, few.frame_index, pixel_index, CASE WHEN frame_type = 1 OR (frame_type = 2 AND few.x BETWEEN x0 AND x1 AND few.y BETWEEN y0 AND y1) THEN color END AS color FROM few JOIN choice USING (file_id, frame_index)),
+canvas AS (SELECT file_id, frame_index, pixel_index, last_value(color IGNORE NULLS) OVER (PARTITION BY file_id, pixel_index ORDER BY frame_index) AS color FROM wrote),
+state AS (SELECT file_id, frame_index, frame_type, CASE WHEN frame_type = 1 THEN 255 ELSE alpha END AS _a, coalesce(last_value(CASE WHEN frame_type = 1 THEN 255 WHEN frame_type = 3 THEN alpha END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY frame_index), 255) AS alpha FROM choice)"""
+
+
+def coded_frames(spark, d):
+    """Files with and without a palette, of all frame types, decoded: canvases and what shows of them under the alpha of TRANSFORM frames."""
+    out = render.decode_animation(coded_files(spark, d))
+    return out.select("file_id", "frame_index", F.md5(F.hex("rgba")).alias("canvas_md5"), F.md5(F.hex("shown")).alias("shown_md5"))
+
+
+CODED_FRAMES = _CODED + """ SELECT canvas.file_id::VARCHAR AS file_id, canvas.frame_index, md5(string_agg(printf('%08X', color), '' ORDER BY pixel_index)) AS canvas_md5,
+ md5(string_agg(printf('%08X', color - color % 256 + (color % 256) * alpha // 255), '' ORDER BY pixel_index)) AS shown_md5 FROM canvas JOIN state USING (file_id, frame_index) GROUP BY canvas.file_id, canvas.frame_index"""
+
+
+def coded_encodings(spark, d):
+    """Type and encoding of each frame of those files, and its palette's size."""
+    files = coded_files(spark, d)
+    n = media.explode_palette(files).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_colors"))
+    return media.explode_frames(files).join(n, "file_id", "left").select("file_id", "frame_index", "frame_type", "encoding", "n_colors")
+
+
+CODED_ENCODINGS = _CODED + """ SELECT file_id::VARCHAR AS file_id, frame_index, frame_type, CASE frame_type WHEN 1 THEN full_rle::INTEGER WHEN 2 THEN box_rle::INTEGER END + CASE WHEN coded THEN 2 ELSE 0 END AS encoding, CASE WHEN coded THEN n_colors END AS n_colors
+FROM choice JOIN (SELECT file_id, n_colors FROM pal) USING (file_id)"""
+
+
+def inspect_files(spark, d):
+    """What a file says of itself: canvas, frames, time, rates, loop, palette."""
+    files = coded_files(spark, d)
+    frames = media.explode_frames(files).select("file_id", "frame_index", F.round(F.col("duration_num") * 1000 / F.col("duration_den")).cast("int").alias("duration_ms"))
+    return timeaxis.inspect_media(frames, media.explode_palette(files), media.parse_headers(files).withColumn("file_id", F.col("file_id").cast("string")))
+
+
+INSPECT_FILES = _CODED + """ SELECT file_id::VARCHAR AS file_id, count(*) AS n_frames, count(*) * 100 AS total_ms, 10.0::DOUBLE AS timeline_fps, CASE WHEN coded THEN any_value(n_colors) END AS palette_size, 8 AS canvas_width, 8 AS canvas_height, 10 AS fps_num, 1 AS fps_den, true AS loop, coded AS has_palette
+FROM few JOIN pal USING (file_id) WHERE pixel_index = 0 GROUP BY file_id, coded"""
+
+
+def check_payloads(spark, d):
+    """Payloads of those files by all rules, after every third file's palette was cut to four colours."""
+    files = coded_files(spark, d)
+    frames = media.explode_frames(files)
+    heads = media.parse_headers(files)
+    colors = media.explode_palette(files).filter("NOT (file_id % 3 = 0 AND color_index >= 4)")
+    out = validate.validate_payloads(*media.payload_facts(frames, media.explode_rects(frames), heads), colors)
+    return out.select("file_id", "frame_index", F.array_join("errors", ",").alias("errors"))
+
+
+CHECK_PAYLOADS = _CODED + """, firsts AS (SELECT file_id, color, row_number() OVER (PARTITION BY file_id ORDER BY min(frame_index * 64 + pixel_index)) - 1 AS i FROM few GROUP BY file_id, color),
+top AS (SELECT wrote.file_id, wrote.frame_index, max(i) AS i FROM wrote JOIN firsts USING (file_id, color) GROUP BY ALL)
+SELECT choice.file_id::VARCHAR AS file_id, choice.frame_index, CASE WHEN coded AND choice.file_id % 3 = 0 AND top.i >= 4 THEN 'index_range' ELSE '' END AS errors FROM choice LEFT JOIN top USING (file_id, frame_index)"""
+
+
 def decode_still(spark, d):
     """Each frame as a still image in packets, read back to pixels."""
     px = V.rasters(spark, d).select(F.concat_ws("/", "file_id", "frame_index").alias("file_id"), "pixel_index", "color")
@@ -55,7 +137,7 @@ def decode_still(spark, d):
     size = px.select("file_id").distinct().select("file_id", F.lit(8).alias("width"), F.lit(8).alias("height"))
     stills = media.encode_stills(packets, px, size)
     good, _ = validate.split_valid(validate.validate_still_headers(media.parse_still_headers(stills)))
-    r = media.decode_packets(stills.join(good.select("file_id"), "file_id", "left_semi"))
+    r = media.decode_packets(stills.join(good.select("file_id"), "file_id", "left_semi")).filter("error IS NULL")
     return runs.expand_runs(r, ["file_id"], "color").select("file_id", "pixel_index", "color")
 
 
@@ -108,5 +190,5 @@ def export_project(spark, d):
     return render.decode_animation(staged(files)).select("file_id", "frame_index", F.md5(F.hex("rgba")).alias("canvas_md5"))
 
 
-QUERIES = {f.__name__: f for f in (parse_headers, replay_dense, decode_still, project_round_trip, render_project, export_project)}
+QUERIES = {f.__name__: f for f in (parse_headers, replay_dense, coded_frames, coded_encodings, inspect_files, check_payloads, decode_still, project_round_trip, render_project, export_project)}
 ORACLE_SQL = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binary import bound
 from ..functions.scalars import apply_alpha, duration_fraction
-from ..operators import change, runs
+from ..operators import change, palette, runs, validate
 from ..operators.composite import composite
-from ..operators.project import interpolate_keyframes, place_layers
-from ..operators.replay import segments
+from ..operators.project import interpolate_keyframes, place_layers, source_key
+from ..operators.replay import replay_state, segments
 from ..operators.warp import resize_rasters, rotate_rasters
 from ..sources import media
 from ..sources.stage import staged
@@ -17,58 +20,125 @@ from ..sources.stage import staged
 UNIT = ["file_id", "frame_index"]
 
 
-def unit_data(px: DataFrame, color: str = "color") -> DataFrame:
-    """`data` and `encoding` of each unit of pixels: tokens (1) if strictly smaller than raw RGBA (0)."""
+def unit_data(px: DataFrame, color: str = "color", indexed: bool = False) -> DataFrame:
+    """`data` and `encoding` of each unit of pixels: tokens (1; of indices 3) if strictly smaller than raw (0; 2)."""
     r = runs.runs(px, UNIT, ["pixel_index"], color)
-    size = runs.encoded_sizes(r, UNIT).select(*UNIT, "rgba_is_rle")
-    tokens = runs.encode_runs(r, UNIT, color)
-    raw = px.groupBy(*UNIT).agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pixel_index", F.lpad(F.hex(color), 8, "0").alias("t")))), lambda x: x["t"]), "")).alias("_raw"))
+    size = runs.encoded_sizes(r, UNIT).select(*UNIT, F.col("index_is_rle" if indexed else "rgba_is_rle").alias("_rle"))
+    tokens = runs.encode_runs(r, UNIT, color, indexed)
+    plain = F.lpad(F.hex(color), 2 if indexed else 8, "0")
+    raw = px.groupBy(*UNIT).agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pixel_index", plain.alias("t")))), lambda x: x["t"]), "")).alias("_raw"))
     both = size.join(tokens, UNIT).join(raw, UNIT)
-    return both.select(*UNIT, F.when(F.col("rgba_is_rle"), F.col("data")).otherwise(F.col("_raw")).alias("data"), F.col("rgba_is_rle").cast("int").alias("encoding"))
+    return both.select(*UNIT, F.when(F.col("_rle"), F.col("data")).otherwise(F.col("_raw")).alias("data"), (F.col("_rle").cast("int") + (2 if indexed else 0)).alias("encoding"))
 
 
-def raw_data(data: Column, encoding: Column) -> Column:
-    """RGBA bytes of a unit from either encoding."""
-    h = F.hex(data)
-    n = (F.octet_length(data) / 6).cast("int")
+def raw_data(data: Column, encoding: Column, colors: Column) -> Column:
+    """RGBA bytes of a unit from any of the four encodings. `colors`: the file's palette as an array of hex colours; an index beyond it is transparent, as rule `index_range` finds such frames."""
+    size = F.octet_length(data)
     number = lambda x: F.conv(x, 16, 10).cast("int")
-    tokens = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(h, i * 12 + 1, F.lit(12)))
-    opened = F.transform(tokens, lambda t: F.repeat(F.substring(t, 5, 8), number(F.concat(F.substring(t, 3, 2), F.substring(t, 1, 2)))))
-    return F.when(encoding == 1, F.unhex(F.array_join(opened, ""))).otherwise(data)
+    color = lambda i: F.coalesce(F.get(colors, number(i)), F.lit("00000000"))
+    length = lambda t: number(F.concat(F.substring(t, 3, 2), F.substring(t, 1, 2)))
 
+    def opened(k: int, of) -> Column:
+        """The data in cells of `k` bytes, each of which `of` turns into hex colours."""
+        cells = bound(F.hex(data), lambda h: F.transform(F.sequence(F.lit(0), (size / k).cast("int") - 1), lambda i: of(F.substring(h, i * 2 * k + 1, F.lit(2 * k)))))
+        return F.when(size >= k, F.unhex(F.array_join(cells, ""))).otherwise(F.lit(b""))
 
-def encode_animation(px: DataFrame, sizes: DataFrame, durations: DataFrame | None = None) -> DataFrame:
-    """Animation files (file_id, content) from pixels, by the editor's choice of frames. Bytes are made for the chosen form only.
+    return (
+        F.when(encoding == 1, opened(6, lambda t: F.repeat(F.substring(t, 5, 8), length(t))))
+        .when(encoding == 2, opened(1, color))
+        .when(encoding == 3, opened(3, lambda t: F.repeat(color(F.substring(t, 5, 2)), length(t))))
+        .otherwise(data)
+    )
 
-    `sizes`: file_id, flags, canvas_width, canvas_height, fps_num, fps_den. `durations`: file_id, frame_index, duration_ms (null: 100).
-    """
-    choice = staged(change.choose_export_frames(px))
+
+def _channels(px: DataFrame) -> DataFrame:
+    """r, g, b, a of the packed colour."""
+    return px.withColumns({c: F.shiftright("color", n).bitwiseAND(255).cast("int") for c, n in (("r", 24), ("g", 16), ("b", 8), ("a", 0))})
+
+
+def _encoded(px: DataFrame, choice: DataFrame, color: str, indexed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The choice with each frame's encoding, and bytes of full frames and of boxes, made for the chosen form only."""
+    choice = staged(choice)
     full = choice.filter("frame_type = 1").select(*UNIT)
     boxes = choice.filter("frame_type = 2 AND w IS NOT NULL").select(*UNIT, "x", "y", "w", "h")
-    full_data, rect_data = staged(unit_data(px.join(full, UNIT, "left_semi"))), staged(unit_data(change.crop(px, boxes)))
+    full_data, rect_data = staged(unit_data(px.join(full, UNIT, "left_semi"), color, indexed)), staged(unit_data(change.crop(px, boxes), color, indexed))
     enc = full_data.select(*UNIT, "encoding").unionByName(rect_data.select(*UNIT, "encoding"))
-    c = choice.join(enc, UNIT, "left").withColumn("encoding", F.coalesce("encoding", F.lit(0)))
-    c = c.join(durations, UNIT, "left") if durations is not None else c.withColumn("duration_ms", F.lit(None).cast("int"))
-    ms = c.select("duration_ms").distinct()  # few: the fractions are worked out once for each
-    num, den = duration_fraction(F.col("duration_ms"))
-    ms = ms.select(F.col("duration_ms").alias("_ms"), num.alias("duration_num"), den.alias("duration_den"))
-    c = c.join(ms, F.col("duration_ms").eqNullSafe(F.col("_ms"))).drop("_ms")
-    c = c.join(sizes.select("file_id", F.col("canvas_width").alias("width"), F.col("canvas_height").alias("height")), "file_id").withColumn("alpha", F.lit(None).cast("int"))
-    blobs = media.frame_blobs(c, full_data, rect_data)
+    alpha = F.col("alpha") if "alpha" in choice.columns else F.lit(None).cast("int")
+    c = choice.join(enc, UNIT, "left").select(*UNIT, "frame_type", alpha.alias("alpha"), "x", "y", "w", "h", F.coalesce("encoding", F.lit(2 if indexed else 0)).alias("encoding"))
+    return c, full_data, rect_data
+
+
+def encode_animation(px: DataFrame, sizes: DataFrame, durations: DataFrame | None = None, *, editor: bool = True, force_rgba: bool = False, force_full_every: int = 0) -> DataFrame:
+    """Animation files (file_id, content) from pixels. Bytes are made for the chosen form of each frame only.
+
+    `editor` chooses frames as the editor's export does: RGBA, FULL or DELTA.
+    Else as the encoder does: with a palette for each file of 256 colours at
+    most (but for `force_rgba`), and TRANSFORM for what one alpha factor
+    explains. `force_full_every` bounds a segment, which is what one task
+    replays. `sizes`: file_id, flags, canvas_width, canvas_height, fps_num,
+    fps_den. `durations`: file_id, frame_index and either duration_num and
+    duration_den or duration_ms (null: 100).
+    """
     none = sizes.select("file_id", F.lit(0).alias("color_index"), F.lit(0).cast("long").alias("color")).filter("false")
-    return media.assemble_files(sizes, none, blobs)
+    if editor:
+        pal, parts = none, [_encoded(px, change.choose_export_frames(px, force_full_every=force_full_every), "color", False)]
+    else:
+        px = staged(px)
+        pal = none if force_rgba else staged(palette.build_palette(px))
+        coded = pal.select("file_id").distinct()
+        parts = [(px.join(coded, "file_id", "left_anti"), "color", False)]
+        if not force_rgba:
+            parts.append((palette.to_indices(px, pal), "color_index", True))
+        parts = [_encoded(p, change.choose_frames(_channels(p), c, indexed=i, force_full_every=force_full_every), c, i) for p, c, i in parts]
+    c, full_data, rect_data = (reduce(DataFrame.unionByName, x) for x in zip(*parts))
+    if durations is not None and "duration_num" in durations.columns:
+        c = c.join(durations.select(*UNIT, "duration_num", "duration_den"), UNIT, "left")
+    else:
+        c = c.join(durations, UNIT, "left") if durations is not None else c.withColumn("duration_ms", F.lit(None).cast("int"))
+        ms = c.select("duration_ms").distinct()  # few: the fractions are worked out once for each
+        num, den = duration_fraction(F.col("duration_ms"))
+        ms = ms.select(F.col("duration_ms").alias("_ms"), num.alias("duration_num"), den.alias("duration_den"))
+        c = c.join(ms, F.col("duration_ms").eqNullSafe(F.col("_ms"))).drop("_ms")
+    c = c.join(sizes.select("file_id", F.col("canvas_width").alias("width"), F.col("canvas_height").alias("height")), "file_id")
+    return media.assemble_files(sizes, pal, media.frame_blobs(c, full_data, rect_data))
 
 
 def decode_animation(files: DataFrame) -> DataFrame:
-    """Canvases (file_id, frame_index, rgba) of whole files. Segments are found from keys and types alone, then replayed apart."""
+    """Canvases (file_id, frame_index, rgba, shown) of whole files, of all encodings and frame types.
+
+    `rgba` is the canvas, `shown` the canvas under the alpha that TRANSFORM
+    frames have set. Segments are found from keys and types alone, then
+    replayed apart.
+    """
     frames = staged(media.explode_frames(files))
-    seg = segments(frames.select("file_id", "frame_index", "frame_type")).drop("frame_type")
+    state = replay_state(segments(frames.select(*UNIT, "frame_type")).join(media.parse_transforms(frames).select(*UNIT, "transform_flags", "alpha"), UNIT, "left"))
+    seg = state.select(*UNIT, "segment", F.col("state_alpha").cast("int").alias("alpha"))
     head = media.parse_headers(files).select(F.col("file_id").cast("string").alias("file_id"), F.col("canvas_width").cast("int").alias("canvas_width"), F.col("canvas_height").cast("int").alias("canvas_height"))
+    colors = media.explode_palette(files).groupBy("file_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("color_index", F.lpad(F.hex("color"), 8, "0").alias("t")))), lambda x: x["t"]).alias("colors"))
     zero = F.lit(0)
-    full = frames.filter("frame_type = 1").select(*UNIT, zero.alias("rect_index"), zero.alias("x"), zero.alias("y"), F.col("width").alias("w"), F.col("height").alias("h"), raw_data(F.col("data"), F.col("encoding")).alias("data"))
-    rects = media.explode_rects(frames).select(*UNIT, "rect_index", "x", "y", "w", "h", raw_data(F.col("data"), F.col("encoding")).alias("data"))
-    still = frames.select(*UNIT).join(full.select(*UNIT).unionByName(rects.select(*UNIT)), UNIT, "left_anti").select(*UNIT, zero.alias("rect_index"), zero.alias("x"), zero.alias("y"), zero.alias("w"), zero.alias("h"), F.lit(None).cast("binary").alias("data"))
-    return media.replay_dense(full.unionByName(rects).unionByName(still).join(seg, UNIT).join(head, "file_id"))
+    full = frames.filter("frame_type = 1").select(*UNIT, zero.alias("rect_index"), zero.alias("x"), zero.alias("y"), F.col("width").alias("w"), F.col("height").alias("h"), "encoding", "data")
+    rects = media.explode_rects(frames).filter("error IS NULL").select(*UNIT, "rect_index", "x", "y", "w", "h", "encoding", "data")
+    writes = full.unionByName(rects).join(colors, "file_id", "left").withColumn("data", raw_data(F.col("data"), F.col("encoding"), F.col("colors"))).drop("encoding", "colors")
+    still = frames.select(*UNIT).join(writes.select(*UNIT), UNIT, "left_anti").select(*UNIT, zero.alias("rect_index"), zero.alias("x"), zero.alias("y"), zero.alias("w"), zero.alias("h"), F.lit(None).cast("binary").alias("data"))
+    return media.replay_dense(writes.unionByName(still).join(seg, UNIT).join(head, "file_id"))
+
+
+def decode_folder(spark: SparkSession, path: str, profile: str = "strict") -> tuple[DataFrame, DataFrame]:
+    """Canvases of the sound animation files of a folder, and the quarantine (file_id, errors): files with a broken header, chain of frames or payload."""
+    files = media.read_media(spark, path)
+    heads = validate.validate_headers(media.parse_headers(files.filter("kind = 'animation'")), profile)
+    good, bad = validate.split_valid(heads)
+    unknown = files.filter("kind IS NULL").select("file_id", F.array(F.lit("magic")).alias("errors"))
+    files = files.join(good.select("file_id"), "file_id", "left_semi")
+    chain = media.walk_chunks(files, "frame").filter("error IS NOT NULL").select("file_id", "error")
+    frames = staged(media.explode_frames(files))
+    rects = media.explode_rects(frames)
+    checked = validate.validate_frames(media.frame_places(frames, good)).select("file_id", F.explode("errors").alias("error"))
+    payloads = validate.validate_payloads(*media.payload_facts(frames, rects, good), media.explode_palette(files)).select("file_id", F.explode("errors").alias("error"))
+    found = chain.unionByName(checked).unionByName(payloads).unionByName(rects.filter("error IS NOT NULL").select("file_id", "error"))
+    broken = staged(found.groupBy("file_id").agg(F.sort_array(F.collect_set("error")).alias("errors")))
+    canvases = decode_animation(files.join(broken.select("file_id"), "file_id", "left_anti"))
+    return canvases, bad.select("file_id", "errors").unionByName(unknown).unionByName(broken)
 
 
 def render_project(active: DataFrame, keyframes: DataFrame, rasters: DataFrame, sources: DataFrame, canvas: DataFrame, method: str = "bicubic") -> DataFrame:
@@ -76,8 +146,9 @@ def render_project(active: DataFrame, keyframes: DataFrame, rasters: DataFrame,
 
     `active`: rows of `active_clips`. `keyframes`: project_id, clip_index,
     frame_index and values. `rasters`: source_id, source_frame_index, x, y, r,
-    g, b, a. `sources`: source_id, canvas_width, canvas_height. `canvas`:
-    project_id, out_width, out_height. Equal (source frame, scale, rotation) are
+    g, b, a. `sources`: source_id, canvas_width, canvas_height; with project_id
+    in it the numbers count within each project, and `rasters` has it too.
+    `canvas`: project_id, out_width, out_height. Equal (source frame, scale, rotation) are
     warped once, as keyframes often hold. Layers are clipped to the canvas;
     frames without a visible pixel have no row.
     """
@@ -86,10 +157,11 @@ def render_project(active: DataFrame, keyframes: DataFrame, rasters: DataFrame,
     at = interpolate_keyframes(keyframes.withColumn("clip_key", key), act.select("clip_key", F.col("local_frame_index").alias("frame_index")))
     placed = place_layers(act, at, sources).join(act.select("project_id", "frame_index", "clip_index", "source_id", "source_frame_index"), ["project_id", "frame_index", "clip_index"])
     placed = placed.withColumn("deg", F.when(F.abs("rotation_deg") > 1e-6, F.round("rotation_deg", 6)).otherwise(0.0))
-    form = ["source_id", "source_frame_index", "new_width", "new_height", "deg"]
-    forms = placed.select("source_id", "source_frame_index", F.col("width").alias("new_width"), F.col("height").alias("new_height"), "deg").distinct()
-    px = rasters.join(sources.select("source_id", F.col("canvas_width").alias("width"), F.col("canvas_height").alias("height")), "source_id").join(forms, ["source_id", "source_frame_index"])
-    scaled = _resized(px, method)
+    source = source_key(sources)
+    form = [*source, "source_frame_index", "new_width", "new_height", "deg"]
+    forms = placed.select(*source, "source_frame_index", F.col("width").alias("new_width"), F.col("height").alias("new_height"), "deg").distinct()
+    px = rasters.join(sources.select(*source, F.col("canvas_width").alias("width"), F.col("canvas_height").alias("height")), source).join(forms, [*source, "source_frame_index"])
+    scaled = _resized(px, source, method)
     turned = scaled.filter("deg <> 0").withColumns({"width": F.col("new_width"), "height": F.col("new_height")})
     turned = rotate_rasters(turned.withColumn("_deg", F.col("deg")), form, "_deg", "bicubic" if method == "bicubic" else "nearest")
     warped = scaled.filter("deg = 0").select(*form, "x", "y", *"rgba").unionByName(turned.select(*form, "x", "y", *"rgba")).filter("a > 0")
@@ -99,15 +171,15 @@ def render_project(active: DataFrame, keyframes: DataFrame, rasters: DataFrame,
     return composite(inside, ["project_id", "frame_index", "x", "y"])
 
 
-def _resized(px: DataFrame, method: str) -> DataFrame:
+def _resized(px: DataFrame, source: list[str], method: str) -> DataFrame:
     """Both sizes stay as columns beside the filter's own keys."""
     keyed = px.withColumns({"_nw": F.col("new_width"), "_nh": F.col("new_height")})
-    out = resize_rasters(keyed, ["source_id", "source_frame_index", "deg", "_nw", "_nh"], method)
+    out = resize_rasters(keyed, [*source, "source_frame_index", "deg", "_nw", "_nh"], method)
     return out.withColumnsRenamed({"_nw": "new_width", "_nh": "new_height"})
 
 
-def export_project(rendered: DataFrame, canvas: DataFrame, extent: DataFrame, fps_num: int, fps_den: int) -> DataFrame:
-    """Animation files of rendered projects: every timeline frame, also empty ones, with the constant duration fps_den / fps_num."""
+def export_project(rendered: DataFrame, canvas: DataFrame, extent: DataFrame, fps_num: int, fps_den: int, force_full_every: int = 0) -> DataFrame:
+    """Animation files of rendered projects: every timeline frame, also empty ones, with the constant duration fps_den / fps_num, kept as a fraction."""
     c = canvas.join(extent, "project_id").withColumn("frame_index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1)))
     grid = c.withColumn("pixel_index", F.explode(F.sequence(F.lit(0), F.col("out_width") * F.col("out_height") - 1)))
     grid = grid.select("project_id", "frame_index", "pixel_index", F.pmod("pixel_index", "out_width").alias("x"), F.floor(F.col("pixel_index") / F.col("out_width")).cast("int").alias("y"))
@@ -115,5 +187,5 @@ def export_project(rendered: DataFrame, canvas: DataFrame, extent: DataFrame, fp
     value = sum((F.coalesce(F.col(n), F.lit(0)).cast("long") * m for n, m in (("r", 1 << 24), ("g", 1 << 16), ("b", 1 << 8), ("a", 1))), F.lit(0).cast("long"))
     px = px.select(F.col("project_id").cast("string").alias("file_id"), "frame_index", "pixel_index", "x", "y", value.alias("color"))
     sizes = canvas.select(F.col("project_id").cast("string").alias("file_id"), F.lit(1).alias("flags"), F.col("out_width").alias("canvas_width"), F.col("out_height").alias("canvas_height"), F.lit(fps_num).alias("fps_num"), F.lit(fps_den).alias("fps_den"))
-    ms = px.select("file_id", "frame_index").distinct().withColumn("duration_ms", F.lit(round(1000 * fps_den / fps_num)))
-    return encode_animation(px, sizes, ms)
+    times = px.select("file_id", "frame_index").distinct().withColumns({"duration_num": F.lit(fps_den), "duration_den": F.lit(fps_num)})
+    return encode_animation(px, sizes, times, force_full_every=force_full_every)

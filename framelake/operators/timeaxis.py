@@ -40,7 +40,16 @@ def stream_fps_batch(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("file_id", F.window("ts", "500 milliseconds").alias("w")).agg((F.count(F.lit(1)) / 0.5).alias("fps")).select("file_id", F.col("w.start").alias("window_start"), "fps")
 
 
-def inspect_media(frames: DataFrame, palette: DataFrame) -> DataFrame:
-    """Frames, total time, rate and palette size of each file; null for files without a palette."""
+def flag_columns(headers: DataFrame) -> DataFrame:
+    """The flag bits of a header as `loop` and `has_palette`."""
+    return headers.withColumns({"loop": F.col("flags").bitwiseAND(1) != 0, "has_palette": F.col("flags").bitwiseAND(2) != 0})
+
+
+def inspect_media(frames: DataFrame, palette: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """Frames, total time, rate and palette size of each file; null for files without a palette. `headers` add canvas, the header's rate and whether it loops."""
     p = palette.groupBy("file_id").agg(F.count(F.lit(1)).alias("palette_size"))
-    return timeline_fps(frames).join(p, "file_id", "left")
+    out = timeline_fps(frames).join(p, "file_id", "left")
+    if headers is None:
+        return out
+    h = flag_columns(headers).select("file_id", "canvas_width", "canvas_height", "fps_num", "fps_den", "loop", "has_palette")
+    return out.join(h, "file_id", "left")

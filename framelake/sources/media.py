@@ -1,8 +1,7 @@
 """The two media formats and project files as tables: reading, walking, assembling."""
 
-from __future__ import annotations
-
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +99,7 @@ def explode_frames(files: DataFrame) -> DataFrame:
     """Frame rows: type, flags, duration, payload, and for FULL frames encoding, size and data."""
     f = walk_chunks(files, "frame").filter("position >= 0")
     c, p = F.col("body"), F.substring("body", FRAME + 1, 1 << 30)
-    f = f.select("file_id", F.col("position").alias("frame_index"), u32(c, 0).alias("frame_size"), unsigned(c, 4, 2).cast("int").alias("frame_type"), unsigned(c, 6, 2).cast("int").alias("frame_flags"), u32(c, 8).alias("duration_num"), u32(c, 12).alias("duration_den"), u32(c, 16).alias("payload_size"), p.alias("payload"))
+    f = f.select("file_id", F.col("position").alias("frame_index"), u32(c, 0).alias("frame_size"), unsigned(c, 4, 2).cast("int").alias("frame_type"), unsigned(c, 6, 2).cast("int").alias("frame_flags"), u32(c, 8).alias("duration_num"), u32(c, 12).alias("duration_den"), u32(c, 16).alias("payload_size"), (u32(c, 20) + u32(c, 24)).alias("reserved"), p.alias("payload"))
     full = lambda v: F.when(F.col("frame_type") == 1, v)
     p = F.col("payload")
     return f.withColumns({"encoding": F.when(F.col("frame_type").isin(1, 2), unsigned(p, 0, 2).cast("int")), "width": full(u32(p, 4)).cast("int"), "height": full(u32(p, 8)).cast("int"), "data": full(F.substring("payload", FULL_HEAD + 1, 1 << 30))})
@@ -108,50 +107,84 @@ def explode_frames(files: DataFrame) -> DataFrame:
 
 def _walk_rects(batches):
     for b in batches:
-        cols = {n: [] for n in ("file_id", "frame_index", "rect_index", "encoding", "x", "y", "w", "h", "data")}
+        cols = {n: [] for n in ("file_id", "frame_index", "rect_index", "encoding", "x", "y", "w", "h", "data", "error")}
+        put = lambda *row: [cols[n].append(v) for n, v in zip(cols, row)]  # noqa: B023, E731
         for i, f, p in zip(*(b.column(n).to_pylist() for n in ("file_id", "frame_index", "payload"))):
-            encoding, count = struct.unpack_from("<HH", p) if len(p) >= 4 else (0, 0)
+            encoding, count = struct.unpack_from("<HH", p) if len(p) >= 4 else (0, 1)
             at = 4
             for k in range(count):
-                if at + RECT_HEAD > len(p):
+                x, y, w, h, n = struct.unpack_from("<5I", p, at) if at + RECT_HEAD <= len(p) else (0, 0, 0, 0, -1)
+                if n < 0 or at + RECT_HEAD + n > len(p):
+                    put(i, f, k, encoding, None, None, None, None, None, "rect_cut")
                     break
-                x, y, w, h, n = struct.unpack_from("<5I", p, at)
-                for name, v in zip(cols, (i, f, k, encoding, x, y, w, h, p[at + RECT_HEAD : at + RECT_HEAD + n])):
-                    cols[name].append(v)
+                put(i, f, k, encoding, x, y, w, h, p[at + RECT_HEAD : at + RECT_HEAD + n], None)
                 at += RECT_HEAD + n
-        kinds = [pa.string(), *[pa.int32()] * 7, pa.binary()]
+        kinds = [pa.string(), *[pa.int32()] * 3, *[pa.int32()] * 4, pa.binary(), pa.string()]
         yield pa.record_batch([pa.array(v, t) for v, t in zip(cols.values(), kinds)], names=list(cols))
 
 
 def explode_rects(frames: DataFrame) -> DataFrame:
-    """Boxes of DELTA frames, in order."""
+    """Boxes of DELTA frames, in order; a payload that ends too early gives a row with the `error` rect_cut where it does."""
     d = frames.filter("frame_type = 2").select("file_id", "frame_index", "payload")
-    return d.mapInArrow(_walk_rects, "file_id string, frame_index int, rect_index int, encoding int, x int, y int, w int, h int, data binary")
+    return d.mapInArrow(_walk_rects, "file_id string, frame_index int, rect_index int, encoding int, x int, y int, w int, h int, data binary, error string")
+
+
+def frame_places(frames: DataFrame, headers: DataFrame) -> DataFrame:
+    """Frames with what `validate_frames` asks for: where each one ends, the file's size, and its reserved fields."""
+    upto = F.sum("frame_size").over(Window.partitionBy("file_id").orderBy("frame_index"))
+    h = headers.select(F.col("file_id").cast("string").alias("file_id"), "file_size", "frames_offset")
+    slim = frames.select("file_id", "frame_index", "frame_size", "payload_size", "duration_den", "reserved", upto.alias("_upto"))
+    return slim.join(h, "file_id").withColumn("frame_end", F.col("frames_offset") + F.col("_upto")).drop("_upto", "frames_offset")
+
+
+def _highest_index(data, encoding):
+    """Highest palette index in the data of an indexed unit, else null."""
+    h = F.hex(data)
+    step = F.when(encoding == 2, 1).when(encoding == 3, 3)
+    places = F.sequence(step, (F.floor(F.octet_length(data) / step) * step).cast("int"), step)
+    return F.when(step.isNotNull() & (F.octet_length(data) >= step), F.array_max(F.transform(places, lambda i: F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))))
+
+
+def payload_facts(frames: DataFrame, rects: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What `validate_payloads` asks for of frames and boxes. A FULL frame counts as its one box."""
+    h = headers.select(F.col("file_id").cast("string").alias("file_id"), "canvas_width", "canvas_height")
+    boxes = rects.filter("error IS NULL").groupBy("file_id", "frame_index").agg(F.sum(F.octet_length("data") + RECT_HEAD).alias("_boxes"))
+    size, kind = F.octet_length("payload"), F.col("frame_type")
+    said = u32(F.col("payload"), 12)
+    left = F.when(kind == 1, size - FULL_HEAD - said).when(kind == 2, size - 4 - F.coalesce("_boxes", F.lit(0))).when(kind == 3, size - FRAME)
+    f = frames.join(h, "file_id").join(boxes, ["file_id", "frame_index"], "left")
+    f = f.select("file_id", "frame_index", "frame_type", "encoding", "width", "height", F.when(kind == 1, said).alias("data_size"), F.when(kind == 3, u32(F.col("payload"), 12)).alias("alpha"), left.alias("left_over"), "canvas_width", "canvas_height")
+    cells = lambda df, *c: df.select("file_id", "frame_index", *c, F.octet_length("data").cast("long").alias("data_size"), _highest_index(F.col("data"), F.col("encoding")).alias("max_index"))
+    whole = cells(frames.filter("frame_type = 1"), "encoding", F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("width").alias("w"), F.col("height").alias("h"))
+    return f, whole.unionByName(cells(rects.filter("error IS NULL"), "encoding", "x", "y", "w", "h"))
 
 
 def _walk_packets(batches):
     for b in batches:
         for i, content in zip(b.column("file_id").to_pylist(), b.column("content").to_pylist()):
-            at, start, rows = 20, 0, []
+            at, lengths, colors, error = 20, [], [], None
             while at < len(content):
                 c = content[at]
-                if c >= 128:
-                    n, px, at = c - 127, [content[at + 1 : at + 5]], at + 5
-                else:
-                    n = 1
-                    px = [content[at + 1 + 4 * k : at + 5 + 4 * k] for k in range(c + 1)]
-                    at += 1 + 4 * (c + 1)
-                for p in px:
-                    if len(p) < 4:
-                        break
-                    rows.append((len(rows), start, n, p[2] << 24 | p[1] << 16 | p[0] << 8 | p[3]))
-                    start += n
-            yield pa.record_batch([pa.array([i] * len(rows), pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4))], names=["file_id", "run_index", "start", "run_length", "color"])
+                n = 1 if c >= 128 else c + 1  # pixels that the packet spells out
+                if at + 1 + 4 * n > len(content):
+                    error = "packet_cut"
+                    break
+                colors.append(np.frombuffer(content, dtype=np.uint8, count=4 * n, offset=at + 1).reshape(n, 4))
+                lengths.append(np.full(n, c - 127 if c >= 128 else 1, dtype=np.int64))
+                at += 1 + 4 * n
+            px = np.concatenate([np.zeros((0, 4), dtype=np.uint8), *colors]).astype(np.int64)
+            length = np.concatenate([np.zeros(0, dtype=np.int64), *lengths])
+            color = px[:, 2] << 24 | px[:, 1] << 16 | px[:, 0] << 8 | px[:, 3]
+            rows, end = len(length), [None] if error else []
+            columns = [np.arange(rows), np.cumsum(length) - length, length, color]
+            yield pa.record_batch(
+                [pa.array([i] * (rows + len(end)), pa.string()), *(pa.array([*c.tolist(), *end], pa.int64()) for c in columns), pa.array([None] * rows + [error] * len(end), pa.string())], names=["file_id", "run_index", "start", "run_length", "color", "error"]
+            )
 
 
 def decode_packets(stills: DataFrame) -> DataFrame:
-    """H2: packets of still images as runs of colours (a literal pixel is a run of one)."""
-    return stills.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInArrow(_walk_packets, "file_id string, run_index long, start long, run_length long, color long")
+    """H2: packets of still images as runs of colours (a literal pixel is a run of one). A file that ends within a packet gives a last row with the `error` packet_cut and nothing else."""
+    return stills.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInArrow(_walk_packets, "file_id string, run_index long, start long, run_length long, color long, error string")
 
 
 def encode_stills(packets: DataFrame, pixels: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -241,26 +274,47 @@ def write_projects(projects: DataFrame, sources: DataFrame, clips: DataFrame, ke
     return p.select("project_id", F.unhex(F.concat(head, "_b")).alias("content"))
 
 
-def _dense(key, table):
-    """One segment on a canvas array: writes in order, the canvas after each frame."""
-    t = table.to_pandas().sort_values(["frame_index", "rect_index"])
+#: Bytes of canvases that a task hands over at a time.
+DENSE_BYTES = 64 << 20
+
+
+def _dense(key, batches):
+    """One segment on a canvas array: writes in order, the canvas after each frame, handed over in bounded batches."""
+    t = pa.Table.from_batches(list(batches)).to_pandas().sort_values(["frame_index", "rect_index"])
     w, h = int(t.canvas_width.iloc[0]), int(t.canvas_height.iloc[0])
     canvas, out = np.zeros((h, w), dtype=">u4"), []
+
+    def batch():
+        return pa.record_batch([pa.array([key[0].as_py()] * len(out), pa.string()), pa.array([f for f, *_ in out], pa.int32()), pa.array([c for _, c, _ in out], pa.binary()), pa.array([s for *_, s in out], pa.binary())], names=["file_id", "frame_index", "rgba", "shown"])
+
     for f, rows in t.groupby("frame_index", sort=True):
         for r in rows.itertuples():
             if r.data is not None and r.w > 0:
                 px = np.frombuffer(r.data, dtype=">u4").reshape(r.h, r.w)
                 canvas[r.y : r.y + r.h, r.x : r.x + r.w] = px[: h - r.y, : w - r.x]
-        out.append((f, canvas.tobytes()))
-    return pa.table({"file_id": pa.array([key[0].as_py()] * len(out), pa.string()), "frame_index": pa.array([f for f, _ in out], pa.int32()), "rgba": pa.array([c for _, c in out], pa.binary())})
+        plain, alpha = canvas.tobytes(), int(rows.alpha.iloc[0])
+        shown = plain
+        if alpha != 255:
+            faded = canvas.copy().view(np.uint8).reshape(h, w, 4)
+            faded[:, :, 3] = faded[:, :, 3].astype(np.int64) * alpha // 255
+            shown = faded.tobytes()
+        out.append((f, plain, shown))
+        if len(out) * 8 * w * h >= DENSE_BYTES:
+            yield batch()
+            out = []
+    yield batch()
 
 
 def replay_dense(writes: DataFrame) -> DataFrame:
-    """H3: canvas (`rgba`, raw) at every frame of a segment.
+    """H3: canvas (`rgba`, raw; `shown`, under the frame's alpha) at every frame of a segment.
 
     `writes`: file_id, segment, frame_index, rect_index, x, y, w, h, data (raw
-    RGBA; null for a frame that writes nothing), canvas_width, canvas_height. A
-    segment, which a FULL frame starts, is the unit of work; `force_full_every`
-    of the writer bounds it.
+    RGBA; null for a frame that writes nothing), alpha, canvas_width,
+    canvas_height. A segment, which a FULL frame starts, is the unit of work;
+    `force_full_every` of the writer bounds it.
     """
-    return writes.groupBy("file_id", "segment").applyInArrow(_dense, "file_id string, frame_index int, rgba binary")
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _dense(key, batches)
+
+    return writes.groupBy("file_id", "segment").applyInArrow(run, "file_id string, frame_index int, rgba binary, shown binary")

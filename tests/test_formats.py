@@ -108,6 +108,88 @@ def test_encode_decode(spark):
     assert canvas == want
 
 
+def test_golden_canvases(spark):
+    """Palette indices, a DELTA and a TRANSFORM of the golden file."""
+    got = {r.frame_index: (bytes(r.rgba), bytes(r.shown)) for r in render.decode_animation(files(spark, ANIMATION)).collect()}
+    ab, aa, faded = (bytes.fromhex(x) for x in ("0a141eff01020380", "0a141eff0a141eff", "0a141e800a141e80"))
+    assert got == {0: (ab, ab), 1: (aa, aa), 2: (aa, faded)}
+
+
+def test_encoders_choice(spark):
+    """The encoder's choice: palette indices and a TRANSFORM for faded pixels; with `force_rgba` and every second frame FULL, tokens of colours."""
+    a, b = (10, 20, 30, 255), (1, 2, 3, 128)
+    sizes = spark.createDataFrame([("f", 1, 2, 1, 10, 1)], "file_id string, flags int, canvas_width int, canvas_height int, fps_num int, fps_den int")
+    px = pixels(spark, [a, b], [a, a], [(10, 20, 30, 128), (10, 20, 30, 128)])
+    out = bytes(render.encode_animation(px, sizes, editor=False).first().content)
+    frames = media.explode_frames(files(spark, out)).orderBy("frame_index").collect()
+    assert [(r.frame_type, r.encoding) for r in frames] == [(1, 2), (1, 2), (3, None)]
+    assert media.parse_transforms(media.explode_frames(files(spark, out))).first().alpha == 128
+    plain = bytes(render.encode_animation(px, sizes, editor=False, force_rgba=True, force_full_every=2).first().content)
+    assert [(r.frame_type, r.encoding) for r in media.explode_frames(files(spark, plain)).orderBy("frame_index").collect()][2] == (1, 1)
+
+
+def test_folder_with_broken_files(spark, tmp_path):
+    """Sound files are decoded; others stand in the quarantine with their reasons."""
+    cut_rect = bytearray(ANIMATION)
+    cut_rect[73 + 46 + 28 + 20 : 73 + 46 + 28 + 24] = (9).to_bytes(4, "little")  # a box that claims more bytes than there are
+    index = bytearray(ANIMATION)
+    index[73 + 45] = 2  # beyond the palette of two colours
+    alpha = bytearray(ANIMATION)
+    alpha[73 + 46 + 53 + 28 + 12 : 73 + 46 + 53 + 28 + 16] = (256).to_bytes(4, "little")
+    named = {"good": ANIMATION, "short": ANIMATION[:-1], "magic": b"XXXXX" + ANIMATION[5:], "rect": bytes(cut_rect), "index": bytes(index), "alpha": bytes(alpha)}
+    for n, c in named.items():
+        (tmp_path / f"{n}.migif").write_bytes(c)
+    (tmp_path / "still.miimg").write_bytes(STILL)
+    canvases, bad = render.decode_folder(spark, str(tmp_path))
+    short = lambda p: p.rsplit("/", 1)[1].split(".")[0]
+    assert sorted((short(r.file_id), r.frame_index) for r in canvases.collect()) == [("good", 0), ("good", 1), ("good", 2)]
+    got = {short(r.file_id): set(r.errors) for r in bad.collect()}
+    assert set(got) == set(named) - {"good"} and got["short"] == {"file_size"} and got["magic"] == {"magic"} and "rect_cut" in got["rect"] and got["index"] == {"index_range"} and got["alpha"] == {"alpha"}
+    kinds = {short(r.file_id): r.kind for r in media.read_media(spark, str(tmp_path)).collect()}
+    assert kinds["still"] == "still" and kinds["good"] == "animation" and kinds["magic"] is None
+
+
+def test_cut_packets(spark):
+    rows = media.decode_packets(files(spark, STILL[:-1])).collect()
+    assert [(r.start, r.run_length, r.color, r.error) for r in rows] == [(0, 2, A, None), (None, None, None, "packet_cut")]
+
+
+def test_frame_tables(spark, tmp_path):
+    media.write_frame_tables(media.explode_frames(files(spark, ANIMATION)), str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t")).collect()
+    assert [(r.file_id, r.frame_index, r.frame_type) for r in back] == [("f0", 0, 1), ("f0", 1, 2), ("f0", 2, 3)]
+
+
+def test_text_runs(spark):
+    df = spark.createDataFrame([(1, "aab\n\n"), (2, ""), (3, None), (4, "x" * 65536), (5, "é日日")], "i int, t string")
+    got = sorted((r.i, r.run_index, r.start, r.run_length, r.v) for r in runs.text_runs(df, ["i"], "t").collect())
+    assert got == [(1, 0, 0, 2, "a"), (1, 1, 2, 1, "b"), (1, 2, 3, 2, "\n"), (4, 0, 0, 65535, "x"), (4, 1, 65535, 1, "x"), (5, 0, 0, 1, "é"), (5, 1, 1, 2, "日")]
+
+
+@pytest.mark.parametrize("num, den", [(24, 1), (30, 1), (30000, 1001)])
+def test_exact_durations(spark, num, den):
+    canvas = spark.createDataFrame([(7, 2, 1)], "project_id long, out_width int, out_height int")
+    extent = spark.createDataFrame([(7, 3)], "project_id long, total_frames long")
+    rendered = spark.createDataFrame([(7, 1, 0, 0, 1, 2, 3, 255)], "project_id long, frame_index long, x int, y int, r int, g int, b int, a int")
+    f = media.explode_frames(render.export_project(rendered, canvas, extent, num, den)).collect()
+    assert {(r.duration_num, r.duration_den) for r in f} == {(den, num)} and len(f) == 3
+
+
+def test_sources_of_each_project(spark):
+    """Three projects of one clip each, all with a source 0 of their own."""
+    clips = spark.createDataFrame([(p, 0, 0, None, 0, 0, "") for p in range(3)], "project_id long, clip_index int, source_id long, timeline_start_frame int, source_start_frame int, frame_count int, name string")
+    sources = spark.createDataFrame([(p, 0, f"d/s{p}.gif", p + 1, 8, 8) for p in range(3)], "project_id long, source_id long, path string, n_frames int, canvas_width int, canvas_height int")
+    loaded = project.resolve_clips(clips, sources)[0]
+    assert sorted((r.project_id, r.length) for r in loaded.collect()) == [(0, 1), (1, 2), (2, 3)]
+    assert sorted((r.project_id, r.label) for r in project.clip_listing(loaded, sources).collect()) == [(p, f"s{p}.gif") for p in range(3)]
+    rasters = spark.createDataFrame([(p, 0, f, x, 0, 10 * p, f, x, 255) for p in range(3) for f in range(p + 1) for x in range(2)], "project_id long, source_id long, source_frame_index long, x int, y int, r int, g int, b int, a int")
+    sources = sources.withColumns({"canvas_width": F.lit(2), "canvas_height": F.lit(1)})
+    canvas = sources.select("project_id", F.lit(2).alias("out_width"), F.lit(1).alias("out_height"))
+    none = spark.createDataFrame([], "project_id long, clip_index int, frame_index long, x double, y double, scale_x double, scale_y double, rotation_deg double, alpha int")
+    got = sorted((r.project_id, r.frame_index, r.x, r.r, r.g, r.b) for r in render.render_project(project.active_clips(loaded), none, rasters, sources, canvas, "nearest").collect())
+    assert got == [(p, f, x, 10 * p, f, x) for p in range(3) for f in range(p + 1) for x in range(2)]
+
+
 def test_interpolation_at_a_keyframe(spark):
     k = spark.createDataFrame([("c", 0, 0.0, 0), ("c", 10, 5.0, 255)], "clip_key string, frame_index int, x double, alpha int")
     for n in ("y", "scale_x", "scale_y", "rotation_deg"):
