@@ -36,17 +36,18 @@ def text_runs(df: DataFrame, unit: list[str], text: str, value: str = "v", cap:
 
     Null and empty texts have no run.
     """
-    row = lambda start, length, v: F.struct(start.cast("long").alias("start"), length.cast("long").alias("run_length"), v.alias(value))
-
-    def of(c: Column) -> Column:
-        n = F.size(c)
-        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(c, i) != F.get(c, i - 1)))
-        return bound(first, lambda s: F.transform(s, lambda at, k: row(at, F.coalesce(F.get(s, k + 1), n) - at, F.get(c, at))))
-
-    t = df.filter(F.length(text) > 0).select(*unit, bound(F.filter(F.split(text, ""), lambda x: x != ""), of).alias("_r"))
-    cut = lambda r: F.transform(F.sequence(F.lit(0).cast("long"), F.floor((r["run_length"] - 1) / cap)), lambda k: row(r["start"] + k * cap, F.least(F.lit(cap).cast("long"), r["run_length"] - k * cap), r[value]))
-    pieces = F.when(F.exists("_r", lambda r: r["run_length"] > cap), F.flatten(F.transform("_r", cut))).otherwise(F.col("_r"))
-    return t.select(*unit, F.posexplode(pieces).alias("_i", "_x")).select(*unit, F.col("_i").cast("long").alias("run_index"), "_x.*")
+    def starts(c: Column) -> Column:
+        n = F.size(c) - (F.element_at(c, -1) == "").cast("int")  # splitting may leave an empty end
+        return F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(c, i) != F.get(c, i - 1)))
+
+    # where each run begins, and the run itself; length and value are taken from it once it is a row
+    same = F.regexp_extract_all(text, F.lit(r"(?s)(.)\1*"), F.lit(0))
+    t = df.filter(F.length(text) > 0).select(*unit, F.length(text).alias("_n"), F.arrays_zip(bound(F.split(text, ""), starts).alias("s"), same.alias("t")).alias("_r"))
+    cut = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.length(r["t"]) - 1) / cap).cast("int")), lambda k: F.struct((r["s"] + k * cap).alias("s"), F.substring(r["t"], k * cap + 1, F.lit(cap)).alias("t")))
+    pieces = F.when(F.col("_n") > cap, F.flatten(F.transform("_r", cut))).otherwise(F.col("_r"))
+    return t.select(*unit, F.posexplode(pieces).alias("_i", "_x")).select(
+        *unit, F.col("_i").cast("long").alias("run_index"), F.col("_x.s").cast("long").alias("start"), F.length("_x.t").cast("long").alias("run_length"), F.substring("_x.t", 1, 1).alias(value)
+    )
 
 
 def packet_runs(df: DataFrame, unit: list[str], order: list[str], value: str) -> DataFrame:
