@@ -88,7 +88,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # the last field tells rows apart that tie in all else
     order = F.struct(-F.col("code_points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     keys = ["n_blocks", "identity"]
-    groups = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
+    # written first, so that nothing but the join stands behind its exchanges and a group of many rows can be split there
+    groups = settle(named.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best")), "groups")
     out = named.join(groups, keys)
     return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
 
