@@ -14,6 +14,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_BYTES, settle
+
 #: Spellings that licence texts use for each other; the left one becomes the right one.
 SPELLINGS = [
     ("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("non-commercial", "noncommercial"),
@@ -111,14 +113,18 @@ def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None, doc_id: st
 
     Null, empty and wordless texts have a null digest and no licence. Repeated
     rows give equal rows. A digest that stands for several ids in `licenses`
-    gives the smallest. The join is left to the planner: a short list of
-    licences is broadcast, a long one hash-joined.
+    gives the smallest. Digests of the texts are written once, in the shared
+    folder; a list of licences that fits in BROADCAST_BYTES is broadcast, a
+    longer one hash-joined.
     """
-    known = licenses if licenses is not None else known_licenses(docs.sparkSession)
-    known = known.select("license_id", digests(F.col("text"))[0].alias("d")).filter("d IS NOT NULL").groupBy("d").agg(F.min("license_id").alias("license_id"))
+    licenses = licenses if licenses is not None else known_licenses(docs.sparkSession)
+    known = licenses.select("license_id", digests(F.col("text"))[0].alias("d")).filter("d IS NOT NULL").groupBy("d").agg(F.min("license_id").alias("license_id"))
+    if licenses.count() * 200 <= BROADCAST_BYTES:
+        known = F.broadcast(known)
     whole, lines = digests(F.col("text"))
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     base = base.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), whole.alias("digest"), F.array_distinct(F.filter(lines, lambda d: d.isNotNull())).alias("lines"))
+    base = settle(base, "digests")
     # lines of equal texts are looked up once; only lines that state a licence come back
     stated = base.select("text_key", F.explode("lines").alias("d")).join(known, "d").groupBy("text_key").agg(F.sort_array(F.collect_set("license_id")).alias("notices"))
     out = base.drop("lines").join(known.withColumnRenamed("d", "digest"), "digest", "left").join(stated, "text_key", "left")
@@ -126,6 +132,7 @@ def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None, doc_id: st
 
 
 def op2_license_digest(spark, sf_dir: str) -> DataFrame:
+    """All documents: digest of the canonical text, licence of the whole text, and those that its lines state. A text without words has a null digest."""
     out = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "digest", "license_id", F.array_join("notices", ",").alias("notices"))
 
