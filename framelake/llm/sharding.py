@@ -41,7 +41,8 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) ->
 
 def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.ndarray:
     """Rows of partition p that go to shard s: row sums `counts`, column sums `sizes`, drawn as a uniform permutation deals them."""
-    assert sum(counts) == sum(sizes), (sum(counts), sum(sizes))
+    if sum(counts) != sum(sizes):
+        raise ValueError(f"{sum(counts)} rows for shards of {sum(sizes)}")
     rng, left = np.random.default_rng(seed), [int(x) for x in sizes]
     out = np.zeros((len(counts), len(sizes)), dtype=np.int64)
     for p, n in enumerate(counts):
@@ -80,13 +81,17 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 7, *, bl
     parts = sorted(counted)
     sizes = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     matrix = communication_matrix([counted[p] for p in parts], sizes, seed)
-    assert matrix.nbytes <= BROADCAST_BYTES, "the matrix is bounded by MAX_PARTS and the number of shards"
+    if matrix.nbytes > BROADCAST_BYTES:
+        raise ValueError("too many shards for this many partitions: the matrix is broadcast")
     bounds = spark.createDataFrame(
         [(p, [int(x) for x in np.cumsum(m)]) for p, m in zip(parts, matrix)], T.StructType([T.StructField(part, T.LongType()), T.StructField(ends, T.ArrayType(T.LongType()))])
     )
-    # permute locally: rows sorted by a keyed hash of all they hold, so a rerun of the task gives the same order
+    # rows get numbers by a keyed sort of all they hold, so that a rerun gives the same ones; equal rows get numbers next to each other
     local = docs.withColumns({first: F.xxhash64(F.lit(seed), *plain), second: F.xxhash64(F.lit(seed + 1), *plain)}).sortWithinPartitions(first, second)
     local = local.withColumn(mid, F.monotonically_increasing_id())
+    # permute locally: a keyed hash of the number tells copies apart, so that they go to all shards and blocks like other rows
+    local = local.drop(first, second).withColumns({first: F.xxhash64(F.lit(seed + 2), mid), second: F.xxhash64(F.lit(seed + 3), mid)}).sortWithinPartitions(first, mid)
+    local = local.drop(mid).withColumn(mid, F.monotonically_increasing_id())
     local = local.withColumns({part: F.shiftright(mid, 33), rank: F.col(mid).bitwiseAND(F.lit((1 << 33) - 1))})
     dealt = local.join(F.broadcast(bounds), part).withColumn("shard", F.size(F.filter(ends, lambda e: e <= F.col(rank))))
     ranges = 1
@@ -95,7 +100,8 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 7, *, bl
     # blocks of a shard: equal ranges of the key that orders it, so that their counts give each block's first slot
     dealt = dealt.withColumn(block, F.shiftrightunsigned(second, 64 - ranges.bit_length() + 1) if ranges > 1 else F.lit(0).cast("long"))
     per = settle(dealt.groupBy("shard", block).agg(F.count(F.lit(1)).alias(rank)), "shard-blocks")
-    if (per.agg(F.sum(rank)).first()[0] or 0) != total:
+    got = {r["shard"]: r["n"] for r in per.groupBy("shard").agg(F.sum(rank).alias("n")).collect()}
+    if any(got.get(s, 0) != n for s, n in enumerate(sizes)) or sum(got.values()) != total:
         raise ValueError("the partitions of docs changed between two runs; pass stable_layout=False")
     first_slot = per.select("shard", block, (F.sum(rank).over(Window.partitionBy("shard").orderBy(block)) - F.col(rank)).alias(offset))
     again = Window.partitionBy("shard", block).orderBy(second, first, rank, part)
