@@ -154,21 +154,28 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
     """A model from `labels` (doc_id, toxic) and the texts of `docs`.
 
     Fitted on a bounded sample: the `max_positive` confirmed texts and the
-    `max_unlabelled` texts whose doc_id hashes lowest, with MAX_FEATURES
-    features of each at most. The class prior is the
+    `max_unlabelled` texts whose doc_id hashes lowest, one text of each id, with
+    MAX_FEATURES features of each at most. The class prior is the
     share of toxic rows among all labels, unless the texts bound it lower. Null labels and ids are passed over.
     """
     spark = docs.sparkSession
     labels = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
     stats = labels.agg(F.avg((F.col("toxic") == 1).cast("int"))).first()[0]
     prior = min(0.9, max(1e-3, float(stats or 0)))
-    low = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = low(labels.filter("toxic = 1").select("doc_id"), max_positive).select("doc_id", F.lit(1).alias("positive"))
-    chosen = chosen.unionByName(low(docs.filter("doc_id IS NOT NULL").select("doc_id"), max_unlabelled).select("doc_id", F.lit(0).alias("positive")))
-    ids = [tuple(r) for r in chosen.collect()]  # bounded by the two limits
+
+    def low(df: DataFrame, n: int) -> list[int]:
+        """The n ids whose hash is lowest; where rows repeat ids among them, the repeats go first."""
+        first = lambda d: [r[0] for r in d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
+        out = first(df)
+        return out if len(set(out)) == len(out) else first(df.distinct())
+
+    ids = [(i, 1) for i in low(labels.filter("toxic = 1").select("doc_id"), max_positive)]
+    ids += [(i, 0) for i in low(docs.filter("doc_id IS NOT NULL").select("doc_id"), max_unlabelled)]
     if not ids:
         return fit([], [], prior)
-    sample = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(ids, "doc_id long, positive int").distinct()), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(ids, "doc_id long, positive int")), "doc_id")
+    # of rows that share an id, one text: no more rows come to the driver than the two limits say
+    sample = sample.groupBy("doc_id", "positive").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = sample.select("text", "positive").mapInArrow(_feature_rows, "positive int, features binary").collect()
     take = lambda y: [np.frombuffer(r["features"], dtype=np.int32) for r in rows if r["positive"] == y]
     return fit(take(1), take(0), prior)
