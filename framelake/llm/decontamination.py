@@ -2,17 +2,19 @@
 
 Every window of a document that is as long as a benchmark item gets a 64-bit
 SimHash of its words. Cut into RADIUS + 1 blocks, any two fingerprints within
-RADIUS bits agree on a whole block, so an index over blocks finds every item
-within the radius. What it finds is verified by the exact similarity of the
-5-word shingles weighted by their counts.
-
-Windows with too few shingles of any item to reach the similarity, a count that
-one running sum gives, get no fingerprint: they couldn't be verified.
+RADIUS bits agree on a whole block, so a test of blocks loses no item within the
+radius. What it finds is verified by the exact similarity of the 5-word shingles
+weighted by their counts.
+
+Blocks of three bits alone would let nearly all pairs meet. So a window meets
+only items with which it shares enough shingles to reach the similarity at all;
+postings of each item's rarest shingles and a running count tell that without
+loss.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +29,8 @@ from .common import settle
 WIDTH, SIMILARITY, RADIUS = 5, 0.75, 20
 #: Bytes of benchmark text that one pass over the documents takes; more items make more passes.
 PASS_BYTES = 8 << 20
-#: Words whose windows are fingerprinted at a time.
-STRETCH = 1 << 16
+#: Windows that are fingerprinted at a time, and postings that are open at a time.
+STRETCH, POSTINGS = 1 << 14, 1 << 20
 
 _APART = np.ones(256, dtype=bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -71,50 +73,59 @@ def _blocks(f: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The items of one pass, by size."""
+    """The items of one pass. Equal word sequences are one entry with several ids.
+
+    A window that reaches the similarity holds so many of the item's shingles
+    that it can't miss all of its rarest quarter, and one more; `posts` has those
+    alone, so text without a telling shingle of an item never meets it.
+    """
 
-    ids: list[int]
-    counts: list[Counter]
-    sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # words -> item numbers, fingerprints, sorted block keys, their items
-    known: dict[int, np.ndarray]  # shingle width -> sorted shingle hashes of all items
+    ids: list[list[int]]
+    words: np.ndarray  # words of each item
+    prints: np.ndarray  # its fingerprint
+    keys: np.ndarray  # its blocks, one row an item
+    at: np.ndarray  # bounds of each item in the next two
+    shingles: np.ndarray  # sorted distinct shingles
+    counts: np.ndarray
+    posts: dict[int, tuple[np.ndarray, np.ndarray]]  # shingle width -> sorted telling shingles, their items
 
     @staticmethod
     def of(items: list[tuple[int, str]]) -> "Index":
-        ids, counts, by_size, known = [], [], {}, {}
         data, at = K.buffer(K.lowered(pa.array([t for _, t in items], pa.string())))
         start, end, row = K.words(data, at, _APART)
         h = K.hashes(data, start, end)
         ends = np.searchsorted(row, np.arange(len(items) + 1))
+        same: dict[bytes, int] = {}
+        ids, sizes, prints, sets = [], [], [], []
         for (item, _), a, b in zip(items, ends[:-1], ends[1:]):
             if b > a:
-                width = min(WIDTH, int(b - a))
-                shingle = _rolling(h[a:b], width)
-                by_size.setdefault(int(b - a), []).append((len(ids), Prints(h[a:b], int(b - a)).of(np.array([0]), np.array([b - a]))[0]))
-                known.setdefault(width, []).append(shingle)
-                ids.append(item)
-                counts.append(Counter(shingle.tolist()))
-        sizes = {}
-        for n, of in by_size.items():
-            number, f = np.array([x for x, _ in of]), np.array([x for _, x in of], dtype=np.uint64)
-            keys = _blocks(f)
-            owner = np.repeat(np.arange(len(f)), keys.shape[1])
-            by = np.argsort(keys.ravel(), kind="stable")
-            sizes[n] = number, f, keys.ravel()[by], owner[by]
-        return Index(ids, counts, sizes, {w: np.unique(np.concatenate(x)) for w, x in known.items()})
-
-    def _near(self, n: int, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs of this size within RADIUS bits."""
-        number, prints, keys, owner = self.sizes[n]
-        mine = _blocks(f)
-        flat = mine.ravel()
-        lo, hi = np.searchsorted(keys, flat, side="left"), np.searchsorted(keys, flat, side="right")
-        k = hi - lo
-        window = np.repeat(np.repeat(np.arange(len(f)), mine.shape[1]), k)
-        item = owner[np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
-        both = np.unique(window.astype(np.int64) * len(prints) + item)
-        window, item = both // len(prints), both % len(prints)
-        close = np.bitwise_count(f[window] ^ prints[item]) <= RADIUS
-        return window[close], number[item[close]]
+                k = same.setdefault(h[a:b].tobytes(), len(ids))
+                if k < len(ids):
+                    ids[k].append(item)
+                    continue
+                ids.append([item])
+                sizes.append(int(b - a))
+                prints.append(Prints(h[a:b], int(b - a)).of(np.array([0]), np.array([b - a]))[0])
+                sets.append(np.unique(_rolling(h[a:b], min(WIDTH, int(b - a))), return_counts=True))
+        empty = np.zeros(0, dtype=np.uint64)
+        words, prints = np.array(sizes, dtype=np.int64), np.array(prints, dtype=np.uint64)
+        bounds = np.cumsum([0, *(len(x) for x, _ in sets)])
+        shingles, counts = np.concatenate([empty, *(x for x, _ in sets)]), np.concatenate([np.zeros(0, dtype=np.int64), *(c for _, c in sets)])
+        posts = {}
+        for width in {min(WIDTH, n) for n in sizes}:
+            mine = [k for k, n in enumerate(sizes) if min(WIDTH, n) == width]
+            known, often = np.unique(np.concatenate([sets[k][0] for k in mine]), return_counts=True)
+            telling = []
+            for k in mine:
+                x, c = sets[k]
+                # whatever a window's size, it shares this part of the item's shingles, as their union is no smaller than the item
+                least = int(np.ceil(SIMILARITY * c.sum() - 1e-9))
+                by = np.argsort(often[np.searchsorted(known, x)], kind="stable")
+                telling.append(x[by[: np.searchsorted(np.cumsum(c[by]), c.sum() - least + 1) + 1]])
+            flat, owner = np.concatenate(telling), np.repeat(mine, [len(x) for x in telling])
+            by = np.argsort(flat, kind="stable")
+            posts[width] = flat[by], owner[by]
+        return Index(ids, words, prints, _blocks(prints) if len(prints) else empty.reshape(0, RADIUS + 1), bounds, shingles, counts, posts)
 
     def search(self, texts: pa.Array) -> list[list[tuple[int, int, int, float]]]:
         """For each text: (item id, first word, words, similarity) of its matches; of overlapping ones with one item, the best."""
@@ -122,9 +133,8 @@ class Index:
         data, at = K.buffer(K.lowered(texts))
         start, end, row = K.words(data, at, _APART)
         h = K.hashes(data, start, end)
-        for width, known in self.known.items():
-            sizes = [n for n in self.sizes if min(WIDTH, n) == width]
-            hit = np.zeros(len(h) + 1, dtype=np.int64)
+        bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+        for width, (known, owner) in self.posts.items():
             shingle = _rolling(h, width)
             if not len(shingle):
                 continue
@@ -132,46 +142,80 @@ class Index:
             bitmap[known >> np.uint64(44)] = True
             maybe = np.flatnonzero(bitmap[shingle >> np.uint64(44)] & (row[: len(shingle)] == row[width - 1 :]))
             maybe = maybe[np.isin(shingle[maybe], known)]
-            if not len(maybe):
-                continue
-            # only rows with as many hits as the smallest item needs go on, laid end to end
-            hits = np.bincount(row[maybe], minlength=len(texts))
-            size = np.bincount(row, minlength=len(texts))
-            rows = np.flatnonzero(hits >= self._least(min(min(sizes), int(size[hits > 0].min())), min(sizes), width))
-            if not len(rows):
-                continue
-            hit[maybe] = 1
-            begin, size = np.searchsorted(row, rows), size[rows]
-            end = np.cumsum(size)
-            place = np.repeat(begin - (end - size), size) + np.arange(int(size.sum()))
-            mine, owner, stop = h[place], np.repeat(rows, size), np.repeat(end, size)
-            run = np.concatenate([[0], np.cumsum(hit[place])])
-            # stretch by stretch, as the sums of fingerprint bits take 128 bytes a word
-            for first, n in ((f, n) for f in range(0, len(mine), STRETCH) for n in sizes):
-                if n == next(iter(sizes)):
-                    prints = Prints(mine[first : first + STRETCH + max(sizes)], max(sizes))
-                # windows of n words that begin here; a shorter row is one window
-                s = np.arange(first, min(first + STRETCH, len(mine)))
-                s = s[s + n <= stop[s]]
-                begins = end - size
-                short = np.flatnonzero((size < n) & (size >= width) & (begins >= first) & (begins < first + STRETCH))
-                s, m = np.concatenate([s, begins[short]]), np.concatenate([np.full(len(s), n), size[short]])
-                keep = run[s + m - width + 1] - run[s] >= self._least(m, n, width)
-                s, m = s[keep], m[keep]
-                if not len(s):
-                    continue
-                window, item = self._near(n, prints.of(s - first, m))
-                for w, i in zip(window.tolist(), item.tolist()):
-                    a, words = int(s[w]), int(m[w])
-                    at = int(place[a])
-                    held = Counter(shingle[at : at + words - width + 1].tolist())
-                    both = sum(min(c, held[x]) for x, c in self.counts[i].items())
-                    sim = both / (sum(held.values()) + sum(self.counts[i].values()) - both)
-                    if sim >= SIMILARITY:
-                        r = int(owner[a])
-                        out[r].append((self.ids[i], at - int(np.searchsorted(row, r)), words, sim))
+            for r, i, first, last in self._stretches(maybe, shingle, row, known, owner):
+                found = self._in_stretch(h, shingle, i, first, last, int(bounds[r]), int(bounds[r + 1]), width)
+                out[r] += [(item, s - int(bounds[r]), m, sim) for s, m, sim in found for item in self.ids[i]]
         return [self._best(x) for x in out]
 
+    def _stretches(self, place, shingle, row, known, owner):
+        """(row, item, first and last place) where telling shingles of an item lie less than the item's length apart. Postings are opened a bounded number at a time."""
+        lo, hi = np.searchsorted(known, shingle[place], side="left"), np.searchsorted(known, shingle[place], side="right")
+        ends = np.cumsum(hi - lo)
+        open_: dict[tuple[int, int], tuple[int, int]] = {}
+        a = 0
+        while a < len(place):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + POSTINGS, side="right")))
+            k = hi[a:b] - lo[a:b]
+            p = np.repeat(place[a:b], k)
+            i = owner[np.repeat(lo[a:b] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+            by = np.lexsort((p, i, row[p]))
+            p, i = p[by], i[by]
+            r = row[p]
+            new = np.ones(len(p), dtype=bool)
+            new[1:] = (r[1:] != r[:-1]) | (i[1:] != i[:-1]) | (p[1:] - p[:-1] >= self.words[i[1:]])
+            begin = np.flatnonzero(new)
+            stop = np.append(begin[1:], len(p)) - 1
+            for rr, ii, f, z in zip(r[begin].tolist(), i[begin].tolist(), p[begin].tolist(), p[stop].tolist()):
+                was = open_.get((rr, ii))
+                if was and f - was[1] < self.words[ii]:
+                    f = was[0]
+                elif was:
+                    yield rr, ii, *was
+                open_[rr, ii] = f, z
+            here = int(row[place[b - 1]])
+            for key in [key for key in open_ if key[0] < here]:
+                yield *key, *open_.pop(key)
+            a = b
+        for key, was in open_.items():
+            yield *key, *was
+
+    def _in_stretch(self, h, shingle, i: int, first: int, last: int, begin: int, stop: int, width: int):
+        """(first word, words, similarity) of the windows that hold one of the places and reach the similarity with item i; long stretches are worked on in parts."""
+        n = int(self.words[i])
+        if stop - begin < n:
+            yield from self._windows(h, shingle, i, np.array([begin]), stop - begin, width)
+            return
+        low, high = max(begin, first - n + width), min(last, stop - n)
+        for a in range(low, high + 1, STRETCH):
+            yield from self._windows(h, shingle, i, np.arange(a, min(a + STRETCH, high + 1)), n, width)
+
+    def _windows(self, h, shingle, i: int, s: np.ndarray, m: int, width: int):
+        """Windows of m words that begin at the places s, one after the other: enough shingles of the item, a fingerprint that shares a block and lies within the radius, then the exact similarity."""
+        n, a, b = int(self.words[i]), int(self.at[i]), int(self.at[i + 1])
+        own, times, size = self.shingles[a:b], self.counts[a:b], m - width + 1
+        base = int(s[0])
+        here = shingle[base : int(s[-1]) + size]
+        place = np.minimum(np.searchsorted(own, here), len(own) - 1)
+        member = own[place] == here
+        run = np.concatenate([[0], np.cumsum(member)])
+        k = s - base
+        s = s[run[k + size] - run[k] >= self._least(m, n, width)]
+        if not len(s):
+            return
+        f = Prints(h[base : int(s[-1]) + m], m).of(s - base, np.full(len(s), m))
+        s = s[(_blocks(f) == self.keys[i]).any(axis=1) & (np.bitwise_count(f ^ self.prints[i]) <= RADIUS)]
+        simple = not len(s) or (np.bincount(place[member], minlength=len(own)) <= times).all()
+        for x in s.tolist():
+            k = x - base
+            if simple:  # no shingle is here more often than in the item
+                both = int(run[k + size] - run[k])
+            else:
+                inside = slice(k, k + size)
+                both = int(np.minimum(np.bincount(place[inside][member[inside]], minlength=len(own)), times).sum())
+            sim = both / (size + n - width + 1 - both)
+            if sim >= SIMILARITY:
+                yield x, m, sim
+
     @staticmethod
     def _least(m, n: int, width: int):
         """Fewest shingles of an item of n words that a window of m words must have to reach the similarity."""
@@ -181,8 +225,14 @@ class Index:
     @staticmethod
     def _best(found: list) -> list:
         out: list = []
+        starts: dict[int, list[int]] = {}  # of what is chosen, by item
+        sizes: dict[tuple[int, int], int] = {}
         for x in sorted(found, key=lambda x: (-x[3], x[1], x[0])):
-            if all(x[0] != y[0] or x[1] + x[2] <= y[1] or y[1] + y[2] <= x[1] for y in out):
+            mine = starts.setdefault(x[0], [])
+            k = bisect(mine, x[1])
+            if (k == 0 or mine[k - 1] + sizes[x[0], mine[k - 1]] <= x[1]) and (k == len(mine) or x[1] + x[2] <= mine[k]):
+                mine.insert(k, x[1])
+                sizes[x[0], x[1]] = x[2]
                 out.append(x)
         return sorted(out, key=lambda x: (x[1], x[0]))
 

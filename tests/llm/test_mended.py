@@ -1,10 +1,14 @@
 """Repeated rows in sharding and in the classifier's sample; large benchmarks."""
 
+import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from framelake.llm import sharding, toxicity
+from framelake.llm import decontamination, sharding, toxicity
 
 
 def test_copies_are_shuffled_like_other_rows(spark):
@@ -32,3 +36,58 @@ def test_sample_of_repeated_rows_is_bounded(spark, monkeypatch):
     assert seen == [(1, 50)]
     toxicity.train(texts.limit(0), labels.limit(0), max_positive=10, max_unlabelled=50)
     assert seen[1:] == [(0, 0)]
+
+
+def _brute(items, text):
+    """Items whose best window reaches the similarity, by counting shingles of every window."""
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    w, out = words(text), set()
+    for i, t in items:
+        x = words(t)
+        n, k = len(x), min(5, len(x))
+        if not n:
+            continue
+        bag = lambda y: Counter(tuple(y[j : j + k]) for j in range(len(y) - k + 1))  # noqa: B023, E731
+        item = bag(x)
+        for s in range(max(1, len(w) - n + 1)):
+            here = bag(w[s : s + n])
+            both = sum((here & item).values())
+            if both and both / (sum(here.values()) + sum(item.values()) - both) >= 0.75:
+                out.add(i)
+                break
+    return out
+
+
+def test_large_benchmark():
+    """2,500 items of one size, many of them near one another: found as by brute force, fast, and repeated words don't matter."""
+    rng = random.Random(4)
+    vocabulary = ["w%d" % k for k in range(3_000)]
+    base = [[rng.choice(vocabulary) for _ in range(30)] for _ in range(500)]
+    items = []
+    for k in range(2_500):
+        x = list(base[k % 500])
+        for _ in range(k // 500):
+            x[rng.randrange(30)] = rng.choice(vocabulary)
+        items.append((k, " ".join(x)))
+    items += [(9_000, "Same same"), (9_001, "same SAME!"), (9_002, "a " * 12), (9_003, ""), (9_004, "one")]
+    index = decontamination.Index.of(items)
+    texts = []
+    for _ in range(12):
+        t = [rng.choice(vocabulary) for _ in range(rng.randrange(200))]
+        for _ in range(3):
+            x = items[rng.randrange(2_500)][1].split()
+            for _ in range(rng.randrange(3)):
+                x[rng.randrange(30)] = "new"
+            at = rng.randrange(len(t) + 1)
+            t[at:at] = x
+        texts.append(" ".join(t))
+    texts += ["a " * 40, "x same same y", "", None, "one", " ".join(base[3][:26])]
+    got = [{m[0] for m in found} for found in index.search(pa.array(texts, pa.string()))]
+    assert got == [_brute(items, t or "") for t in texts]
+    assert sum(map(len, got)) > 15
+    began = time.time()
+    long = " ".join(t for _, t in items[:40])
+    assert {m[0] for m in index.search(pa.array([long]))[0]} >= set(range(40))
+    assert time.time() - began < 2
+    many = index.search(pa.array(["a " * 100_000]))[0]
+    assert [m[:3] for m in many if m[0] == 9_002][:2] == [(9_002, 0, 12), (9_002, 12, 12)]
