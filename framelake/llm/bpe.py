@@ -10,6 +10,12 @@ stands across the cut, as no merge can then cross it. What is longer still goes
 through a second query, which contracts all occurrences of the lowest pair that
 don't overlap, and starts anew after a number of rounds, so that neither its
 rounds nor its rows grow with the square of the length.
+
+A word of more than two STRETCHes is encoded stretch by stretch. Tokens are the
+encoding of a text exactly if each two neighbours are the encoding of their own
+bytes: the first merge across a boundary would happen to the two alone as well.
+So two encoded stretches may be joined wherever both have a boundary whose two
+tokens pass that test.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from . import kernels as K
 ROWS, BATCH_BYTES, KEPT_PARTS = 200_000, 4 << 20, 400_000
 #: Bytes from which a word counts as long (one byte holds a place in a shorter one); rows of all rounds that the query of long words makes at most.
 LONG, LONG_ROWS = 64, 4_000_000
+#: Bytes of a longer word that are encoded at a time, and by how much neighbouring stretches overlap at first.
+STRETCH, OVERLAP = 1 << 17, 1 << 10
 
 #: Unicode white space, as the splitting pattern's \s means it (fixed values).
 _WHITE = r"\x09-\x0D\x20\x85\xA0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -117,6 +125,14 @@ class Codec:
 
         self.ranks = read_ranks(path)
         self.size, self.longest = max(self.ranks.values()) + 2, max(map(len, self.ranks))  # the last number stands for the end of a word
+        self.heads: dict[bytes, int] = {}  # longest token by its first two bytes
+        for t in self.ranks:
+            self.heads[t[:2]] = max(self.heads.get(t[:2], 1), len(t))
+        self.tokens = {r: t for t, r in self.ranks.items()}
+        self.bytes_of = np.zeros(self.size, dtype=np.int64)
+        self.bytes_of[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, dtype=np.int32))
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.split = regex.compile(public_tokenizers.PATTERN.replace(r"\S", f"[^{_WHITE}]").replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]"))
         pair, rank = [], []
@@ -177,27 +193,92 @@ class Codec:
             if i and i >= reach:
                 out.append(word[begin:i])
                 begin = i
-            reach = max(reach, next((i + n for n in range(min(self.longest, len(word) - i), 1, -1) if word[i : i + n] in self.ranks), i + 1))
+            longest = min(self.heads.get(word[i : i + 2], 1), len(word) - i)
+            reach = max(reach, next((i + n for n in range(longest, 1, -1) if word[i : i + n] in self.ranks), i + 1))
         return [*out, word[begin:]]
 
-    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words, one after the other, and the number of each. A word that is itself a token is that token."""
-        pieces, of = [], []
-        for k, w in enumerate(words):
-            mine = [w] if len(w) <= LONG or w in self.ranks else self._cuts(w)
-            pieces += mine
-            of += [k] * len(mine)
-        of, size = np.array(of, dtype=np.int64), np.array([len(p) for p in pieces], dtype=np.int64)
-        whole = np.array([self.ranks.get(w, -1) for w in words], dtype=np.int32)[of]
-        single = np.flatnonzero(whole >= 0)
-        flat, counts, order = [whole[single]], [np.ones(len(single), dtype=np.int64)], [single]
-        for query, long in ((self._short, False), (self._long, True)):
-            mine = np.flatnonzero((whole < 0) & ((size > LONG) == long))
+    def _merged(self, pieces: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """Ids of groups of pieces by the two queries, their numbers, and the places of the pieces. Empty pieces are passed over."""
+        flat, counts, order = [], [], []
+        size = np.array([len(p) for p in pieces], dtype=np.int64)
+        for query, mine in ((self._short, (size > 0) & (size <= LONG)), (self._long, size > LONG)):
+            mine = np.flatnonzero(mine)
             for a, b in _groups(size[mine], ROWS):
                 ids, n = query([pieces[k] for k in mine[a:b].tolist()])
                 flat.append(ids)
                 counts.append(n)
                 order.append(mine[a:b])
+        return flat, counts, order
+
+    def _stretch(self, word: bytes, begin: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a stretch of a word and where each ends in the word."""
+        text = word[begin : begin + size]
+        if text != self.last[0]:  # long runs of one letter have equal stretches
+            pieces = self._cuts(text)
+            flat, counts, order = self._merged(pieces)
+            at = [None] * len(pieces)
+            for ids, n, mine in zip(flat, counts, order):
+                for k, cell in zip(mine.tolist(), np.split(ids, np.cumsum(n)[:-1])):
+                    at[k] = cell
+            self.last = text, np.concatenate(at)
+        ids = self.last[1]
+        return ids, begin + np.cumsum(self.bytes_of[ids])
+
+    def _stand(self, a: int, b: int) -> bool:
+        """Whether two neighbouring tokens are the encoding of their own bytes."""
+        if (a, b) not in self.pairs:
+            if len(self.pairs) > KEPT_PARTS:
+                self.pairs.clear()
+            (ids,), _, _ = self._merged([self.tokens[a] + self.tokens[b]])
+            self.pairs[a, b] = ids.tolist() == [a, b]
+        return self.pairs[a, b]
+
+    def _stretched(self, word: bytes) -> np.ndarray:
+        """Ids of a very long word."""
+        done, begin, size, back = [], 0, STRETCH, OVERLAP
+        ids, ends = self._stretch(word, begin, size)
+        while ends[-1] < len(word):
+            k = int(np.searchsorted(ends, ends[-1] - back))
+            if back >= size // 2:  # nowhere do two stretches of this size agree
+                size, back = 2 * size, OVERLAP
+                ids, ends = self._stretch(word, begin, size)
+                continue
+            after, after_ends = self._stretch(word, int(ends[k]), size)
+            starts = np.concatenate([ends[k : k + 1], after_ends[:-1]])
+            _, i, j = np.intersect1d(ends[k:], starts, return_indices=True)
+            seam = next(((x + k, y) for x, y in zip(i.tolist(), j.tolist()) if self._stand(int(ids[x + k]), int(after[y]))), None)
+            if seam is None:
+                back *= 2
+                continue
+            done.append(ids[: seam[0] + 1])
+            begin, back = int(ends[seam[0]]), OVERLAP
+            ids, ends = after[seam[1] :], after_ends[seam[1] :]
+        return np.concatenate([*done, ids])
+
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and the number of each. A word that is itself a token is that token."""
+        pieces, of, single, single_at = [], [], [], []
+        flat, counts, order = [], [], []
+        for k, w in enumerate(words):
+            whole = self.ranks.get(w)
+            if whole is not None:
+                single.append(whole)
+                single_at.append(len(pieces))
+                mine = [b""]
+            elif len(w) > 2 * STRETCH:
+                flat.append(self._stretched(w))
+                counts.append(np.array([len(flat[-1])]))
+                order.append(np.array([len(pieces)]))
+                mine = [b""]
+            else:
+                mine = [w] if len(w) <= LONG else self._cuts(w)
+            pieces += mine
+            of += [k] * len(mine)
+        flat.append(np.array(single, dtype=np.int32))
+        counts.append(np.ones(len(single), dtype=np.int64))
+        order.append(np.array(single_at, dtype=np.int64))
+        of = np.array(of, dtype=np.int64)
+        flat, counts, order = (x + y for x, y in zip((flat, counts, order), self._merged(pieces)))
         by = np.argsort(np.concatenate(order))
         n, flat = np.concatenate(counts), np.concatenate(flat)
         begin, n = (np.cumsum(n) - n)[by], n[by]
@@ -207,6 +288,10 @@ class Codec:
     def expand(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
         """Bytes of each sequence of ids; `n` has their lengths."""
         out: list[bytes] = []
+        if len(n) and n.max() > ROWS:  # long sequences in parts
+            parts = [min(ROWS, int(x) - k) for x in n for k in range(0, max(1, int(x)), ROWS)]
+            cells = iter(self.expand(ids, np.array(parts, dtype=np.int64)))
+            return [b"".join(next(cells) for _ in range(0, max(1, int(x)), ROWS)) for x in n]
         ends = np.concatenate([[0], np.cumsum(n)])
         for a, b in _groups(n, ROWS):
             word, pos = _rows(n[a:b])

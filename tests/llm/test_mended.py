@@ -6,9 +6,11 @@ import time
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 
-from framelake.llm import decontamination, sharding, toxicity
+from framelake.llm import bpe, decontamination, sharding, toxicity
 
 
 def test_copies_are_shuffled_like_other_rows(spark):
@@ -91,3 +93,26 @@ def test_large_benchmark():
     assert time.time() - began < 2
     many = index.search(pa.array(["a " * 100_000]))[0]
     assert [m[:3] for m in many if m[0] == 9_002][:2] == [(9_002, 0, 12), (9_002, 12, 12)]
+
+
+def test_very_long_words_by_stretches(monkeypatch):
+    """Joined stretches give what the whole word gives; one letter 3,000,000 times stays within bounds."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    codec, rng = bpe.Codec(path), random.Random(8)
+    letters = "".join(rng.choice("abcdefghijklmnop") for _ in range(9_000))
+    words = [letters, "a" * 5_003, "ab" * 1_500, "the" * 1_000, "é" * 1_501, "aab" * 1_001, "x", "hello", letters[:1_500]]
+
+    def same(words):
+        ids, n = codec.contract([w.encode() for w in words])
+        ends = np.concatenate([[0], np.cumsum(n)])
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [whole.encode_ordinary(w) for w in words]
+        assert codec.expand(ids, n) == [w.encode() for w in words]
+
+    for stretch, overlap in ((700, 64), (300, 2), (64, 40)):
+        monkeypatch.setattr(bpe, "STRETCH", stretch)
+        monkeypatch.setattr(bpe, "OVERLAP", overlap)
+        same(words)
+    monkeypatch.undo()
+    ids, n = codec.contract([b"a" * 3_000_000])
+    assert codec.expand(ids, n) == [b"a" * 3_000_000] and len(set(ids.tolist())) == 1
