@@ -8,11 +8,15 @@ over words in Python.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _U64 = np.uint64
+#: Of the GNU C library; other systems give memory back by themselves.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, size=(2, 256), dtype=np.int64).astype(_U64) | _U64(1)
 _BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -68,6 +72,13 @@ def lowered(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts.cast(pa.large_string()))
 
 
+def give_back() -> None:
+    """Hands memory that is free again back to the system: workers wait for their next task beside other stages, and what they keep counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def batches(it, rows: int = 4096, size: int = 2 << 20):
     """Batches of about `size` bytes at most, so that long texts don't pile up; one long text stays whole."""
     for b in it:
@@ -79,6 +90,7 @@ def batches(it, rows: int = 4096, size: int = 2 << 20):
             part = b.slice(done, step)
             done += part.num_rows
             yield part
+        give_back()
 
 
 def words(data: np.ndarray, at: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -90,6 +90,7 @@ def _sets(batches):
 
 def _explode(batches):
     for part in batches:
+        K.give_back()
         for s, cell in zip(part.column("set_id").to_pylist(), part.column("shingles").to_pylist()):
             h = np.frombuffer(cell, dtype=np.int64)
             for k in range(0, len(h), 65_536):
@@ -162,6 +163,8 @@ def _linked(pairs_of: pa.Table) -> pa.Table:
             c = root[c]
         return c
 
+    del t, cells, col, row, inter
+    K.give_back()
     out = []
     for i, j in zip(x.tolist(), y.tolist()):
         if (p := find(comp[i])) != (q := find(comp[j])):
@@ -180,6 +183,7 @@ def _star_links(batches):
             if 100 * both >= PERCENT * (len(x) + len(y) - both):
                 keep.append(k)
         yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        K.give_back()
 
 
 def _links(reps: DataFrame, texts: DataFrame) -> DataFrame:
