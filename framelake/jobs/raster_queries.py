@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import change, palette, runs
+from ..operators import change, palette, runs, scanlines
 from ..sources import views as V
 
 UNIT, ORDER = ["file_id", "frame_index"], ["pixel_index"]
@@ -28,11 +28,31 @@ def _runs_sql(view: str, value: str, cap: int) -> str:
 RUNS_CAPPED = _runs_sql("px", "level", 4) + " SELECT file_id, frame_index, run_index, start, run_length, v AS level FROM runs"
 
 
+def _long(px):
+    """A whole file as one long unit, so that runs go on over frames."""
+    return px.withColumn("pixel_index", F.col("frame_index") * 64 + F.col("pixel_index")).withColumn("level", F.floor(F.col("level") / 3).cast("int"))
+
+
+def merged_runs(spark, d):
+    """Runs of whole files, each frame a block of its own."""
+    return runs.runs_by_block(_long(V.rasters(spark, d)), ["file_id"], "frame_index", ["pixel_index"], "level", cap=5)
+
+
+MERGED_RUNS = V.with_views("px") + ",\nlong AS (SELECT file_id, 0 AS frame_index, frame_index * 64 + pixel_index AS pixel_index, level // 3 AS level FROM px),\n" + _ISLANDS.format(v="level", t="long", cap=5) + " SELECT file_id, run_index, start, run_length, v AS level FROM runs"
+
+
+def merged_line_runs(spark, d):
+    """Runs of whole files from their lines at rest, in the order of frames and lines."""
+    lines = V.raster_lines(spark, d).withColumn("line", F.col("frame_index") * 8 + F.col("y"))
+    return runs.merge_runs(runs.line_runs(lines, ["file_id"], "line", "rgba"), ["file_id"], "line", "color", cap=3)
+
+
+MERGED_LINE_RUNS = V.with_views("px") + ",\nlong AS (SELECT file_id, 0 AS frame_index, frame_index * 64 + pixel_index AS pixel_index, color FROM px),\n" + _ISLANDS.format(v="color", t="long", cap=3) + " SELECT file_id, run_index, start, run_length, v AS color FROM runs"
+
+
 def packet_runs(spark, d):
-    px = V.rasters(spark, d)
-    # a whole file as one long unit, so that runs and literals go on over frames and meet the packet limit
-    long = px.withColumn("pixel_index", F.col("frame_index") * 64 + F.col("pixel_index")).withColumn("level", F.floor(F.col("level") / 3).cast("int"))
-    return runs.packet_runs(long, ["file_id"], ["pixel_index"], "level")
+    # runs and literals go on over frames and meet the packet limit
+    return runs.packet_runs(_long(V.rasters(spark, d)), ["file_id"], ["pixel_index"], "level")
 
 
 PACKET_RUNS = V.with_views("px") + """,
@@ -266,7 +286,27 @@ ua AS (SELECT pair.file_id, pair.frame_index, CASE WHEN bool_and(same) AND NOT b
 UNIFORM_ALPHA = V.with_views("fades") + ",\n" + _ALPHA + " SELECT * FROM ua"
 
 
+def uniform_alpha_lines(spark, d):
+    return scanlines.uniform_alpha_lines(V.fade_lines(spark, d))
+
+
+UNIFORM_ALPHA_LINES = UNIFORM_ALPHA
+
+
+def change_bbox_lines(spark, d):
+    return scanlines.change_bbox_lines(V.fade_lines(spark, d))
+
+
+CHANGE_BBOX_LINES = V.with_views("fades") + ",\n" + _DIFF.format(t="fades") + " SELECT file_id, frame_index, x, y, w, h FROM box"
+
+
 def frame_choice(spark, d):
+    """The encoder's choice from lines at rest."""
+    return scanlines.choose_frames_lines(V.fade_lines(spark, d))
+
+
+def frame_choice_pixels(spark, d):
+    """The same from a row for each pixel."""
     return change.choose_frames(V.fades(spark, d))
 
 
@@ -282,6 +322,50 @@ FORCED_CHOICE = (
 )
 
 
+FRAME_CHOICE_PIXELS = FRAME_CHOICE
+
+
+def forced_choice_lines(spark, d):
+    """The encoder's choice over palette indices, with every fourth frame FULL, from lines."""
+    return scanlines.choose_frames_lines(V.fade_lines(spark, d), indexed=True, force_full_every=4)
+
+
+FORCED_CHOICE_LINES = FORCED_CHOICE
+
+
+def export_choice_lines(spark, d):
+    """The editor's choice from lines."""
+    return scanlines.choose_frames_lines(V.fade_lines(spark, d), editor=True)
+
+
+EXPORT_CHOICE_LINES = EXPORT_CHOICE.replace(V.with_views("px") + ",\n" + _FEW, V.with_views("fades")).replace("FROM few", "FROM fades").replace("JOIN few", "JOIN fades")
+
+
+def absolute_choice(spark, d):
+    """Choices whose fades come back exactly, every eleventh frame FULL."""
+    return scanlines.choose_frames_absolute(V.fade_lines(spark, d), force_full_every=11)
+
+
+# all pairs of a frame and one before it in its segment, with their facts; the choices then walk along them
+ABSOLUTE_CHOICE = V.with_views("fades").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+pair AS (SELECT c.file_id, p.frame_index AS k, c.frame_index AS i, c.pixel_index, c.x, c.y, c.color, p.color <> c.color AS changed, c.r = p.r AND c.g = p.g AND c.b = p.b AND (p.a > 0 OR c.a = 0) AS same, p.a AS pa, c.a AS ca
+ FROM fades c JOIN fades p ON p.file_id = c.file_id AND p.pixel_index = c.pixel_index AND p.frame_index < c.frame_index AND p.frame_index // 11 = c.frame_index // 11),
+facts AS (SELECT file_id, k, i, bool_and(same) AS same, coalesce(max((255 * ca + pa - 1) // nullif(pa, 0)) FILTER (pa > 0), 255) AS lo, coalesce(min(least(255, (255 * (ca + 1) + pa - 1) // nullif(pa, 0) - 1)) FILTER (pa > 0), 255) AS hi,
+  coalesce(CAST(round_even(255 * (arg_min(ca / nullif(pa, 0), pixel_index) FILTER (pa > 0)), 0) AS INTEGER), 255) AS wanted,
+  min(x) FILTER (changed) AS x, min(y) FILTER (changed) AS y, max(x) FILTER (changed) - min(x) FILTER (changed) + 1 AS w, max(y) FILTER (changed) - min(y) FILTER (changed) + 1 AS h FROM pair GROUP BY ALL),
+inbox AS (SELECT p.file_id, p.k, p.i, p.color IS DISTINCT FROM lag(p.color) OVER (PARTITION BY p.file_id, p.k, p.i ORDER BY p.pixel_index) AS is_new FROM pair p JOIN facts f USING (file_id, k, i) WHERE p.x BETWEEN f.x AND f.x + f.w - 1 AND p.y BETWEEN f.y AND f.y + f.h - 1),
+ds AS (SELECT file_id, k, i, least(4 * count(*), 6 * (count(*) FILTER (is_new))) + 24 AS delta_bytes FROM inbox GROUP BY ALL),
+""" + _size_sql("fades", "fs") + """,
+step AS (SELECT f.*, ds.delta_bytes, fs.data + 16 AS full_bytes, CASE WHEN same AND lo <= hi THEN least(greatest(wanted, lo), hi) END AS alpha FROM facts f LEFT JOIN ds USING (file_id, k, i) JOIN fs ON fs.file_id = f.file_id AND fs.frame_index = f.i),
+walk AS (
+ SELECT file_id, frame_index AS i, frame_index AS k, 255 AS held, 1 AS frame_type, NULL::INTEGER AS alpha, data + 16 AS full_bytes, NULL::BIGINT AS delta_bytes, NULL::BIGINT AS x, NULL::BIGINT AS y, NULL::BIGINT AS w, NULL::BIGINT AS h FROM fs WHERE frame_index % 11 = 0
+ UNION ALL
+ SELECT file_id, i, CASE WHEN t = 3 THEN k ELSE i END, CASE WHEN t = 3 THEN alpha ELSE 255 END, t, alpha, full_bytes, CASE WHEN alpha IS NULL AND held = 255 THEN delta_bytes END,
+  CASE WHEN t = 2 THEN x END, CASE WHEN t = 2 THEN y END, CASE WHEN t = 2 THEN w END, CASE WHEN t = 2 THEN h END
+ FROM (SELECT s.*, w.held, CASE WHEN s.alpha IS NOT NULL THEN 3 WHEN w.held = 255 AND s.delta_bytes < s.full_bytes THEN 2 ELSE 1 END AS t FROM walk w JOIN step s ON s.file_id = w.file_id AND s.k = w.k AND s.i = w.i + 1))
+SELECT file_id, i AS frame_index, frame_type, alpha, full_bytes, delta_bytes, CASE frame_type WHEN 3 THEN 28 WHEN 2 THEN delta_bytes ELSE full_bytes END AS payload_bytes, x, y, w, h FROM walk"""
+
+
 def encoding_report(spark, d):
     px = _few(V.rasters(spark, d))
     n = px.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n_pixels"))
@@ -293,7 +377,7 @@ c AS (SELECT fs.file_id, CASE WHEN fs.frame_index > 0 AND coalesce(ds.data + 24,
 SELECT file_id, count(*) AS n_frames, (count(*) * 256)::BIGINT AS raw_bytes, sum(bytes)::BIGINT AS payload_bytes, (sum(bytes) + 28 * count(*))::BIGINT AS frame_bytes, round((sum(bytes) + 28 * count(*)) / (count(*) * 256), 6) AS ratio FROM c GROUP BY ROLLUP (file_id)"""
 
 QUERIES = {f.__name__: f for f in (
-    runs_capped, packet_runs, encoded_sizes, text_runs, text_runs_sizes, expand_runs, encode_decode_runs, validate_runs, color_histogram, palette_first_seen, palette_indices, palette_decode,
-    frame_diff, change_bbox, crop_changed, export_choice, swap_channels, force_opaque, apply_alpha, uniform_alpha, frame_choice, encoding_report,
-    packet_sizes, index_runs, scanline_diff, forced_choice)}
+    runs_capped, merged_runs, merged_line_runs, packet_runs, encoded_sizes, text_runs, text_runs_sizes, expand_runs, encode_decode_runs, validate_runs, color_histogram, palette_first_seen, palette_indices, palette_decode,
+    frame_diff, change_bbox, crop_changed, export_choice, swap_channels, force_opaque, apply_alpha, uniform_alpha, uniform_alpha_lines, change_bbox_lines, frame_choice, frame_choice_pixels, encoding_report,
+    packet_sizes, index_runs, scanline_diff, forced_choice, forced_choice_lines, export_choice_lines, absolute_choice)}
 ORACLE_SQL = {k: globals()[k.upper()] for k in QUERIES}

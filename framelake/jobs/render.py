@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binary import bound
 from ..functions.scalars import apply_alpha, duration_fraction
-from ..operators import change, palette, runs, validate
+from ..operators import change, palette, runs, scanlines, validate
 from ..operators.composite import composite
 from ..operators.project import interpolate_keyframes, place_layers, source_key
 from ..operators.replay import replay_state, segments
@@ -68,13 +68,15 @@ def _encoded(px: DataFrame, choice: DataFrame, color: str, indexed: bool) -> tup
     return c, full_data, rect_data
 
 
-def encode_animation(px: DataFrame, sizes: DataFrame, durations: DataFrame | None = None, *, editor: bool = True, force_rgba: bool = False, force_full_every: int = 0) -> DataFrame:
+def encode_animation(px: DataFrame, sizes: DataFrame, durations: DataFrame | None = None, *, editor: bool = True, force_rgba: bool = False, force_full_every: int = 0, fade_mode: str = "previous") -> DataFrame:
     """Animation files (file_id, content) from pixels. Bytes are made for the chosen form of each frame only.
 
     `editor` chooses frames as the editor's export does: RGBA, FULL or DELTA.
     Else as the encoder does: with a palette for each file of 256 colours at
     most (but for `force_rgba`), and TRANSFORM for what one alpha factor
-    explains. `force_full_every` bounds a segment, which is what one task
+    explains: against the frame before, or, with `fade_mode="absolute"`, against
+    the last FULL or DELTA frame and to the last digit, so that what a decoder
+    shows is what was encoded. `force_full_every` bounds a segment, which is what one task
     replays. `sizes`: file_id, flags, canvas_width, canvas_height, fps_num,
     fps_den. `durations`: file_id, frame_index and either duration_num and
     duration_den or duration_ms (null: 100).
@@ -89,7 +91,11 @@ def encode_animation(px: DataFrame, sizes: DataFrame, durations: DataFrame | Non
         parts = [(px.join(coded, "file_id", "left_anti"), "color", False)]
         if not force_rgba:
             parts.append((palette.to_indices(px, pal), "color_index", True))
-        parts = [_encoded(p, change.choose_frames(_channels(p), c, indexed=i, force_full_every=force_full_every), c, i) for p, c, i in parts]
+        choose = {
+            "previous": lambda p, c, i: change.choose_frames(_channels(p), c, indexed=i, force_full_every=force_full_every),
+            "absolute": lambda p, c, i: scanlines.choose_frames_absolute(scanlines.lines_of(p), indexed=i, force_full_every=force_full_every),
+        }[fade_mode]
+        parts = [_encoded(p, choose(p, c, i), c, i) for p, c, i in parts]
     c, full_data, rect_data = (reduce(DataFrame.unionByName, x) for x in zip(*parts))
     if durations is not None and "duration_num" in durations.columns:
         c = c.join(durations.select(*UNIT, "duration_num", "duration_den"), UNIT, "left")

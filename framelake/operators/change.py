@@ -98,13 +98,23 @@ def choose_frames(pixels: DataFrame, color: str = "color", *, indexed: bool = Fa
     facts = facts.select(*keys, *"xywh", F.when(F.col("_seen"), _alpha()).alias("alpha"))
     delta = _sizes(crop(pixels, facts.filter("w IS NOT NULL")), color, "delta", indexed)
     out = full.join(facts, keys, "left").join(delta, keys, "left")
-    first = F.col("frame_index") == F.min("frame_index").over(Window.partitionBy("file_id"))
-    forced = first | (F.col("frame_index") % force_full_every == 0) if force_full_every > 0 else first
-    out = out.withColumns({"full_bytes": F.col("full_data") + 16, "delta_bytes": F.col("delta_data") + 24})
-    kind = F.when(forced, FULL).when(F.col("alpha").isNotNull(), TRANSFORM).when(F.col("delta_bytes") < F.col("full_bytes"), DELTA).otherwise(FULL)
-    out = out.withColumn("frame_type", kind)
-    bytes_ = F.when(F.col("frame_type") == TRANSFORM, F.lit(28).cast("long")).when(F.col("frame_type") == DELTA, F.col("delta_bytes")).otherwise(F.col("full_bytes"))
-    return out.select(*keys, "frame_type", F.when(F.col("frame_type") == TRANSFORM, F.col("alpha")).alias("alpha"), "full_bytes", "delta_bytes", bytes_.alias("payload_bytes"), *(F.when(F.col("frame_type") == DELTA, F.col(c)).alias(c) for c in "xywh"))
+    out = out.withColumns({"full_bytes": F.col("full_data") + 16, "delta_bytes": F.col("delta_data") + 24, "_first": F.col("frame_index") == F.min("frame_index").over(Window.partitionBy("file_id"))})
+    return decide(out, force_full_every=force_full_every)
+
+
+def decide(facts: DataFrame, *, force_full_every: int = 0, editor: bool = False) -> DataFrame:
+    """Type and payload bytes of each frame from `_first`, `full_bytes`, `delta_bytes`, `alpha` and the box; the `editor` has no TRANSFORM, and an unchanged frame of its is a DELTA of 4 bytes."""
+    forced = F.col("_first") | (F.col("frame_index") % force_full_every == 0) if force_full_every > 0 else F.col("_first")
+    keys, delta = ["file_id", "frame_index"], F.col("delta_bytes")
+    if editor:
+        delta = F.coalesce(delta, F.lit(4).cast("long"))
+    faded = F.lit(False) if editor else F.col("alpha").isNotNull()
+    kind = F.when(forced, FULL).when(faded, TRANSFORM).when(delta < F.col("full_bytes"), DELTA).otherwise(FULL)
+    out = facts.withColumn("frame_type", kind)
+    size = F.when(F.col("frame_type") == TRANSFORM, F.lit(28).cast("long")).when(F.col("frame_type") == DELTA, delta).otherwise(F.col("full_bytes"))
+    alpha = [] if editor else [F.when(F.col("frame_type") == TRANSFORM, F.col("alpha")).alias("alpha")]
+    shown = F.when(~F.col("_first"), delta) if editor else delta
+    return out.select(*keys, "frame_type", *alpha, "full_bytes", shown.alias("delta_bytes"), size.alias("payload_bytes"), *(F.when(F.col("frame_type") == DELTA, F.col(c)).alias(c) for c in "xywh"))
 
 
 def choose_export_frames(pixels: DataFrame, color: str = "color", *, force_full_every: int = 0) -> DataFrame:
@@ -112,12 +122,8 @@ def choose_export_frames(pixels: DataFrame, color: str = "color", *, force_full_
     keys = ["file_id", "frame_index"]
     box = change_bbox(diff_frames(pixels, color))
     out = _sizes(pixels, color, "full", False).join(box, keys, "left").join(_sizes(crop(pixels, box), color, "delta", False), keys, "left")
-    first = F.col("frame_index") == F.min("frame_index").over(Window.partitionBy("file_id"))
-    out = out.withColumns({"full_bytes": F.col("full_data") + 16, "delta_bytes": F.coalesce(F.col("delta_data") + 24, F.lit(4).cast("long")), "_first": first})
-    free = ~F.col("_first") & (F.col("frame_index") % force_full_every != 0) if force_full_every > 0 else ~F.col("_first")
-    kind = F.when(free & (F.col("delta_bytes") < F.col("full_bytes")), DELTA).otherwise(FULL)
-    out = out.withColumn("frame_type", kind)
-    return out.select(*keys, "frame_type", "full_bytes", F.when(~F.col("_first"), F.col("delta_bytes")).alias("delta_bytes"), F.when(F.col("frame_type") == DELTA, F.col("delta_bytes")).otherwise(F.col("full_bytes")).alias("payload_bytes"), *(F.when(F.col("frame_type") == DELTA, F.col(c)).alias(c) for c in "xywh"))
+    out = out.withColumns({"full_bytes": F.col("full_data") + 16, "delta_bytes": F.col("delta_data") + 24, "_first": F.col("frame_index") == F.min("frame_index").over(Window.partitionBy("file_id"))})
+    return decide(out, force_full_every=force_full_every, editor=True)
 
 
 def encoding_report(choice: DataFrame, pixels_per_frame: DataFrame) -> DataFrame:

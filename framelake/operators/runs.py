@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.binary import bound, le_hex
+from ..functions.binary import le_hex
+from ..sources.stage import checked_broadcast, staged
 
 #: A run-length token holds 16 bits of length.
 CAP, PACKET = 65_535, 128
+#: Bytes of text that a task turns into runs at a time.
+TEXT_BYTES = 1 << 20
 
 
 def runs(df: DataFrame, unit: list[str], order: list[str], value: str, cap: int = CAP) -> DataFrame:
@@ -31,23 +40,142 @@ def runs(df: DataFrame, unit: list[str], order: list[str], value: str, cap: int
     return cut.select(*unit, (F.col("_first") + F.col("_k")).cast("long").alias("run_index"), (F.col("_start") + F.col("_k") * cap).cast("long").alias("start"), F.least(F.lit(cap), F.col("_n") - F.col("_k") * cap).cast("long").alias("run_length"), value)
 
 
+def block_runs(df: DataFrame, unit: list[str], block: str, order: list[str], value: str) -> DataFrame:
+    """Runs of each block of a unit by itself: `k` (0, 1, ... in the block), `at` (values of the block before it), `n` and the value.
+
+    A unit is cut into blocks that follow one another in `order` (a frame into
+    its lines, a stream into stretches); one shuffle, by unit and block, so a
+    unit of any size is spread over tasks. `merge_runs` joins the blocks.
+    """
+    keys = [*unit, block]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    new = F.when(F.row_number().over(w) == 1, 1).when(F.col(value).eqNullSafe(F.lag(value).over(w)), 0).otherwise(1)
+    islands = df.select(*keys, *(c for c in order if c not in keys), value, new.alias("_new")).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    size = islands.groupBy(*keys, "_island").agg(F.count(F.lit(1)).alias("n"), F.first(value).alias(value))
+    before = Window.partitionBy(*keys).orderBy("_island").rowsBetween(Window.unboundedPreceding, -1)
+    return size.select(*keys, (F.col("_island") - 1).cast("long").alias("k"), F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("at"), "n", value)
+
+
+def _starts(v: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where runs begin: a value other than the one before, or another row."""
+    new = np.ones(len(v), dtype=bool)
+    new[1:] = (v[1:] != v[:-1]) | (row[1:] != row[:-1])
+    return np.flatnonzero(new)
+
+
+def _cells(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All values of `width` bytes of a binary column as big-endian numbers, and the row of each. Null is empty."""
+    a = column.cast(pa.large_binary()).fill_null(b"")
+    at = np.frombuffer(a.buffers()[1], dtype=np.int64, count=len(a) + 1, offset=8 * a.offset)
+    data = np.frombuffer(a.buffers()[2] or b"", dtype=np.uint8)[at[0] : at[-1]]
+    return data.view(f">u{width}").astype(np.int64), np.repeat(np.arange(len(a)), np.diff(at) // width)
+
+
+def line_runs(lines: DataFrame, unit: list[str], line: str, data: str, value: str = "color", width: int = 4) -> DataFrame:
+    """`block_runs` of lines at rest: each row holds a line's values as a binary column of `width` bytes a value. No shuffle, and no row for each value."""
+    keys = [*unit, line]
+    schema = T.StructType([*(lines.schema[c] for c in keys), *(T.StructField(c, T.LongType()) for c in ("k", "at", "n", value))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, row = _cells(b.column(len(keys)), width)
+            start = _starts(v, row)
+            owner = row[start]
+            n = np.diff(np.append(start, len(v)))
+            first = np.searchsorted(owner, owner)
+            columns = [c.take(pa.array(owner)) for c in b.columns[: len(keys)]]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, (np.arange(len(start)) - first, start - start[first], n, v[start]))], schema.names)
+
+    return lines.select(*keys, data).mapInArrow(run, schema)
+
+
+def merge_runs(local: DataFrame, unit: list[str], block: str, value: str, cap: int = CAP) -> DataFrame:
+    """`runs` of whole units from the runs of their blocks.
+
+    Blocks merge associatively: a block is known by its first and its last run
+    and by how many runs and values it has, and two neighbours join where the
+    last value of one is the first of the next. Running sums over one row a
+    block give each run's place and number; runs are cut at `cap` last. Only
+    these rows are dealt by unit: runs stay where they are and look up their
+    block. Blocks without values have no row and change nothing.
+    """
+    keys = [*unit, block]
+    local = staged(local)
+    pieces = lambda n: F.ceil(F.col(n) / cap).cast("long")
+    at = lambda f, c, name: f(c, "k").alias(name)
+    facts = local.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("r"), F.sum("n").alias("total"), F.sum(pieces("n")).alias("pieces"),
+        at(F.min_by, value, "first"), at(F.min_by, "n", "n_first"), at(F.max_by, value, "last"), at(F.max_by, "n", "n_last"),
+    )
+    w = Window.partitionBy(*unit).orderBy(block)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    joined = (F.row_number().over(w) > 1) & F.col("first").eqNullSafe(F.lag("last").over(w))
+    facts = facts.withColumn("joined", joined.cast("long"))
+    # number of the run that holds the block's first value, and of the one that holds its last
+    facts = facts.withColumns({"offset": F.coalesce(F.sum("total").over(before), F.lit(0)), "g_first": F.coalesce(F.sum(F.col("r") - F.col("joined")).over(before), F.lit(0)) - F.col("joined")})
+    facts = staged(facts.withColumn("g_last", F.col("g_first") + F.col("r") - 1))
+    ends = facts.select(*unit, F.col("g_first").alias("g"), F.col("n_first").alias("n")).unionByName(facts.filter("r > 1").select(*unit, F.col("g_last").alias("g"), F.col("n_last").alias("n")))
+    whole = ends.groupBy(*unit, "g").agg(F.sum("n").alias("whole"))
+    facts = match(facts, whole.withColumnRenamed("g", "g_last"), [*unit, "g_last"])
+    # tokens of the runs that begin in the block: all but a first run that began before, and the last one at its whole length
+    begins = F.when((F.col("r") == 1) & (F.col("joined") == 1), 0).otherwise(F.col("pieces") - F.when(F.col("joined") == 1, pieces("n_first")).otherwise(0) - pieces("n_last") + pieces("whole"))
+    facts = facts.withColumn("_first", F.coalesce(F.sum(begins).over(before), F.lit(0)))
+    facts = facts.select(*keys, "r", "offset", "_first", "whole", F.when(F.col("joined") == 1, pieces("n_first")).otherwise(0).alias("_skip"), "joined")
+    inside = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = local.withColumn("_before", F.coalesce(F.sum(pieces("n")).over(inside), F.lit(0)))
+    out = match(placed, facts, keys, small=True).filter("NOT (k = 0 AND joined = 1)")
+    n = F.when(F.col("k") == F.col("r") - 1, F.col("whole")).otherwise(F.col("n"))
+    out = out.select(*unit, value, n.alias("_n"), (F.col("offset") + F.col("at")).alias("_start"), (F.col("_first") + F.col("_before") - F.when(F.col("k") > 0, F.col("_skip")).otherwise(0)).alias("_i"))
+    cut = out.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), pieces("_n") - 1)))
+    return cut.select(*unit, (F.col("_i") + F.col("_k")).cast("long").alias("run_index"), (F.col("_start") + F.col("_k") * cap).cast("long").alias("start"), F.least(F.lit(cap), F.col("_n") - F.col("_k") * cap).cast("long").alias("run_length"), value)
+
+
+def match(left: DataFrame, right: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
+    """Inner join in which null keys match; the keys of `left` stay. `small`: `right` is broadcast if its size allows it."""
+    right = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+    return left.join(checked_broadcast(right) if small else right, on).drop(*(f"_of_{k}" for k in keys))
+
+
+def runs_by_block(df: DataFrame, unit: list[str], block: str, order: list[str], value: str, cap: int = CAP) -> DataFrame:
+    """`runs` for units too large for a task: runs of their blocks, merged."""
+    return merge_runs(block_runs(df, unit, block, order, value), unit, block, value, cap)
+
+
 def text_runs(df: DataFrame, unit: list[str], text: str, value: str = "v", cap: int = CAP) -> DataFrame:
     """`runs` of the characters of a text column: a text lies in order in its row, so its runs are found there, without a shuffle.
 
     Null and empty texts have no run.
     """
-    def starts(c: Column) -> Column:
-        n = F.size(c) - (F.element_at(c, -1) == "").cast("int")  # splitting may leave an empty end
-        return F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(c, i) != F.get(c, i - 1)))
-
-    # where each run begins, and the run itself; length and value are taken from it once it is a row
-    same = F.regexp_extract_all(text, F.lit(r"(?s)(.)\1*"), F.lit(0))
-    t = df.filter(F.length(text) > 0).select(*unit, F.length(text).alias("_n"), F.arrays_zip(bound(F.split(text, ""), starts).alias("s"), same.alias("t")).alias("_r"))
-    cut = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.length(r["t"]) - 1) / cap).cast("int")), lambda k: F.struct((r["s"] + k * cap).alias("s"), F.substring(r["t"], k * cap + 1, F.lit(cap)).alias("t")))
-    pieces = F.when(F.col("_n") > cap, F.flatten(F.transform("_r", cut))).otherwise(F.col("_r"))
-    return t.select(*unit, F.posexplode(pieces).alias("_i", "_x")).select(
-        *unit, F.col("_i").cast("long").alias("run_index"), F.col("_x.s").cast("long").alias("start"), F.length("_x.t").cast("long").alias("run_length"), F.substring("_x.t", 1, 1).alias(value)
-    )
+    schema = T.StructType([*(df.schema[c] for c in unit), *(T.StructField(c, T.LongType()) for c in ("run_index", "start", "run_length")), T.StructField(value, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in _slices(b, TEXT_BYTES):
+                texts = part.column(len(unit)).to_pylist()
+                code = np.frombuffer("".join(x for x in texts if x).encode("utf-32-le"), dtype=np.uint32)
+                row = np.repeat(np.arange(len(texts)), [len(x) if x else 0 for x in texts])
+                start = _starts(code, row)
+                n = np.diff(np.append(start, len(code)))
+                if len(n) and n.max() > cap:
+                    k = -(-n // cap)
+                    nth = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+                    start, n = np.repeat(start, k) + nth * cap, np.minimum(cap, np.repeat(n, k) - nth * cap)
+                owner = row[start]
+                first = np.searchsorted(owner, owner)
+                known, which = np.unique(code[start], return_inverse=True)
+                columns = [c.take(pa.array(owner)) for c in part.columns[: len(unit)]]
+                values = pa.array([chr(c) for c in known.tolist()], pa.string()).take(pa.array(which))
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, (np.arange(len(start)) - first, start - start[first], n)), values], schema.names)
+
+    return df.select(*unit, text).mapInArrow(run, schema)
+
+
+def _slices(b: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of `size` bytes, about; one long row stays whole."""
+    step = max(1, int(b.num_rows * size / max(1, b.nbytes)))
+    for at in range(0, b.num_rows, step):
+        yield b.slice(at, step)
 
 
 def packet_runs(df: DataFrame, unit: list[str], order: list[str], value: str) -> DataFrame:

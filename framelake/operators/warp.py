@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.stage import staged
+from ..sources.stage import checked_broadcast
 
 
 def _kernel(method: str, t: Column) -> Column:
@@ -33,14 +33,9 @@ def taps(sizes: DataFrame, old: str, new: str, method: str) -> DataFrame:
     return d.join(total, ["old", "new", "dst"]).select("old", "new", "dst", "src", (F.col("_w") / F.col("_t")).alias("weight"))
 
 
-#: Largest table of taps, in bytes, that is sent to all tasks; a larger one is joined by its keys.
-BROADCAST_BYTES = 32 << 20
-
-
 def _taps(px: DataFrame, old: str, new: str, at: str, method: str) -> DataFrame:
     """The taps of one axis under the names of that axis, written once. They have few keys, as many as an image has columns, so they are broadcast where their size allows it."""
-    t = staged(taps(px, old, new, method).select(F.col("old").alias(old), F.col("new").alias(new), F.col("src").alias(at), F.col("dst").alias(f"_{at}"), "weight"))
-    return F.broadcast(t) if t.count() * 40 <= BROADCAST_BYTES else t
+    return checked_broadcast(taps(px, old, new, method).select(F.col("old").alias(old), F.col("new").alias(new), F.col("src").alias(at), F.col("dst").alias(f"_{at}"), "weight"), 40)
 
 
 def resize_rasters(px: DataFrame, keys: list[str], method: str = "nearest") -> DataFrame:

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Largest table, in bytes, that is sent to all tasks.
+BROADCAST_BYTES = 32 << 20
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -21,3 +25,9 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{top.rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def checked_broadcast(df: DataFrame, row_bytes: int = 128) -> DataFrame:
+    """`df` written once, and broadcast if its rows, counted, are proven small; else it is joined by its keys."""
+    df = staged(df)
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,23 +13,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Vectors whose numbers are counted together.
+BLOCK = 4_096
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame for each vector, numbered from 0 in the file of its label: file_id, frame_index, embedding.
+
+    Numbers come from counts by blocks of ids, so that no label is one task.
+    """
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("file_id"), "vec_id", "embedding").withColumn("_block", F.floor(F.col("vec_id") / BLOCK))
+    keys = ["file_id", "_block"]
+    before = Window.partitionBy("file_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offset = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    placed = e.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id")) - 1).join(offset, keys)
+    return placed.select("file_id", (F.col("_nth") + F.col("_offset")).cast("int").alias("frame_index"), "embedding")
+
+
+def held_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames with each fourth one held for four."""
+    held = Window.partitionBy("file_id", F.floor(F.col("frame_index") / 4)).orderBy("frame_index")
+    return frames(spark, sf_dir).withColumn("embedding", F.first("embedding").over(held))
+
+
+def _level(v: Column) -> Column:
+    return (F.floor(v.cast("double") * 5) + 3).cast("int")
+
+
+def _pixels(f: DataFrame) -> DataFrame:
+    px = f.select("file_id", "frame_index", F.posexplode("embedding").alias("pixel_index", "_v"))
+    return px.withColumns({"x": F.pmod("pixel_index", F.lit(8)), "y": F.floor(F.col("pixel_index") / 8).cast("int"), "level": _level(F.col("_v"))}).drop("_v")
+
+
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8x8 rasters: a file for each label, a frame for each vector, a level 0 to 5 or so for each pixel, and its colour."""
-    e = table(spark, sf_dir, "embeddings").withColumn("frame_index", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("int"))
-    px = e.select(F.col("label").alias("file_id"), "frame_index", F.posexplode("embedding").alias("pixel_index", "_v"))
-    px = px.withColumns({"x": F.pmod("pixel_index", F.lit(8)), "y": F.floor(F.col("pixel_index") / 8).cast("int"), "level": (F.floor(F.col("_v").cast("double") * 5) + 3).cast("int")}).drop("_v")
+    px = _pixels(frames(spark, sf_dir))
     return px.withColumns({"r": F.col("level") * 40, "g": F.col("level") * 30, "b": F.col("level") * 20, "a": F.lit(255)}).withColumn("color", rgba())
 
 
 def fades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rasters with each fourth one held for four frames while its alpha falls; level 1 is transparent."""
-    px = rasters(spark, sf_dir)
-    held = Window.partitionBy("file_id", "pixel_index", F.floor(F.col("frame_index") / 4)).orderBy("frame_index")
-    px = px.withColumn("level", F.first("level").over(held))
+    px = _pixels(held_frames(spark, sf_dir))
     px = px.withColumns({"r": F.col("level") * 40, "g": F.col("level") * 30, "b": F.col("level") * 20, "a": F.when(F.col("level") == 1, 0).otherwise(240 - 60 * (F.col("frame_index") % 4))})
     return px.withColumn("color", rgba()).drop("level")
 
 
+def _lines(f: DataFrame, alpha) -> DataFrame:
+    """Lines at rest (file_id, frame_index, y, rgba), eight pixels a line, straight from the vectors."""
+    parts = lambda level: (level * 40, level * 30, level * 20, alpha(level))
+    cell = lambda v: F.concat(*(F.lpad(F.hex(c.cast("long")), 2, "0") for c in parts(_level(v))))
+    hexed = f.select("file_id", "frame_index", F.array_join(F.transform("embedding", cell), "").alias("_h"))
+    lines = hexed.select("file_id", "frame_index", "_h", F.explode(F.sequence(F.lit(0), F.floor((F.length("_h") - 1) / 64).cast("int"))).alias("y"))
+    return lines.select("file_id", "frame_index", "y", F.unhex(F.substring("_h", F.col("y") * 64 + 1, F.lit(64))).alias("rgba"))
+
+
+def raster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`rasters` as lines."""
+    return _lines(frames(spark, sf_dir), lambda level: F.lit(255))
+
+
+def fade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`fades` as lines."""
+    return _lines(held_frames(spark, sf_dir), lambda level: F.when(level == 1, 0).otherwise(240 - 60 * (F.col("frame_index") % 4)))
+
+
 def frame_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of FULL, DELTA and TRANSFORM frames per user."""
     e = table(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
