@@ -93,6 +93,25 @@ CODED_FRAMES = _CODED + """ SELECT canvas.file_id::VARCHAR AS file_id, canvas.fr
  md5(string_agg(printf('%08X', color - color % 256 + (color % 256) * alpha // 255), '' ORDER BY pixel_index)) AS shown_md5 FROM canvas JOIN state USING (file_id, frame_index) GROUP BY canvas.file_id, canvas.frame_index"""
 
 
+def banded_frames(spark, d):
+    """The same files replayed in bands of three lines each."""
+    out = render.decode_animation(coded_files(spark, d), band_lines=3)
+    return out.select("file_id", "frame_index", F.md5(F.hex("rgba")).alias("canvas_md5"), F.md5(F.hex("shown")).alias("shown_md5"))
+
+
+BANDED_FRAMES = CODED_FRAMES
+
+
+def absolute_fades(spark, d):
+    """Fades encoded against the last FULL or DELTA frame and decoded: what shows is what was encoded."""
+    px = V.fades(spark, d).select(F.col("file_id").cast("string").alias("file_id"), "frame_index", "pixel_index", "x", "y", "color")
+    files = staged(render.encode_animation(px, _sizes(px), editor=False, force_full_every=11, fade_mode="absolute"))
+    return render.decode_animation(files).select("file_id", "frame_index", F.md5(F.hex("shown")).alias("shown_md5"))
+
+
+ABSOLUTE_FADES = V.with_views("fades") + " SELECT file_id::VARCHAR AS file_id, frame_index, md5(string_agg(printf('%08X', color), '' ORDER BY pixel_index)) AS shown_md5 FROM fades GROUP BY file_id, frame_index"
+
+
 def coded_encodings(spark, d):
     """Type and encoding of each frame of those files, and its palette's size."""
     files = coded_files(spark, d)
@@ -190,5 +209,5 @@ def export_project(spark, d):
     return render.decode_animation(staged(files)).select("file_id", "frame_index", F.md5(F.hex("rgba")).alias("canvas_md5"))
 
 
-QUERIES = {f.__name__: f for f in (parse_headers, replay_dense, coded_frames, coded_encodings, inspect_files, check_payloads, decode_still, project_round_trip, render_project, export_project)}
+QUERIES = {f.__name__: f for f in (parse_headers, replay_dense, coded_frames, banded_frames, absolute_fades, coded_encodings, inspect_files, check_payloads, decode_still, project_round_trip, render_project, export_project)}
 ORACLE_SQL = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.binary import bound
 from ..functions.scalars import apply_alpha, duration_fraction
-from ..operators import change, palette, runs, scanlines, validate
+from ..operators import bands, change, palette, runs, scanlines, validate
 from ..operators.composite import composite
 from ..operators.project import interpolate_keyframes, place_layers, source_key
 from ..operators.replay import replay_state, segments
@@ -31,26 +30,6 @@ def unit_data(px: DataFrame, color: str = "color", indexed: bool = False) -> Dat
     return both.select(*UNIT, F.when(F.col("_rle"), F.col("data")).otherwise(F.col("_raw")).alias("data"), (F.col("_rle").cast("int") + (2 if indexed else 0)).alias("encoding"))
 
 
-def raw_data(data: Column, encoding: Column, colors: Column) -> Column:
-    """RGBA bytes of a unit from any of the four encodings. `colors`: the file's palette as an array of hex colours; an index beyond it is transparent, as rule `index_range` finds such frames."""
-    size = F.octet_length(data)
-    number = lambda x: F.conv(x, 16, 10).cast("int")
-    color = lambda i: F.coalesce(F.get(colors, number(i)), F.lit("00000000"))
-    length = lambda t: number(F.concat(F.substring(t, 3, 2), F.substring(t, 1, 2)))
-
-    def opened(k: int, of) -> Column:
-        """The data in cells of `k` bytes, each of which `of` turns into hex colours."""
-        cells = bound(F.hex(data), lambda h: F.transform(F.sequence(F.lit(0), (size / k).cast("int") - 1), lambda i: of(F.substring(h, i * 2 * k + 1, F.lit(2 * k)))))
-        return F.when(size >= k, F.unhex(F.array_join(cells, ""))).otherwise(F.lit(b""))
-
-    return (
-        F.when(encoding == 1, opened(6, lambda t: F.repeat(F.substring(t, 5, 8), length(t))))
-        .when(encoding == 2, opened(1, color))
-        .when(encoding == 3, opened(3, lambda t: F.repeat(color(F.substring(t, 5, 2)), length(t))))
-        .otherwise(data)
-    )
-
-
 def _channels(px: DataFrame) -> DataFrame:
     """r, g, b, a of the packed colour."""
     return px.withColumns({c: F.shiftright("color", n).bitwiseAND(255).cast("int") for c, n in (("r", 24), ("g", 16), ("b", 8), ("a", 0))})
@@ -109,24 +88,35 @@ def encode_animation(px: DataFrame, sizes: DataFrame, durations: DataFrame | Non
     return media.assemble_files(sizes, pal, media.frame_blobs(c, full_data, rect_data))
 
 
-def decode_animation(files: DataFrame) -> DataFrame:
-    """Canvases (file_id, frame_index, rgba, shown) of whole files, of all encodings and frame types.
+def decode_bands(files: DataFrame, band_lines: int = bands.BAND) -> DataFrame:
+    """`decode_animation` as bands of lines (file_id, frame_index, band, rgba, shown), for canvases of any size.
 
-    `rgba` is the canvas, `shown` the canvas under the alpha that TRANSFORM
-    frames have set. Segments are found from keys and types alone, then
-    replayed apart.
+    Segments are found from keys and types alone; data stays packed until the
+    task that replays it.
     """
     frames = staged(media.explode_frames(files))
     state = replay_state(segments(frames.select(*UNIT, "frame_type")).join(media.parse_transforms(frames).select(*UNIT, "transform_flags", "alpha"), UNIT, "left"))
     seg = state.select(*UNIT, "segment", F.col("state_alpha").cast("int").alias("alpha"))
     head = media.parse_headers(files).select(F.col("file_id").cast("string").alias("file_id"), F.col("canvas_width").cast("int").alias("canvas_width"), F.col("canvas_height").cast("int").alias("canvas_height"))
-    colors = media.explode_palette(files).groupBy("file_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("color_index", F.lpad(F.hex("color"), 8, "0").alias("t")))), lambda x: x["t"]).alias("colors"))
+    hexed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("color_index", F.lpad(F.hex("color"), 8, "0").alias("t")))), lambda x: x["t"]), "")
+    colors = media.explode_palette(files).groupBy("file_id").agg(F.unhex(hexed).alias("colors"))
     zero = F.lit(0)
     full = frames.filter("frame_type = 1").select(*UNIT, zero.alias("rect_index"), zero.alias("x"), zero.alias("y"), F.col("width").alias("w"), F.col("height").alias("h"), "encoding", "data")
     rects = media.explode_rects(frames).filter("error IS NULL").select(*UNIT, "rect_index", "x", "y", "w", "h", "encoding", "data")
-    writes = full.unionByName(rects).join(colors, "file_id", "left").withColumn("data", raw_data(F.col("data"), F.col("encoding"), F.col("colors"))).drop("encoding", "colors")
-    still = frames.select(*UNIT).join(writes.select(*UNIT), UNIT, "left_anti").select(*UNIT, zero.alias("rect_index"), zero.alias("x"), zero.alias("y"), zero.alias("w"), zero.alias("h"), F.lit(None).cast("binary").alias("data"))
-    return media.replay_dense(writes.unionByName(still).join(seg, UNIT).join(head, "file_id"))
+    writes = full.unionByName(rects).join(seg.drop("alpha"), UNIT).join(colors, "file_id", "left")
+    writes = writes.withColumn("colors", F.when(F.col("encoding") >= 2, F.col("colors")))
+    return bands.replay_bands(writes, seg.join(head, "file_id"), band_lines)
+
+
+def decode_animation(files: DataFrame, band_lines: int = bands.BAND) -> DataFrame:
+    """Canvases (file_id, frame_index, rgba, shown) of whole files, of all encodings and frame types.
+
+    `rgba` is the canvas, `shown` the canvas under the alpha that TRANSFORM
+    frames have set. Where no canvas has more than one band, bands are canvases.
+    """
+    tallest = media.parse_headers(files).agg(F.max("canvas_height")).first()[0] or 0
+    out = decode_bands(files, band_lines)
+    return out.drop("band") if tallest <= band_lines else bands.join_bands(out)
 
 
 def decode_folder(spark: SparkSession, path: str, profile: str = "strict") -> tuple[DataFrame, DataFrame]:

@@ -272,49 +272,3 @@ def write_projects(projects: DataFrame, sources: DataFrame, clips: DataFrame, ke
     count = lambda c: F.coalesce(F.size(c), F.lit(0))
     head = F.concat(F.hex(F.lit(PROJECT).cast("binary")), pack((F.lit(1), 1), (F.lit(0), 1), (F.lit(HEADER), 1), (F.col("loop").cast("int"), 1), (F.col("out_width"), 4), (F.col("out_height"), 4), (F.col("total_frames"), 4), (F.col("preview_fps_num"), 4), (F.col("preview_fps_den"), 4), (size, 4), (F.lit(HEADER), 4), (F.lit(HEADER) + size, 4), (count("sources"), 4), (count("clips"), 4)))
     return p.select("project_id", F.unhex(F.concat(head, "_b")).alias("content"))
-
-
-#: Bytes of canvases that a task hands over at a time.
-DENSE_BYTES = 64 << 20
-
-
-def _dense(key, batches):
-    """One segment on a canvas array: writes in order, the canvas after each frame, handed over in bounded batches."""
-    t = pa.Table.from_batches(list(batches)).to_pandas().sort_values(["frame_index", "rect_index"])
-    w, h = int(t.canvas_width.iloc[0]), int(t.canvas_height.iloc[0])
-    canvas, out = np.zeros((h, w), dtype=">u4"), []
-
-    def batch():
-        return pa.record_batch([pa.array([key[0].as_py()] * len(out), pa.string()), pa.array([f for f, *_ in out], pa.int32()), pa.array([c for _, c, _ in out], pa.binary()), pa.array([s for *_, s in out], pa.binary())], names=["file_id", "frame_index", "rgba", "shown"])
-
-    for f, rows in t.groupby("frame_index", sort=True):
-        for r in rows.itertuples():
-            if r.data is not None and r.w > 0:
-                px = np.frombuffer(r.data, dtype=">u4").reshape(r.h, r.w)
-                canvas[r.y : r.y + r.h, r.x : r.x + r.w] = px[: h - r.y, : w - r.x]
-        plain, alpha = canvas.tobytes(), int(rows.alpha.iloc[0])
-        shown = plain
-        if alpha != 255:
-            faded = canvas.copy().view(np.uint8).reshape(h, w, 4)
-            faded[:, :, 3] = faded[:, :, 3].astype(np.int64) * alpha // 255
-            shown = faded.tobytes()
-        out.append((f, plain, shown))
-        if len(out) * 8 * w * h >= DENSE_BYTES:
-            yield batch()
-            out = []
-    yield batch()
-
-
-def replay_dense(writes: DataFrame) -> DataFrame:
-    """H3: canvas (`rgba`, raw; `shown`, under the frame's alpha) at every frame of a segment.
-
-    `writes`: file_id, segment, frame_index, rect_index, x, y, w, h, data (raw
-    RGBA; null for a frame that writes nothing), alpha, canvas_width,
-    canvas_height. A segment, which a FULL frame starts, is the unit of work;
-    `force_full_every` of the writer bounds it.
-    """
-
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _dense(key, batches)
-
-    return writes.groupBy("file_id", "segment").applyInArrow(run, "file_id string, frame_index int, rgba binary, shown binary")
