@@ -201,13 +201,42 @@ def render_project(spark, d):
     return render.render_project(P.active_clips(loaded), keys, rasters, sources, canvas, "bicubic")
 
 
+def render_nearest(spark, d):
+    """The same by nearest pixels, which SQL can follow."""
+    loaded, keys, rasters, sources, canvas = _project(spark, d)
+    return render.render_project(P.active_clips(loaded), keys, rasters, sources, canvas, "nearest")
+
+
+# the upper layer: every second pixel, turned about its middle, moved and faded by how far its clip has gone
+_RENDERED = V.with_views("px") + """,
+n AS (SELECT file_id, max(frame_index) + 1 AS n FROM px GROUP BY file_id),
+extent AS (SELECT a.file_id AS project_id, greatest(coalesce(b.n, 0), a.n + 2) AS total FROM n a LEFT JOIN n b ON b.file_id = (a.file_id + 1) % 10),
+low AS (SELECT n.file_id AS project_id, px.frame_index, x, y, r, g, b, a FROM n JOIN px ON px.file_id = (n.file_id + 1) % 10),
+t AS (SELECT n.file_id AS project_id, i, i / greatest(1, n.n - 1) AS t FROM n, LATERAL (SELECT unnest(range(0, n.n)) AS i)),
+m AS (SELECT *, round(cos(radians(round(90 * t, 6))), 9) AS c, round(sin(radians(round(90 * t, 6))), 9) AS s, CAST(round_even(1.0::DOUBLE + 5.0::DOUBLE * t, 0) AS INTEGER) AS ox, CAST(round_even(1.0::DOUBLE + 2.0::DOUBLE * t, 0) AS INTEGER) AS oy,
+  CAST(round_even(200 + -100 * t, 0) AS INTEGER) AS opacity FROM t),
+w AS (SELECT *, ceil(round(4 * abs(c) + 4 * abs(s), 6))::INTEGER AS n FROM m),
+g AS (SELECT w.*, dx, dy, floor(round((dx + 0.5 - n / 2.0) * c + (dy + 0.5 - n / 2.0) * s + 2, 6)) AS sx, floor(round(-(dx + 0.5 - n / 2.0) * s + (dy + 0.5 - n / 2.0) * c + 2, 6)) AS sy
+  FROM w, (SELECT unnest(range(0, 6)) AS dx), (SELECT unnest(range(0, 6)) AS dy) WHERE dx < n AND dy < n),
+high AS (SELECT g.project_id, g.i + 2 AS frame_index, dx + ox AS x, dy + oy AS y, r, px.g, b, a * opacity // 255 AS a FROM g JOIN px ON px.file_id = g.project_id AND px.frame_index = g.i AND px.x = 2 * sx + 1 AND px.y = 2 * sy + 1
+  WHERE sx BETWEEN 0 AND 3 AND sy BETWEEN 0 AND 3 AND dx + ox BETWEEN 0 AND 9 AND dy + oy BETWEEN 0 AND 7),
+met AS (SELECT project_id, frame_index, x, y, coalesce(h.a, 0) / 255.0::DOUBLE AS k, CASE WHEN l.a IS NULL THEN 0 ELSE 1 END AS under, h.r AS hr, h.g AS hg, h.b AS hb, l.r AS lr, l.g AS lg, l.b AS lb
+  FROM low l FULL JOIN high h USING (project_id, frame_index, x, y)),
+shown AS (SELECT *, k + under * (1 - k) AS o FROM met),
+rendered AS (SELECT project_id, frame_index, x, y, """ + ", ".join(f"CAST(round_even(round((coalesce(h{c}, 0) * k + coalesce(l{c}, 0) * (1 - k)) / o, 6), 0) AS INTEGER) AS {c}" for c in "rgb") + """,
+  CAST(round_even(round(o * 255, 6), 0) AS INTEGER) AS a FROM shown WHERE o > 0)"""
+RENDER_NEAREST = _RENDERED + " SELECT * FROM rendered WHERE a > 0"
+EXPORT_PROJECT = _RENDERED + """ SELECT e.project_id::VARCHAR AS file_id, f AS frame_index, md5(string_agg(printf('%02X%02X%02X%02X', coalesce(r, 0), coalesce(g, 0), coalesce(b, 0), coalesce(a, 0)), '' ORDER BY py, ptx)) AS canvas_md5
+FROM (SELECT project_id, unnest(range(0, total)) AS f FROM extent) e, (SELECT unnest(range(0, 10)) AS ptx), (SELECT unnest(range(0, 8)) AS py) LEFT JOIN rendered ON rendered.project_id = e.project_id AND rendered.frame_index = f AND rendered.x = ptx AND rendered.y = py GROUP BY e.project_id, f"""
+
+
 def export_project(spark, d):
     """Rendered projects exported as files and decoded again: a digest of each canvas."""
     loaded, keys, rasters, sources, canvas = _project(spark, d)
-    rendered = render.render_project(P.active_clips(loaded), keys, rasters, sources, canvas, "nearest")
+    rendered = render.render_lines(P.active_clips(loaded), keys, rasters, sources, canvas, "nearest")
     files = render.export_project(staged(rendered), canvas, P.project_extent(loaded), 25, 1)
     return render.decode_animation(staged(files)).select("file_id", "frame_index", F.md5(F.hex("rgba")).alias("canvas_md5"))
 
 
-QUERIES = {f.__name__: f for f in (parse_headers, replay_dense, coded_frames, banded_frames, absolute_fades, coded_encodings, inspect_files, check_payloads, decode_still, project_round_trip, render_project, export_project)}
+QUERIES = {f.__name__: f for f in (parse_headers, replay_dense, coded_frames, banded_frames, absolute_fades, coded_encodings, inspect_files, check_payloads, decode_still, project_round_trip, render_project, render_nearest, export_project)}
 ORACLE_SQL = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import composite as C
 from ..operators import project as P
-from ..operators import warp
+from ..operators import dense, warp
 from ..sources import views as V
 
 _BASE = V.with_views("clips", "sources")
@@ -327,8 +327,64 @@ def _lanczos_sql(name: str, new: int) -> str:
 
 RESIZE_LANCZOS = V.with_views("px") + ", " + _lanczos_sql("tx", 12) + ", " + _lanczos_sql("ty", 5) + f" SELECT file_id, frame_index, tx.dst AS x, ty.dst AS y, {_lev('r')}, {_lev('g')}, {_lev('b')}, {_lev('a')} FROM px JOIN tx ON tx.src = px.x JOIN ty ON ty.src = px.y GROUP BY file_id, frame_index, tx.dst, ty.dst"
 
+def _fades_sized(spark, d):
+    return V.fades(spark, d).withColumns({"width": F.lit(8), "height": F.lit(8), "new_width": F.lit(12), "new_height": F.lit(5)})
+
+
+def resize_fades(spark, d):
+    """Rasters with transparent pixels, whose colours must not show."""
+    return warp.resize_rasters(_fades_sized(spark, d), ["file_id", "frame_index"], "bicubic")
+
+
+def _byte(c: str) -> str:
+    return f"greatest(0, least(255, CAST(round_even(round({c}, 6), 0) AS INTEGER)))"
+
+
+RESIZE_FADES = V.with_views("fades") + ", " + _tap_sql("tx", 12) + ", " + _tap_sql("ty", 5) + f""",
+z AS (SELECT file_id, frame_index, tx.dst AS x, ty.dst AS y, sum(r * a * tx.w * ty.w) AS zr, sum(g * a * tx.w * ty.w) AS zg, sum(b * a * tx.w * ty.w) AS zb, sum(a * tx.w * ty.w) AS za FROM fades JOIN tx ON tx.src = fades.x JOIN ty ON ty.src = fades.y GROUP BY ALL)
+SELECT file_id, frame_index, x, y, {", ".join(f"CASE WHEN round(za, 6) > 0 THEN {_byte(f'z{c} / za')} ELSE 0 END AS {c}" for c in "rgb")}, {_byte("za")} AS a FROM z"""
+
+
+def _dense(images, method, deg=None):
+    """Images of 8 x 8 pixels warped whole, as pixels."""
+    keys = ["file_id", "frame_index"]
+    size = (12, 5) if deg is None else (8, 8)
+    sized = images.withColumns({"width": F.lit(8), "height": F.lit(8), "new_width": F.lit(size[0]), "new_height": F.lit(size[1]), "deg": F.lit(0.0) if deg is None else deg})
+    # turns alone leave the size as it is, for which nearest is exact
+    out = dense.warp_images(sized, keys, method if deg is None else "nearest", None if deg is None else method)
+    return dense.pixels_of(out, keys)
+
+
+def resize_nearest_dense(spark, d):
+    return _dense(V.raster_images(spark, d), "nearest")
+
+
+def resize_bicubic_dense(spark, d):
+    return _dense(V.raster_images(spark, d), "bicubic")
+
+
+def resize_lanczos_dense(spark, d):
+    return _dense(V.raster_images(spark, d), "lanczos")
+
+
+def resize_fades_dense(spark, d):
+    return _dense(V.fade_images(spark, d), "bicubic")
+
+
+def rotate_nearest_dense(spark, d):
+    return _dense(V.raster_images(spark, d), "nearest", (F.col("frame_index") % 12 * 30).cast("double"))
+
+
+def rotate_bicubic_dense(spark, d):
+    return _dense(V.raster_images(spark, d), "bicubic", (F.col("frame_index") % 12 * 30).cast("double"))
+
+
+RESIZE_NEAREST_DENSE, RESIZE_BICUBIC_DENSE, RESIZE_LANCZOS_DENSE, RESIZE_FADES_DENSE = RESIZE_NEAREST, RESIZE_BICUBIC, RESIZE_LANCZOS, RESIZE_FADES
+ROTATE_NEAREST_DENSE, ROTATE_BICUBIC_DENSE = ROTATE_NEAREST, ROTATE_BICUBIC
+
 QUERIES = {f.__name__: f for f in (
     clip_lengths, resolve_clips, clip_warnings, active_clips, active_at, project_extent, canvas_size, append_sources, update_clips, rejected_edits, clip_listing, active_label, distinct_warnings,
-    upsert_keyframes, delete_keyframes, interpolate_keyframes, place_layers, composite_layers, checkerboard_over, resize_nearest, resize_bicubic, resize_lanczos, rotate_nearest, rotate_bicubic,
+    upsert_keyframes, delete_keyframes, interpolate_keyframes, place_layers, composite_layers, checkerboard_over, resize_nearest, resize_bicubic, resize_lanczos, resize_fades, rotate_nearest, rotate_bicubic,
+    resize_nearest_dense, resize_bicubic_dense, resize_lanczos_dense, resize_fades_dense, rotate_nearest_dense, rotate_bicubic_dense,
     local_sources_resolved, local_sources_missing, local_canvas_size, local_update_clips)}
 ORACLE_SQL = {k: globals()[k.upper()] for k in QUERIES}

@@ -4,77 +4,62 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import apply_alpha, duration_fraction
-from ..operators import bands, change, palette, runs, scanlines, validate
-from ..operators.composite import composite
+from ..functions.scalars import duration_fraction
+from ..operators import bands, dense, palette, runs, scanlines, validate
 from ..operators.project import interpolate_keyframes, place_layers, source_key
 from ..operators.replay import replay_state, segments
-from ..operators.warp import resize_rasters, rotate_rasters
 from ..sources import media
 from ..sources.stage import staged
 
 UNIT = ["file_id", "frame_index"]
 
 
-def unit_data(px: DataFrame, color: str = "color", indexed: bool = False) -> DataFrame:
-    """`data` and `encoding` of each unit of pixels: tokens (1; of indices 3) if strictly smaller than raw (0; 2)."""
-    r = runs.runs(px, UNIT, ["pixel_index"], color)
-    size = runs.encoded_sizes(r, UNIT).select(*UNIT, F.col("index_is_rle" if indexed else "rgba_is_rle").alias("_rle"))
-    tokens = runs.encode_runs(r, UNIT, color, indexed)
-    plain = F.lpad(F.hex(color), 2 if indexed else 8, "0")
-    raw = px.groupBy(*UNIT).agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pixel_index", plain.alias("t")))), lambda x: x["t"]), "")).alias("_raw"))
-    both = size.join(tokens, UNIT).join(raw, UNIT)
-    return both.select(*UNIT, F.when(F.col("_rle"), F.col("data")).otherwise(F.col("_raw")).alias("data"), (F.col("_rle").cast("int") + (2 if indexed else 0)).alias("encoding"))
-
-
-def _channels(px: DataFrame) -> DataFrame:
-    """r, g, b, a of the packed colour."""
-    return px.withColumns({c: F.shiftright("color", n).bitwiseAND(255).cast("int") for c, n in (("r", 24), ("g", 16), ("b", 8), ("a", 0))})
-
-
-def _encoded(px: DataFrame, choice: DataFrame, color: str, indexed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _encoded(lines: DataFrame, choice: DataFrame, indexed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The choice with each frame's encoding, and bytes of full frames and of boxes, made for the chosen form only."""
     choice = staged(choice)
     full = choice.filter("frame_type = 1").select(*UNIT)
     boxes = choice.filter("frame_type = 2 AND w IS NOT NULL").select(*UNIT, "x", "y", "w", "h")
-    full_data, rect_data = staged(unit_data(px.join(full, UNIT, "left_semi"), color, indexed)), staged(unit_data(change.crop(px, boxes), color, indexed))
+    full_data, rect_data = staged(scanlines.unit_data(lines.join(full, UNIT, "left_semi"))), staged(scanlines.unit_data(lines, boxes))
     enc = full_data.select(*UNIT, "encoding").unionByName(rect_data.select(*UNIT, "encoding"))
     alpha = F.col("alpha") if "alpha" in choice.columns else F.lit(None).cast("int")
     c = choice.join(enc, UNIT, "left").select(*UNIT, "frame_type", alpha.alias("alpha"), "x", "y", "w", "h", F.coalesce("encoding", F.lit(2 if indexed else 0)).alias("encoding"))
     return c, full_data, rect_data
 
 
-def encode_animation(px: DataFrame, sizes: DataFrame, durations: DataFrame | None = None, *, editor: bool = True, force_rgba: bool = False, force_full_every: int = 0, fade_mode: str = "previous") -> DataFrame:
-    """Animation files (file_id, content) from pixels. Bytes are made for the chosen form of each frame only.
+def encode_animation(frames: DataFrame, sizes: DataFrame, durations: DataFrame | None = None, *, editor: bool = True, force_rgba: bool = False, force_full_every: int = 0, fade_mode: str = "previous") -> DataFrame:
+    """Animation files (file_id, content) from lines (file_id, frame_index, y, rgba) or from pixels (x, y, color). Bytes are made for the chosen form of each frame only.
 
     `editor` chooses frames as the editor's export does: RGBA, FULL or DELTA.
     Else as the encoder does: with a palette for each file of 256 colours at
     most (but for `force_rgba`), and TRANSFORM for what one alpha factor
     explains: against the frame before, or, with `fade_mode="absolute"`, against
     the last FULL or DELTA frame and to the last digit, so that what a decoder
-    shows is what was encoded. `force_full_every` bounds a segment, which is what one task
-    replays. `sizes`: file_id, flags, canvas_width, canvas_height, fps_num,
-    fps_den. `durations`: file_id, frame_index and either duration_num and
-    duration_den or duration_ms (null: 100).
+    shows is what was encoded. `force_full_every` bounds a segment, which is
+    what one task of the absolute mode works through. `sizes`: file_id, flags,
+    canvas_width, canvas_height, fps_num, fps_den. `durations`: file_id,
+    frame_index and either duration_num and duration_den or duration_ms (null:
+    100).
     """
+    lines = staged(frames if "rgba" in frames.columns else scanlines.lines_of(frames)).select(*UNIT, "y", "rgba")
     none = sizes.select("file_id", F.lit(0).alias("color_index"), F.lit(0).cast("long").alias("color")).filter("false")
+    choose = {
+        "previous": lambda p, i: scanlines.choose_frames_lines(p, indexed=i, force_full_every=force_full_every),
+        "absolute": lambda p, i: scanlines.choose_frames_absolute(p, indexed=i, force_full_every=force_full_every),
+    }[fade_mode]
     if editor:
-        pal, parts = none, [_encoded(px, change.choose_export_frames(px, force_full_every=force_full_every), "color", False)]
+        pal, parts = none, [_encoded(lines, scanlines.choose_frames_lines(lines, force_full_every=force_full_every, editor=True), False)]
+    elif force_rgba:
+        pal, parts = none, [_encoded(lines, choose(lines, False), False)]
     else:
-        px = staged(px)
-        pal = none if force_rgba else staged(palette.build_palette(px))
-        coded = pal.select("file_id").distinct()
-        parts = [(px.join(coded, "file_id", "left_anti"), "color", False)]
-        if not force_rgba:
-            parts.append((palette.to_indices(px, pal), "color_index", True))
-        choose = {
-            "previous": lambda p, c, i: change.choose_frames(_channels(p), c, indexed=i, force_full_every=force_full_every),
-            "absolute": lambda p, c, i: scanlines.choose_frames_absolute(scanlines.lines_of(p), indexed=i, force_full_every=force_full_every),
-        }[fade_mode]
-        parts = [_encoded(p, choose(p, c, i), c, i) for p, c, i in parts]
+        # colours in first-seen order straight from the runs of lines
+        seen = runs.line_runs(lines, UNIT, "y", "rgba").withColumn("pixel_index", F.struct("y", "at"))
+        pal = staged(palette.build_palette(seen))
+        colors = pal.groupBy("file_id").agg(_palette_bytes().alias("colors"))
+        plain, coded = lines.join(colors, "file_id", "left_anti"), lines.join(colors, "file_id")
+        parts = [_encoded(plain, choose(plain, False), False), _encoded(coded, choose(coded, True), True)]
     c, full_data, rect_data = (reduce(DataFrame.unionByName, x) for x in zip(*parts))
     if durations is not None and "duration_num" in durations.columns:
         c = c.join(durations.select(*UNIT, "duration_num", "duration_den"), UNIT, "left")
@@ -88,6 +73,11 @@ def encode_animation(px: DataFrame, sizes: DataFrame, durations: DataFrame | Non
     return media.assemble_files(sizes, pal, media.frame_blobs(c, full_data, rect_data))
 
 
+def _palette_bytes() -> Column:
+    """RGBA of a palette's rows by index."""
+    return F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("color_index", F.lpad(F.hex("color"), 8, "0").alias("t")))), lambda x: x["t"]), ""))
+
+
 def decode_bands(files: DataFrame, band_lines: int = bands.BAND) -> DataFrame:
     """`decode_animation` as bands of lines (file_id, frame_index, band, rgba, shown), for canvases of any size.
 
@@ -98,8 +88,7 @@ def decode_bands(files: DataFrame, band_lines: int = bands.BAND) -> DataFrame:
     state = replay_state(segments(frames.select(*UNIT, "frame_type")).join(media.parse_transforms(frames).select(*UNIT, "transform_flags", "alpha"), UNIT, "left"))
     seg = state.select(*UNIT, "segment", F.col("state_alpha").cast("int").alias("alpha"))
     head = media.parse_headers(files).select(F.col("file_id").cast("string").alias("file_id"), F.col("canvas_width").cast("int").alias("canvas_width"), F.col("canvas_height").cast("int").alias("canvas_height"))
-    hexed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("color_index", F.lpad(F.hex("color"), 8, "0").alias("t")))), lambda x: x["t"]), "")
-    colors = media.explode_palette(files).groupBy("file_id").agg(F.unhex(hexed).alias("colors"))
+    colors = media.explode_palette(files).groupBy("file_id").agg(_palette_bytes().alias("colors"))
     zero = F.lit(0)
     full = frames.filter("frame_type = 1").select(*UNIT, zero.alias("rect_index"), zero.alias("x"), zero.alias("y"), F.col("width").alias("w"), F.col("height").alias("h"), "encoding", "data")
     rects = media.explode_rects(frames).filter("error IS NULL").select(*UNIT, "rect_index", "x", "y", "w", "h", "encoding", "data")
@@ -137,16 +126,17 @@ def decode_folder(spark: SparkSession, path: str, profile: str = "strict") -> tu
     return canvases, bad.select("file_id", "errors").unionByName(unknown).unionByName(broken)
 
 
-def render_project(active: DataFrame, keyframes: DataFrame, rasters: DataFrame, sources: DataFrame, canvas: DataFrame, method: str = "bicubic") -> DataFrame:
-    """Pixels (project_id, frame_index, x, y, r, g, b, a) of projects: placed, scaled, turned and faded layers over one another.
+def render_lines(active: DataFrame, keyframes: DataFrame, rasters: DataFrame, sources: DataFrame, canvas: DataFrame, method: str = "bicubic") -> DataFrame:
+    """Lines (project_id, frame_index, y, rgba) of projects: placed, scaled, turned and faded layers over one another. Blank lines have no row.
 
     `active`: rows of `active_clips`. `keyframes`: project_id, clip_index,
-    frame_index and values. `rasters`: source_id, source_frame_index, x, y, r,
-    g, b, a. `sources`: source_id, canvas_width, canvas_height; with project_id
-    in it the numbers count within each project, and `rasters` has it too.
-    `canvas`: project_id, out_width, out_height. Equal (source frame, scale, rotation) are
-    warped once, as keyframes often hold. Layers are clipped to the canvas;
-    frames without a visible pixel have no row.
+    frame_index and values. `rasters`: source_id, source_frame_index and rgba
+    (a whole image), or x, y, r, g, b, a. `sources`: source_id, canvas_width,
+    canvas_height; with project_id in it the numbers count within each project,
+    and `rasters` has it too. `canvas`: project_id, out_width, out_height.
+    Equal (source frame, scale, rotation) are warped once, whole images within
+    their tasks, as keyframes often hold. Layers are clipped to the canvas and
+    meet line by line.
     """
     key = F.concat_ws("/", "project_id", "clip_index")
     act = active.withColumn("clip_key", key)
@@ -155,33 +145,31 @@ def render_project(active: DataFrame, keyframes: DataFrame, rasters: DataFrame,
     placed = placed.withColumn("deg", F.when(F.abs("rotation_deg") > 1e-6, F.round("rotation_deg", 6)).otherwise(0.0))
     source = source_key(sources)
     form = [*source, "source_frame_index", "new_width", "new_height", "deg"]
-    forms = placed.select(*source, "source_frame_index", F.col("width").alias("new_width"), F.col("height").alias("new_height"), "deg").distinct()
-    px = rasters.join(sources.select(*source, F.col("canvas_width").alias("width"), F.col("canvas_height").alias("height")), source).join(forms, [*source, "source_frame_index"])
-    scaled = _resized(px, source, method)
-    turned = scaled.filter("deg <> 0").withColumns({"width": F.col("new_width"), "height": F.col("new_height")})
-    turned = rotate_rasters(turned.withColumn("_deg", F.col("deg")), form, "_deg", "bicubic" if method == "bicubic" else "nearest")
-    warped = scaled.filter("deg = 0").select(*form, "x", "y", *"rgba").unionByName(turned.select(*form, "x", "y", *"rgba")).filter("a > 0")
-    layer = placed.select("project_id", "frame_index", F.col("clip_index").alias("z"), "source_id", "source_frame_index", F.col("width").alias("new_width"), F.col("height").alias("new_height"), "deg", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("alpha").alias("_opacity"))
-    shown = apply_alpha(warped.join(layer, form), "_opacity").withColumns({"x": F.col("x") + F.col("_x"), "y": F.col("y") + F.col("_y")})
-    inside = shown.join(canvas, "project_id").filter("x >= 0 AND y >= 0 AND x < out_width AND y < out_height")
-    return composite(inside, ["project_id", "frame_index", "x", "y"])
+    placed = staged(placed.withColumnsRenamed({"width": "new_width", "height": "new_height"}))
+    images = rasters if "rgba" in rasters.columns else dense.images_of(rasters, [*source, "source_frame_index"])
+    sized = images.join(sources.select(*source, F.col("canvas_width").alias("width"), F.col("canvas_height").alias("height")), source).join(placed.select(*form).distinct(), [*source, "source_frame_index"])
+    keyed = sized.withColumns({"_form_w": F.col("new_width"), "_form_h": F.col("new_height"), "_form_deg": F.col("deg")})
+    warped = dense.warp_images(keyed, [*source, "source_frame_index", "_form_w", "_form_h", "_form_deg"], method).withColumnsRenamed({"_form_w": "new_width", "_form_h": "new_height", "_form_deg": "deg"})
+    # both sides are written, so that nothing but the join stands behind its exchanges and a popular image can be split there
+    layers = placed.withColumn("z", F.col("clip_index")).join(staged(warped), form).join(canvas.select("project_id", "out_width", "out_height"), "project_id")
+    return dense.fold_lines(dense.layer_lines(layers, ["project_id", "frame_index"]), ["project_id", "frame_index"])
 
 
-def _resized(px: DataFrame, source: list[str], method: str) -> DataFrame:
-    """Both sizes stay as columns beside the filter's own keys."""
-    keyed = px.withColumns({"_nw": F.col("new_width"), "_nh": F.col("new_height")})
-    out = resize_rasters(keyed, [*source, "source_frame_index", "deg", "_nw", "_nh"], method)
-    return out.withColumnsRenamed({"_nw": "new_width", "_nh": "new_height"})
+def render_project(active: DataFrame, keyframes: DataFrame, rasters: DataFrame, sources: DataFrame, canvas: DataFrame, method: str = "bicubic") -> DataFrame:
+    """`render_lines` as visible pixels (project_id, frame_index, x, y, r, g, b, a). Frames without a visible pixel have no row."""
+    lines = render_lines(active, keyframes, rasters, sources, canvas, method).withColumnRenamed("y", "_line").withColumn("_wide", F.lit(1 << 30))
+    px = dense.pixels_of(lines, ["project_id", "frame_index", "_line"], "_wide").filter("a > 0")
+    return px.select("project_id", "frame_index", "x", F.col("_line").alias("y"), *"rgba")
 
 
 def export_project(rendered: DataFrame, canvas: DataFrame, extent: DataFrame, fps_num: int, fps_den: int, force_full_every: int = 0) -> DataFrame:
-    """Animation files of rendered projects: every timeline frame, also empty ones, with the constant duration fps_den / fps_num, kept as a fraction."""
-    c = canvas.join(extent, "project_id").withColumn("frame_index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1)))
-    grid = c.withColumn("pixel_index", F.explode(F.sequence(F.lit(0), F.col("out_width") * F.col("out_height") - 1)))
-    grid = grid.select("project_id", "frame_index", "pixel_index", F.pmod("pixel_index", "out_width").alias("x"), F.floor(F.col("pixel_index") / F.col("out_width")).cast("int").alias("y"))
-    px = grid.join(rendered, ["project_id", "frame_index", "x", "y"], "left")
-    value = sum((F.coalesce(F.col(n), F.lit(0)).cast("long") * m for n, m in (("r", 1 << 24), ("g", 1 << 16), ("b", 1 << 8), ("a", 1))), F.lit(0).cast("long"))
-    px = px.select(F.col("project_id").cast("string").alias("file_id"), "frame_index", "pixel_index", "x", "y", value.alias("color"))
+    """Animation files of rendered projects (lines, or visible pixels): every timeline frame, also empty ones, with the constant duration fps_den / fps_num, kept as a fraction. A blank line is one row, blank pixels are none."""
+    if "rgba" not in rendered.columns:
+        rendered = scanlines.sparse_lines(rendered, canvas, ["project_id", "frame_index"])
+    c = canvas.join(extent, "project_id").filter("total_frames > 0").withColumn("frame_index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1)))
+    grid = c.select("project_id", "frame_index", "out_width", F.explode(F.sequence(F.lit(0), F.col("out_height") - 1)).alias("y"))
+    blank = F.unhex(F.repeat(F.lit("00000000"), F.col("out_width")))
+    lines = grid.join(rendered, ["project_id", "frame_index", "y"], "left").select(F.col("project_id").cast("string").alias("file_id"), "frame_index", "y", F.coalesce("rgba", blank).alias("rgba"))
     sizes = canvas.select(F.col("project_id").cast("string").alias("file_id"), F.lit(1).alias("flags"), F.col("out_width").alias("canvas_width"), F.col("out_height").alias("canvas_height"), F.lit(fps_num).alias("fps_num"), F.lit(fps_den).alias("fps_den"))
-    times = px.select("file_id", "frame_index").distinct().withColumns({"duration_num": F.lit(fps_den), "duration_den": F.lit(fps_num)})
-    return encode_animation(px, sizes, times, force_full_every=force_full_every)
+    times = c.select(F.col("project_id").cast("string").alias("file_id"), "frame_index", F.lit(fps_den).alias("duration_num"), F.lit(fps_num).alias("duration_den"))
+    return encode_animation(lines, sizes, times, force_full_every=force_full_every)

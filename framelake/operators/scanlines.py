@@ -297,3 +297,61 @@ def choose_frames_absolute(lines: DataFrame, *, indexed: bool = False, force_ful
             yield table(out)
 
     return dealt.mapInArrow(run, schema)
+
+
+def sparse_lines(pixels: DataFrame, widths: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines (keys, y, rgba) of pixels (keys, x, y, r, g, b, a) of which some are missing, which stand for transparent ones; `widths`: the first key and out_width. Lines without any pixel have no row."""
+    cell = F.concat(*(F.lpad(F.hex(F.col(c).cast("long")), 2, "0") for c in "rgba"))
+    held = pixels.groupBy(*keys, "y").agg(F.map_from_entries(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), cell.alias("t")))).alias("_m")).join(widths.select(keys[0], "out_width"), keys[0])
+    return held.select(*keys, "y", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.col("out_width") - 1), lambda x: F.coalesce(F.try_element_at("_m", x), F.lit("00000000"))), "")).alias("rgba"))
+
+
+def packed(image: bytes, colors: bytes | None = None) -> tuple[bytes, int]:
+    """Data and encoding of a unit's RGBA bytes: tokens (1; of indices 3) if strictly smaller than raw (0; 2). `colors`: the palette, RGBA by index."""
+    v = np.frombuffer(image, dtype=np.uint32)
+    if colors is not None:
+        table = np.frombuffer(colors, dtype=np.uint32)
+        order = np.argsort(table, kind="stable")
+        v = order[np.searchsorted(table[order], v)].astype(np.uint8)
+    start = np.flatnonzero(np.append(len(v) > 0, v[1:] != v[:-1])) if len(v) else np.zeros(0, dtype=np.int64)
+    n = np.diff(np.append(start, len(v)))
+    k = -(-n // CAP)
+    width = v.itemsize
+    if (2 + width) * int(k.sum()) >= width * len(v):
+        return v.tobytes(), 0 if colors is None else 2
+    value = np.repeat(v[start], k)
+    length = np.full(len(value), CAP, dtype="<u2")
+    length[np.cumsum(k) - 1] = n - (k - 1) * CAP
+    tokens = np.concatenate([length[:, None].view(np.uint8), value[:, None].view(np.uint8)], axis=1)
+    return tokens.tobytes(), 1 if colors is None else 3
+
+
+def unit_data(lines: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
+    """`data` and `encoding` of each frame of `lines` (file_id, frame_index, y, rgba; with `colors`, the file's palette, as indices), or of its box (x, y, w, h). A frame's lines stream by in order; its data is one value of the file format."""
+    if boxes is not None:
+        b = boxes.select(*KEYS, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("w").alias("_w"), F.col("h").alias("_h"))
+        lines = lines.join(checked_broadcast(b), KEYS).filter("y >= _y AND y < _y + _h").withColumn("rgba", F.substring("rgba", F.col("_x") * 4 + 1, F.col("_w") * 4))
+    colors = F.col("colors") if "colors" in lines.columns else F.lit(None).cast("binary")
+    dealt = lines.select(*KEYS, "y", "rgba", colors.alias("colors")).repartition(*KEYS).sortWithinPartitions(*KEYS, "y")
+    schema = T.StructType([*(lines.schema[c] for c in KEYS), *T._parse_datatype_string("data binary, encoding int").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds, unit, held, table, out = to_arrow_schema(schema), None, [], None, []
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), kinds)], schema.names)
+        for b in batches:
+            for file, frame, _, rgba, colors_ in zip(*(c.to_pylist() for c in b.columns)):
+                if (file, frame) != unit:
+                    if held:
+                        out.append((*unit, *packed(b"".join(held), table)))
+                    unit, held, table = (file, frame), [], colors_
+                held.append(rgba)
+            if out:
+                yield flush()
+                out = []
+        if held:
+            out.append((*unit, *packed(b"".join(held), table)))
+            yield flush()
+
+    return dealt.mapInArrow(run, schema)

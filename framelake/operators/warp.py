@@ -47,10 +47,14 @@ def resize_rasters(px: DataFrame, keys: list[str], method: str = "nearest") -> D
     if method == "nearest":
         out = px.join(tx.drop("weight"), ["width", "new_width", "x"]).join(ty.drop("weight"), ["height", "new_height", "y"])
         return out.select(*keys, F.col("_x").alias("x"), F.col("_y").alias("y"), *"rgba")
-    wide = px.join(tx, ["width", "new_width", "x"]).groupBy(*keys, "height", "new_height", "y", "_x").agg(*(F.sum(F.col(c) * F.col("weight")).alias(c) for c in "rgba"))
-    out = wide.join(ty, ["height", "new_height", "y"]).groupBy(*keys, "_x", "_y").agg(*(F.sum(F.col(c) * F.col("weight")).alias(c) for c in "rgba"))
-    level = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.bround(F.round(F.col(c), 6), 0).cast("int"))).alias(c)
-    return out.select(*keys, F.col("_x").alias("x"), F.col("_y").alias("y"), *(level(c) for c in "rgba"))
+    # colours count by their alpha, so that what a transparent pixel hides doesn't show at edges
+    weighted = px.withColumns({c: F.col(c) * F.col("a") for c in "rgb"})
+    sums = lambda: (F.sum(F.col(c) * F.col("weight")).alias(c) for c in "rgba")
+    wide = weighted.join(tx, ["width", "new_width", "x"]).groupBy(*keys, "height", "new_height", "y", "_x").agg(*sums())
+    out = wide.join(ty, ["height", "new_height", "y"]).groupBy(*keys, "_x", "_y").agg(*sums())
+    level = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.bround(F.round(c, 6), 0).cast("int")))
+    seen = F.round("a", 6) > 0
+    return out.select(*keys, F.col("_x").alias("x"), F.col("_y").alias("y"), *(level(F.when(seen, F.col(c) / F.col("a")).otherwise(0.0)).alias(c) for c in "rgb"), level(F.col("a")).alias("a"))
 
 
 def rotate_rasters(px: DataFrame, keys: list[str], deg: str = "deg", method: str = "nearest") -> DataFrame:

@@ -58,15 +58,34 @@ def fades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.withColumn("color", rgba()).drop("level")
 
 
-def _lines(f: DataFrame, alpha) -> DataFrame:
-    """Lines at rest (file_id, frame_index, y, rgba), eight pixels a line, straight from the vectors."""
+def _falling(level: Column) -> Column:
+    return F.when(level == 1, 0).otherwise(240 - 60 * (F.col("frame_index") % 4))
+
+
+def _images(f: DataFrame, alpha) -> DataFrame:
+    """The pixels of each frame in hex, straight from the vectors."""
     parts = lambda level: (level * 40, level * 30, level * 20, alpha(level))
     cell = lambda v: F.concat(*(F.lpad(F.hex(c.cast("long")), 2, "0") for c in parts(_level(v))))
-    hexed = f.select("file_id", "frame_index", F.array_join(F.transform("embedding", cell), "").alias("_h"))
+    return f.select("file_id", "frame_index", F.array_join(F.transform("embedding", cell), "").alias("_h"))
+
+
+def _lines(f: DataFrame, alpha) -> DataFrame:
+    """Lines at rest (file_id, frame_index, y, rgba), eight pixels a line."""
+    hexed = _images(f, alpha)
     lines = hexed.select("file_id", "frame_index", "_h", F.explode(F.sequence(F.lit(0), F.floor((F.length("_h") - 1) / 64).cast("int"))).alias("y"))
     return lines.select("file_id", "frame_index", "y", F.unhex(F.substring("_h", F.col("y") * 64 + 1, F.lit(64))).alias("rgba"))
 
 
+def raster_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`rasters` as whole images (file_id, frame_index, rgba)."""
+    return _images(frames(spark, sf_dir), lambda level: F.lit(255)).select("file_id", "frame_index", F.unhex("_h").alias("rgba"))
+
+
+def fade_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`fades` as whole images."""
+    return _images(held_frames(spark, sf_dir), _falling).select("file_id", "frame_index", F.unhex("_h").alias("rgba"))
+
+
 def raster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`rasters` as lines."""
     return _lines(frames(spark, sf_dir), lambda level: F.lit(255))
@@ -74,7 +93,7 @@ def raster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`fades` as lines."""
-    return _lines(held_frames(spark, sf_dir), lambda level: F.when(level == 1, 0).otherwise(240 - 60 * (F.col("frame_index") % 4)))
+    return _lines(held_frames(spark, sf_dir), _falling)
 
 
 def frame_log(spark: SparkSession, sf_dir: str) -> DataFrame:
