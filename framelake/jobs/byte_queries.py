@@ -93,6 +93,23 @@ CODED_FRAMES = _CODED + """ SELECT canvas.file_id::VARCHAR AS file_id, canvas.fr
  md5(string_agg(printf('%08X', color - color % 256 + (color % 256) * alpha // 255), '' ORDER BY pixel_index)) AS shown_md5 FROM canvas JOIN state USING (file_id, frame_index) GROUP BY canvas.file_id, canvas.frame_index"""
 
 
+def file_parts(spark, d):
+    """Blobs of files put together in parts of 2,000 bytes, which joined again are the files."""
+    files = coded_files(spark, d)
+    frames, pal = media.walk_chunks(files, "frame"), media.explode_palette(files)
+    heads = media.parse_headers(files).select("file_id", F.col("flags").bitwiseAND(1).alias("flags"), "canvas_width", "canvas_height", "fps_num", "fps_den")
+    blobs = frames.select("file_id", F.col("position").alias("frame_index"), F.col("body").alias("blob"))
+    parts = media.assemble_parts(heads, pal, blobs, 2_000)
+    cells = F.array_sort(F.collect_list(F.struct("part", "offset", F.hex("content").alias("t"))))
+    whole = parts.groupBy("file_id").agg(F.array_join(F.transform(cells, lambda c: c["t"]), "").alias("h"))
+    same = whole.join(files.select(F.col("file_id").cast("string").alias("file_id"), "content"), "file_id")
+    n = frames.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_frames"))
+    return same.join(n, "file_id").select("file_id", "n_frames", (F.col("h") == F.hex("content")).alias("equal"))
+
+
+FILE_PARTS = V.with_views("px") + " SELECT file_id::VARCHAR AS file_id, count(*) AS n_frames, true AS equal FROM px WHERE pixel_index = 0 GROUP BY file_id"
+
+
 def banded_frames(spark, d):
     """The same files replayed in bands of three lines each."""
     out = render.decode_animation(coded_files(spark, d), band_lines=3)
@@ -238,5 +255,5 @@ def export_project(spark, d):
     return render.decode_animation(staged(files)).select("file_id", "frame_index", F.md5(F.hex("rgba")).alias("canvas_md5"))
 
 
-QUERIES = {f.__name__: f for f in (parse_headers, replay_dense, coded_frames, banded_frames, absolute_fades, coded_encodings, inspect_files, check_payloads, decode_still, project_round_trip, render_project, render_nearest, export_project)}
+QUERIES = {f.__name__: f for f in (parse_headers, replay_dense, coded_frames, file_parts, banded_frames, absolute_fades, coded_encodings, inspect_files, check_payloads, decode_still, project_round_trip, render_project, render_nearest, export_project)}
 ORACLE_SQL = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}

@@ -5,7 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -217,24 +217,66 @@ def frame_blobs(choice: DataFrame, full_data: DataFrame, rect_data: DataFrame) -
     return c.select(*keys, F.unhex(F.concat(head, "_p")).alias("blob"))
 
 
+def _palette_block(palette: DataFrame) -> DataFrame:
+    """The palette block of each file (`b`, hex)."""
+    p = palette.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("color_index", F.lpad(F.hex("color"), 8, "0").alias("t")))), lambda x: x["t"]), "").alias("c"))
+    return p.select("file_id", F.concat(F.hex(F.lit("PLTE").cast("binary")), pack((F.col("n") * 4 + 16, 4), (F.col("n"), 4), (F.lit(0), 4)), F.col("c")).alias("b"))
+
+
+def _file_head(frame_bytes: Column) -> Column:
+    """The header of a file in hex, from its row, its palette block `b` and the bytes of its frames."""
+    blocks = F.length("b") / 2
+    flags = F.col("flags").bitwiseOR(F.when(F.length("b") > 0, 2).otherwise(0))
+    return F.concat(F.hex(F.lit(ANIMATION).cast("binary")), pack((F.lit(2), 1), (F.lit(0), 1), (F.lit(HEADER), 1), (flags, 1), (F.col("canvas_width"), 4), (F.col("canvas_height"), 4), (F.col("frame_count"), 4), (F.col("fps_num"), 4), (F.col("fps_den"), 4), (blocks, 4), (F.lit(HEADER) + blocks, 4), (F.lit(HEADER) + blocks + frame_bytes, 4), (F.lit(0), 4), (F.lit(0), 4)))
+
+
 def assemble_files(headers: DataFrame, palette: DataFrame, blobs: DataFrame) -> DataFrame:
     """Whole animation files: header, palette block, frames in order. Only encoded bytes move; frame tables stay the main sink.
 
-    `headers`: file_id, flags, canvas_width, canvas_height, fps_num, fps_den.
+    `headers`: file_id, flags, canvas_width, canvas_height, fps_num, fps_den. A
+    file is one value here, of 1 GB at most; `assemble_parts` has no such limit.
     """
-    p = palette.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("color_index", F.lpad(F.hex("color"), 8, "0").alias("t")))), lambda x: x["t"]), "").alias("c"))
-    block = F.concat(F.hex(F.lit("PLTE").cast("binary")), pack((F.col("n") * 4 + 16, 4), (F.col("n"), 4), (F.lit(0), 4)), F.col("c"))
     f = blobs.groupBy("file_id").agg(F.count(F.lit(1)).alias("frame_count"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("frame_index", F.hex("blob").alias("t")))), lambda x: x["t"]), "").alias("f"))
-    a = headers.join(f, "file_id").join(p, "file_id", "left").withColumn("b", F.coalesce(block, F.lit("")))
-    blocks = F.length("b") / 2
-    flags = F.col("flags").bitwiseOR(F.when(F.length("b") > 0, 2).otherwise(0))
-    head = F.concat(F.hex(F.lit(ANIMATION).cast("binary")), pack((F.lit(2), 1), (F.lit(0), 1), (F.lit(HEADER), 1), (flags, 1), (F.col("canvas_width"), 4), (F.col("canvas_height"), 4), (F.col("frame_count"), 4), (F.col("fps_num"), 4), (F.col("fps_den"), 4), (blocks, 4), (F.lit(HEADER) + blocks, 4), (F.lit(HEADER) + blocks + F.length("f") / 2, 4), (F.lit(0), 4), (F.lit(0), 4)))
-    return a.select("file_id", F.unhex(F.concat(head, "b", "f")).alias("content"))
+    a = headers.join(f, "file_id").join(_palette_block(palette), "file_id", "left").withColumn("b", F.coalesce("b", F.lit("")))
+    return a.select("file_id", F.unhex(F.concat(_file_head(F.length("f") / 2), "b", "f")).alias("content"))
+
+
+#: Bytes from which the next frame of a file starts another part.
+PART_BYTES = 64 << 20
 
 
-def write_frame_tables(df: DataFrame, path: str) -> None:
-    """Frame rows laid out for replay: a file's rows together, in frame order."""
-    df.repartition("file_id").sortWithinPartitions("file_id", "frame_index").write.mode("overwrite").parquet(path)
+def assemble_parts(headers: DataFrame, palette: DataFrame, blobs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The same files in parts: `part` (ascending), `offset` of its first byte, `content`; put together in order they are the file.
+
+    Places come from running sums over the lengths of frames, which alone are
+    dealt by file; a part's bytes meet by (file, part). Header and palette are
+    part 0, so are the first frames. The format's own sizes have 32 bits.
+    """
+    w = Window.partitionBy("file_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, -1)
+    length = blobs.select("file_id", "frame_index", F.octet_length("blob").cast("long").alias("n"))
+    placed = length.withColumn("at", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    total = length.groupBy("file_id").agg(F.count(F.lit(1)).alias("frame_count"), F.sum("n").alias("f"))
+    head = headers.join(total, "file_id").join(_palette_block(palette), "file_id", "left").withColumn("b", F.coalesce("b", F.lit("")))
+    head = head.select("file_id", F.unhex(F.concat(_file_head(F.col("f")), "b")).alias("blob"))
+    lead = head.select("file_id", F.octet_length("blob").cast("long").alias("lead"))
+    pieces = blobs.select("file_id", "frame_index", "blob").join(placed, ["file_id", "frame_index"]).join(lead, "file_id")
+    pieces = pieces.select("file_id", F.floor((F.col("at") + F.col("lead")) / part_bytes).alias("part"), (F.col("at") + F.col("lead")).alias("offset"), "blob")
+    pieces = pieces.unionByName(head.select("file_id", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("offset"), "blob"))
+    cells = F.array_sort(F.collect_list(F.struct("offset", F.hex("blob").alias("t"))))
+    return pieces.groupBy("file_id", "part").agg(F.min("offset").alias("offset"), F.unhex(F.array_join(F.transform(cells, lambda x: x["t"]), "")).alias("content"))
+
+
+def write_frame_tables(df: DataFrame, path: str, table: str | None = None, buckets: int = 64) -> None:
+    """Frame rows laid out for replay: a file's rows together, in frame order.
+
+    With `table`, the folder is registered as a table of `buckets` buckets by
+    file, which Spark remembers: windows and joins by file over
+    `spark.table(table)` don't shuffle any more.
+    """
+    if table is None:
+        df.repartition("file_id").sortWithinPartitions("file_id", "frame_index").write.mode("overwrite").parquet(path)
+    else:
+        df.repartition(buckets, "file_id").write.mode("overwrite").bucketBy(buckets, "file_id").sortBy("file_id", "frame_index").option("path", path).saveAsTable(table)
 
 
 _KEYFRAME = "frame_index int, x double, y double, scale_x double, scale_y double, rotation_deg double, alpha int"

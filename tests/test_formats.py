@@ -224,3 +224,34 @@ def test_same_for_any_partitioning(spark, sf, n):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert got == sorted(map(tuple, QUERIES["frame_choice"](spark, sf).collect()), key=str)
+
+
+def test_frame_tables_remember_their_files(spark, tmp_path):
+    """Segments and line changes over a bucketed table need no shuffle."""
+    from framelake.operators.change import diff_scanlines
+    from framelake.operators.replay import segments
+
+    df = spark.range(200).selectExpr("CAST(id % 7 AS STRING) AS file_id", "CAST(id DIV 7 AS INT) AS frame_index", "IF(id % 5 = 0, 1, 2) AS frame_type", "0 AS y", "unhex(lpad(hex(id DIV 14), 8, '0')) AS rgba")
+    media.write_frame_tables(df, f"{tmp_path}/t", table="frame_rows", buckets=4)
+    try:
+        held = spark.table("frame_rows")
+        for make in (segments, diff_scanlines):
+            out = make(held)
+            assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(str, out.collect())) == sorted(map(str, make(df).collect())) and out.count() > 50
+    finally:
+        spark.sql("DROP TABLE frame_rows")
+
+
+@pytest.mark.parametrize("size", [60, 100, 1 << 20])
+def test_parts_are_the_file(spark, size):
+    headers = spark.createDataFrame([("f", 1, 4, 3, 10, 1), ("g", 0, 4, 3, 10, 1)], "file_id string, flags int, canvas_width int, canvas_height int, fps_num int, fps_den int")
+    palette = spark.createDataFrame([("f", 0, 255), ("f", 1, 7)], "file_id string, color_index int, color long")
+    blobs = spark.createDataFrame([(f, k, bytes([k]) * (10 + 13 * (k % 4))) for f in "fg" for k in range(9)], "file_id string, frame_index int, blob binary").repartition(3)
+    whole = {r.file_id: bytes(r.content) for r in media.assemble_files(headers, palette, blobs).collect()}
+    got, place = {}, {}
+    for r in media.assemble_parts(headers, palette, blobs, size).orderBy("file_id", "part").collect():
+        assert r.offset == len(got.get(r.file_id, b""))
+        got[r.file_id] = got.get(r.file_id, b"") + bytes(r.content)
+        place[r.file_id] = place.get(r.file_id, 0) + 1
+    assert got == whole and len(whole) == 2 and (size > 1_000 or min(place.values()) > 1)
