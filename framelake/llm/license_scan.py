@@ -28,6 +28,7 @@ SPELLINGS = [
 _COPYRIGHT = r"(^|\n)[ \t/*#;-]*(copyright[ \t]*(copyright|[0-9]{4}|by )|all rights reserved)[^\n]*"
 _SIGNS = r"[^a-z0-9\n\x{80}-\x{10FFFF}]+"
 
+#: Public licence texts and notices, word for word.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -61,6 +62,7 @@ _FORMS = ["{}", "Released under the {}", "Released under {}", "Licensed under th
 
 
 #: The third condition of BSD-3-Clause.
+#: Fixed value: a clause of public licences, word for word.
 _NO_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 _END = "END OF TERMS AND CONDITIONS"
 
