@@ -17,6 +17,7 @@ import hashlib
 import hmac
 import ipaddress
 import re
+from functools import lru_cache
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,6 +153,15 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     return new if attempt < FULL or kind == "ip" else _widened(kind, value, new, hmac.new(key, f"{kind}|{attempt}|longer".encode(), hashlib.sha256).digest(), attempt - FULL + 1)
 
 
+@lru_cache(maxsize=256)
+def _turn(given: str, key: bytes) -> tuple[int, ...]:
+    """A keyed permutation of a list of given names that leaves none in its place: each takes the place after its own in a keyed order."""
+    n = len(GIVEN[given])
+    place = [permute(i, n, key, given.encode()) for i in range(n)]
+    at = {p: i for i, p in enumerate(place)}
+    return tuple(at[(p + 1) % n] for p in place)
+
+
 def _permuted(kind: str, value: str, key: bytes, attempt: int) -> str:
     key = hmac.new(key, f"{kind}|{attempt}".encode(), hashlib.sha256).digest()
     if kind == "ip":
@@ -183,8 +193,7 @@ def _permuted(kind: str, value: str, key: bytes, attempt: int) -> str:
         words = []
         for w in value.split(" "):
             if (at := _LIST_OF.get(w.lower())) is not None:
-                names = GIVEN[at[0]]
-                words.append(names[permute(at[1], len(names), key, at[0].encode())])
+                words.append(GIVEN[at[0]][_turn(at[0], key)[at[1]]])
             else:  # the ending shows the gender in many languages, so it stays
                 new = _format_permute(w[:-1], key, f"name{w[-1:]}{len(w)}") + w[-1:]
                 words.append(new if new.lower() not in _LIST_OF else _format_permute(new[:-1], key, f"name{w[-1:]}{len(w)}") + w[-1:])
@@ -245,20 +254,33 @@ def detect(text: str) -> Iterator[tuple[int, int, str, str]]:
         yield m.start(), m.start() + len(value), kind, value
 
 
+_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str, int | None]]:
-    """What `detect` finds, and every other mention of a name found by its title: the whole of it, or the last of two words. The fifth field is the word that a mention is of its name."""
+    """What `detect` finds, and every other mention of a name found by its title: the whole of it, or any one of its words. The fifth field is the number of the word that a mention is of its name. Linear in the text, however many names it has."""
     found = [(*x, None) for x in detect(text)]
-    names = {v for _, _, kind, v, _ in found if kind == "name"}
-    forms = {v: (v, None) for v in names}
-    for v in sorted(names):
-        if v.count(" ") == 1:
-            forms.setdefault(v.split(" ")[1], (v, 1))
+    names = sorted({v for _, _, kind, v, _ in found if kind == "name"})
+    forms: dict[str, tuple[str, int | None]] = {v: (v, None) for v in names}
+    for v in names:
+        words = v.split(" ")
+        for k in range(len(words) - 1, -1, -1) if len(words) > 1 else ():
+            forms.setdefault(words[k], (v, k))
     if not forms:
         return found
-    again, spans = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(forms, key=len, reverse=True))) + r")(?!\w)"), []
+    longest, spans = max(v.count(" ") for v in names) + 1, []
     for (_, a, *_), (b, *_) in zip([(0, 0), *found], [*found, (len(text),)]):
-        spans += [(m.start(), m.end(), "name", *forms[m.group()]) for m in again.finditer(text, a, b) if m.end() <= b]
-    return sorted([*found, *spans])
+        words, k = [m.span() for m in _WORD.finditer(text, a, b)], 0
+        while k < len(words):
+            start, step = words[k][0], 1
+            for n in range(min(longest, len(words) - k), 0, -1):
+                end = words[k + n - 1][1]
+                if (at := forms.get(text[start:end])) is not None:
+                    spans.append((start, end, "name", *at))
+                    step = n
+                    break
+            k += step
+    return sorted([*found, *spans], key=lambda x: x[:2])
 
 
 #: Every entity has a digit, an at sign or one of these in its line.
@@ -359,7 +381,7 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFra
             new = cache.get((kind, name))
             if new is None:
                 new = cache[kind, name] = surrogate(kind, name, key, attempts.get((kind, name), 0))
-            new = laid_over(kind, value, new) if word is None else new.split(" ")[-1]
+            new = laid_over(kind, value, new) if word is None else new.split(" ")[word]
             out += [t[done:a], new]
             length += a - done
             spans.append({"type": kind, "start": length, "length": len(new)})

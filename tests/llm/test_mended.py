@@ -1,5 +1,6 @@
 """Repeated rows in sharding and in the classifier's sample; large benchmarks."""
 
+import itertools
 import random
 import re
 import time
@@ -10,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import tiktoken
 
-from framelake.llm import bpe, decontamination, sharding, toxicity
+from framelake.llm import bpe, decontamination, pii, sharding, toxicity
 
 
 def test_copies_are_shuffled_like_other_rows(spark):
@@ -116,3 +117,30 @@ def test_very_long_words_by_stretches(monkeypatch):
     monkeypatch.undo()
     ids, n = codec.contract([b"a" * 3_000_000])
     assert codec.expand(ids, n) == [b"a" * 3_000_000] and len(set(ids.tolist())) == 1
+
+
+def _replaced(text):
+    out, done = [], 0
+    for a, b, kind, value, word in pii.mentions(text):
+        new = pii.surrogate(kind, pii.canonical(kind, value), b"k")
+        out += [text[done:a], pii.laid_over(kind, value, new) if word is None else new.split(" ")[word]]
+        done = b
+    return "".join([*out, text[done:]])
+
+
+def test_every_word_of_a_name_is_replaced_alike():
+    got = _replaced("Dr. Anna Maria Huber came. Huber left. Anna too, with Maria. Hubertus stayed.")
+    first, second, last = got.removeprefix("Dr. ").split(" came")[0].split(" ")
+    assert got == f"Dr. {first} {second} {last} came. {last} left. {first} too, with {second}. Hubertus stayed."
+    assert not {first, second, last} & {"Anna", "Maria", "Huber"}
+    for given, names in pii.GIVEN.items():
+        for key in (b"a" * 32, b"b" * 32):
+            turned = pii._turn(given, key)
+            assert sorted(turned) == list(range(len(names))) and all(i != j for i, j in enumerate(turned))
+
+
+def test_mentions_are_linear():
+    names = ["N" + "".join(c) for c in itertools.islice(itertools.product("abcdefghij", repeat=5), 16_000)]
+    began = time.time()
+    found = pii.mentions("".join(f"Mr. {n.capitalize()} Xy{n.lower()} said so to {n.capitalize()}. " for n in names))
+    assert len(found) == 32_000 and time.time() - began < 5
