@@ -302,11 +302,11 @@ def parse_projects(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
 
 
 def write_projects(projects: DataFrame, sources: DataFrame, clips: DataFrame, keyframes: DataFrame) -> DataFrame:
-    """Project files (project_id, content): header and one JSON block."""
+    """Project files (project_id, content): header and one JSON block. Sources stand in the order of a column `position`, if there is one, else by id; of repeated ids the first counts when read."""
     ordered = lambda df, keys, order, fields, name: df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, F.struct(*fields).alias("v")))), lambda x: x["v"]).alias(name))
     k = ordered(keyframes, ["project_id", "clip_index"], "frame_index", ["frame_index", "x", "y", "scale_x", "scale_y", "rotation_deg", "alpha"], "keyframes")
     c = ordered(clips.join(k, ["project_id", "clip_index"], "left"), ["project_id"], "clip_index", ["clip_id", "source_id", "timeline_start_frame", "source_start_frame", "frame_count", "name", "keyframes"], "clips")
-    s = ordered(sources, ["project_id"], "source_id", ["source_id", "path"], "sources")
+    s = ordered(sources, ["project_id"], "position" if "position" in sources.columns else "source_id", ["source_id", "path"], "sources")
     p = projects.join(s, "project_id", "left").join(c, "project_id", "left")
     body = F.hex(F.to_json(F.struct("out_width", "out_height", "loop", "preview_fps_num", "preview_fps_den", "sources", "clips")).cast("binary"))
     p = p.withColumn("_b", F.concat(F.hex(F.lit("JSON").cast("binary")), pack((F.length(body) / 2 + 8, 4)), body))
