@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import project as P
-from ..operators import runs, timeaxis, validate
+from ..operators import runs, scanlines, timeaxis, validate
 from ..sources import media
 from ..sources import views as V
 from ..sources.stage import staged
@@ -129,6 +129,50 @@ def absolute_fades(spark, d):
 ABSOLUTE_FADES = V.with_views("fades") + " SELECT file_id::VARCHAR AS file_id, frame_index, md5(string_agg(printf('%08X', color), '' ORDER BY pixel_index)) AS shown_md5 FROM fades GROUP BY file_id, frame_index"
 
 
+def transformed_files(spark, d):
+    """Every fifth fade as a FULL frame; the four after it move, scale, turn and fade it by TRANSFORM frames that set some of the six fields each."""
+    lines = staged(V.fade_lines(spark, d).withColumn("file_id", F.col("file_id").cast("string")))
+    i, one = F.col("frame_index"), 65536
+    pick = lambda values, k: F.element_at(F.array(*(F.lit(v) for v in values)), (k + 1).cast("int"))
+    data = scanlines.unit_data(lines.filter("frame_index % 5 = 0"))
+    c = lines.select("file_id", "frame_index").distinct().withColumns({
+        "frame_type": F.when(i % 5 == 0, 1).otherwise(3), "duration_num": F.lit(1), "duration_den": F.lit(10), "width": F.lit(8), "height": F.lit(8), **{n: F.lit(None).cast("int") for n in "xywh"},
+        "transform_flags": i * 29 % 64, "pos_x": (i % 7 - 3) * one + 20_000, "pos_y": (i % 4 - 1) * one - one // 2, "alpha": i * 37 % 256,
+        "scale_x": pick((one // 2, one, one * 3 // 2, one // 2, 0), i % 5), "scale_y": pick((one, one * 3 // 2, one // 2), i % 3), "rotation_deg": (i % 12 * 30 - 60) * one,
+    })
+    c = c.join(data.select("file_id", "frame_index", "encoding"), ["file_id", "frame_index"], "left")
+    none = c.select("file_id", F.lit(0).alias("color_index"), F.lit(0).cast("long").alias("color")).filter("false")
+    return staged(media.assemble_files(_sizes(c), none, media.frame_blobs(c, data, data.filter("false"))))
+
+
+def shown_frames(spark, d):
+    """Those files as a player shows them: canvases under all six transform fields."""
+    out = render.show_animation(transformed_files(spark, d))
+    return out.select("file_id", "frame_index", "width", "height", F.md5(F.hex("rgba")).alias("shown_md5"))
+
+
+_STATE = ", ".join(f"coalesce(last_value(CASE WHEN frame_index % 5 <> 0 AND f & {bit} <> 0 THEN {n} END IGNORE NULLS) OVER w, {default}) AS {n}" for n, bit, default in (("px", 1, 0), ("py", 2, 0), ("alpha", 4, 255), ("sx", 8, 65536), ("sy", 16, 65536), ("turn", 32, 0)))
+SHOWN_FRAMES = V.with_views("fades") + f""",
+sent AS (SELECT file_id, frame_index, frame_index * 29 % 64 AS f, (frame_index % 7 - 3) * 65536 + 20000 AS px, (frame_index % 4 - 1) * 65536 - 32768 AS py, frame_index * 37 % 256 AS alpha,
+  [32768, 65536, 98304, 32768, 0][frame_index % 5 + 1] AS sx, [65536, 98304, 32768][frame_index % 3 + 1] AS sy, (frame_index % 12 * 30 - 60) * 65536 AS turn FROM fades WHERE pixel_index = 0),
+state AS (SELECT file_id, frame_index, {_STATE} FROM sent WINDOW w AS (PARTITION BY file_id, frame_index // 5 ORDER BY frame_index)),
+placed AS (SELECT file_id, frame_index, alpha, sx > 0 AND sy > 0 AS seen, greatest(1, CAST(round_even(8 * sx / 65536.0::DOUBLE, 0) AS INTEGER)) AS nw, greatest(1, CAST(round_even(8 * sy / 65536.0::DOUBLE, 0) AS INTEGER)) AS nh,
+  CAST(round_even(px / 65536.0::DOUBLE, 0) AS INTEGER) AS ox, CAST(round_even(py / 65536.0::DOUBLE, 0) AS INTEGER) AS oy, turn / 65536.0::DOUBLE AS deg, round(cos(radians(deg)), 9) AS c, round(sin(radians(deg)), 9) AS s FROM state),
+grown AS (SELECT *, CASE WHEN deg = 0 THEN nw ELSE ceil(round(abs(nw * c) + abs(nh * s), 6)) END AS tw, CASE WHEN deg = 0 THEN nh ELSE ceil(round(abs(nw * s) + abs(nh * c), 6)) END AS th FROM placed),
+spots AS (SELECT grown.*, wx, wy, wx - ox + 0.5::DOUBLE - tw / 2 AS u, wy - oy + 0.5::DOUBLE - th / 2 AS v FROM grown, (SELECT unnest(range(0, 8)) AS wx), (SELECT unnest(range(0, 8)) AS wy)),
+back AS (SELECT *, floor(CASE WHEN deg = 0 THEN wx - ox ELSE round(u * c + v * s + nw / 2.0::DOUBLE, 6) END) AS qx, floor(CASE WHEN deg = 0 THEN wy - oy ELSE round(-u * s + v * c + nh / 2.0::DOUBLE, 6) END) AS qy FROM spots
+  WHERE seen AND wx - ox BETWEEN 0 AND tw - 1 AND wy - oy BETWEEN 0 AND th - 1),
+-- area means when shrinking, straight lines when growing
+weight AS (SELECT n, dst, src, CASE WHEN n < 8 THEN least((dst + 1) * 8 / n::DOUBLE, src + 1) - greatest(dst * 8 / n::DOUBLE, src) ELSE 1 - abs(src + 0.5 - (dst + 0.5) * 8 / n::DOUBLE) END AS w
+  FROM (SELECT unnest([4, 8, 12]) AS n) a, (SELECT unnest(range(0, 12)) AS dst) b, (SELECT unnest(range(0, 8)) AS src) c WHERE dst < n),
+tap AS (SELECT n, dst, src, w / sum(w) OVER (PARTITION BY n, dst) AS w FROM weight WHERE w > 1e-12),
+mixed AS (SELECT back.file_id, back.frame_index, wx, wy, nw = 8 AND nh = 8 AS plain, sum(r * a * tx.w * ty.w) AS zr, sum(g * a * tx.w * ty.w) AS zg, sum(b * a * tx.w * ty.w) AS zb, sum(a * tx.w * ty.w) AS za, max(r) AS r, max(g) AS g, max(b) AS b
+  FROM back JOIN tap tx ON tx.n = nw AND tx.dst = qx JOIN tap ty ON ty.n = nh AND ty.dst = qy JOIN fades p ON p.file_id = back.file_id AND p.frame_index = back.frame_index // 5 * 5 AND p.x = tx.src AND p.y = ty.src GROUP BY ALL)
+SELECT file_id::VARCHAR AS file_id, frame_index, 8 AS width, 8 AS height, md5(string_agg(printf('%02X%02X%02X%02X', cr, cg, cb, ca * alpha // 255), '' ORDER BY wy, wx)) AS shown_md5 FROM (
+ SELECT spots.file_id, spots.frame_index, wx, wy, alpha, {", ".join(f"CASE WHEN plain THEN {c} WHEN round(za, 6) > 0 THEN CAST(round_even(round(z{c} / za, 6), 0) AS INTEGER) ELSE 0 END AS c{c}" for c in "rgb")}, coalesce(CAST(round_even(round(za, 6), 0) AS INTEGER), 0) AS ca
+ FROM spots LEFT JOIN mixed USING (file_id, frame_index, wx, wy)) GROUP BY ALL"""
+
+
 def coded_encodings(spark, d):
     """Type and encoding of each frame of those files, and its palette's size."""
     files = coded_files(spark, d)
@@ -255,5 +299,5 @@ def export_project(spark, d):
     return render.decode_animation(staged(files)).select("file_id", "frame_index", F.md5(F.hex("rgba")).alias("canvas_md5"))
 
 
-QUERIES = {f.__name__: f for f in (parse_headers, replay_dense, coded_frames, file_parts, banded_frames, absolute_fades, coded_encodings, inspect_files, check_payloads, decode_still, project_round_trip, render_project, render_nearest, export_project)}
+QUERIES = {f.__name__: f for f in (parse_headers, replay_dense, coded_frames, file_parts, banded_frames, absolute_fades, shown_frames, coded_encodings, inspect_files, check_payloads, decode_still, project_round_trip, render_project, render_nearest, export_project)}
 ORACLE_SQL = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import duration_fraction
-from ..operators import bands, dense, palette, runs, scanlines, validate
+from ..operators import bands, dense, palette, present, runs, scanlines, validate
 from ..operators.project import interpolate_keyframes, place_layers, source_key
 from ..operators.replay import replay_state, segments
 from ..sources import media
@@ -78,23 +78,25 @@ def _palette_bytes() -> Column:
     return F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("color_index", F.lpad(F.hex("color"), 8, "0").alias("t")))), lambda x: x["t"]), ""))
 
 
-def decode_bands(files: DataFrame, band_lines: int = bands.BAND) -> DataFrame:
+def decode_bands(files: DataFrame, band_lines: int = bands.BAND, carry: tuple[str, ...] = ()) -> DataFrame:
     """`decode_animation` as bands of lines (file_id, frame_index, band, rgba, shown), for canvases of any size.
 
     Segments are found from keys and types alone; data stays packed until the
-    task that replays it.
+    task that replays it. `carry` names columns of the transform state
+    (`state_pos_x` and so on), `canvas_width` or `canvas_height` to come along.
     """
     frames = staged(media.explode_frames(files))
-    state = replay_state(segments(frames.select(*UNIT, "frame_type")).join(media.parse_transforms(frames).select(*UNIT, "transform_flags", "alpha"), UNIT, "left"))
-    seg = state.select(*UNIT, "segment", F.col("state_alpha").cast("int").alias("alpha"))
+    state = replay_state(segments(frames.select(*UNIT, "frame_type")).join(media.parse_transforms(frames), UNIT, "left"))
+    fields = [c for c in carry if c in state.columns]
+    seg = state.select(*UNIT, "segment", F.col("state_alpha").cast("int").alias("alpha"), *fields)
     head = media.parse_headers(files).select(F.col("file_id").cast("string").alias("file_id"), F.col("canvas_width").cast("int").alias("canvas_width"), F.col("canvas_height").cast("int").alias("canvas_height"))
     colors = media.explode_palette(files).groupBy("file_id").agg(_palette_bytes().alias("colors"))
     zero = F.lit(0)
     full = frames.filter("frame_type = 1").select(*UNIT, zero.alias("rect_index"), zero.alias("x"), zero.alias("y"), F.col("width").alias("w"), F.col("height").alias("h"), "encoding", "data")
     rects = media.explode_rects(frames).filter("error IS NULL").select(*UNIT, "rect_index", "x", "y", "w", "h", "encoding", "data")
-    writes = full.unionByName(rects).join(seg.drop("alpha"), UNIT).join(colors, "file_id", "left")
+    writes = full.unionByName(rects).join(seg.drop("alpha", *fields), UNIT).join(colors, "file_id", "left")
     writes = writes.withColumn("colors", F.when(F.col("encoding") >= 2, F.col("colors")))
-    return bands.replay_bands(writes, seg.join(head, "file_id"), band_lines)
+    return bands.replay_bands(writes, seg.join(head, "file_id"), band_lines, carry)
 
 
 def decode_animation(files: DataFrame, band_lines: int = bands.BAND) -> DataFrame:
@@ -108,6 +110,20 @@ def decode_animation(files: DataFrame, band_lines: int = bands.BAND) -> DataFram
     return out.drop("band") if tallest <= band_lines else bands.join_bands(out)
 
 
+def show_animation(files: DataFrame, method: str = "smooth", turn_method: str = "nearest", background: tuple[int, int, int] | None = None, band_lines: int = bands.BAND) -> DataFrame:
+    """What a player shows of whole files: images (file_id, frame_index, width, height, rgba) of the canvas' size, the canvas under all six transform fields (`present`), over `background` if one is given.
+
+    The state comes along with the replayed canvases, so that showing them is
+    one more step of the same task and moves nothing.
+    """
+    carry = (*present.STATE, "canvas_width", "canvas_height")
+    tallest = media.parse_headers(files).agg(F.max("canvas_height")).first()[0] or 0
+    out = decode_bands(files, band_lines, carry)
+    if tallest > band_lines:
+        out = bands.join_bands(out, carry)
+    return present.present_frames(out.withColumnsRenamed({"canvas_width": "width", "canvas_height": "height"}), UNIT, method, turn_method, background)
+
+
 def decode_folder(spark: SparkSession, path: str, profile: str = "strict") -> tuple[DataFrame, DataFrame]:
     """Canvases of the sound animation files of a folder, and the quarantine (file_id, errors): files with a broken header, chain of frames or payload."""
     files = media.read_media(spark, path)

@@ -81,31 +81,34 @@ def cut_to_bands(writes: DataFrame, band_lines: int = BAND) -> DataFrame:
     return writes.filter("data IS NOT NULL AND w > 0 AND h > 0").select(*names).mapInArrow(run, schema)
 
 
-def replay_bands(writes: DataFrame, frames: DataFrame, band_lines: int = BAND) -> DataFrame:
+def replay_bands(writes: DataFrame, frames: DataFrame, band_lines: int = BAND, carry: tuple[str, ...] = ()) -> DataFrame:
     """H3: each band of the canvas (file_id, frame_index, band, rgba raw, shown under the frame's alpha) at every frame.
 
     `frames`: file_id, segment, frame_index, alpha, canvas_width,
     canvas_height, all frames. `writes`: file_id, segment, frame_index,
     rect_index, x, y, w, h, encoding, data (packed), colors (the palette, RGBA
-    by index, or null). A task holds one band of one canvas and streams what is
-    written to it in order, so neither a segment's length nor a canvas' height
-    counts; one shuffle, of packed bytes, by (file, segment, band).
+    by index, or null). Columns of `frames` named in `carry` come along. A task
+    holds one band of one canvas and streams what is written to it in order, so
+    neither a segment's length nor a canvas' height counts; one shuffle, of
+    packed bytes, by (file, segment, band).
     """
-    size = frames.select("file_id", "segment", "frame_index", "alpha", "canvas_width", "canvas_height")
+    own = list(dict.fromkeys(["alpha", "canvas_width", "canvas_height", *carry]))
+    size = frames.select("file_id", "segment", "frame_index", *own)
     last = F.floor((F.col("canvas_height") - 1) / band_lines).cast("int")
     every = size.filter("canvas_height > 0").withColumn("band", F.explode(F.sequence(F.lit(0), last)))
     heights = size.select("file_id", "canvas_height").distinct()
     cut = cut_to_bands(writes.join(heights, "file_id"), band_lines)
     rows = every.unionByName(cut.drop("canvas_height"), allowMissingColumns=True)
     order = ["frame_index", F.col("rect_index").asc_nulls_first()]  # a frame's own row comes before what it writes
-    columns = [*_KEYS, "frame_index", "rect_index", "alpha", "canvas_width", "canvas_height", *"xywh", "encoding", "data", "colors"]
+    columns = [*_KEYS, "frame_index", "rect_index", *own, *"xywh", "encoding", "data", "colors"]
     # a number of partitions that adaptive planning leaves as it is: packed bytes don't tell how much work they hold
     n = int(writes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select(*columns).repartition(n, *_KEYS).sortWithinPartitions(*_KEYS, *order)
-    schema = T.StructType([frames.schema["file_id"], *T._parse_datatype_string("frame_index int, band int, rgba binary, shown binary").fields])
+    schema = T.StructType([frames.schema["file_id"], *T._parse_datatype_string("frame_index int, band int, rgba binary, shown binary").fields, *(frames.schema[c] for c in carry)])
     kinds = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = []
         key = frame = canvas = None
         alpha, out = 255, []
 
@@ -116,7 +119,7 @@ def replay_bands(writes: DataFrame, frames: DataFrame, band_lines: int = BAND) -
                 faded = canvas.copy().view(np.uint8).reshape(*canvas.shape, 4)
                 faded[:, :, 3] = faded[:, :, 3].astype(np.int64) * alpha // 255
                 shown = faded.tobytes()
-            out.append((key[0], frame, key[2], plain, shown))
+            out.append((key[0], frame, key[2], plain, shown, *carried))
 
         def table() -> pa.RecordBatch:
             rows_ = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), kinds)], schema.names)
@@ -133,7 +136,7 @@ def replay_bands(writes: DataFrame, frames: DataFrame, band_lines: int = BAND) -
                             yield table()
                     if at != key:
                         key, canvas = at, np.zeros((min(band_lines, row["canvas_height"] - row["band"] * band_lines), row["canvas_width"]), dtype=np.uint32)
-                    frame, alpha = row["frame_index"], row["alpha"]
+                    frame, alpha, carried = row["frame_index"], row["alpha"], [row[c] for c in carry]  # of the frame's own row, which comes first
                 if row["data"] is not None:
                     x, w, h, y = row["x"], row["w"], row["h"], row["y"] - row["band"] * band_lines
                     canvas[y : y + h, x : x + w] = open_data(row["data"], row["encoding"], row["colors"])[: w * h].reshape(h, w)[:, : canvas.shape[1] - x]
@@ -145,17 +148,17 @@ def replay_bands(writes: DataFrame, frames: DataFrame, band_lines: int = BAND) -
     return dealt.mapInArrow(run, schema)
 
 
-def join_bands(bands: DataFrame) -> DataFrame:
-    """Whole canvases (file_id, frame_index, rgba, shown) from their bands. A canvas is one value here, so of 2 GB at most; the bands themselves have no such limit."""
+def join_bands(bands: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Whole canvases (file_id, frame_index, rgba, shown, and what the bands carry) from their bands. A canvas is one value here, so of 2 GB at most; the bands themselves have no such limit."""
     cells = F.array_sort(F.collect_list(F.struct("band", "rgba", "shown")))
-    whole = bands.groupBy("file_id", "frame_index").agg(cells.alias("_c"))
-    schema = T.StructType([bands.schema["file_id"], bands.schema["frame_index"], T.StructField("rgba", T.BinaryType()), T.StructField("shown", T.BinaryType())])
+    whole = bands.groupBy("file_id", "frame_index").agg(cells.alias("_c"), *(F.first(c).alias(c) for c in carry))
+    schema = T.StructType([bands.schema["file_id"], bands.schema["frame_index"], T.StructField("rgba", T.BinaryType()), T.StructField("shown", T.BinaryType()), *(bands.schema[c] for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 one = b.slice(k, 1)
                 c = one.column(2).to_pylist()[0]
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), *(pa.array([b"".join(x[n] for x in c)], pa.binary()) for n in ("rgba", "shown"))], schema.names)
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), *(pa.array([b"".join(x[n] for x in c)], pa.binary()) for n in ("rgba", "shown")), *one.columns[3:]], schema.names)
 
     return whole.mapInArrow(run, schema)

@@ -28,11 +28,14 @@ def images_of(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 @lru_cache(maxsize=256)
-def axis_taps(old: int, new: int, method: str) -> tuple[np.ndarray, np.ndarray]:
-    """The band of the matrix that makes `new` places of `old` ones: source places and weights (new, taps); weights of a place sum to one."""
-    center = (np.arange(new) + 0.5) * old / new
+def axis_taps(old: int, new: int, method: str, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The band of the matrix that makes `new` places of `old` ones, for the places first .. last - 1: source places and weights (places, taps); weights of a place sum to one."""
+    places = np.arange(first, new if last is None else last)
+    center = (places + 0.5) * old / new
     if method == "nearest":
-        return np.minimum(old - 1, np.floor(center)).astype(np.int64)[:, None], np.ones((new, 1))
+        return np.minimum(old - 1, np.floor(center)).astype(np.int64)[:, None], np.ones((len(places), 1))
+    if method == "smooth":
+        return _smooth_taps(old, new, places)
     reach, scale = {"bicubic": 2.0, "lanczos": 3.0}[method], max(1.0, old / new)  # a filter grows when shrinking
     width = int(np.ceil(2 * reach * scale)) + 2
     at = np.floor(center - reach * scale).astype(np.int64)[:, None] + np.arange(width)
@@ -46,6 +49,19 @@ def axis_taps(old: int, new: int, method: str) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(at, 0, old - 1), w / w.sum(axis=1, keepdims=True)
 
 
+def _smooth_taps(old: int, new: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shrinking takes the mean of the area that a place covers, growing goes straight from one source place to the next."""
+    if new < old:
+        low, high = (places * old / new)[:, None], ((places + 1) * old / new)[:, None]
+        at = np.floor(low).astype(np.int64) + np.arange(int(np.ceil(old / new)) + 1)
+        w = np.clip(np.minimum(high, at + 1) - np.maximum(low, at), 0, None)
+    else:
+        at = np.floor((places + 0.5) * old / new - 0.5).astype(np.int64)[:, None] + np.arange(2)
+        w = 1 - np.abs(at + 0.5 - ((places + 0.5) * old / new)[:, None])
+    w = np.where((at < 0) | (at >= old), 0.0, w)
+    return np.clip(at, 0, old - 1), w / w.sum(axis=1, keepdims=True)
+
+
 def _along(image: np.ndarray, taps: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first axis of an image made anew, a tap of all places at a time."""
     at, w = taps
@@ -69,38 +85,55 @@ def _weighted(image: np.ndarray) -> np.ndarray:
     return out
 
 
-def resized(image: np.ndarray, width: int, height: int, method: str) -> np.ndarray:
-    """An image (height, width, 4) at another size. Colours are weighted by their alpha, but for `nearest`, which takes pixels as they are."""
-    tx, ty = axis_taps(image.shape[1], width, method), axis_taps(image.shape[0], height, method)
+def resized(image: np.ndarray, width: int, height: int, method: str, part: tuple[int, int, int, int] | None = None) -> np.ndarray:
+    """An image (height, width, 4) at another size, or the `part` (left, top, right, bottom) of the result. Colours are weighted by their alpha, but for `nearest`, which takes pixels as they are."""
+    left, top, right, bottom = part or (0, 0, width, height)
+    tx, ty = axis_taps(image.shape[1], width, method, left, right), axis_taps(image.shape[0], height, method, top, bottom)
     if method == "nearest":
         return image[ty[0][:, 0]][:, tx[0][:, 0]]
     wide = _along(_weighted(image).transpose(1, 0, 2), tx).transpose(1, 0, 2)
     return _levels(_along(wide, ty))
 
 
-def turned(image: np.ndarray, deg: float, method: str) -> np.ndarray:
-    """An image turned by -deg degrees onto a canvas that holds all of it, transparent outside: each place is mapped back, to one pixel or to 4 x 4 (a = -1), those of the edge counted again beyond it."""
-    h, w = image.shape[:2]
+def _turn(width: int, height: int, deg: float) -> tuple[float, float, int, int]:
+    """Cosine and sine of a turn, and the size of the canvas that holds all of the turned image."""
     c, s = round(float(np.cos(np.radians(deg))), 9), round(float(np.sin(np.radians(deg))), 9)
-    tw, th = (int(np.ceil(round(x, 6))) for x in (abs(w * c) + abs(h * s), abs(w * s) + abs(h * c)))
-    dx, dy = np.arange(tw)[None, :] + 0.5 - tw / 2, np.arange(th)[:, None] + 0.5 - th / 2
-    px, py = np.round(dx * c + dy * s + w / 2, 6), np.round(-dx * s + dy * c + h / 2, 6)
+    return c, s, *(int(np.ceil(round(x, 6))) for x in (abs(width * c) + abs(height * s), abs(width * s) + abs(height * c)))
+
+
+def _mapped_back(width: int, height: int, deg: float, part: tuple[int, int, int, int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where the places of a turned image, or of a part of it, come from."""
+    c, s, tw, th = _turn(width, height, deg)
+    left, top, right, bottom = part or (0, 0, tw, th)
+    dx, dy = np.arange(left, right)[None, :] + 0.5 - tw / 2, np.arange(top, bottom)[:, None] + 0.5 - th / 2
+    return np.round(dx * c + dy * s + width / 2, 6), np.round(-dx * s + dy * c + height / 2, 6)
+
+
+def turned(image: np.ndarray, deg: float, method: str, part: tuple[int, int, int, int] | None = None, size: tuple[int, int] | None = None, at: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """An image turned by -deg degrees onto a canvas that holds all of it, transparent outside: each place is mapped back, to one pixel or to 4 x 4 (a = -1), those of the edge counted again beyond it.
+
+    `part` asks for a part of the result; `image` may then be that piece of an
+    image of `size` (width, height), from `at` (x, y) on, which the part needs.
+    """
+    w, h = size or (image.shape[1], image.shape[0])
+    px, py = _mapped_back(w, h, deg, part)
     inside = (px >= 0) & (py >= 0) & (px < w) & (py < h)
+    piece = lambda places, k: np.clip(places - at[k], 0, image.shape[1 - k] - 1).astype(np.int64)
     if method == "nearest":
-        x, y = (np.clip(np.floor(p).astype(np.int64), 0, n - 1) for p, n in ((px, w), (py, h)))
+        x, y = (piece(np.floor(p), k) for k, p in enumerate((px, py)))
         return np.where(inside[..., None], image[y, x], 0).astype(np.uint8)
-    source, out = _weighted(image), np.zeros((th, tw, 4))
+    source, out = _weighted(image), np.zeros((*px.shape, 4))
 
-    def taps(p: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def taps(p: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         low = np.floor(p - 0.5)
         found = []
-        for k in range(-1, 3):
-            t = np.abs(np.round(p - 0.5 - low - k, 6))
-            found.append((np.clip(low + k, 0, n - 1).astype(np.int64), np.where(t < 1, (t - 2) * t * t + 1, np.where(t < 2, ((5 - t) * t - 8) * t + 4, 0.0))))
+        for j in range(-1, 3):
+            t = np.abs(np.round(p - 0.5 - low - j, 6))
+            found.append((piece(np.clip(low + j, 0, (w, h)[k] - 1), k), np.where(t < 1, (t - 2) * t * t + 1, np.where(t < 2, ((5 - t) * t - 8) * t + 4, 0.0))))
         return found
 
-    for y, wy in taps(py, h):
-        for x, wx in taps(px, w):
+    for y, wy in taps(py, 1):
+        for x, wx in taps(px, 0):
             out += source[y, x] * (wx * wy)[..., None]
     return np.where(inside[..., None], _levels(out), 0).astype(np.uint8)
 
@@ -123,7 +156,8 @@ def warp_images(images: DataFrame, keys: list[str], method: str = "bicubic", tur
     """H4: images (keys, width, height, new_width, new_height, deg, rgba) scaled, then turned by -deg: keys, `width`, `height`, `rgba` of the result.
 
     One row in, one row out, within its task. `deg` may be missing (no turn).
-    Methods: nearest, bicubic, lanczos; turns know nearest and bicubic, and take
+    Methods: nearest, bicubic, lanczos, smooth (area means when shrinking, linear
+    when growing); turns know nearest and bicubic, and take
     bicubic unless the method is nearest.
     """
     turn_method = turn_method or ("nearest" if method == "nearest" else "bicubic")

@@ -204,14 +204,18 @@ def frame_blobs(choice: DataFrame, full_data: DataFrame, rect_data: DataFrame) -
     """Bytes of each frame (`blob`) from the choice of its type.
 
     `choice`: file_id, frame_index, frame_type, duration_num, duration_den, alpha, x, y, w, h, encoding, width, height;
-    `full_data`, `rect_data`: the frame's own bytes and those of its box.
+    `full_data`, `rect_data`: the frame's own bytes and those of its box. TRANSFORM
+    frames set what `transform_flags` says, with pos_x, pos_y, scale_x, scale_y
+    and rotation_deg in 16.16; a choice without `transform_flags` sets alpha alone.
     """
     keys = ["file_id", "frame_index"]
     c = choice.join(full_data.select(*keys, F.hex("data").alias("_f")), keys, "left").join(rect_data.select(*keys, F.hex("data").alias("_r")), keys, "left")
     size = lambda h: F.length(h) / 2
     full = F.concat(pack((F.col("encoding"), 2), (F.lit(0), 2), (F.col("width"), 4), (F.col("height"), 4), (size("_f"), 4)), F.col("_f"))
     delta = F.when(F.col("w").isNull(), pack((F.col("encoding"), 2), (F.lit(0), 2))).otherwise(F.concat(pack((F.col("encoding"), 2), (F.lit(1), 2), (F.col("x"), 4), (F.col("y"), 4), (F.col("w"), 4), (F.col("h"), 4), (size("_r"), 4)), F.col("_r")))
-    turn = pack((F.when(F.col("alpha").isNull(), 0).otherwise(4), 4), (F.lit(0), 4), (F.lit(0), 4), (F.coalesce("alpha", F.lit(255)), 4), (F.lit(65536), 4), (F.lit(65536), 4), (F.lit(0), 4))
+    field = lambda name, default: F.coalesce(name, F.lit(default)) if name in c.columns else F.lit(default)
+    flags = F.coalesce("transform_flags", F.lit(0)) if "transform_flags" in c.columns else F.when(F.col("alpha").isNull(), 0).otherwise(4)
+    turn = pack((flags, 4), *((field(n, default), 4) for n, default in (("pos_x", 0), ("pos_y", 0), ("alpha", 255), ("scale_x", 65536), ("scale_y", 65536), ("rotation_deg", 0))))
     c = c.withColumn("_p", F.when(F.col("frame_type") == 1, full).when(F.col("frame_type") == 2, delta).otherwise(turn))
     head = pack((size("_p") + FRAME, 4), (F.col("frame_type"), 2), (F.lit(0), 2), (F.col("duration_num"), 4), (F.col("duration_den"), 4), (size("_p"), 4), (F.lit(0), 4), (F.lit(0), 4))
     return c.select(*keys, F.unhex(F.concat(head, "_p")).alias("blob"))
