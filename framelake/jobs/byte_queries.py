@@ -10,6 +10,7 @@ from ..sources import media
 from ..sources import views as V
 from ..sources.stage import staged
 from . import render
+from .project_queries import _tap_sql
 from .raster_queries import _FEW, _few
 
 
@@ -287,6 +288,21 @@ shown AS (SELECT *, k + under * (1 - k) AS o FROM met),
 rendered AS (SELECT project_id, frame_index, x, y, """ + ", ".join(f"CAST(round_even(round((coalesce(h{c}, 0) * k + coalesce(l{c}, 0) * (1 - k)) / o, 6), 0) AS INTEGER) AS {c}" for c in "rgb") + """,
   CAST(round_even(round(o * 255, 6), 0) AS INTEGER) AS a FROM shown WHERE o > 0)"""
 RENDER_NEAREST = _RENDERED + " SELECT * FROM rendered WHERE a > 0"
+# the upper layer by sixteen taps of the image that was halved by cubic taps before; all pixels are opaque until then
+_CUBIC = lambda t: f"CASE WHEN {t} < 1 THEN ({t} - 2) * {t} * {t} + 1 WHEN {t} < 2 THEN ((5 - {t}) * {t} - 8) * {t} + 4 ELSE 0 END"
+_LEVEL = lambda c: f"greatest(0, least(255, CAST(round_even(round({c}, 6), 0) AS INTEGER)))"
+RENDER_PROJECT = (
+    _RENDERED[: _RENDERED.index("g AS (SELECT w.*")] + _tap_sql("t4", 4) + f""",
+half AS (SELECT file_id, frame_index, tx.dst AS x, ty.dst AS y, {", ".join(f"{_LEVEL(f'sum({c} * tx.w * ty.w)')} AS {c}" for c in "rgb")} FROM px JOIN t4 tx ON tx.src = px.x JOIN t4 ty ON ty.src = px.y GROUP BY ALL),
+spots AS (SELECT w.*, dx, dy, round((dx + 0.5 - n / 2.0) * c + (dy + 0.5 - n / 2.0) * s + 2, 6) AS mx, round(-(dx + 0.5 - n / 2.0) * s + (dy + 0.5 - n / 2.0) * c + 2, 6) AS my
+  FROM w, (SELECT unnest(range(0, 6)) AS dx), (SELECT unnest(range(0, 6)) AS dy) WHERE dx < n AND dy < n AND mx >= 0 AND mx < 4 AND my >= 0 AND my < 4 AND dx + ox BETWEEN 0 AND 9 AND dy + oy BETWEEN 0 AND 7),
+taps AS (SELECT project_id, i, dx + ox AS x, dy + oy AS y, opacity, greatest(0, least(3, floor(mx - 0.5) + jx)) AS sx, greatest(0, least(3, floor(my - 0.5) + jy)) AS sy, abs(round(mx - 0.5 - floor(mx - 0.5) - jx, 6)) AS tx, abs(round(my - 0.5 - floor(my - 0.5) - jy, 6)) AS ty
+  FROM spots, (SELECT unnest(range(-1, 3)) AS jx), (SELECT unnest(range(-1, 3)) AS jy)),
+weighed AS (SELECT *, ({_CUBIC("tx")}) * ({_CUBIC("ty")}) AS k FROM taps),
+high AS (SELECT project_id, weighed.i + 2 AS frame_index, weighed.x, weighed.y, {", ".join(f"{_LEVEL(f'sum({c} * k) / sum(k)')} AS {c}" for c in "rgb")}, {_LEVEL("sum(255 * k)")} * opacity // 255 AS a
+  FROM weighed JOIN half ON half.file_id = project_id AND half.frame_index = weighed.i AND half.x = sx AND half.y = sy GROUP BY project_id, weighed.i, weighed.x, weighed.y, opacity),
+""" + _RENDERED[_RENDERED.index("met AS (SELECT") :] + " SELECT * FROM rendered WHERE a > 0"
+)
 EXPORT_PROJECT = _RENDERED + """ SELECT e.project_id::VARCHAR AS file_id, f AS frame_index, md5(string_agg(printf('%02X%02X%02X%02X', coalesce(r, 0), coalesce(g, 0), coalesce(b, 0), coalesce(a, 0)), '' ORDER BY py, ptx)) AS canvas_md5
 FROM (SELECT project_id, unnest(range(0, total)) AS f FROM extent) e, (SELECT unnest(range(0, 10)) AS ptx), (SELECT unnest(range(0, 8)) AS py) LEFT JOIN rendered ON rendered.project_id = e.project_id AND rendered.frame_index = f AND rendered.x = ptx AND rendered.y = py GROUP BY e.project_id, f"""
 
