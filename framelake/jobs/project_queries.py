@@ -113,17 +113,14 @@ REJECTED_EDITS = _EDIT + " SELECT project_id, clip_index, error FROM e WHERE err
 
 def clip_listing(spark, d):
     clips, sources = _clips(spark, d)
-    return P.clip_listing(P.resolve_clips(clips, sources)[0], sources)
+    return P.clip_listing(P.resolve_clips(clips, sources, labels=True)[0], sources)
 
 
 CLIP_LISTING = _LOADED + " SELECT project_id, clip_index + 1 AS position, coalesce(nullif(name, ''), path) AS label, start, length FROM loaded"
 
 
 def active_label(spark, d):
-    clips, sources = _clips(spark, d)
-    loaded = P.resolve_clips(clips, sources)[0]
-    labels = P.clip_listing(loaded, sources).select("project_id", (F.col("position") - 1).alias("clip_index"), "label")
-    return P.active_label(P.active_clips(loaded), labels)
+    return P.active_label(P.resolve_clips(*_clips(spark, d), labels=True)[0])
 
 
 ACTIVE_LABEL = _ACTIVE + """, t AS (SELECT act.project_id, act.frame_index, coalesce(nullif(l.name, ''), l.path) || ':' || local_frame_index AS t, row_number() OVER w AS i, count(*) OVER (PARTITION BY act.project_id, act.frame_index) AS n
@@ -282,10 +279,7 @@ loaded AS (SELECT *, greatest(0, coalesce(timeline_start_frame, sum(length) OVER
 
 def local_sources_resolved(spark, d):
     """Clips of projects that number their own sources, with their labels."""
-    clips, sources = _own(spark, d)
-    loaded = P.resolve_clips(clips, sources)[0]
-    names = P.clip_listing(loaded, sources).select("project_id", (F.col("position") - 1).alias("clip_index"), "label")
-    return loaded.select("project_id", "clip_index", "source_id", "start", "length").join(names, ["project_id", "clip_index"])
+    return P.resolve_clips(*_own(spark, d), labels=True)[0].select("project_id", "clip_index", "source_id", "start", "length", "label")
 
 
 LOCAL_SOURCES_RESOLVED = _OWN + " SELECT project_id, clip_index, source_id, start, length, coalesce(nullif(name, ''), regexp_replace(path, '^.*/', '')) AS label FROM loaded"

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 #: Values of a clip without keyframes (fixed values).
@@ -16,21 +23,29 @@ def source_key(sources: DataFrame) -> list[str]:
     return ["project_id", "source_id"] if "project_id" in sources.columns else ["source_id"]
 
 
-def clip_lengths(clips: DataFrame, sources: DataFrame) -> DataFrame:
-    """Frames that each clip of a known source can show: what its source has after its start, or the count asked for if smaller."""
+def _label(path: str) -> Column:
+    """A clip's name, or its source's file name."""
+    return F.coalesce(F.nullif("name", F.lit("")), F.regexp_replace(path, "^.*/", ""))
+
+
+def clip_lengths(clips: DataFrame, sources: DataFrame, labels: bool = False) -> DataFrame:
+    """Frames that each clip of a known source can show: what its source has after its start, or the count asked for if smaller. With `labels` also its `label`, by the same join."""
     available = F.greatest(F.lit(0), F.col("n_frames") - F.col("source_start_frame"))
     length = F.when(F.col("frame_count") <= 0, available).otherwise(F.least(available, F.col("frame_count")))
     key = source_key(sources)
-    return clips.join(sources.select(*key, "n_frames"), key).withColumn("length", length.cast("long")).drop("n_frames")
+    used = sources.select(*key, "n_frames", *([F.col("path").alias("_path")] if labels else []))
+    out = clips.join(used, key).withColumn("length", length.cast("long")).drop("n_frames")
+    return out.withColumn("label", _label("_path")).drop("_path") if labels else out
 
 
-def resolve_clips(clips: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def resolve_clips(clips: DataFrame, sources: DataFrame, labels: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Loaded clips with `start` and `length`; a warning for each clip without a source; projects with nothing to load.
 
     A missing start is the sum of the lengths of all loaded clips before it,
-    also of those with a start of their own.
+    also of those with a start of their own. `labels`: loaded clips also have
+    their `label`.
     """
-    loaded = clip_lengths(clips, sources)
+    loaded = clip_lengths(clips, sources, labels)
     before = Window.partitionBy("project_id").orderBy("clip_index").rowsBetween(Window.unboundedPreceding, -1)
     loaded = loaded.withColumn("start", F.greatest(F.lit(0), F.coalesce(F.col("timeline_start_frame").cast("long"), F.sum("length").over(before), F.lit(0))))
     lost = clips.join(sources.select(*source_key(sources)), source_key(sources), "left_anti").select(*_CLIP, F.col("name").alias("clip_name"), "source_id", F.lit("missing source").alias("reason"))
@@ -128,20 +143,71 @@ def place_layers(active: DataFrame, keyframes_at: DataFrame, sources: DataFrame,
 
 
 def clip_listing(loaded: DataFrame, sources: DataFrame) -> DataFrame:
-    """Position (from 1), label (name, or the source's file name), start and length of each clip."""
-    key = source_key(sources)
-    s = sources.select(*key, F.regexp_replace("path", "^.*/", "").alias("_file"))
-    return loaded.join(s, key).select("project_id", (F.col("clip_index") + 1).alias("position"), F.coalesce(F.nullif("name", F.lit("")), "_file").alias("label"), "start", "length")
-
-
-def active_label(active: DataFrame, labels: DataFrame, n: int = 3) -> DataFrame:
-    """First `n` active clips of each frame as text, and how many more there are. `labels`: project_id, clip_index, label."""
-    a = active.join(labels, _CLIP)
-    w = Window.partitionBy("project_id", "frame_index")
-    a = a.withColumns({"_i": F.row_number().over(w.orderBy("clip_index")), "_n": F.count(F.lit(1)).over(w)}).filter(F.col("_i") <= n)
-    out = a.groupBy("project_id", "frame_index").agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("_i", F.concat("label", F.lit(":"), F.col("local_frame_index").cast("string")).alias("t")))).alias("_t"))
-    text = F.array_join(F.transform("_t", lambda x: x["t"]), ", ")
-    return out.select("project_id", "frame_index", F.when(F.col("_n") > n, F.concat(text, F.lit(" +"), (F.col("_n") - n).cast("string"), F.lit(" more"))).otherwise(text).alias("active"))
+    """Position (from 1), label (name, or the source's file name), start and length of each clip. Clips that have their `label` need no source."""
+    if "label" not in loaded.columns:
+        key = source_key(sources)
+        loaded = loaded.join(sources.select(*key, F.col("path").alias("_path")), key).withColumn("label", _label("_path"))
+    return loaded.select("project_id", (F.col("clip_index") + 1).alias("position"), "label", "start", "length")
+
+
+def active_label(loaded: DataFrame, n: int = 3) -> DataFrame:
+    """First `n` active clips of each frame as text, and how many more there are. `loaded`: clips of `resolve_clips` with their `label`.
+
+    What is active changes only where a clip begins or ends: a project's clips
+    are swept in the order of their starts, and the stretches between make their
+    own frames last of all. One shuffle, of clips, by project; a task holds the
+    clips that are active at one time, and no frame is sorted or moved.
+    """
+    stretches = active_stretches(loaded, n).withColumn("frame_index", F.explode(F.sequence("_from", F.col("_to") - 1)))
+    text = F.concat_ws(", ", *(F.concat(f"_label{k}", F.lit(":"), (F.col("frame_index") - F.col(f"_start{k}")).cast("string")) for k in range(n)))
+    return stretches.select("project_id", "frame_index", F.when(F.col("_n") > n, F.concat(text, F.lit(" +"), (F.col("_n") - n).cast("string"), F.lit(" more"))).otherwise(text).alias("active"))
+
+
+def active_stretches(loaded: DataFrame, n: int) -> DataFrame:
+    """Stretches of frames (project_id, _from .. _to - 1) over which the same `_n` clips are active, with label and start of the first `n` of them (_label0, _start0, ...): two at most for each clip."""
+    first = F.col("start") + F.greatest(F.lit(0), -F.col("source_start_frame"))  # frames before the source's first don't count
+    used = loaded.filter("length > 0 AND project_id IS NOT NULL AND clip_index IS NOT NULL").select("project_id", first.cast("long").alias("_from"), (F.col("start") + F.col("length")).cast("long").alias("_to"), "clip_index", "start", "label")
+    dealt = used.filter("_from < _to").repartition("project_id").sortWithinPartitions("project_id", "_from", "clip_index")
+    schema = T.StructType([loaded.schema["project_id"], *(T.StructField(c, T.LongType()) for c in ("_from", "_to", "_n")), *(T.StructField(f"_{c}{k}", kind) for k in range(n) for c, kind in (("label", T.StringType()), ("start", T.LongType())))])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, at, nth, out = None, 0, 0, []
+        active, ends, known = [], [], {}  # keys in the order of clips, (end, key) by end, label and start of each key
+
+        def stretch(end: int) -> None:
+            nonlocal at
+            if active and end > at:
+                top = [x for key in active[:n] for x in known[key]]
+                out.append((project, at, end, len(active), *top, *[None] * (2 * n - len(top))))
+            at = end
+
+        def until(frame: int | None) -> None:
+            while ends and (frame is None or ends[0][0] <= frame):
+                end, key = heappop(ends)
+                stretch(end)
+                del active[bisect_left(active, key)], known[key]
+
+        for b in batches:
+            for p, start_at, end, clip, start, label in zip(*(c.to_pylist() for c in b.columns)):
+                if p != project:
+                    until(None)
+                    project, at = p, start_at
+                until(start_at)
+                stretch(start_at)
+                nth += 1
+                key = (clip, nth)
+                insort(active, key)
+                heappush(ends, (end, key))
+                known[key] = (label, start)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out), kinds)], schema.names)
+                out.clear()
+        until(None)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out), kinds)], schema.names)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def distinct_warnings(warnings: DataFrame, text: str = "text") -> DataFrame:
