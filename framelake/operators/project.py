@@ -136,8 +136,13 @@ def update_clips(clips: DataFrame, edits: DataFrame, sources: DataFrame) -> tupl
 
 
 def place_layers(active: DataFrame, keyframes_at: DataFrame, sources: DataFrame, key: str = "clip_key") -> DataFrame:
-    """Size, place, rotation and opacity of each active layer: size and place rounded half to even, one pixel at least."""
-    a = active.join(keyframes_at.withColumnRenamed("frame_index", "local_frame_index"), [key, "local_frame_index"]).join(sources, source_key(sources))
+    """Size, place, rotation and opacity of each active layer: size and place rounded half to even, one pixel at least.
+
+    All sides grow with the clips, and Spark guesses frames that clips make to
+    be as few as the clips, so nothing is broadcast by a guess.
+    """
+    at = keyframes_at.withColumnRenamed("frame_index", "local_frame_index")
+    a = active.join(at.hint("merge"), [key, "local_frame_index"]).join(sources.select(*source_key(sources), "canvas_width", "canvas_height").hint("merge"), source_key(sources))
     scaled = lambda w, s: F.greatest(F.lit(1), F.bround(F.col(w) * F.greatest(F.lit(0.001), F.col(s)), 0).cast("int"))
     return a.select("project_id", "frame_index", "clip_index", scaled("canvas_width", "scale_x").alias("width"), scaled("canvas_height", "scale_y").alias("height"), "rotation_deg", F.bround("x", 0).cast("int").alias("x"), F.bround("y", 0).cast("int").alias("y"), "alpha")
 

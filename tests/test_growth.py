@@ -10,6 +10,10 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_layers_are_not_broadcast_by_a_guess(spark, sf):
+    assert "Broadcast" not in _plan(QUERIES["place_layers"](spark, sf))
+
+
 def test_labels_make_frames_last(spark, sf):
     """Nothing is dealt or sorted after frames were made: they stand above all exchanges."""
     plan = _plan(QUERIES["active_label"](spark, sf))
