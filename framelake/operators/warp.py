@@ -62,27 +62,44 @@ def rotate_rasters(px: DataFrame, keys: list[str], deg: str = "deg", method: str
 
     Each destination pixel is mapped back; the destination grid is made from the rasters' sizes, one row for each pixel.
     `nearest` takes the source pixel there, `bicubic` 4 x 4 of them with weights of the cubic kernel (a = -1, as usual
-    for turning); beyond the edge the pixels of the edge count again. Colours are weighted by their alpha too.
+    for turning); beyond the edge the pixels of the edge count again. Colours are weighted by their alpha too. The taps of
+    `bicubic` are worked out once for each size and angle, and one shuffle sums them by destination pixel.
     """
+    shape = ["_w", "_h", "_c", "_s"]
     rad = F.radians(F.col(deg))
-    frames = px.select(*keys, F.col("width").alias("_w"), F.col("height").alias("_h"), F.round(F.cos(rad), 9).alias("_c"), F.round(F.sin(rad), 9).alias("_s")).distinct()
-    frames = frames.withColumns({"_tw": F.ceil(F.round(F.abs(F.col("_w") * F.col("_c")) + F.abs(F.col("_h") * F.col("_s")), 6)).cast("int"), "_th": F.ceil(F.round(F.abs(F.col("_w") * F.col("_s")) + F.abs(F.col("_h") * F.col("_c")), 6)).cast("int")})
-    grid = frames.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("_tw") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("_th") - 1)))
-    dx, dy = F.col("x") + 0.5 - F.col("_tw") / 2.0, F.col("y") + 0.5 - F.col("_th") / 2.0
-    sx, sy = F.round(dx * F.col("_c") + dy * F.col("_s") + F.col("_w") / 2.0, 6), F.round(-dx * F.col("_s") + dy * F.col("_c") + F.col("_h") / 2.0, 6)
-    grid = grid.select(*keys, "x", "y", "_w", "_h", sx.alias("_px"), sy.alias("_py"))
-    src = px.select(*keys, F.col("x").alias("_sx"), F.col("y").alias("_sy"), *"rgba")
+    px = px.withColumns({"_w": F.col("width"), "_h": F.col("height"), "_c": F.round(F.cos(rad), 9), "_s": F.round(F.sin(rad), 9)})
+    frames = px.select(*keys, *shape).distinct()
     if method == "nearest":
-        grid = grid.select(*keys, "x", "y", F.floor("_px").cast("int").alias("_sx"), F.floor("_py").cast("int").alias("_sy"))
-        return grid.join(src, [*keys, "_sx", "_sy"], "left").select(*keys, "x", "y", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgba"))
-    inside = grid.filter("_px >= 0 AND _py >= 0 AND _px < _w AND _py < _h")
+        grid = _mapped_back(frames).select(*keys, "x", "y", F.floor("_px").cast("int").alias("_sx"), F.floor("_py").cast("int").alias("_sy"))
+        src = px.select(*keys, F.col("x").alias("_sx"), F.col("y").alias("_sy"), *"rgba")
+        # Spark guesses a frame's pixels to be as few as the frames, so nothing is broadcast by a guess
+        return grid.join(src.hint("merge"), [*keys, "_sx", "_sy"], "left").select(*keys, "x", "y", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgba"))
+    inside = _mapped_back(frames.select(*shape).distinct()).filter("_px >= 0 AND _py >= 0 AND _px < _w AND _py < _h")
     for p, size, at, weight in (("_px", "_w", "_sx", "_wx"), ("_py", "_h", "_sy", "_wy")):
         low = F.floor(F.col(p) - 0.5)
         inside = inside.withColumn("_k", F.explode(F.array(*map(F.lit, range(-1, 3)))))
         t = F.abs(F.round(F.col(p) - 0.5 - low - F.col("_k"), 6))
         inside = inside.withColumns({weight: F.when(t < 1, (t - 2) * t * t + 1).when(t < 2, ((5 - t) * t - 8) * t + 4).otherwise(0.0), at: F.greatest(F.lit(0), F.least(F.col(size) - 1, low + F.col("_k"))).cast("int")})
-    w = F.col("_wx") * F.col("_wy")
-    sums = inside.filter("_wx <> 0 AND _wy <> 0").join(src, [*keys, "_sx", "_sy"]).groupBy(*keys, "x", "y").agg(F.sum(F.col("a") * w).alias("_a"), *(F.sum(F.col(c) * F.col("a") * w).alias(f"_{c}") for c in "rgb"))
+    taps = checked_broadcast(inside.filter("_wx <> 0 AND _wy <> 0").select(*shape, "_sx", "_sy", F.col("x").alias("_x"), F.col("y").alias("_y"), (F.col("_wx") * F.col("_wy")).alias("_k")), 80)
+    src = px.select(*keys, *shape, F.col("x").alias("_sx"), F.col("y").alias("_sy"), *"rgba").join(taps, [*shape, "_sx", "_sy"])
+    k = F.col("a") * F.col("_k")
+    given = src.select(*keys, F.col("_x").alias("x"), F.col("_y").alias("y"), k.alias("_ka"), *((F.col(c) * k).alias(f"_k{c}") for c in "rgb"))
+    blank = _grid(frames).select(*keys, "x", "y", *(F.lit(0.0).alias(f"_k{c}") for c in "argb"))
+    sums = given.unionByName(blank).groupBy(*keys, "x", "y").agg(*(F.sum(f"_k{c}").alias(f"_k{c}") for c in "rgba"))
     level = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.bround(F.round(F.coalesce(c, F.lit(0.0)), 6), 0).cast("int")))
-    seen = F.round("_a", 6) > 0
-    return grid.select(*keys, "x", "y").join(sums, [*keys, "x", "y"], "left").select(*keys, "x", "y", *(level(F.when(seen, F.col(f"_{c}") / F.col("_a"))).alias(c) for c in "rgb"), level(F.col("_a")).alias("a"))
+    seen = F.round("_ka", 6) > 0
+    return sums.select(*keys, "x", "y", *(level(F.when(seen, F.col(f"_k{c}") / F.col("_ka"))).alias(c) for c in "rgb"), level(F.col("_ka")).alias("a"))
+
+
+def _grid(turned: DataFrame) -> DataFrame:
+    """A row for each place (x, y) of turned rasters (_w, _h, _c, _s)."""
+    wide, high = (F.ceil(F.round(F.abs(F.col("_w") * F.col(a)) + F.abs(F.col("_h") * F.col(b)), 6)).cast("int") for a, b in (("_c", "_s"), ("_s", "_c")))
+    sized = turned.withColumns({"_tw": wide, "_th": high})
+    return sized.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("_tw") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("_th") - 1)))
+
+
+def _mapped_back(turned: DataFrame) -> DataFrame:
+    """The places and where they come from (_px, _py)."""
+    dx, dy = F.col("x") + 0.5 - F.col("_tw") / 2.0, F.col("y") + 0.5 - F.col("_th") / 2.0
+    sx, sy = F.round(dx * F.col("_c") + dy * F.col("_s") + F.col("_w") / 2.0, 6), F.round(-dx * F.col("_s") + dy * F.col("_c") + F.col("_h") / 2.0, 6)
+    return _grid(turned).withColumns({"_px": sx, "_py": sy})

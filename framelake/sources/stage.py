@@ -30,4 +30,4 @@ def staged(df: DataFrame) -> DataFrame:
 def checked_broadcast(df: DataFrame, row_bytes: int = 128) -> DataFrame:
     """`df` written once, and broadcast if its rows, counted, are proven small; else it is joined by its keys."""
     df = staged(df)
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("merge")

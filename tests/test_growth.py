@@ -3,7 +3,7 @@
 import random
 
 from framelake.jobs.queries import QUERIES
-from framelake.operators import project
+from framelake.operators import project, warp
 
 
 def _plan(df):
@@ -32,3 +32,11 @@ def test_labels_of_each_frame(spark):
             if here:
                 want[p, f] = ", ".join(f"{r[5]}:{f - r[2]}" for r in here[:3] if r[5] is not None) + (f" +{len(here) - 3} more" if len(here) > 3 else "")
     assert got == want
+
+
+def test_turned_pixels_are_not_broadcast_by_a_guess(spark):
+    """Of a bicubic turn the counted taps alone are sent to all tasks."""
+    px = spark.range(16).selectExpr("1 AS k", "int(id % 4) AS x", "int(id div 4) AS y", "4 AS width", "4 AS height", "30.0D AS deg", "int(id) AS r", "0 AS g", "0 AS b", "255 AS a")
+    assert "Broadcast" not in _plan(warp.rotate_rasters(px, ["k"]))
+    plan = _plan(warp.rotate_rasters(px, ["k"], method="bicubic"))
+    assert plan.count("BroadcastExchange") == 1 and "staged-" in plan[plan.index("BroadcastExchange") :][:2000]
