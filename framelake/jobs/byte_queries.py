@@ -227,12 +227,12 @@ DECODE_STILL = V.with_views("px") + " SELECT file_id || '/' || frame_index AS fi
 
 def project_round_trip(spark, d):
     """Project files written from clips and keyframes, and read back."""
-    clips = V.clips(spark, d)
+    clips = staged(V.clips(spark, d))
     ids = clips.select("project_id").distinct()
     projects = ids.select("project_id", F.lit(800).alias("out_width"), F.lit(600).alias("out_height"), F.lit(True).alias("loop"), F.lit(25).alias("preview_fps_num"), F.lit(1).alias("preview_fps_den"), F.lit(0).alias("total_frames"))
     sources = clips.select("project_id", "source_id").distinct().withColumn("path", F.concat(F.lit("s"), F.col("source_id").cast("string")))
     keys = clips.filter("clip_index % 2 = 0").select("project_id", "clip_index", F.lit(3).alias("frame_index"), F.lit(1.5).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("scale_x"), F.lit(1.0).alias("scale_y"), F.lit(0.0).alias("rotation_deg"), F.lit(200).alias("alpha"))
-    files = media.write_projects(projects, sources, clips.withColumn("clip_id", F.col("clip_index")), keys)
+    files = staged(media.write_projects(projects, sources, clips.withColumn("clip_id", F.col("clip_index")), keys))
     _, _, back, k = media.parse_projects(files.withColumnRenamed("project_id", "file_id"))
     return back.join(k.select("project_id", "clip_index", F.col("frame_index").alias("key_frame"), "x", "alpha"), ["project_id", "clip_index"]).drop("clip_id")
 

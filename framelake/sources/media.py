@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.binary import i32, pack, text, u32, unsigned
+from .stage import staged
 
 #: Fixed values of the formats: magics and record sizes.
 STILL, ANIMATION, PROJECT = "MII0", "MIGIF", "MIPRJ"
@@ -50,8 +51,14 @@ def parse_transforms(frames: DataFrame) -> DataFrame:
 _CHUNK = "file_id string, kind string, position int, body binary, error string"
 
 
+#: Bytes of chunks that a task hands over at a time.
+WALK_BYTES = 8 << 20
+
+
 def _walk(batches, kind: str):
-    """Chunks of each file in one linear pass, as each offset depends on the sizes before it."""
+    """Chunks of each file in one linear pass, as each offset depends on the sizes before it. Those of many small files are handed over together."""
+    out, held = [], 0
+    table = lambda: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.string()))], names=["file_id", "kind", "position", "body", "error"])
     for b in batches:
         for i, content in zip(b.column("file_id").to_pylist(), b.column("content").to_pylist()):
             rows, error = [], None
@@ -76,9 +83,16 @@ def _walk(batches, kind: str):
                         break
                     rows.append((k, content[at : at + size]))
                     at += size
+            out += [(i, kind, k, x, None) for k, x in rows]
             if error:
-                rows.append((-1, None))
-            yield pa.record_batch([pa.array([i] * len(rows), pa.string()), pa.array([kind] * len(rows), pa.string()), pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary()), pa.array([error if k < 0 else None for k, _ in rows], pa.string())], names=["file_id", "kind", "position", "body", "error"])
+                out.append((i, kind, -1, None, error))
+            held += 200 * (len(rows) + 1) + sum(len(x) for _, x in rows)
+            if held >= WALK_BYTES:
+                if out:
+                    yield table()
+                out, held = [], 0
+    if out:
+        yield table()
 
 
 def walk_chunks(files: DataFrame, kind: str) -> DataFrame:
@@ -288,11 +302,12 @@ _PROJECT = f"out_width int, out_height int, loop boolean, preview_fps_num long,
 
 
 def parse_projects(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Project files as projects, sources, clips and keyframes; missing keys take the header's values or fixed defaults. The last JSON block counts."""
+    """Project files as projects, sources, clips and keyframes; missing keys take the header's values or fixed defaults. The last JSON block counts. Files are read and their JSON is parsed once, whatever of the four is used."""
     heads = parse_headers(files).select(F.col("file_id").cast("string").alias("project_id"), "magic", *(F.col(o).alias(n) for o, n in zip(_FIELDS, ("h_width", "h_height", "total_frames", "h_fps_num", "h_fps_den"))))
     b = walk_chunks(files, "block").filter(text(F.col("body"), 0, 4) == "JSON")
     last = b.groupBy(F.col("file_id").alias("project_id")).agg(F.max_by("body", "position").alias("body"))
-    j = last.select("project_id", F.from_json(F.decode(F.substring("body", 9, 1 << 30), "UTF-8"), _PROJECT).alias("j")).join(heads.filter(F.col("magic") == PROJECT), "project_id")
+    j = last.select("project_id", F.from_json(F.decode(F.substring("body", 9, 1 << 30), "UTF-8"), _PROJECT).alias("j")).join(heads.filter(F.col("magic") == PROJECT).hint("merge"), "project_id")
+    j = staged(j)
     projects = j.select("project_id", F.coalesce("j.out_width", "h_width").cast("int").alias("out_width"), F.coalesce("j.out_height", "h_height").cast("int").alias("out_height"), F.coalesce("j.loop", F.lit(False)).alias("loop"), F.coalesce("j.preview_fps_num", "h_fps_num").alias("preview_fps_num"), F.coalesce("j.preview_fps_den", "h_fps_den").alias("preview_fps_den"), "total_frames")
     s = j.select("project_id", F.posexplode("j.sources").alias("position", "s"))
     first = F.row_number().over(Window.partitionBy("project_id", "s.source_id").orderBy("position"))  # of repeated ids the first counts

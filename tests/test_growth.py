@@ -1,9 +1,13 @@
 """Plans and work of queries that failed on large tables."""
 
 import random
+import struct
+
+import pyarrow as pa
 
 from framelake.jobs.queries import QUERIES
 from framelake.operators import project, warp
+from framelake.sources import media
 
 
 def _plan(df):
@@ -40,3 +44,20 @@ def test_turned_pixels_are_not_broadcast_by_a_guess(spark):
     assert "Broadcast" not in _plan(warp.rotate_rasters(px, ["k"]))
     plan = _plan(warp.rotate_rasters(px, ["k"], method="bicubic"))
     assert plan.count("BroadcastExchange") == 1 and "staged-" in plan[plan.index("BroadcastExchange") :][:2000]
+
+
+def test_projects_are_written_and_parsed_once(spark, sf):
+    """Clips and keyframes read the same parsed table: no file is written or parsed again for either."""
+    plan = _plan(QUERIES["project_round_trip"](spark, sf))
+    assert "from_json" not in plan and "to_json" not in plan and "lineitem" not in plan
+
+
+def test_small_files_share_a_batch():
+    """A batch for each file cost far more than reading it."""
+    block = b"JSON" + struct.pack("<I", 12) + b"abcd"
+    file = struct.pack("<5sBBBB10I", b"MIPRJ", 1, 0, 49, 0, *[0] * 5, len(block), 49 + len(block), 0, 0, 0) + block
+    files = pa.record_batch([pa.array([str(k) for k in range(500)]), pa.array([file] * 499 + [b"MIPRJ"], pa.binary())], names=["file_id", "content"])
+    out = list(media._walk([files, files], "block"))
+    assert len(out) == 1 and out[0].num_rows == 1000
+    assert out[0].slice(0, 1).to_pylist() == [{"file_id": "0", "kind": "block", "position": 0, "body": block, "error": None}]
+    assert out[0].slice(999).to_pylist() == [{"file_id": "499", "kind": "block", "position": -1, "body": None, "error": "too_short"}]
