@@ -102,17 +102,23 @@ def delete_keyframes(keyframes: DataFrame, keys: DataFrame, key: str = "clip_key
 def interpolate_keyframes(keyframes: DataFrame, frames: DataFrame, key: str = "clip_key") -> DataFrame:
     """State of each clip at given frames: held outside the keyframes, linear between them, defaults where a clip has none.
 
-    A two-sided as-of by union and two windows. At a keyframe its own values
-    hold (the earlier interval at its end gives the same). Alpha is rounded
-    half to even.
+    Keyframes are the edges of spans that know both their ends, and a frame
+    takes the last span before it: a union and one window, sorted once. A span
+    without a left end stands before a clip's first keyframe. At a keyframe its
+    own values hold. Alpha is rounded half to even.
     """
     fields = list(DEFAULTS)
-    k = keyframes.select(key, F.col("frame_index").cast("long").alias("frame_index"), F.lit(0).alias("_q"), F.struct(F.col("frame_index").cast("long").alias("f"), *fields).alias("_k"))
-    q = frames.select(key, F.col("frame_index").cast("long").alias("frame_index")).distinct().withColumns({"_q": F.lit(1), "_k": F.lit(None).cast(k.schema["_k"].dataType)})
-    w = Window.partitionBy(key).orderBy("frame_index", "_q")
-    both = k.unionByName(q)
-    after = Window.partitionBy(key).orderBy(F.col("frame_index").desc(), "_q")
-    both = both.withColumns({"_l": F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_r": F.last("_k", ignorenulls=True).over(after.rowsBetween(Window.unboundedPreceding, 0))}).filter("_q = 1")
+    k = keyframes.select(key, F.col("frame_index").cast("long").alias("frame_index"), F.struct(F.col("frame_index").cast("long").alias("f"), *fields).alias("_l")).repartition(key)
+    order = Window.partitionBy(key).orderBy("frame_index")
+    spans = k.withColumns({"_r": F.lead("_l").over(order), "_first": F.row_number().over(order) == 1})
+    none = F.lit(None).cast(k.schema["_l"].dataType)
+    edge = lambda f, left, right: F.struct(f.alias("at"), left.alias("l"), right.alias("r"))
+    edges = F.array(edge(F.col("frame_index"), F.col("_l"), F.col("_r")), edge(F.lit(None).cast("long"), none, F.col("_l")))
+    spans = spans.select(key, F.explode(F.slice(edges, 1, F.when(F.col("_first"), 2).otherwise(1))).alias("_e")).select(key, F.col("_e.at").alias("frame_index"), F.lit(0).alias("_q"), F.struct("_e.l", "_e.r").alias("_s"))
+    q = frames.select(key, F.col("frame_index").cast("long").alias("frame_index")).distinct().withColumns({"_q": F.lit(1), "_s": F.lit(None).cast(spans.schema["_s"].dataType)})
+    w = Window.partitionBy(key).orderBy(F.col("frame_index").asc_nulls_first(), "_q")
+    both = spans.unionByName(q).withColumn("_s", F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_q = 1")
+    both = both.select(key, "frame_index", F.col("_s.l").alias("_l"), F.when(F.col("_s.l.f") == F.col("frame_index"), F.col("_s.l")).otherwise(F.col("_s.r")).alias("_r"))
     span = F.col("_r.f") - F.col("_l.f")
     t = F.when(F.coalesce(span, F.lit(0)) == 0, 0.0).otherwise((F.col("frame_index") - F.col("_l.f")) / span)
     value = lambda c: F.coalesce(F.col(f"_l.{c}") + (F.col(f"_r.{c}") - F.col(f"_l.{c}")) * t, F.col(f"_l.{c}"), F.col(f"_r.{c}"), F.lit(DEFAULTS[c]))

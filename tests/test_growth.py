@@ -61,3 +61,18 @@ def test_small_files_share_a_batch():
     assert len(out) == 1 and out[0].num_rows == 1000
     assert out[0].slice(0, 1).to_pylist() == [{"file_id": "0", "kind": "block", "position": 0, "body": block, "error": None}]
     assert out[0].slice(999).to_pylist() == [{"file_id": "499", "kind": "block", "position": -1, "body": None, "error": "too_short"}]
+
+
+def test_interpolation_sorts_frames_once(spark):
+    """One sort of keyframes and one of keyframes and frames; values as by the two keyframes around each frame."""
+    rng = random.Random(2)
+    keys = {(c, f): float(rng.randint(-9, 9)) for c in range(6) for f in rng.sample(range(40), c)}
+    k = spark.createDataFrame([(c, f, x, x, 1.0, 1.0, 0.0, 100) for (c, f), x in keys.items()], "clip_key long, frame_index int, x double, y double, scale_x double, scale_y double, rotation_deg double, alpha int")
+    out = project.interpolate_keyframes(k, spark.range(6).selectExpr("id AS clip_key", "explode(sequence(0, 40)) AS frame_index"))
+    assert _plan(out).count("Sort [") == 2
+    for r in out.collect():
+        here = sorted(f for c, f in keys if c == r.clip_key)
+        left, right = [f for f in here if f <= r.frame_index][-1:], [f for f in here if f >= r.frame_index][:1]
+        ends = [keys[r.clip_key, f] for f in left + right]
+        t = (r.frame_index - left[0]) / (right[0] - left[0]) if left and right and left != right else 0.0
+        assert r.x == (ends[0] + (ends[-1] - ends[0]) * t if ends else 0.0) and r.alpha == (100 if ends else 255)
