@@ -162,8 +162,13 @@ def text_runs(df: DataFrame, unit: list[str], text: str, value: str = "v", cap:
                     nth = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
                     start, n = np.repeat(start, k) + nth * cap, np.minimum(cap, np.repeat(n, k) - nth * cap)
                 owner = row[start]
-                first = np.searchsorted(owner, owner)
-                known, which = np.unique(code[start], return_inverse=True)
+                each = np.bincount(owner, minlength=len(texts))
+                first = np.repeat(np.cumsum(each) - each, each)
+                which = code[start]
+                known = np.flatnonzero(np.bincount(which))  # counted, not sorted
+                nth = np.zeros(known[-1] + 1 if len(known) else 0, dtype=np.int32)
+                nth[known] = np.arange(len(known))
+                which = nth[which]
                 columns = [c.take(pa.array(owner)) for c in part.columns[: len(unit)]]
                 values = pa.array([chr(c) for c in known.tolist()], pa.string()).take(pa.array(which))
                 yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, (np.arange(len(start)) - first, start - start[first], n)), values], schema.names)
