@@ -67,16 +67,20 @@ def cut_to_bands(writes: DataFrame, band_lines: int = BAND) -> DataFrame:
     kinds = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for b in batches:
             for row in b.to_pylist():
-                out = []
                 bottom = min(row["y"] + row["h"], row["canvas_height"])
                 for band in range(row["y"] // band_lines, (bottom - 1) // band_lines + 1 if bottom > row["y"] else 0):
                     top, end = max(row["y"], band * band_lines), min(bottom, (band + 1) * band_lines)
                     first, last = (top - row["y"]) * row["w"], (end - row["y"]) * row["w"]
                     out.append(row | {"y": top, "h": end - top, "data": cut_data(row["data"], row["encoding"], first, last), "band": band})
-                if out:
+                    held += 2_000 + len(out[-1]["data"])
+                if held >= DENSE_BYTES:
                     yield pa.RecordBatch.from_pylist(out, kinds)
+                    out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, kinds)
 
     return writes.filter("data IS NOT NULL AND w > 0 AND h > 0").select(*names).mapInArrow(run, schema)
 
@@ -132,7 +136,7 @@ def replay_bands(writes: DataFrame, frames: DataFrame, band_lines: int = BAND, c
                 if at != key or row["frame_index"] != frame:
                     if canvas is not None:
                         close()
-                        if len(out) * 8 * canvas.size >= DENSE_BYTES:
+                        if len(out) * (8 * canvas.size + 500) >= DENSE_BYTES:
                             yield table()
                     if at != key:
                         key, canvas = at, np.zeros((min(band_lines, row["canvas_height"] - row["band"] * band_lines), row["canvas_width"]), dtype=np.uint32)
@@ -156,9 +160,10 @@ def join_bands(bands: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                one = b.slice(k, 1)
-                c = one.column(2).to_pylist()[0]
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), *(pa.array([b"".join(x[n] for x in c)], pa.binary()) for n in ("rgba", "shown")), *one.columns[3:]], schema.names)
+            step = max(1, int(b.num_rows * DENSE_BYTES / max(1, b.nbytes)))
+            for k in range(0, b.num_rows, step):
+                part = b.slice(k, step)
+                cells = part.column(2).to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([b"".join(x[n] for x in c) for c in cells], pa.binary()) for n in ("rgba", "shown")), *part.columns[3:]], schema.names)
 
     return whole.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import struct
 import pyarrow as pa
 
 from framelake.jobs.queries import QUERIES
-from framelake.operators import project, warp
+from framelake.operators import bands, project, warp
 from framelake.sources import media
 
 
@@ -76,3 +76,11 @@ def test_interpolation_sorts_frames_once(spark):
         ends = [keys[r.clip_key, f] for f in left + right]
         t = (r.frame_index - left[0]) / (right[0] - left[0]) if left and right and left != right else 0.0
         assert r.x == (ends[0] + (ends[-1] - ends[0]) * t if ends else 0.0) and r.alpha == (100 if ends else 255)
+
+
+def test_small_writes_share_a_batch(spark):
+    """Writes to many small frames leave the cutting together, not in a batch for each."""
+    writes = spark.range(300, numPartitions=1).selectExpr("'f' AS file_id", "0L AS segment", "int(id) AS frame_index", "0 AS rect_index", "0 AS x", "0 AS y", "2 AS w", "2 AS h", "0 AS encoding", "unhex(repeat('0A', 16)) AS data", "2 AS canvas_height")
+    cut = bands.cut_to_bands(writes, 1)
+    sizes = cut.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows], pa.int32())], names=["n"]) for b in batches), "n int").collect()
+    assert [r.n for r in sizes] == [600]
