@@ -144,7 +144,7 @@ def _parts(rows: Iterator[tuple], schema: T.StructType) -> Iterator[pa.RecordBat
     flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), kinds)], schema.names)
     for r in rows:
         out.append(r)
-        size += 100 + sum(len(x) for x in r if isinstance(x, bytes))
+        size += 100 + 40 * len(r) + sum(len(x) for x in r if isinstance(x, bytes))  # the tuple and its numbers, too
         if size >= DENSE_BYTES:
             yield flush()
             out, size = [], 0
