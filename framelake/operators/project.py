@@ -129,16 +129,33 @@ def update_clips(clips: DataFrame, edits: DataFrame, sources: DataFrame) -> tupl
     """Clips after checked edits, and the edits that were turned down with their `error`.
 
     `edits`: project_id, clip_index, new_start, new_source_start, new_count, new_name (null: keep).
+
+    Clips and edits are dealt together, once, and meet in a window; edited clips
+    alone then move to their source, and nothing comes back. Clips without a key
+    have no edit. The dealing is asked for: Spark takes a union of tables dealt
+    alike to be dealt like them, but may merge partitions of each differently.
     """
-    e = edits.join(clips, _CLIP).join(sources.select(*source_key(sources), "n_frames", "path"), source_key(sources), "left")
-    start = F.coalesce("new_source_start", "source_start_frame")
-    count = F.coalesce("new_count", "frame_count")
-    error = F.when(F.col("n_frames").isNull(), "unknown source").when((start < 0) | (start >= F.col("n_frames")), "source start out of range").when(count < 0, "negative count").when(count > F.col("n_frames") - start, "count beyond source")
-    checked = e.select(*_CLIP, error.alias("error"), F.greatest(F.lit(0), F.coalesce("new_start", "timeline_start_frame", F.lit(0))).alias("_s"), start.alias("_ss"), count.alias("_c"), F.coalesce(F.nullif(F.trim("new_name"), F.lit("")), F.col("path")).alias("_n"))
-    good = checked.filter("error IS NULL").drop("error").withColumn("_ok", F.lit(True))
-    out = clips.join(good, _CLIP, "left")
-    pick = lambda old, new: F.when(F.col("_ok"), F.col(new)).otherwise(F.col(old)).alias(old)
-    return out.select(*_CLIP, "source_id", pick("timeline_start_frame", "_s"), pick("source_start_frame", "_ss"), pick("frame_count", "_c"), pick("name", "_n")), checked.filter("error IS NOT NULL").select(*_CLIP, "error")
+    shown = [*_CLIP, "source_id", "timeline_start_frame", "source_start_frame", "frame_count", "name"]
+    has_key = F.col("project_id").isNotNull() & F.col("clip_index").isNotNull()
+    new = edits.filter(has_key).select(*_CLIP, F.struct("new_start", "new_source_start", "new_count", "new_name").alias("_edit"))
+    both = clips.filter(has_key).select(*shown).unionByName(new, allowMissingColumns=True).repartition(*_CLIP)
+    met = both.withColumn("_edits", F.collect_list("_edit").over(Window.partitionBy(*_CLIP))).filter("_edit IS NULL").drop("_edit")
+    met = met.withColumns({c: F.col(c).cast(clips.schema[c].dataType) for c in _CLIP})
+
+    def check(e: Column) -> Column:
+        start, count, n = F.coalesce(e["new_source_start"], "source_start_frame"), F.coalesce(e["new_count"], "frame_count"), F.col("n_frames")
+        error = F.when(n.isNull(), "unknown source").when((start < 0) | (start >= n), "source start out of range").when(count < 0, "negative count").when(count > n - start, "count beyond source")
+        name = F.coalesce(F.nullif(F.trim(e["new_name"]), F.lit("")), F.col("path"))
+        return F.struct(error.alias("error"), F.greatest(F.lit(0), F.coalesce(e["new_start"], "timeline_start_frame", F.lit(0))).alias("s"), start.alias("ss"), count.alias("c"), name.alias("n"))
+
+    key = source_key(sources)
+    edited = met.filter(F.size("_edits") > 0).join(sources.select(*key, "n_frames", "path").hint("merge"), key, "left").withColumn("_edits", F.transform("_edits", check))
+    good = edited.withColumn("_e", F.explode_outer(F.filter("_edits", lambda e: e["error"].isNull())))
+    pick = lambda old, new: F.when(F.col("_e").isNotNull(), F.col(f"_e.{new}")).otherwise(F.col(old)).alias(old)
+    good = good.select(*shown[:3], pick("timeline_start_frame", "s"), pick("source_start_frame", "ss"), pick("frame_count", "c"), pick("name", "n"))
+    out = good.unionByName(met.filter(F.size("_edits") == 0).select(*shown)).unionByName(clips.filter(~has_key).select(*shown))
+    bad = edited.withColumn("_e", F.explode(F.filter("_edits", lambda e: e["error"].isNotNull())))
+    return out, bad.select(*_CLIP, "_e.error")
 
 
 def place_layers(active: DataFrame, keyframes_at: DataFrame, sources: DataFrame, key: str = "clip_key") -> DataFrame:

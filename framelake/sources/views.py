@@ -117,10 +117,15 @@ _CLIP_ORDER = "l_linenumber l_partkey l_suppkey l_shipdate l_extendedprice l_qua
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips of a project; starts may be missing, counts zero and names empty."""
-    li = table(spark, sf_dir, "lineitem")
+    """Clips of a project; starts may be missing, counts zero and names empty.
+
+    Numbered before they are named: what is shuffled is the same for all readers,
+    who share it, and clips stay dealt by project.
+    """
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *_CLIP_ORDER)
+    li = li.withColumn("clip_index", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_CLIP_ORDER)) - 1)
     return li.select(
-        F.col("l_orderkey").alias("project_id"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_CLIP_ORDER)) - 1).alias("clip_index"), F.col("l_partkey").alias("source_id"),
+        F.col("l_orderkey").alias("project_id"), "clip_index", F.col("l_partkey").alias("source_id"),
         F.when(F.col("l_returnflag") != "N", (F.col("l_suppkey") % 64).cast("int")).alias("timeline_start_frame"), (F.col("l_linenumber") - 1).cast("int").alias("source_start_frame"),
         F.when(F.col("l_linestatus") == "O", 0).otherwise(F.col("l_quantity").cast("int")).alias("frame_count"), F.when(F.col("l_linenumber") == 7, "").otherwise(F.concat(F.lit("clip"), F.col("l_linenumber").cast("string"))).alias("name"),
     )

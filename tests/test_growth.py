@@ -84,3 +84,44 @@ def test_small_writes_share_a_batch(spark):
     cut = bands.cut_to_bands(writes, 1)
     sizes = cut.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows], pa.int32())], names=["n"]) for b in batches), "n int").collect()
     assert [r.n for r in sizes] == [600]
+
+
+def _shuffles(df):
+    """What a run of `df` shuffled, those it used again left out."""
+    df.collect()
+    lines = [x.strip(" :+-") for x in _plan(df).split("== Initial Plan ==")[0].splitlines()]
+    return [x.split("(", 1)[1].split(", 8)")[0].split("#")[0] for x in lines if x.startswith("Exchange hashpartitioning")]
+
+
+def test_own_clips_are_shuffled_twice(spark, sf):
+    """Once to be numbered, once to meet their edits; those without a project, of which there are none, apart."""
+    dealt = _shuffles(QUERIES["local_update_clips"](spark, sf))
+    assert dealt.count("l_orderkey") <= 2 and dealt.count("project_id") <= 3 and len(dealt) <= 5
+
+
+def test_edits_meet_their_clips(spark):
+    """Clips and edits dealt alike or not, in many parts: no edit, several, sound and bad ones, without key, without clip, without source."""
+    rng = random.Random(4)
+    clips = [(p, c, rng.randint(0, 4), rng.choice((None, 3)), rng.randint(0, 3), rng.randint(0, 5), f"n{c}") for p in range(150) for c in range(rng.randint(0, 5))] + [(None, 0, 1, 1, 1, 1, "no project"), (1, None, 1, 1, 1, 1, "no place")]
+    edits = [(rng.choice((None, *range(160))), rng.choice((None, *range(6))), rng.choice((None, -4, 7)), rng.choice((None, -1, 2, 9)), rng.choice((None, -1, 1, 6)), rng.choice((None, " ", " new "))) for _ in range(900)]
+    sources = {(p, s): (rng.randint(0, 9), f"p{p}/{s}") for p in range(150) for s in range(4)}
+
+    def checked(p, c, s, ts, ss, fc, name, e):
+        n, path = sources.get((p, s), (None, None))
+        start, count = ss if e[3] is None else e[3], fc if e[4] is None else e[4]
+        error = "unknown source" if n is None else "source start out of range" if start < 0 or start >= n else "negative count" if count < 0 else "count beyond source" if count > n - start else None
+        return error, (p, c, s, max(0, next(x for x in (e[2], ts, 0) if x is not None)), start, count, (e[5] or "").strip() or path)
+
+    want, bad = [], []
+    for row in clips:
+        done = [checked(*row, e) for e in edits if e[:2] == row[:2] and None not in row[:2]]
+        want += [new for error, new in done if error is None] or [row]
+        bad += [(*row[:2], error) for error, _ in done if error]
+    c = spark.createDataFrame(clips, "project_id long, clip_index int, source_id long, timeline_start_frame int, source_start_frame int, frame_count int, name string")
+    e = spark.createDataFrame(edits, "project_id long, clip_index long, new_start int, new_source_start int, new_count int, new_name string")
+    s = spark.createDataFrame([(*k, *v) for k, v in sources.items()], "project_id long, source_id long, n_frames int, path string")
+    plain = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    assert len(bad) > 100 and len(want) > len(clips)
+    for left, right in ((c, e), (c.repartition("project_id"), e.repartition("project_id")), (c.repartition(7, "project_id"), e.repartition(7, "project_id")), (c.repartition(7, "project_id"), e)):
+        out, rejected = project.update_clips(left, right, s)
+        assert out.dtypes == c.dtypes and plain(out.collect()) == plain(want) and plain(rejected.collect()) == plain(bad)
