@@ -99,6 +99,12 @@ def test_own_clips_are_shuffled_twice(spark, sf):
     assert dealt.count("l_orderkey") <= 2 and dealt.count("project_id") <= 3 and len(dealt) <= 5
 
 
+def test_pooled_clips_are_shuffled_twice(spark, sf):
+    """As clips of projects with own sources; edited ones move to their source, and nothing comes back."""
+    dealt = _shuffles(QUERIES["update_clips"](spark, sf))
+    assert dealt.count("l_orderkey") <= 2 and dealt.count("project_id") == 1 and dealt.count("source_id") <= 2 and len(dealt) <= 5
+
+
 def test_edits_meet_their_clips(spark):
     """Clips and edits dealt alike or not, in many parts: no edit, several, sound and bad ones, without key, without clip, without source."""
     rng = random.Random(4)
