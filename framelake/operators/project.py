@@ -132,8 +132,8 @@ def update_clips(clips: DataFrame, edits: DataFrame, sources: DataFrame) -> tupl
 
     Clips and edits are dealt together, once, and meet in a window; edited clips
     alone then move to their source, and nothing comes back. Clips without a key
-    have no edit. The dealing is asked for: Spark takes a union of tables dealt
-    alike to be dealt like them, but may merge partitions of each differently.
+    have no edit. The dealing is asked for: left to Spark, which takes a union of
+    tables dealt alike to be dealt like them, some edits missed their clips.
     """
     shown = [*_CLIP, "source_id", "timeline_start_frame", "source_start_frame", "frame_count", "name"]
     has_key = F.col("project_id").isNotNull() & F.col("clip_index").isNotNull()
